@@ -16,19 +16,28 @@ def _levels(time: Column, daily: bool) -> list[Column]:
     return [time] if daily else instant_levels(time)
 
 
-def prior_totals(df: DataFrame, keys: Sequence[str], time: str, measures: dict[str, Column],
-                 daily: bool = True) -> DataFrame:
-    """``df`` plus, per measure, ``prior_<m>``: its sum over strictly earlier rows of the key.
+def prior_history(df: DataFrame, keys: Sequence[str], time: str, measures: dict[str, Column],
+                  daily: bool = True) -> DataFrame:
+    """Per (key, instant): ``prior_<m>``, the sum of each measure over strictly earlier rows.
 
     Rows of one instant never see each other. ``daily`` is for date columns, whose
-    distinct values are bounded; timestamps are cut into day, second, microsecond.
+    distinct values are bounded; timestamps are cut into day, second, microsecond
+    and come back as ``__t`` micros.
     """
     levels = _levels(F.col(time), daily)
     done = prefix_sums(df.filter(F.col(time).isNotNull()), keys, levels, measures)
-    leaf = f"_l{len(levels) - 1}"
-    right = done.select(*keys, F.col(leaf).alias("__t"),
-                        *[F.col(f"{m}_before").alias(f"prior_{m}") for m in measures])
-    return join_on(df.withColumn("__t", levels[-1]), right, [*keys, "__t"]).drop("__t")
+    at = time if daily else "__t"
+    return done.select(*keys, F.col(f"_l{len(levels) - 1}").alias(at),
+                       *[F.col(f"{m}_before").alias(f"prior_{m}") for m in measures])
+
+
+def prior_totals(df: DataFrame, keys: Sequence[str], time: str, measures: dict[str, Column],
+                 daily: bool = True) -> DataFrame:
+    """``df`` with the history of its own rows beside each row."""
+    history = prior_history(df, keys, time, measures, daily)
+    if daily:
+        return join_on(df, history, [*keys, time])
+    return join_on(df.withColumn("__t", instant_levels(F.col(time))[-1]), history, [*keys, "__t"]).drop("__t")
 
 
 def two_clock_prior(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_time: str,
@@ -64,24 +73,27 @@ def value_and_count(name: str, c: Column) -> dict[str, Column]:
     return {f"{name}_s": F.coalesce(c, F.lit(0.0)), f"{name}_n": F.when(c.isNotNull(), 1).otherwise(0)}
 
 
-def prior_win_rate(df: DataFrame, key: str, time: str, label: str, out: str,
-                   quote: str | None = None) -> DataFrame:
-    """Smoothed win rate of the key over strictly earlier quotes.
+def win_rate_history(df: DataFrame, key: str, time: str, label: str, out: str,
+                     quote: str | None = None) -> DataFrame:
+    """Per (key, date): smoothed win rate over strictly earlier quotes.
 
     With ``quote`` given, each (key, quote) pair counts once however many lines it has.
     """
     uniq = df if quote is None else df.select(key, quote, time, label).dropDuplicates([key, quote])
-    overall = uniq.agg(F.avg(label).alias("__g"))
-    done = prefix_sums(uniq, [key], [F.col(time)], value_and_count("won", F.col(label)))
-    right = done.select(key, F.col("_l0").alias(time), F.col("won_s_before").alias("__w"),
-                        F.col("won_n_before").alias("__n"))
-    joined = with_scalars(join_on(df, right, [key, time]), overall)
-    rate = smoothed_rate(F.col("__w"), F.col("__n"), F.coalesce("__g", F.lit(0.5)))
-    return joined.withColumn(out, rate).drop("__w", "__n", "__g")
+    overall = uniq.agg(F.coalesce(F.avg(label), F.lit(0.5)).alias("__g"))
+    done = prior_history(uniq, [key], time, value_and_count("won", F.col(label)))
+    rate = smoothed_rate(F.col("prior_won_s"), F.col("prior_won_n"), F.col("__g"))
+    return with_scalars(done, overall).select(key, time, rate.alias(out))
+
+
+def prior_win_rate(df: DataFrame, key: str, time: str, label: str, out: str,
+                   quote: str | None = None) -> DataFrame:
+    """``df`` with the smoothed win rate of its key before each row."""
+    return join_on(df, win_rate_history(df, key, time, label, out, quote), [key, time])
 
 
-def prior_count_and_recency(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Number of earlier rows of the key in (time, tie) order, and days since the last one.
+def count_and_recency_history(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
+    """Per row id: number of earlier rows of the key in (time, tie) order, days since the last.
 
     Days with rows form the first order level; ids break ties inside a day.
     """
@@ -92,6 +104,6 @@ def prior_count_and_recency(df: DataFrame, key: str, time: str, tie: str) -> Dat
     days = df.groupBy(key, time).agg(F.min(tie).alias("__first"))
     w = Window.partitionBy(key).orderBy(time)
     days = days.withColumn("__gap", F.datediff(F.col(time), F.lag(time).over(w)))
-    out = join_on(join_on(df, seq, [key, time, tie]), days, [key, time])
     gap = F.when(F.col(tie) == F.col("__first"), F.coalesce("__gap", F.lit(-1))).otherwise(0)
-    return out.withColumn("recency_days", gap.cast("double")).drop("__first", "__gap")
+    return join_on(seq, days, [key, time], "inner").select(
+        tie, "prior_count", gap.cast("double").alias("recency_days"))

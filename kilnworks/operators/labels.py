@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kilnworks.functions import quote as Q
-from kilnworks.operators.asof import prior_win_rate
+from kilnworks.operators.asof import count_and_recency_history, win_rate_history
 from kilnworks.operators.graph import family_roots
-from kilnworks.operators.scale import last_per_key, with_scalars
+from kilnworks.operators.scale import join_on, last_per_key, with_scalars
+from kilnworks.session import durable
 
 OPTIONAL_HEADER = {"parentQuotationID": T.LongType(), "revisionNumber": T.IntegerType(),
                    "paymentTerms": T.StringType()}
@@ -76,10 +77,16 @@ def decided_headers(quotes: DataFrame, lost_after_days: int | None = OPEN_QUOTE_
 
 
 def header_frame(quotes: DataFrame) -> DataFrame:
-    """Decided headers with as-of customer and sales-rep win rates."""
-    h = decided_headers(quotes)
-    h = prior_win_rate(h, "customerID", "quoteDate", "won", "contact_win_rate")
-    return prior_win_rate(h, "salesRepID", "quoteDate", "won", "salesrep_win_rate")
+    """Decided headers with as-of rates, prior quote count and recency of the customer.
+
+    The decided headers feed five aggregates, so they are written once.
+    """
+    h = durable(decided_headers(quotes))
+    customer = win_rate_history(h, "customerID", "quoteDate", "won", "contact_win_rate")
+    rep = win_rate_history(h, "salesRepID", "quoteDate", "won", "salesrep_win_rate")
+    seen = count_and_recency_history(h, "customerID", "quoteDate", "quotationID")
+    out = join_on(join_on(h, customer, ["customerID", "quoteDate"]), rep, ["salesRepID", "quoteDate"])
+    return out.join(seen, "quotationID", "left")
 
 
 def coded_outcome(stage: Column, status: Column, sales_order_id: Column) -> tuple[Column, Column]:

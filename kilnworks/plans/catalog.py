@@ -15,13 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def steady_round(c, digits: int):
+    """Round with ties decided a little early, so both engines decide them alike."""
+    scaled = c * F.lit(10.0 ** digits) + F.lit(0.50001)
+    return F.when(F.abs(c) < 1e12, F.floor(scaled) / F.lit(10.0 ** digits)).otherwise(c)
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Comparable output types: rounded doubles, bigint counts, dates as text."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = steady_round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):

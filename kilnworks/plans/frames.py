@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.functions import quote as Q
-from kilnworks.operators.asof import (
-    prior_count_and_recency, prior_ratio, prior_totals, prior_win_rate, value_and_count)
+from kilnworks.operators.asof import prior_history, prior_ratio, value_and_count, win_rate_history
 from kilnworks.operators.labels import OPTIONAL_LINE, fill_optional, header_frame
-from kilnworks.operators.scale import with_group_totals
+from kilnworks.operators.scale import join_on, with_group_totals
+from kilnworks.session import durable
 
 
 def priced_lines(lines: DataFrame, use_list: bool = True) -> DataFrame:
@@ -58,31 +58,33 @@ def win_frame(quotes: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line_frame(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     """One row per line of every decided quote with strictly prior history features."""
-    h = prior_count_and_recency(header_frame(quotes), "customerID", "quoteDate", "quotationID")
-    h = h.select("quotationID", "customerID", "region", "industry", "leadTimeDays", "quoteDate",
-                 "contact_win_rate", "salesrep_win_rate", "won",
-                 F.col("paymentTerms").alias("payment_terms"),
-                 F.col("prior_count").cast("double").alias("customer_prior_quotes"),
-                 F.col("recency_days").alias("customer_recency_days"))
+    h = header_frame(quotes).select("quotationID", "customerID", "region", "industry", "leadTimeDays", "quoteDate",
+        "contact_win_rate", "salesrep_win_rate", "won",
+        F.col("paymentTerms").alias("payment_terms"),
+        F.col("prior_count").cast("double").alias("customer_prior_quotes"),
+        F.col("recency_days").alias("customer_recency_days"))
     li = priced_lines(lines, has_list_price(lines))
     li = li.select("quotationID", "quotationLineItemID", "productID", "quantity", "unitPrice",
                    F.col("price_basis").alias("list_price"), "price_ratio",
                    F.col("materialSpec").alias("product_type"),
                    (Q.number("quantity") * F.col("effective_price")).alias("__amt"))
     f = with_group_totals(li.join(h, "quotationID"), ["quotationID"], {"quote_total": F.sum("__amt")})
-    f = f.filter(F.col("price_ratio").isNotNull() & F.col("won").isNotNull())
-    f = prior_totals(f, ["productID"], "quoteDate",
-                     value_and_count("pr", F.col("price_ratio")) | value_and_count("lt", F.col("leadTimeDays")))
-    f = f.withColumns({
-        "price_vs_product": prior_ratio(F.col("price_ratio"), F.col("prior_pr_s"), F.col("prior_pr_n")),
-        "leadtime_vs_product": prior_ratio(F.col("leadTimeDays"), F.col("prior_lt_s"), F.col("prior_lt_n")),
-    }).drop("prior_pr_s", "prior_pr_n", "prior_lt_s", "prior_lt_n")
-    f = prior_totals(f, ["customerID"], "quoteDate",
-                     value_and_count("pr", F.col("price_ratio")) | value_and_count("qt", F.col("quote_total")))
-    f = f.withColumns({
-        "price_vs_customer": prior_ratio(F.col("price_ratio"), F.col("prior_pr_s"), F.col("prior_pr_n")),
-        "value_vs_customer": prior_ratio(F.col("quote_total"), F.col("prior_qt_s"), F.col("prior_qt_n"))})
-    f = prior_win_rate(f, "productID", "quoteDate", "won", "product_win_rate", quote="quotationID")
+    f = durable(f.filter(F.col("price_ratio").isNotNull() & F.col("won").isNotNull()))
+    product = prior_history(f, ["productID"], "quoteDate", value_and_count("pp", F.col("price_ratio"))
+                            | value_and_count("lt", F.col("leadTimeDays")))
+    customer = prior_history(f, ["customerID"], "quoteDate", value_and_count("cp", F.col("price_ratio"))
+                             | value_and_count("qt", F.col("quote_total")))
+    rate = win_rate_history(f, "productID", "quoteDate", "won", "product_win_rate", quote="quotationID")
+    by_product = join_on(product, rate, ["productID", "quoteDate"])
+    f = join_on(join_on(f, by_product, ["productID", "quoteDate"]), customer, ["customerID", "quoteDate"])
+
+    def versus(value: str, m: str):
+        return prior_ratio(F.col(value), F.col(f"prior_{m}_s"), F.col(f"prior_{m}_n"))
+
+    f = f.withColumns({"price_vs_product": versus("price_ratio", "pp"),
+                       "leadtime_vs_product": versus("leadTimeDays", "lt"),
+                       "price_vs_customer": versus("price_ratio", "cp"),
+                       "value_vs_customer": versus("quote_total", "qt")})
     share = F.least(F.greatest(F.coalesce(F.try_divide("__amt", "quote_total"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return f.withColumns({"line_share": share, "quote_month": F.month("quoteDate").cast("double")}).select(
         "quotationID", "quotationLineItemID", "quoteDate", "productID", "quantity", "unitPrice", "list_price",

@@ -175,10 +175,9 @@ def _(spark, sf):
 
 
 @query("d01_quote_rollup", """SELECT quotationID, round(total_quantity,6) AS total_quantity, line_count, n_products, round(mean_price_ratio,6) AS mean_price_ratio,
- round(min_price_ratio,6) AS min_price_ratio, round(wtd_price_ratio,6) AS wtd_price_ratio, round(avg_discount_pct,4) AS avg_discount_pct FROM rollup""")
+ round(min_price_ratio,6) AS min_price_ratio, round(wtd_price_ratio,6) AS wtd_price_ratio, round(avg_discount_pct,6) AS avg_discount_pct FROM rollup""")
 def _(spark, sf):
-    r = frames.quote_rollup(frames.priced_lines(P.quote_lines(spark, sf)))
-    return r.withColumn("avg_discount_pct", F.round("avg_discount_pct", 4))
+    return frames.quote_rollup(frames.priced_lines(P.quote_lines(spark, sf)))
 
 
 D02_SQL = """SELECT quotationID, round(CASE WHEN sum(w) FILTER (m IS NOT NULL) > 0 THEN sum(m * w) FILTER (m IS NOT NULL) / sum(w) FILTER (m IS NOT NULL) ELSE avg(m) END, 4) AS gross_margin FROM (
@@ -255,13 +254,13 @@ E04_SQL = """SELECT quotationID, row_number() OVER w - 1 AS prior_count,
 
 @query("e04_prior_quote_count", f"SELECT quotationID, prior_count FROM ({E04_SQL})")
 def _(spark, sf):
-    return asof.prior_count_and_recency(P.quotes(spark, sf), "customerID", "quoteDate", "quotationID").select(
+    return asof.count_and_recency_history(P.quotes(spark, sf), "customerID", "quoteDate", "quotationID").select(
         "quotationID", "prior_count")
 
 
 @query("e05_recency_days", f"SELECT quotationID, recency_days FROM ({E04_SQL})")
 def _(spark, sf):
-    return asof.prior_count_and_recency(P.quotes(spark, sf), "customerID", "quoteDate", "quotationID").select(
+    return asof.count_and_recency_history(P.quotes(spark, sf), "customerID", "quoteDate", "quotationID").select(
         "quotationID", "recency_days")
 
 
@@ -327,19 +326,19 @@ def _(spark, sf):
 DEC = "SELECT *, CAST(salesPrice AS DECIMAL(18,4)) AS sp, CAST(unitPrice AS DECIMAL(18,4)) AS uc, CAST(quantity AS DECIMAL(18,4)) AS q FROM quote_lines"
 
 
-@query("h04_gross_margin", f"SELECT quotationLineItemID, round(CASE WHEN sp > 0 THEN (sp - uc)::DOUBLE / sp::DOUBLE END, 6) AS fraction, round((sp - uc) * q, 2)::DOUBLE AS amount FROM ({DEC})")
+@query("h04_gross_margin", f"SELECT quotationLineItemID, round(CASE WHEN sp > 0 THEN (sp - uc)::DOUBLE / sp::DOUBLE END, 6) AS fraction, ROUND((sp - uc) * q, 2)::DOUBLE AS amount FROM ({DEC})")
 def _(spark, sf):
     sp, uc, q = F.col("salesPrice"), F.col("unitPrice"), F.col("quantity")
     return P.quote_lines(spark, sf).select("quotationLineItemID", M.margin_fraction(sp, uc).cast("double").alias("fraction"),
                                            M.margin_amount(sp, uc, q).alias("amount"))
 
 
-@query("h05_line_amount", f"SELECT quotationLineItemID, round(q * sp, 2)::DOUBLE AS amount FROM ({DEC})")
+@query("h05_line_amount", f"SELECT quotationLineItemID, ROUND(q * sp, 2)::DOUBLE AS amount FROM ({DEC})")
 def _(spark, sf):
     return P.quote_lines(spark, sf).select("quotationLineItemID", M.line_amount(F.col("quantity"), F.col("salesPrice")).alias("amount"))
 
 
-@query("h06_price_clamp", f"""SELECT quotationLineItemID, round(least(greatest(sp, uc * 0.70::DECIMAL(3,2)), uc * 1.30::DECIMAL(3,2)), 2)::DOUBLE AS price,
+@query("h06_price_clamp", f"""SELECT quotationLineItemID, ROUND(least(greatest(sp, uc * 0.70::DECIMAL(3,2)), uc * 1.30::DECIMAL(3,2)), 2)::DOUBLE AS price,
  sp < uc * 0.70::DECIMAL(3,2) OR sp > uc * 1.30::DECIMAL(3,2) AS clamped FROM ({DEC})""")
 def _(spark, sf):
     sp, base = F.col("salesPrice"), F.col("unitPrice")
@@ -486,15 +485,14 @@ LINE_SQL = """WITH f AS (SELECT p.*, h.customerID, h.region, h.industry, h.leadT
  s AS (SELECT quotationID, row_number() OVER w - 1 AS k, coalesce(datediff('day', lag(quoteDate) OVER w, quoteDate), -1) AS d FROM headers WINDOW w AS (PARTITION BY customerID ORDER BY quoteDate, quotationID))
  SELECT quotationID, quotationLineItemID, CAST(quoteDate AS VARCHAR) AS "quoteDate", productID, quantity, unitPrice, round(listPrice, 5) AS list_price, round(price_ratio, 5) AS price_ratio, leadTimeDays, region, industry,
  materialSpec AS product_type, paymentTerms AS payment_terms, round(quote_total, 5) AS quote_total, round(contact_win_rate, 5) AS contact_win_rate, round(salesrep_win_rate, 5) AS salesrep_win_rate,
- round(pvp, 4) AS price_vs_product, round(pvc, 4) AS price_vs_customer, round(rate, 5) AS product_win_rate, round(vvc, 4) AS value_vs_customer, round(lvp, 4) AS leadtime_vs_product,
+ round(pvp, 5) AS price_vs_product, round(pvc, 5) AS price_vs_customer, round(rate, 5) AS product_win_rate, round(vvc, 5) AS value_vs_customer, round(lvp, 5) AS leadtime_vs_product,
  round(amt / quote_total, 5) AS line_share, month(quoteDate)::DOUBLE AS quote_month, k::DOUBLE AS customer_prior_quotes, d::DOUBLE AS customer_recency_days, won::DOUBLE AS won
  FROM f JOIN pp USING (quotationLineItemID) JOIN cc USING (quotationLineItemID) JOIN r USING (productID, quotationID) JOIN s USING (quotationID)"""
 
 
 @query("i27_line_frame", LINE_SQL, digits=5)
 def _(spark, sf):
-    f = frames.line_frame(P.quotes(spark, sf), P.quote_lines(spark, sf))
-    return f.withColumns({c: F.round(c, 4) for c in ("price_vs_product", "price_vs_customer", "value_vs_customer", "leadtime_vs_product")})
+    return frames.line_frame(P.quotes(spark, sf), P.quote_lines(spark, sf))
 
 
 @query("i27_price_frame", """SELECT quotationID, quotationLineItemID, CAST(quoteDate AS VARCHAR) AS "quoteDate", productID, productName, region, quantity, unitPrice, leadTimeDays,

@@ -64,8 +64,30 @@ FROM priced GROUP BY quotationID"""
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
+def steady_round(sql: str) -> str:
+    """Write ``round(x, n)`` so that exact ties fall the same way in both engines."""
+    out, i = "", 0
+    while (at := sql.find("round(", i)) >= 0:
+        depth, end, comma = 1, at + 6, -1
+        while depth:
+            ch = sql[end]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = end
+            end += 1
+        inner = sql[at + 6:comma if comma >= 0 else end - 1]
+        if comma >= 0:
+            n = sql[comma + 1:end - 1].strip()
+            out += f"{sql[i:at]}(floor(({steady_round(inner)}) * 1e{n} + 0.50001) / 1e{n})"
+        else:
+            out += f"{sql[i:at]}round({steady_round(inner)})"
+        i = end
+    return out + sql[i:]
+
+
 def with_views(sql: str) -> str:
     """Put the definitions of every view the statement uses in front of it."""
+    sql = steady_round(sql)
     needed: list[str] = []
 
     def visit(text: str) -> None:
