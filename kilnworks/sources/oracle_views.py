@@ -108,3 +108,78 @@ def with_views(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH RECURSIVE {heads}, {body[5:]}"
     return f"WITH RECURSIVE {heads} {body}"
+
+VIEWS["snapshots"] = """
+SELECT concat_ws('-', item_id, strftime(snapshot_date, '%Y%m%d')) AS snapshot_id, item_id, item_id % 3 AS warehouse_id, snapshot_date,
+       all_qty AS available_qty, q1 * 0.5 AS reserved_qty, (20 + item_id % 30)::DOUBLE AS rop, all_qty * 0.8 AS demand_forecast_qty,
+       qn AS open_qty, CASE WHEN item_id % 7 <> 0 THEN snapshot_date + CAST(item_id % 21 AS INTEGER) END AS open_po_deadline,
+       CASE WHEN item_id % 11 <> 0 THEN rel END AS open_po_vendor_reliability, r_share > 0.5 AS stockout_flag, q7 AS past_due_qty,
+       5.0 * n6 AS planned_bom_qty, (7 + item_id % 10)::DOUBLE AS lead_time_days, (item_id % 4 * 10)::DOUBLE AS external_risk_pct,
+       CASE WHEN item_id % 3 = 0 THEN 'Draft' ELSE 'Not Applicable' END AS draft_mo_status, q5 AS draft_mo_required_qty,
+       CASE item_id % 4 WHEN 0 THEN 'Confirmed' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'Not Applicable' ELSE 'Done' END AS mo_status,
+       q3 AS consumed_qty, CASE WHEN item_id % 13 <> 0 THEN (item_id % 12)::DOUBLE END AS months_of_history, item_id % 17 = 0 AS use_rule_based,
+       CASE WHEN item_id % 2 = 0 THEN 0.97 END AS calculated_vendor_reliability, item_id % 5 = 0 AS business_scenario_injected
+FROM (SELECT l_suppkey AS item_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS snapshot_date, sum(l_quantity) AS all_qty,
+  sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS q1, sum(CASE WHEN l_linenumber = 3 THEN l_quantity ELSE 0 END) AS q3,
+  sum(CASE WHEN l_linenumber = 5 THEN l_quantity ELSE 0 END) AS q5, sum(CASE WHEN l_linenumber = 7 THEN l_quantity ELSE 0 END) AS q7,
+  count(CASE WHEN l_linenumber = 6 THEN 1 END) AS n6, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS qn,
+  count(CASE WHEN l_discount >= 0.05 THEN 1 END) / count(*) AS rel, count(CASE WHEN l_returnflag = 'R' THEN 1 END) / count(*) AS r_share
+  FROM lineitem GROUP BY 1, 2)"""
+
+VIEWS["engineered"] = """
+SELECT * REPLACE (CASE WHEN open_qty > 0 THEN open_po_deadline END AS open_po_deadline, CASE WHEN open_qty > 0 THEN open_po_vendor_reliability END AS open_po_vendor_reliability,
+       CASE WHEN external_risk_pct > 0 THEN lead_time_days * (1 + external_risk_pct / 100) ELSE lead_time_days END AS lead_time_days),
+       available_qty - (demand_forecast_qty / 4 + planned_bom_qty + past_due_qty) AS projected_without_po,
+       available_qty + open_qty - (demand_forecast_qty / 4 + planned_bom_qty + past_due_qty) AS projected_with_po,
+       available_qty / nullif(rop, 0) AS inventory_to_rop_ratio, greatest(draft_mo_required_qty - available_qty, 0) AS draft_mo_shortage_qty,
+       available_qty / nullif(draft_mo_required_qty, 0) AS draft_mo_coverage_ratio,
+       greatest(greatest(consumed_qty - reserved_qty, 0) - greatest(available_qty - reserved_qty, 0), 0) AS material_shortfall_qty,
+       consumed_qty / nullif(reserved_qty, 0) AS consumption_to_reservation_ratio,
+       CASE WHEN open_qty > 0 THEN datediff('day', snapshot_date, open_po_deadline) END::DOUBLE AS days_until_po_delivery
+FROM snapshots"""
+
+VIEWS["targets"] = """
+SELECT snapshot_id, item_id, warehouse_id, snapshot_date, stockout_flag, CASE WHEN g1 THEN f1 END AS target, CASE WHEN n4 = 4 THEN any4 END AS target_4w, CASE WHEN n9 = 9 THEN any9 END AS target_9w
+FROM (SELECT a.snapshot_id, any_value(a.item_id) AS item_id, any_value(a.warehouse_id) AS warehouse_id, any_value(a.snapshot_date) AS snapshot_date, any_value(a.stockout_flag) AS stockout_flag,
+  coalesce(bool_or(datediff('day', a.snapshot_date, b.snapshot_date) = 7), false) AS g1, bool_or(b.stockout_flag) FILTER (datediff('day', a.snapshot_date, b.snapshot_date) = 7) AS f1,
+  count(b.snapshot_id) FILTER (datediff('day', a.snapshot_date, b.snapshot_date) <= 28) AS n4, bool_or(b.stockout_flag) FILTER (datediff('day', a.snapshot_date, b.snapshot_date) <= 28) AS any4,
+  count(b.snapshot_id) AS n9, bool_or(b.stockout_flag) AS any9
+  FROM snapshots a LEFT JOIN snapshots b ON a.item_id = b.item_id AND a.warehouse_id = b.warehouse_id AND b.snapshot_date > a.snapshot_date AND b.snapshot_date <= a.snapshot_date + 63 GROUP BY 1)"""
+
+VIEWS["items"] = """
+SELECT p_partkey AS id, p_name AS item_name, p_type AS item_type, p_size::DOUBLE AS rop, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 5 END AS default_warehouse_id,
+       p_size * 3.0 AS available_quantity, (p_partkey % 100)::DOUBLE AS forecasted_quantity,
+       CASE p_partkey % 4 WHEN 0 THEN '{"demand_forecast_qty": 40}' WHEN 1 THEN '{"inventory": {"past_due_qty": 7}}' WHEN 2 THEN '{"ai_inventory": {"external_risk_pct": 20}}' END AS custom_elements FROM part"""
+VIEWS["item_vendors"] = """
+SELECT l_partkey AS item_id, l_suppkey AS id, l_suppkey AS vendor_id, min(l_shipdate) AS created_at, l_suppkey % 30 AS lead_time_days FROM lineitem GROUP BY l_partkey, l_suppkey"""
+VIEWS["pos"] = """
+SELECT o_orderkey AS id, o_custkey % 100 AS vendor_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 5 END AS warehouse_id, o_orderdate + INTERVAL 60 DAY AS scheduled_delivery_date,
+       CASE o_orderstatus WHEN 'F' THEN 'Received' WHEN 'P' THEN 'Confirmed' ELSE 'Sent' END AS status, o_orderdate AS created_at FROM orders"""
+VIEWS["po_lines"] = """
+SELECT l_orderkey AS purchase_order_id, l_partkey AS item_id, l_quantity AS ordered_quantity, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE floor(l_quantity / 2) END AS received_quantity FROM lineitem"""
+VIEWS["grns"] = """
+SELECT l_orderkey AS purchase_order_id, l_suppkey AS vendor_id, o_orderdate + INTERVAL 60 DAY AS scheduled_delivery_date,
+       CASE l_returnflag WHEN 'R' THEN 'Goods Received' WHEN 'A' THEN 'Partially Received' ELSE 'Pending' END AS status, l_shipdate AS updated_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+VIEWS["mos"] = """
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Draft' WHEN 1 THEN 'Confirmed' WHEN 2 THEN 'In Progress' WHEN 3 THEN 'Done' ELSE 'Cancelled' END AS status, o_orderkey % 5 AS warehouse_id FROM orders"""
+VIEWS["mo_components"] = """
+SELECT l_orderkey AS mo_id, l_partkey AS item_id, l_quantity AS required_qty, l_quantity * 0.5 AS reserved_qty, l_quantity * 0.75 AS consumed_qty FROM lineitem"""
+VIEWS["vendor_history"] = """
+SELECT vendor_id, count(*) AS total, count(CASE WHEN received <= deadline THEN 1 END) AS on_time, count(*) - count(CASE WHEN received <= deadline THEN 1 END) AS late, min(received) AS earliest,
+       count(CASE WHEN received <= deadline THEN 1 END) / count(*) AS reliability
+FROM (SELECT vendor_id, purchase_order_id, max(scheduled_delivery_date) AS deadline, max(updated_at) AS received FROM grns WHERE lower(status) LIKE '%received%' GROUP BY 1, 2) GROUP BY 1"""
+VIEWS["open_lines"] = """
+SELECT l.item_id, p.vendor_id, p.warehouse_id, p.scheduled_delivery_date, greatest(ordered_quantity - received_quantity, 0) AS open_qty FROM po_lines l JOIN pos p ON l.purchase_order_id = p.id
+WHERE lower(p.status) NOT IN ('closed', 'cancelled', 'canceled', 'goods received', 'received', 'partially received - closed') AND ordered_quantity - received_quantity > 0"""
+VIEWS["preferred"] = """
+SELECT * FROM (SELECT l.*, i.default_warehouse_id, coalesce(l.warehouse_id IS NULL OR l.warehouse_id = i.default_warehouse_id, false) AS here,
+  bool_or(coalesce(l.warehouse_id IS NULL OR l.warehouse_id = i.default_warehouse_id, false)) OVER (PARTITION BY l.item_id) AS any_here
+  FROM open_lines l JOIN items i ON i.id = l.item_id) WHERE here OR NOT any_here"""
+VIEWS["open_rollup"] = """
+SELECT item_id, sum(open_qty) AS open_qty, min(scheduled_delivery_date) AS open_po_deadline, sum(reliability * open_qty) / sum(CASE WHEN reliability IS NOT NULL THEN open_qty END) AS open_po_vendor_reliability
+FROM preferred LEFT JOIN vendor_history USING (vendor_id) GROUP BY 1"""
+VIEWS["demand"] = """
+SELECT item_id, count(CASE WHEN status = 'Draft' THEN 1 END) > 0 AS has_draft, sum(CASE WHEN status = 'Draft' THEN required_qty END) AS draft_qty,
+       sum(CASE WHEN status IN ('Confirmed', 'In Progress') THEN reserved_qty END) AS reserved_qty, sum(CASE WHEN status IN ('Confirmed', 'In Progress') THEN consumed_qty END) AS consumed_qty,
+       CASE WHEN count(CASE WHEN status = 'In Progress' THEN 1 END) > 0 THEN 'In Progress' WHEN count(CASE WHEN status = 'Confirmed' THEN 1 END) > 0 THEN 'Confirmed' ELSE 'Not Applicable' END AS mo_status
+FROM mo_components LEFT JOIN mos ON mo_id = mos.id GROUP BY 1"""

@@ -50,3 +50,71 @@ def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.67) * F.col("p_retailprice")).alias("listPrice"),
         (F.col("l_discount") * 100).alias("discountPercent"),
         F.col("p_type").alias("materialSpec"), F.col("p_name").alias("productName"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly item x warehouse snapshots from line items, with real gaps in the week grid."""
+    qty, item = F.col("l_quantity"), F.col("item_id")
+
+    def at_line(n: int):
+        return F.sum(F.when(F.col("l_linenumber") == n, qty).otherwise(0.0))
+
+    g = (table(spark, sf_dir, "lineitem")
+         .groupBy(F.col("l_suppkey").alias("item_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("snapshot_date"))
+         .agg(F.sum(qty).alias("all_qty"), at_line(1).alias("q1"), at_line(3).alias("q3"), at_line(5).alias("q5"),
+              at_line(7).alias("q7"), F.count_if(F.col("l_linenumber") == 6).alias("n6"),
+              F.sum(F.when(F.col("l_returnflag") == "N", qty).otherwise(0.0)).alias("qn"),
+              (F.count_if(F.col("l_discount") >= 0.05) / F.count(F.lit(1))).alias("rel"),
+              (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("r_share")))
+    return g.select(
+        F.concat_ws("-", item, F.date_format("snapshot_date", "yyyyMMdd")).alias("snapshot_id"), "item_id",
+        (item % 3).alias("warehouse_id"), "snapshot_date", F.col("all_qty").alias("available_qty"),
+        (F.col("q1") * 0.5).alias("reserved_qty"), (20 + item % 30).cast("double").alias("rop"),
+        (F.col("all_qty") * 0.8).alias("demand_forecast_qty"), F.col("qn").alias("open_qty"),
+        F.when(item % 7 != 0, F.date_add("snapshot_date", (item % 21).cast("int"))).alias("open_po_deadline"),
+        F.when(item % 11 != 0, F.col("rel")).alias("open_po_vendor_reliability"), (F.col("r_share") > 0.5).alias("stockout_flag"),
+        F.col("q7").alias("past_due_qty"), (F.col("n6") * 5.0).alias("planned_bom_qty"),
+        (7 + item % 10).cast("double").alias("lead_time_days"), (item % 4 * 10).cast("double").alias("external_risk_pct"),
+        F.when(item % 3 == 0, "Draft").otherwise("Not Applicable").alias("draft_mo_status"), F.col("q5").alias("draft_mo_required_qty"),
+        F.when(item % 4 == 0, "Confirmed").when(item % 4 == 1, "In Progress").when(item % 4 == 2, "Not Applicable")
+         .otherwise("Done").alias("mo_status"), F.col("q3").alias("consumed_qty"),
+        F.when(item % 13 != 0, (item % 12).cast("double")).alias("months_of_history"), (item % 17 == 0).alias("use_rule_based"),
+        F.when(item % 2 == 0, 0.97).alias("calculated_vendor_reliability"), (item % 5 == 0).alias("business_scenario_injected"))
+
+
+def stock_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Operational stock tables: items, purchase orders, receipts, manufacturing orders, bills."""
+    part, li, o = (table(spark, sf_dir, n) for n in ("part", "lineitem", "orders"))
+    pk, ok = F.col("p_partkey"), F.col("o_orderkey")
+    due = F.timestamp_add("DAY", F.lit(60), F.col("o_orderdate").cast("timestamp"))
+    t = {"items": part.select(
+        pk.alias("id"), F.col("p_name").alias("item_name"), F.col("p_type").alias("item_type"), F.col("p_size").cast("double").alias("rop"),
+        F.when(pk % 9 != 0, pk % 5).alias("default_warehouse_id"), (F.col("p_size") * 3.0).alias("available_quantity"),
+        (pk % 100).cast("double").alias("forecasted_quantity"),
+        F.when(pk % 4 == 0, '{"demand_forecast_qty": 40}').when(pk % 4 == 1, '{"inventory": {"past_due_qty": 7}}')
+         .when(pk % 4 == 2, '{"ai_inventory": {"external_risk_pct": 20}}').alias("custom_elements"))}
+    t["warehouses"] = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("warehouse_name"))
+    t["item_vendors"] = li.groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("id")).agg(
+        F.min("l_shipdate").alias("created_at")).withColumns({"vendor_id": F.col("id"), "lead_time_days": F.col("id") % 30})
+    t["purchase_orders"] = o.select(
+        ok.alias("id"), (F.col("o_custkey") % 100).alias("vendor_id"), F.when(ok % 4 != 0, ok % 5).alias("warehouse_id"),
+        due.alias("scheduled_delivery_date"), F.when(F.col("o_orderstatus") == "F", "Received")
+        .when(F.col("o_orderstatus") == "P", "Confirmed").otherwise("Sent").alias("status"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    t["purchase_order_lines"] = li.select(
+        F.col("l_orderkey").alias("purchase_order_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("ordered_quantity"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.floor(F.col("l_quantity") / 2)).cast("double").alias("received_quantity"))
+    t["goods_received_notes"] = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_orderkey").alias("purchase_order_id"), F.col("l_suppkey").alias("vendor_id"), due.alias("scheduled_delivery_date"),
+        F.when(F.col("l_returnflag") == "R", "Goods Received").when(F.col("l_returnflag") == "A", "Partially Received")
+         .otherwise("Pending").alias("status"), F.col("l_shipdate").cast("timestamp").alias("updated_at"))
+    t["manufacturing_orders"] = o.select(
+        ok.alias("id"), F.when(ok % 5 == 0, "Draft").when(ok % 5 == 1, "Confirmed").when(ok % 5 == 2, "In Progress")
+        .when(ok % 5 == 3, "Done").otherwise("Cancelled").alias("status"), (ok % 5).alias("warehouse_id"))
+    t["mo_components"] = li.select(
+        F.col("l_orderkey").alias("mo_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("required_qty"),
+        (F.col("l_quantity") * 0.5).alias("reserved_qty"), (F.col("l_quantity") * 0.75).alias("consumed_qty"))
+    t["boms"] = part.select(pk.alias("id"), (pk % 500).alias("product_id"))
+    t["bom_components"] = li.select((F.col("l_orderkey") % 2000).alias("bom_id"), F.col("l_partkey").alias("item_id"))
+    return t
