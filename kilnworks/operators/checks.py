@@ -143,3 +143,32 @@ def readiness(tables: dict[str, tuple[DataFrame, Sequence[str], str | None, str
         row = row.withColumn("trainable", (F.col("rows") > 0) & (F.col("missing") == "") & (F.col("labels") >= 2))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# Columns that leak the outcome or go stale.
+FORBIDDEN_FEATURES = ["rop_status", "tenant_id", "real_duration", "actual_start", "actual_end", "completed_at"]
+
+
+def schema_gate(df: DataFrame, not_null: Sequence[str], finite: Sequence[str], allowed: Sequence[str],
+                parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Violations of one table: nulls, non-finite numbers, missing parents, unknown and forbidden columns."""
+    rules = {f"null:{c}": F.col(c).isNull() for c in not_null}
+    rules |= {f"non_finite:{c}": F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in finite}
+    names = [(f"unknown_column:{c}", 1) for c in sorted(set(df.columns) - set(allowed))]
+    names += [(f"forbidden_column:{c}", 1) for c in sorted(set(df.columns) & set(FORBIDDEN_FEATURES))]
+    out = violation_counts(df, rules)
+    if names:
+        out = out.unionByName(df.sparkSession.createDataFrame(names, "rule string, violations bigint"))
+    for fk, (parent, pk) in parents.items():
+        lost = orphans(df, parent, fk, pk).agg(F.count(F.lit(1)).alias("violations"))
+        out = out.unionByName(lost.withColumn("rule", F.lit(f"missing_parent:{fk}")))
+    return out
+
+
+def realism_gate(df: DataFrame, label: str, features: Sequence[str], lo: float, hi: float) -> DataFrame:
+    """Positive rate inside its band and no constant feature (compared by min and max)."""
+    one = df.agg(F.avg(F.col(label).cast("double")).alias("positive_rate"),
+                 *[(F.min(c) == F.max(c)).alias(c) for c in features])
+    flat = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(True)), F.lit(c)) for c in features]))
+    return one.select("positive_rate", F.concat_ws(",", flat).alias("constant_features"),
+                      (F.col("positive_rate").between(lo, hi) & (F.size(flat) == 0)).alias("passed"))

@@ -183,3 +183,14 @@ SELECT item_id, count(CASE WHEN status = 'Draft' THEN 1 END) > 0 AS has_draft, s
        sum(CASE WHEN status IN ('Confirmed', 'In Progress') THEN reserved_qty END) AS reserved_qty, sum(CASE WHEN status IN ('Confirmed', 'In Progress') THEN consumed_qty END) AS consumed_qty,
        CASE WHEN count(CASE WHEN status = 'In Progress' THEN 1 END) > 0 THEN 'In Progress' WHEN count(CASE WHEN status = 'Confirmed' THEN 1 END) > 0 THEN 'Confirmed' ELSE 'Not Applicable' END AS mo_status
 FROM mo_components LEFT JOIN mos ON mo_id = mos.id GROUP BY 1"""
+
+VIEWS["scored"] = """
+SELECT quotationLineItemID AS id, quotationID, productID, materialSpec, quantity, unitPrice, price_ratio, discountPercent,
+       floor(10000 / (1 + price_ratio) + 0.5) / 10000 AS p, floor(10000 / (1 + price_ratio * 1.3 + discountPercent / 10) + 0.5) / 10000 AS p2,
+       CASE WHEN price_ratio < 1 AND quotationID % 3 <> 0 OR lineNumber = 2 THEN 1 ELSE 0 END AS y
+FROM priced"""
+VIEWS["tenant_signals"] = """
+SELECT c_custkey AS tenant, s.ord, s.signal, s.prior_bp, s.min_bp, s.max_bp, (c_custkey + s.ord) % 4 <> 0 AND c_custkey % 50 <> 7 AS available,
+       f.prior_bp AS fitted_bp, CASE s.ord WHEN 0 THEN c_custkey * 37 % 3000 WHEN 1 THEN -(c_custkey * 37 % 3000) WHEN 3 THEN c_custkey * 11 % 900 WHEN 4 THEN -(c_custkey * 11 % 900) ELSE 0 END AS adjust_bp
+FROM customer CROSS JOIN (VALUES (0, 'time_overrun', 4000, 3000, 5000), (1, 'operator_skill', 3500, 2000, 4500), (2, 'seasonality', 1000, 500, 2000), (3, 'material_availability', 1000, 500, 2500), (4, 'supplier_reliability', 500, 300, 1500)) s(ord, signal, prior_bp, min_bp, max_bp)
+JOIN (VALUES (0, 4000), (1, 3500), (2, 1000), (3, 1000), (4, 500)) f(ord, prior_bp) ON f.ord = (s.ord + c_custkey) % 5"""

@@ -118,3 +118,29 @@ def stock_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["boms"] = part.select(pk.alias("id"), (pk % 500).alias("product_id"))
     t["bom_components"] = li.select((F.col("l_orderkey") % 2000).alias("bom_id"), F.col("l_partkey").alias("item_id"))
     return t
+
+
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with two deterministic scores and an outcome that depends on price."""
+    from kilnworks.plans.frames import priced_lines
+    f = priced_lines(quote_lines(spark, sf_dir))
+    r, d = F.col("price_ratio"), F.col("discountPercent")
+    return f.select(
+        F.col("quotationLineItemID").alias("id"), "quotationID", "productID", "materialSpec", "quantity", "unitPrice",
+        "price_ratio", "discountPercent", (F.floor(10000 / (1 + r) + 0.5) / 10000).alias("p"),
+        (F.floor(10000 / (1 + r * 1.3 + d / 10) + 0.5) / 10000).alias("p2"),
+        F.when(((r < 1) & (F.col("quotationID") % 3 != 0)) | (F.col("lineNumber") == 2), 1).otherwise(0).alias("y"))
+
+
+def tenant_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (tenant, signal); every customer stands for a tenant."""
+    from kilnworks.operators.weights import SIGNALS
+    k, o = F.col("tenant"), F.col("s.ord")
+    sig = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("signal"), F.lit(p).alias("prior_bp"),
+                             F.lit(lo).alias("min_bp"), F.lit(hi).alias("max_bp")) for i, (n, p, lo, hi) in enumerate(SIGNALS)])
+    priors = F.array(*[F.lit(p) for _, p, _, _ in SIGNALS])
+    a, b = k * 37 % 3000, k * 11 % 900
+    return (table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant"), F.explode(sig).alias("s"))
+            .select("tenant", "s.*", (((k + o) % 4 != 0) & (k % 50 != 7)).alias("available"),
+                    F.element_at(priors, ((o + k) % 5 + 1).cast("int")).alias("fitted_bp"),
+                    F.when(o == 0, a).when(o == 1, -a).when(o == 3, b).when(o == 4, -b).otherwise(0).alias("adjust_bp")))
