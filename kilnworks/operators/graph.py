@@ -33,3 +33,113 @@ def family_roots(df: DataFrame, id_col: str, parent_col: str, root_col: str = "r
             break
         hop = step.drop("moved")
     raise ValueError(f"{parent_col} chains contain a cycle")
+
+
+def _distinct_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose two ends are operations of the same job, each once."""
+    ids = nodes.select("job_id", "operation_id")
+    known = edges.select("job_id", "operation_id", "pred_id").distinct().join(ids, ["job_id", "operation_id"], "left_semi")
+    return known.join(ids.withColumnRenamed("operation_id", "pred_id"), ["job_id", "pred_id"], "left_semi")
+
+
+def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, job, node, reach): longest path into a node (side f) and out of it (side b), own length excluded.
+
+    One frontier per round, for all jobs and both directions at once: nodes whose
+    predecessors are all done report their length to their successors. Every edge
+    is used once per direction. A node never reached lies on or behind a cycle and
+    has a null reach.
+    """
+    links = durable(edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
+                                 F.col("operation_id").alias("dst")).unionByName(
+        edges.select(F.lit("b").alias("side"), "job_id", F.col("operation_id").alias("src"),
+                     F.col("pred_id").alias("dst"))))
+    waits = links.groupBy("side", "job_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    both = nodes.select(F.explode(F.array(F.lit("f"), F.lit("b"))).alias("side"), "job_id",
+                        F.col("operation_id").alias("node"), "duration")
+    state = durable(both.join(waits, ["side", "job_id", "node"], "left").select(
+        "side", "job_id", "node", "duration", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("reach")))
+    done = None
+    while True:
+        frontier = state.filter("waits = 0")
+        done = frontier if done is None else done.unionByName(frontier)
+        pending = state.filter("waits > 0")
+        if frontier.isEmpty() or pending.isEmpty():
+            break
+        sent = frontier.select("side", "job_id", F.col("node").alias("src"), (F.col("reach") + F.col("duration")).alias("length"))
+        got = links.join(sent, ["side", "job_id", "src"]).groupBy("side", "job_id", F.col("dst").alias("node")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
+        state = durable(pending.join(got, ["side", "job_id", "node"], "left").select(
+            "side", "job_id", "node", "duration", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
+            F.greatest("reach", F.coalesce("length", F.lit(0.0))).alias("reach")))
+    stuck = pending.withColumn("reach", F.lit(None).cast("double"))
+    return done.unionByName(stuck).select("side", "job_id", "node", "duration", "reach")
+
+
+def critical_path(operations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Earliest and latest times, float and critical flag per operation; critical edges.
+
+    ``operations``: job_id, operation_id, expected. Jobs with a repeated or empty id
+    or a dependency cycle come back with ``valid`` false and no times.
+    """
+    e = F.col("expected").cast("double")
+    nodes = operations.select("job_id", "operation_id", F.when((e > 0) & (e != float("inf")), e).otherwise(0.0).alias("duration"))
+    per = nodes.groupBy("job_id", "operation_id").agg(F.max("duration").alias("duration"), F.count(F.lit(1)).alias("n"))
+    per = durable(per.withColumn("bad_id", (F.col("n") > 1) | (F.coalesce("operation_id", F.lit("")) == "")))
+    bad = per.filter("bad_id").select("job_id").distinct()
+    good = per.join(bad, "job_id", "left_anti").select("job_id", "operation_id", "duration")
+    kept = durable(_distinct_edges(good, edges))
+    paths = durable(_longest_paths(good, kept))
+    jobs = paths.groupBy("job_id").agg(
+        F.max(F.when(F.col("side") == "f", F.col("reach") + F.col("duration"))).alias("project"),
+        F.bool_and(F.col("reach").isNotNull()).alias("valid"))
+    heads = paths.filter("side = 'f'").select("job_id", F.col("node").alias("operation_id"), "duration", F.col("reach").alias("es"))
+    tails = paths.filter("side = 'b'").select("job_id", F.col("node").alias("operation_id"), F.col("reach").alias("tail"))
+    t = heads.join(tails, ["job_id", "operation_id"]).join(jobs, "job_id")
+    ok = F.col("valid")
+    lf = F.col("project") - F.col("tail")
+    slack = lf - F.col("duration") - F.col("es")
+    timed = t.select(
+        "job_id", "operation_id", "valid", F.when(ok, F.col("project")).otherwise(0.0).alias("project_minutes"),
+        F.when(ok, F.col("es")).alias("earliest_start"), F.when(ok, F.col("es") + F.col("duration")).alias("earliest_finish"),
+        F.when(ok, lf - F.col("duration")).alias("latest_start"), F.when(ok, lf).alias("latest_finish"),
+        F.when(ok, F.greatest(slack, F.lit(0.0))).alias("float_minutes"), (ok & (F.abs(slack) <= 1e-7)).alias("critical"))
+    none = F.lit(None).cast("double")
+    wrong = operations.join(bad, "job_id", "left_semi").select(
+        "job_id", "operation_id", F.lit(False).alias("valid"), F.lit(0.0).alias("project_minutes"),
+        *[none.alias(c) for c in ("earliest_start", "earliest_finish", "latest_start", "latest_finish", "float_minutes")],
+        F.lit(False).alias("critical"))
+    timed = durable(timed.unionByName(wrong))
+    ends = timed.filter("critical").select("job_id", "operation_id", "earliest_start", "earliest_finish")
+    preds = ends.select("job_id", F.col("operation_id").alias("pred_id"), F.col("earliest_finish").alias("pred_finish"))
+    crit = kept.join(ends, ["job_id", "operation_id"]).join(preds, ["job_id", "pred_id"]).filter(
+        F.abs(F.col("pred_finish") - F.col("earliest_start")) <= 1e-7).select("job_id", "operation_id", "pred_id")
+    return timed, crit
+
+
+def cascade(critical_edges: DataFrame, own: DataFrame, baseline: float = 1.20) -> DataFrame:
+    """Worst overrun inherited along critical edges, one row per (operation, source at that ratio).
+
+    ``own``: job_id, operation_id, ratio. A round passes on only what changed, so it
+    ends after the longest critical chain.
+    """
+    edges = durable(critical_edges)
+    hot = own.filter((F.col("ratio") > baseline) & (F.col("ratio") != float("inf"))).select(
+        "job_id", F.col("operation_id").alias("pred_id"), "ratio", F.col("operation_id").alias("source_id"))
+    fresh = durable(edges.join(hot, ["job_id", "pred_id"]).select("job_id", "operation_id", "ratio", "source_id"))
+    best = None
+    while not fresh.isEmpty():
+        pool = fresh if best is None else best.unionByName(fresh)
+        pool = pool.distinct()
+        top = pool.groupBy("job_id", "operation_id").agg(F.max("ratio").alias("ratio"))
+        new_best = durable(pool.join(top, ["job_id", "operation_id", "ratio"], "left_semi"))
+        changed = new_best if best is None else new_best.join(
+            best, ["job_id", "operation_id", "ratio", "source_id"], "left_anti")
+        best = new_best
+        sent = changed.withColumnRenamed("operation_id", "pred_id")
+        fresh = durable(edges.join(sent, ["job_id", "pred_id"]).select("job_id", "operation_id", "ratio", "source_id")
+                        .join(best, ["job_id", "operation_id", "ratio", "source_id"], "left_anti"))
+        worse = best.groupBy("job_id", "operation_id").agg(F.max("ratio").alias("__b"))
+        fresh = durable(fresh.join(worse, ["job_id", "operation_id"], "left").filter(
+            F.col("__b").isNull() | (F.col("ratio") >= F.col("__b"))).drop("__b"))
+    return fresh if best is None else best

@@ -139,7 +139,7 @@ def _(spark, sf):
     return M.spearman_pairs(scored(spark, sf), ["price_ratio", "p", "p2", "quantity"])
 
 
-VIEWS["audit_rows"] = "SELECT feature, CASE WHEN value = 5 AND feature = 'quantity' THEN NULL ELSE value END AS value, productID % 10 = 0 AS syn, quotationID % 5 < 4 AS train FROM long_scored"
+VIEWS["audit_rows"] = "SELECT feature, CASE WHEN value = 5 AND feature = 'quantity' THEN NULL WHEN feature = 'price_ratio' AND quotationID % 5 = 4 THEN value * 40 WHEN feature = 'unitPrice' AND productID % 10 <> 0 THEN 0 ELSE value END AS value, productID % 10 = 0 AS syn, quotationID % 5 < 4 AS train FROM long_scored"
 VIEWS["audit_ks"] = KS.format(train="train").replace("FROM long_scored", "FROM audit_rows WHERE value IS NOT NULL")
 VIEWS["audit"] = """SELECT *, CASE WHEN imputed_train_std > 0 THEN greatest(abs(hi - imputed_train_mean), abs(lo - imputed_train_mean)) / imputed_train_std ELSE 0 END AS max_abs_test_z,
  CASE WHEN imputed_train_std > 0 THEN abs(tmean - imputed_train_mean) / imputed_train_std ELSE 0 END AS standardized_mean_shift, synthetic_nonzero_rows / nullif(real_nonzero_rows + synthetic_nonzero_rows, 0) AS synthetic_share_nonzero
@@ -156,9 +156,17 @@ NUMBERS = ["train_min", "train_max", "train_median", "train_mean", "train_std",
            "synthetic_share_nonzero", "synthetic_mean", "synthetic_std", "synthetic_min", "synthetic_max"]
 
 
+def audit_rows(spark, sf):
+    """Lines with gaps, a drifted test side and a feature only synthetic rows carry."""
+    made, test = F.col("productID") % 10 == 0, F.col("quotationID") % 5 == 4
+    return scored(spark, sf).withColumns({
+        "made": made, "quantity": F.when(F.col("quantity") != 5, F.col("quantity")),
+        "price_ratio": F.col("price_ratio") * F.when(test, 40.0).otherwise(1.0),
+        "unitPrice": F.when(made, F.col("unitPrice")).otherwise(0.0)})
+
+
 def audit(spark, sf):
-    s = scored(spark, sf).withColumns({"made": F.col("productID") % 10 == 0,
-                                       "quantity": F.when(F.col("quantity") != 5, F.col("quantity"))})
+    s = audit_rows(spark, sf)
     return M.audit_features(s.filter(F.col("quotationID") % 5 < 4), s.filter(F.col("quotationID") % 5 == 4), FEATURES, "made")
 
 
@@ -169,11 +177,10 @@ def _(spark, sf):
     return audit(spark, sf)
 
 
-@query("d27_serving_ood", """SELECT feature, count(*) AS rows, round(max(z), 5) AS max_abs_z, round(min(value), 5) AS min_value, round(max(value), 5) AS max_value, count(*) AS extreme_z_rows, 0 AS synthetic_only_support_rows FROM (
- SELECT feature, value, abs(coalesce(value, train_median) - imputed_train_mean) / imputed_train_std AS z FROM audit_rows JOIN audit USING (feature)) WHERE z > 20 GROUP BY 1""", digits=5)
+@query("d27_serving_ood", """SELECT feature, count(*) AS rows, round(max(z), 5) AS max_abs_z, round(min(value), 5) AS min_value, round(max(value), 5) AS max_value, count(CASE WHEN z > 20 THEN 1 END) AS extreme_z_rows, count(CASE WHEN odd THEN 1 END) AS synthetic_only_support_rows FROM (
+ SELECT feature, value, abs(coalesce(value, train_median) - imputed_train_mean) / imputed_train_std AS z, real_nonzero_rows = 0 AND synthetic_nonzero_rows > 0 AND coalesce(value, 0) <> 0 AS odd FROM audit_rows JOIN audit USING (feature)) WHERE z > 20 OR odd GROUP BY 1""", digits=5)
 def _(spark, sf):
-    s = scored(spark, sf).withColumn("quantity", F.when(F.col("quantity") != 5, F.col("quantity")))
-    return M.serving_ood(s, durable(audit(spark, sf)), FEATURES)
+    return M.serving_ood(audit_rows(spark, sf), durable(audit(spark, sf)), FEATURES)
 
 
 @query("d28_safeguards", """SELECT flag, string_agg(feature, ',' ORDER BY feature) AS features FROM (SELECT 'extreme_test_ood' AS flag, feature FROM audit WHERE max_abs_test_z > 20 UNION ALL

@@ -194,3 +194,75 @@ SELECT c_custkey AS tenant, s.ord, s.signal, s.prior_bp, s.min_bp, s.max_bp, (c_
        f.prior_bp AS fitted_bp, CASE s.ord WHEN 0 THEN c_custkey * 37 % 3000 WHEN 1 THEN -(c_custkey * 37 % 3000) WHEN 3 THEN c_custkey * 11 % 900 WHEN 4 THEN -(c_custkey * 11 % 900) ELSE 0 END AS adjust_bp
 FROM customer CROSS JOIN (VALUES (0, 'time_overrun', 4000, 3000, 5000), (1, 'operator_skill', 3500, 2000, 4500), (2, 'seasonality', 1000, 500, 2000), (3, 'material_availability', 1000, 500, 2500), (4, 'supplier_reliability', 500, 300, 1500)) s(ord, signal, prior_bp, min_bp, max_bp)
 JOIN (VALUES (0, 4000), (1, 3500), (2, 1000), (3, 1000), (4, 500)) f(ord, prior_bp) ON f.ord = (s.ord + c_custkey) % 5"""
+
+VIEWS["work_orders"] = """
+SELECT *, job_id || '-' || seq AS operation_id, CASE WHEN seq > 1 THEN 'DEPENDENT' ELSE 'INDEPENDENT' END AS operation_type,
+       CASE WHEN pc = 0 THEN 'PENDING' WHEN pc = 10 THEN 'DONE' ELSE 'IN_PROGRESS' END AS status, CASE WHEN pc = 10 THEN shipdate END AS actual_end,
+       CASE WHEN pc = 0 THEN CASE WHEN operator % 2 = 0 THEN 0 END ELSE floor(expected * pc * (6 + operator % 10) / 100) * CASE WHEN item_id % 101 = 0 THEN 30 ELSE 1 END END AS actual,
+       CASE step_id WHEN 1 THEN 'Cutting' WHEN 2 THEN 'Milling 2' WHEN 3 THEN 'Welding' WHEN 4 THEN 'Assembly' WHEN 6 THEN 'Paint 6' WHEN 7 THEN 'Inspection' END AS operation_name
+FROM (SELECT l_orderkey AS job_id, l_linenumber AS step_id, l_partkey AS item_id, l_suppkey AS operator, l_shipdate AS shipdate, l_quantity AS job_quantity, l_partkey % 11 AS pc,
+  60 + 10 * l_quantity AS expected, floor(l_quantity * (l_partkey % 11) / 10) AS done_quantity, lid,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, md5(lid), lid) AS seq
+  FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS lid FROM lineitem))"""
+VIEWS["wo_operators"] = """
+SELECT job_id, operation_id, operation_type, step_id, expected, actual, actual_end, unnest(CASE WHEN step_id % 2 = 0 THEN [operator, operator + 7] ELSE [operator] END) AS operator_id FROM work_orders"""
+VIEWS["time_logs"] = """
+SELECT operation_id, operator_id, floor(actual / 2) AS duration_minutes FROM wo_operators WHERE actual IS NOT NULL
+UNION ALL SELECT operation_id, operator_id, floor(actual / 4) FROM wo_operators WHERE actual IS NOT NULL AND step_id % 3 = 0"""
+VIEWS["edges"] = """
+SELECT w.job_id, w.operation_id, w.job_id || '-' || p AS pred_id FROM (
+  SELECT job_id, operation_id, unnest(list_filter([CASE WHEN seq % 2 = 0 THEN seq - 1 END, CASE WHEN seq % 2 = 1 AND seq > 1 THEN seq - 2 END, CASE WHEN seq % 4 = 0 THEN seq - 3 END,
+    CASE WHEN seq = 2 AND job_id % 10 = 0 THEN 99 END, CASE WHEN seq = 1 AND job_id % 97 = 0 THEN 2 END], lambda x: x IS NOT NULL)) AS p FROM work_orders) w"""
+VIEWS["operator_last"] = """
+SELECT * FROM (SELECT o.operator_id, o.operation_id, o.expected, o.actual_end, row_number() OVER (PARTITION BY o.operator_id ORDER BY o.actual_end DESC NULLS LAST, o.operation_id) AS rn FROM wo_operators o) WHERE rn <= 10"""
+VIEWS["operator_pace"] = """
+SELECT l.operator_id, avg(CASE WHEN actual_end IS NOT NULL AND expected <> 0 THEN coalesce(m.elapsed, 0) / expected END) AS pace, count(CASE WHEN actual_end IS NOT NULL AND expected <> 0 THEN 1 END) AS completed
+FROM operator_last l LEFT JOIN (SELECT operation_id, operator_id, sum(duration_minutes) AS elapsed FROM time_logs GROUP BY 1, 2) m ON m.operation_id = l.operation_id AND m.operator_id = l.operator_id GROUP BY 1"""
+VIEWS["vendor_pos"] = """
+SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN created_at + INTERVAL 1 DAY ELSE created_at END AS ordered, created_at + INTERVAL 60 DAY AS deadline, CASE WHEN l_returnflag IN ('R', 'A') AND l_shipdate >= created_at THEN l_shipdate END AS received FROM (
+ SELECT p.lid AS po_id, p.l_partkey AS item_id, p.l_suppkey AS vendor_id, o_orderdate AS created_at, p.l_linenumber, p.l_returnflag, p.l_shipdate,
+ row_number() OVER (PARTITION BY p.l_partkey ORDER BY o_orderdate DESC, p.lid DESC) AS rn
+ FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS lid FROM lineitem) p JOIN orders ON o_orderkey = l_orderkey
+ JOIN (SELECT item_id, arg_min(vendor_id, (created_at, id)) AS v FROM item_vendors GROUP BY 1) f ON f.item_id = p.l_partkey AND f.v = p.l_suppkey) WHERE rn <= 10"""
+VIEWS["vendor_ratio"] = """
+SELECT item_id, any_value(vendor_id) AS vendor_id, avg(CASE WHEN received IS NOT NULL AND deadline <> ordered THEN (epoch_us(received) - epoch_us(ordered)) / (epoch_us(deadline) - epoch_us(ordered)) END) AS ratio FROM vendor_pos GROUP BY 1"""
+VIEWS["components"] = """
+SELECT w.job_id, w.lid, w.item_id AS component_id, p_name || ' ' || p_size AS name, w.job_quantity AS required, CASE WHEN w.item_id % 13 = 0 THEN 0 ELSE p_size END::DOUBLE AS available, v.ratio AS vendor_ratio, s_name AS vendor_name
+FROM work_orders w JOIN part ON p_partkey = w.item_id LEFT JOIN vendor_ratio v ON v.item_id = w.item_id LEFT JOIN supplier ON s_suppkey = v.vendor_id WHERE p_partkey % 50 <> 0"""
+VIEWS["cpm_forward"] = """
+SELECT job_id, operation_id, 0.0::DOUBLE AS es, 0 AS depth FROM work_orders WHERE job_id % 97 <> 0 OR job_id NOT IN (SELECT job_id FROM work_orders WHERE seq = 2)
+UNION ALL SELECT e.job_id, e.operation_id, f.es + w.expected, f.depth + 1 FROM cpm_forward f JOIN edges e ON e.job_id = f.job_id AND e.pred_id = f.operation_id JOIN work_orders w ON w.operation_id = f.operation_id"""
+VIEWS["cpm_backward"] = """
+SELECT job_id, operation_id, 0.0::DOUBLE AS tail, 0 AS depth FROM work_orders WHERE job_id % 97 <> 0 OR job_id NOT IN (SELECT job_id FROM work_orders WHERE seq = 2)
+UNION ALL SELECT e.job_id, e.pred_id, f.tail + w.expected, f.depth + 1 FROM cpm_backward f JOIN edges e ON e.job_id = f.job_id AND e.operation_id = f.operation_id JOIN work_orders w ON w.operation_id = f.operation_id
+ JOIN work_orders x ON x.operation_id = e.pred_id"""
+VIEWS["cpm"] = """
+SELECT w.job_id, w.operation_id, f.es IS NOT NULL AS valid, coalesce(p.project, 0) AS project, f.es, f.es + w.expected AS ef, p.project - b.tail - w.expected AS ls, p.project - b.tail AS lf,
+       CASE WHEN f.es IS NOT NULL THEN greatest(p.project - b.tail - w.expected - f.es, 0) END AS float_minutes, coalesce(abs(p.project - b.tail - w.expected - f.es) <= 1e-7, false) AS critical
+FROM work_orders w LEFT JOIN (SELECT operation_id, max(es) AS es FROM cpm_forward GROUP BY 1) f ON f.operation_id = w.operation_id
+LEFT JOIN (SELECT operation_id, max(tail) AS tail FROM cpm_backward GROUP BY 1) b ON b.operation_id = w.operation_id
+LEFT JOIN (SELECT x.job_id, max(c.es + x.expected) AS project FROM cpm_forward c JOIN work_orders x ON x.operation_id = c.operation_id GROUP BY 1) p ON p.job_id = w.job_id"""
+VIEWS["critical_edges"] = """
+SELECT DISTINCT e.job_id, e.operation_id, e.pred_id FROM edges e JOIN cpm a ON a.operation_id = e.operation_id AND a.critical JOIN cpm b ON b.operation_id = e.pred_id AND b.critical WHERE abs(b.ef - a.es) <= 1e-7"""
+VIEWS["own_overrun"] = """
+SELECT job_id, operation_id, nullif(actual, 0) / (nullif(done_quantity, 0) / nullif(job_quantity, 0) * nullif(expected, 0)) AS ratio FROM work_orders"""
+VIEWS["cascades"] = """
+SELECT e.job_id, e.operation_id, o.ratio, o.operation_id AS source_id FROM critical_edges e JOIN own_overrun o ON o.operation_id = e.pred_id AND o.ratio > 1.2
+UNION SELECT e.job_id, e.operation_id, c.ratio, c.source_id FROM cascades c JOIN critical_edges e ON e.pred_id = c.operation_id"""
+VIEWS["cascade_max"] = """
+SELECT operation_id, max(ratio) AS ratio, min(source_id) FILTER (ratio = top) AS source_id, count(DISTINCT source_id) FILTER (ratio = top) AS sources FROM (SELECT *, max(ratio) OVER (PARTITION BY operation_id) AS top FROM cascades) GROUP BY 1"""
+VIEWS["job_materials"] = """
+SELECT job_id, sum(CASE WHEN available < required THEN CASE WHEN available = 0 THEN 'inf'::DOUBLE ELSE required / available END ELSE 0 END) AS shortfall, avg(vendor_ratio) AS supplier FROM components GROUP BY 1"""
+VIEWS["job_progress"] = """
+SELECT job_id, sum(expected * coalesce(least(greatest(done_quantity / job_quantity, 0), 1), 0)) / sum(expected) AS mo_progress FROM work_orders WHERE expected > 0 GROUP BY 1"""
+VIEWS["op_pace"] = """
+SELECT operation_id, avg(pace) AS pace, sum(completed) AS completed FROM wo_operators JOIN operator_pace USING (operator_id) GROUP BY 1"""
+VIEWS["elements"] = """
+SELECT *, CASE WHEN cascade IS NULL THEN base ELSE greatest(cascade, coalesce(base, 0) + (cascade - 1)) END AS score FROM (
+ SELECT w.*, o.ratio AS time_overrun, pr.worst AS predecessor, op.pace, op.completed, coalesce(m.shortfall, 0) AS shortfall, m.supplier, g.mo_progress, c.ratio AS cascade, c.source_id, cp.critical, cp.valid, cp.float_minutes,
+ (coalesce(0.50 * o.ratio, 0) + coalesce(0.35 * op.pace, 0) + 0.10 * coalesce(m.shortfall, 0) + coalesce(0.05 * m.supplier, 0)) / (CASE WHEN o.ratio IS NULL THEN 0 ELSE 0.50 END::DOUBLE + CASE WHEN op.pace IS NULL THEN 0 ELSE 0.35 END::DOUBLE + 0.10::DOUBLE + CASE WHEN m.supplier IS NULL THEN 0 ELSE 0.05 END::DOUBLE) AS base,
+ (coalesce(nullif(w.actual, 0) / (nullif(w.done_quantity, 0) / nullif(w.job_quantity, 0)), w.expected * op.pace) - w.expected) / 60 AS predicted,
+ coalesce(w.operation_name, w.operation_type || ' · ' || substr(w.operation_id, 1, 8)) AS label
+ FROM work_orders w JOIN own_overrun o ON o.operation_id = w.operation_id LEFT JOIN (SELECT e.operation_id, max(x.ratio) AS worst FROM edges e JOIN own_overrun x ON x.operation_id = e.pred_id GROUP BY 1) pr ON pr.operation_id = w.operation_id
+ LEFT JOIN op_pace op ON op.operation_id = w.operation_id LEFT JOIN job_materials m ON m.job_id = w.job_id LEFT JOIN job_progress g ON g.job_id = w.job_id
+ LEFT JOIN cascade_max c ON c.operation_id = w.operation_id LEFT JOIN cpm cp ON cp.operation_id = w.operation_id)"""

@@ -144,3 +144,74 @@ def tenant_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("tenant", "s.*", (((k + o) % 4 != 0) & (k % 50 != 7)).alias("available"),
                     F.element_at(priors, ((o + k) % 5 + 1).cast("int")).alias("fitted_bp"),
                     F.when(o == 0, a).when(o == 1, -a).when(o == 3, b).when(o == 4, -b).otherwise(0).alias("adjust_bp")))
+
+
+def _line_id():
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
+def production_tables(spark: SparkSession, sf_dir: str, write_once: bool = False) -> dict[str, DataFrame]:
+    """Work orders of jobs (orders), their dependencies, operators' logs, components and vendors.
+
+    ``write_once`` stores the work orders, for jobs that read them many times.
+    """
+    from kilnworks.session import durable
+    from kilnworks.operators.scale import prefix_sums, text_levels
+    li = table(spark, sf_dir, "lineitem").withColumn("lid", _line_id())
+    levels = [F.col("l_linenumber"), *text_levels(F.col("lid"))]
+    order = prefix_sums(li, ["l_orderkey"], levels, {"rows": F.lit(1)})
+    numbered = li.withColumn("__leaf", levels[-1]).join(
+        order.select("l_orderkey", F.col("_l3").alias("__leaf"), (F.col("rows_before") + 1).alias("seq")), ["l_orderkey", "__leaf"])
+    pc, qty = F.col("l_partkey") % 11, F.col("l_quantity")
+    expected = 60 + 10 * qty
+    worked = F.floor(expected * pc * (6 + F.col("l_suppkey") % 10) / 100) * F.when(F.col("l_partkey") % 101 == 0, 30).otherwise(1)
+    step, sup, key = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey")
+    wo = numbered.select(
+        key.alias("job_id"), "seq", F.concat_ws("-", key, "seq").alias("operation_id"), step.alias("step_id"),
+        F.col("l_partkey").alias("item_id"), "lid", qty.alias("job_quantity"), expected.alias("expected"),
+        F.floor(qty * pc / 10).cast("double").alias("done_quantity"),
+        F.when(pc == 0, F.when(sup % 2 == 0, 0.0)).otherwise(worked.cast("double")).alias("actual"),
+        F.when(pc == 0, "PENDING").when(pc == 10, "DONE").otherwise("IN_PROGRESS").alias("status"),
+        F.when(pc == 10, F.col("l_shipdate").cast("timestamp")).alias("actual_end"),
+        F.when(F.col("seq") > 1, "DEPENDENT").otherwise("INDEPENDENT").alias("operation_type"),
+        F.when(step == 1, "Cutting").when(step == 2, "Milling 2").when(step == 3, "Welding").when(step == 4, "Assembly")
+         .when(step == 6, "Paint 6").when(step == 7, "Inspection").alias("operation_name"),
+        F.when(step % 2 == 0, F.array(sup, sup + 7)).otherwise(F.array(sup)).alias("operators"))
+    if write_once:
+        wo = durable(wo)
+    seq = F.col("seq")
+    preds = F.array_compact(F.array(
+        F.when(seq % 2 == 0, seq - 1), F.when((seq % 2 == 1) & (seq > 1), seq - 2), F.when(seq % 4 == 0, seq - 3),
+        F.when((seq == 2) & (F.col("job_id") % 10 == 0), 99), F.when((seq == 1) & (F.col("job_id") % 97 == 0), 2)))
+    edges = wo.select("job_id", "operation_id", F.explode(preds).alias("p")).select(
+        "job_id", "operation_id", F.concat_ws("-", "job_id", "p").alias("pred_id"))
+    half = F.floor(F.col("actual") / 2).cast("bigint")
+    quarter = F.floor(F.col("actual") / 4).cast("bigint")
+    logs = wo.filter(F.col("actual").isNotNull()).select("operation_id", F.explode("operators").alias("operator_id"), F.explode(
+        F.when(F.col("step_id") % 3 == 0, F.array(half, quarter)).otherwise(F.array(half))).alias("duration_minutes"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    pos = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("lid").alias("po_id"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("vendor_id"), "created_at",
+        F.when(step % 2 == 1, F.timestamp_add("DAY", F.lit(1), "created_at")).alias("sent_at"),
+        F.timestamp_add("DAY", F.lit(60), "created_at").alias("scheduled_delivery_date"),
+        F.when(F.col("l_returnflag") == "R", "Goods Received").when(F.col("l_returnflag") == "A", "Partially Received")
+         .otherwise("Pending").alias("status"), F.col("l_shipdate").cast("timestamp").alias("updated_at"))
+    receipts = pos.filter(F.col("updated_at") >= F.col("created_at")).select("po_id", F.col("po_id").alias("id"), "status", "updated_at")
+    return {"work_orders": wo, "edges": edges, "time_logs": logs, "vendor_orders": pos, "receipts": receipts}
+
+
+def job_components(spark: SparkSession, sf_dir: str, t: dict[str, DataFrame]) -> DataFrame:
+    """Component rows of each job with stock and the lead-time ratio of their vendor."""
+    from kilnworks.operators.delay import lead_time_ratio, vendor_orders
+    from kilnworks.operators.inventory import first_vendor
+    iv = first_vendor(stock_tables(spark, sf_dir)["item_vendors"])
+    ratio = vendor_orders(iv, t["vendor_orders"], t["receipts"]).select(
+        "item_id", "vendor_id", lead_time_ratio(F.col("history")).alias("vendor_ratio"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"))
+    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 50 != 0).select(
+        F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_size").alias("name"), "p_size")
+    return (t["work_orders"].join(p, "item_id").join(ratio.join(s, "vendor_id", "left"), "item_id", "left").select(
+        "job_id", "lid", F.col("item_id").alias("component_id"), "name", F.col("job_quantity").alias("required"),
+        F.when(F.col("item_id") % 13 == 0, 0.0).otherwise(F.col("p_size").cast("double")).alias("available"),
+        "vendor_ratio", "vendor_name"))
