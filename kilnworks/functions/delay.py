@@ -104,15 +104,17 @@ def fixed(x: Column, digits: int) -> Column:
     exact error of the scaled product (a two-product) decides those.
     """
     scale = float(10 ** digits)
-    y = x * scale
-    c = x * F.lit(134217729.0)
-    hi = c - (c - x)
-    err = (hi * scale - y) + (x - hi) * scale
+    size = F.abs(x)
+    y = size * scale
+    c = size * F.lit(134217729.0)
+    hi = c - (c - size)
+    err = (hi * scale - y) + (size - hi) * scale
     low = F.floor(y).cast("double")
     frac = y - low
     odd = F.floor(y) % 2 != 0
     up = (frac > 0.5) | ((frac == 0.5) & ((err > 0) | ((err == 0) & odd)))
-    return F.format_string(f"%.{digits}f", (low + F.when(up, 1.0).otherwise(0.0)) / scale)
+    body = F.format_string(f"%.{digits}f", (low + F.when(up, 1.0).otherwise(0.0)) / scale)
+    return F.concat(F.when(x < 0, "-").otherwise(""), body)
 
 
 def quantity_text(x: Column) -> Column:

@@ -21,8 +21,8 @@ def prior_history(df: DataFrame, keys: Sequence[str], time: str, measures: dict[
     """Per (key, instant): ``prior_<m>``, the sum of each measure over strictly earlier rows.
 
     Rows of one instant never see each other. ``daily`` is for date columns, whose
-    distinct values are bounded; timestamps are cut into day, second, microsecond
-    and come back as ``__t`` micros.
+    distinct values are bounded; timestamps are cut into blocks and
+    come back as ``__t`` micros.
     """
     levels = _levels(F.col(time), daily)
     done = prefix_sums(df.filter(F.col(time).isNotNull()), keys, levels, measures)
@@ -55,7 +55,7 @@ def two_clock_prior(probes: DataFrame, events: DataFrame, keys: Sequence[str], p
                        *[z.alias(m) for m, z in zero.items()])
     axis = ev.unionByName(pr)
     done = prefix_sums(axis, keys, instant_levels(F.col("__at")), {m: F.col(m) for m in measures})
-    right = done.select(*keys, F.col("_l2").alias("__t"),
+    right = done.select(*keys, F.col("_l1").alias("__t"),
                         *[F.col(f"{m}_before").alias(f"prior_{m}") for m in measures])
     left = probes.withColumn("__t", F.unix_micros(F.col(probe_time).cast("timestamp")))
     return join_on(left, right, [*keys, "__t"]).drop("__t")
@@ -99,7 +99,7 @@ def count_and_recency_history(df: DataFrame, key: str, time: str, tie: str) -> D
     """
     levels = [F.col(time), *integer_levels(F.col(tie))]
     order = prefix_sums(df, [key], levels, {"rows": F.lit(1)})
-    seq = order.select(key, F.col("_l0").alias(time), F.col("_l3").alias(tie),
+    seq = order.select(key, F.col("_l0").alias(time), F.col("_l2").alias(tie),
                        F.col("rows_before").alias("prior_count"))
     days = df.groupBy(key, time).agg(F.min(tie).alias("__first"))
     w = Window.partitionBy(key).orderBy(time)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.functions import delay as D
-from kilnworks.operators.scale import last_per_key, prefix_sums, real_levels, top_per_key
+from kilnworks.operators.scale import integer_levels, prefix_sums, real_levels, top_per_key
 
 # Headlines, wording and limits of the checks.
 HEADLINES = {
@@ -172,13 +172,12 @@ def compose_lines(ev: dict[str, DataFrame], components: DataFrame) -> DataFrame:
 def rank_lines(lines: DataFrame) -> DataFrame:
     """Line index within the job: contribution descending, signal order, operation order."""
     key = -F.coalesce("contribution", F.lit(-1.0))
-    pos = F.coalesce("seq", F.lit(-1))
-    levels = [*real_levels(key), F.col("signal_order"), F.floor(pos / 65536), pos]
+    rest = F.col("signal_order") * F.lit(2**40) + F.coalesce("seq", F.lit(-1)) + 1
+    levels = [*real_levels(key), *integer_levels(rest)]
     order = prefix_sums(lines, ["job_id"], levels, {"rows": F.lit(1)})
-    idx = order.select("job_id", F.col("_l2").alias("__k"), F.col("_l3").alias("signal_order"), F.col("_l5").alias("__p"),
-                       F.col("rows_before").alias("line_index"))
-    keyed = lines.withColumns({"__k": key, "__p": pos})
-    return keyed.join(idx, ["job_id", "__k", "signal_order", "__p"]).drop("__k", "__p")
+    idx = order.select("job_id", F.col("_l1").alias("__k"), F.col("_l3").alias("__p"), F.col("rows_before").alias("line_index"))
+    keyed = lines.withColumns({"__k": key, "__p": rest})
+    return keyed.join(idx, ["job_id", "__k", "__p"]).drop("__k", "__p")
 
 
 def _issue(df: DataFrame, check: Column, severity: Column, ref: Column) -> DataFrame:
@@ -287,6 +286,9 @@ def validate(ev: dict[str, DataFrame], lines: DataFrame, drafts: DataFrame, comp
     out.append(_issue(quiet.join(top, "job_id", "left"), F.lit("no_fired_signal"), warn, F.col("ref")))
     bad = ev["signals"].filter("non_finite")
     out.append(_issue(bad, F.lit("non_finite"), warn, F.coalesce("operation_id", F.lit("job"))))
+    for c in ("risk_score", "base_score", "predicted_overrun_hours"):
+        lost = F.col(c).isNotNull() & D.finite(F.col(c)).isNull()
+        out.append(_issue(ops.filter(lost), F.lit("non_finite"), warn, F.col("operation_id")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

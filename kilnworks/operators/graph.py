@@ -50,10 +50,10 @@ def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is used once per direction. A node never reached lies on or behind a cycle and
     has a null reach.
     """
-    links = durable(edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
-                                 F.col("operation_id").alias("dst")).unionByName(
+    links = edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
+                         F.col("operation_id").alias("dst")).unionByName(
         edges.select(F.lit("b").alias("side"), "job_id", F.col("operation_id").alias("src"),
-                     F.col("pred_id").alias("dst"))))
+                     F.col("pred_id").alias("dst")))
     waits = links.groupBy("side", "job_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
     both = nodes.select(F.explode(F.array(F.lit("f"), F.lit("b"))).alias("side"), "job_id",
                         F.col("operation_id").alias("node"), "duration")
@@ -126,20 +126,18 @@ def cascade(critical_edges: DataFrame, own: DataFrame, baseline: float = 1.20) -
     edges = durable(critical_edges)
     hot = own.filter((F.col("ratio") > baseline) & (F.col("ratio") != float("inf"))).select(
         "job_id", F.col("operation_id").alias("pred_id"), "ratio", F.col("operation_id").alias("source_id"))
-    fresh = durable(edges.join(hot, ["job_id", "pred_id"]).select("job_id", "operation_id", "ratio", "source_id"))
-    best = None
-    while not fresh.isEmpty():
-        pool = fresh if best is None else best.unionByName(fresh)
-        pool = pool.distinct()
-        top = pool.groupBy("job_id", "operation_id").agg(F.max("ratio").alias("ratio"))
-        new_best = durable(pool.join(top, ["job_id", "operation_id", "ratio"], "left_semi"))
-        changed = new_best if best is None else new_best.join(
-            best, ["job_id", "operation_id", "ratio", "source_id"], "left_anti")
-        best = new_best
-        sent = changed.withColumnRenamed("operation_id", "pred_id")
-        fresh = durable(edges.join(sent, ["job_id", "pred_id"]).select("job_id", "operation_id", "ratio", "source_id")
-                        .join(best, ["job_id", "operation_id", "ratio", "source_id"], "left_anti"))
-        worse = best.groupBy("job_id", "operation_id").agg(F.max("ratio").alias("__b"))
-        fresh = durable(fresh.join(worse, ["job_id", "operation_id"], "left").filter(
-            F.col("__b").isNull() | (F.col("ratio") >= F.col("__b"))).drop("__b"))
-    return fresh if best is None else best
+    cols = ["job_id", "operation_id", "ratio", "source_id"]
+    best = edges.join(hot, ["job_id", "pred_id"]).select(*cols, F.lit(1).alias("fresh"))
+    best = durable(_keep_worst(best))
+    while not (changed := best.filter("fresh = 1")).isEmpty():
+        sent = changed.select("job_id", F.col("operation_id").alias("pred_id"), "ratio", "source_id")
+        got = edges.join(sent, ["job_id", "pred_id"]).select(*cols, F.lit(1).alias("fresh"))
+        best = durable(_keep_worst(best.withColumn("fresh", F.lit(0)).unionByName(got)))
+    return best.drop("fresh")
+
+
+def _keep_worst(rows: DataFrame) -> DataFrame:
+    """Per operation the rows at its greatest ratio, each once; known rows are not fresh."""
+    each = rows.groupBy("job_id", "operation_id", "ratio", "source_id").agg(F.min("fresh").alias("fresh"))
+    top = rows.groupBy("job_id", "operation_id").agg(F.max("ratio").alias("ratio"))
+    return each.join(top, ["job_id", "operation_id", "ratio"], "left_semi")

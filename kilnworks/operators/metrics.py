@@ -203,8 +203,8 @@ def single_feature_auc(df: DataFrame, y: str, numeric: Sequence[str], categorica
     for c in categorical:
         s = F.coalesce(F.col(c).cast("string"), F.lit(""))
         order = prefix_sums(df.select(s.alias("__c")).distinct(), [],
-                            [F.substring("__c", 1, 2), F.substring("__c", 1, 4), F.col("__c")], {"n": F.lit(1)})
-        coded = df.select(y, s.alias("__c")).join(order.select(F.col("_l2").alias("__c"), "n_before"), "__c")
+                            [F.substring("__c", 1, 3), F.col("__c")], {"n": F.lit(1)})
+        coded = df.select(y, s.alias("__c")).join(order.select(F.col("_l1").alias("__c"), "n_before"), "__c")
         long = long.unionByName(coded.select(y, F.lit(c).alias("feature"), F.col("n_before").cast("double").alias("value")))
     auc = roc_auc(long, y, "value", ["feature"])
     return auc.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))

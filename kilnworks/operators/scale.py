@@ -59,32 +59,31 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 # --- order levels -----------------------------------------------------------
 def integer_levels(c: Column) -> list[Column]:
-    """Three levels of at most 65,536 values each for ids below 2^48."""
+    """Two levels for ids: blocks of 2^20, then the id."""
     c = c.cast("bigint")
-    return [F.floor(c / F.lit(2**32)), F.floor(c / F.lit(2**16)), c]
+    return [F.floor(c / F.lit(2**20)), c]
 
 
 def text_levels(c: Column) -> list[Column]:
-    """Levels for a text id: the order is (md5, id), each md5 level has 65,536 values."""
+    """Two levels for a text id in (md5, id) order: 65,536 even blocks, then the id."""
     digest = F.md5(c.cast("string").cast("binary"))
-    return [F.substring(digest, 1, 4), F.substring(digest, 5, 4), F.concat(digest, c.cast("string"))]
+    return [F.substring(digest, 1, 4), F.concat(digest, c.cast("string"))]
 
 
 def real_levels(c: Column) -> list[Column]:
-    """Levels for a double: log-scaled steps, then millionths, then the value.
+    """Two levels for a double: log-scaled steps (65,536 below one), then the value.
 
-    Every step is a non-decreasing function of the value, so the level order is
-    the value order.
+    The step is a non-decreasing function of the value, so the level order is the
+    value order. Equal values share a cell, so copies of one value add nothing.
     """
     c = c.cast("double")
-    coarse = F.floor(F.signum(c) * F.log2(F.lit(1.0) + F.abs(c)) * F.lit(4096.0))
-    return [coarse, F.floor(c * F.lit(1e6)), c]
+    return [F.floor(F.signum(c) * F.log2(F.lit(1.0) + F.abs(c)) * F.lit(65536.0)), c]
 
 
 def instant_levels(c: Column) -> list[Column]:
-    """Day, second of the day, microsecond."""
+    """Two levels for an instant: blocks of a thousand seconds, then the microsecond."""
     micros = F.unix_micros(c.cast("timestamp"))
-    return [F.floor(micros / F.lit(86_400_000_000)), F.floor(micros / F.lit(1_000_000)), micros]
+    return [F.floor(micros / F.lit(1_000_000_000)), micros]
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], levels: Sequence[Column],
@@ -133,7 +132,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     v = F.col(value).cast("double")
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"))
     ranked = prefix_sums(rows, groups, real_levels(F.col("__v")), {"n": F.lit(1)})
-    ranked = ranked.withColumnRenamed("_l2", "__v")
+    ranked = ranked.withColumnRenamed("_l1", "__v")
     totals = ranked.groupBy(*groups).agg(F.sum("n").alias("__total"))
     if groups:
         ranked = join_on(ranked, totals, list(groups), "inner")

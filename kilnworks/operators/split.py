@@ -67,7 +67,7 @@ def stratified_group_split(df: DataFrame, group: str, label: str, share: float =
     ranked = prefix_sums(groups, [label], levels, {"rows": F.lit(1)})
     n = groups.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     folds = join_on(ranked, n, [label]).select(
-        label, F.col("_l2").alias("__leaf"),
+        label, F.col("_l1").alias("__leaf"),
         F.when(F.col("rows_before") < F.floor(share * F.col("__n")), "train").otherwise("test").alias("fold"))
     keyed = groups.withColumn("__leaf", levels[-1])
     return df.join(join_on(keyed, folds, [label, "__leaf"], "inner").select(group, "fold"), group)

@@ -162,7 +162,7 @@ def production_tables(spark: SparkSession, sf_dir: str, write_once: bool = False
     levels = [F.col("l_linenumber"), *text_levels(F.col("lid"))]
     order = prefix_sums(li, ["l_orderkey"], levels, {"rows": F.lit(1)})
     numbered = li.withColumn("__leaf", levels[-1]).join(
-        order.select("l_orderkey", F.col("_l3").alias("__leaf"), (F.col("rows_before") + 1).alias("seq")), ["l_orderkey", "__leaf"])
+        order.select("l_orderkey", F.col("_l2").alias("__leaf"), (F.col("rows_before") + 1).alias("seq")), ["l_orderkey", "__leaf"])
     pc, qty = F.col("l_partkey") % 11, F.col("l_quantity")
     expected = 60 + 10 * qty
     worked = F.floor(expected * pc * (6 + F.col("l_suppkey") % 10) / 100) * F.when(F.col("l_partkey") % 101 == 0, 30).otherwise(1)
