@@ -37,12 +37,12 @@ def price_bounds(base: Column) -> tuple[Column, Column]:
 
 def clamp_price(price: Column, base: Column) -> Column:
     lo, hi = price_bounds(base)
-    return F.round(F.least(F.greatest(dec(price), lo), hi), 2).cast("decimal(18,2)")
+    return F.round(F.least(F.greatest(dec(price, 30, 12), lo), hi), 2).cast("decimal(18,2)")
 
 
 def is_clamped(price: Column, base: Column) -> Column:
     lo, hi = price_bounds(base)
-    return (dec(price) < lo) | (dec(price) > hi)
+    return (dec(price, 30, 12) < lo) | (dec(price, 30, 12) > hi)
 
 
 def ratio(actual: Column, expected: Column) -> Column:
