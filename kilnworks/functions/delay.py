@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnworks.functions.rounding import fixed
+
 INF = float("inf")
 # Signals in canonical order with the value above which each fires.
 BASELINES = {"time_overrun_ratio": 1.0, "operator_pace_ratio": 1.2, "material_shortfall_ratio": 0.0,
@@ -97,25 +99,5 @@ def label(name: Column, center: Column, kind: Column, op_id: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.nullif(center, F.lit("")), F.when(op_id != "", short), kind)
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """Fixed-point text, rounding the exact binary value half to even.
-
-    Java formats the shortest decimal form half up, which differs on ties. The
-    exact error of the scaled product (a two-product) decides those.
-    """
-    scale = float(10 ** digits)
-    size = F.abs(x)
-    y = size * scale
-    c = size * F.lit(134217729.0)
-    hi = c - (c - size)
-    err = (hi * scale - y) + (size - hi) * scale
-    low = F.floor(y).cast("double")
-    frac = y - low
-    odd = F.floor(y) % 2 != 0
-    up = (frac > 0.5) | ((frac == 0.5) & ((err > 0) | ((err == 0) & odd)))
-    body = F.format_string(f"%.{digits}f", (low + F.when(up, 1.0).otherwise(0.0)) / scale)
-    return F.concat(F.when(x < 0, "-").otherwise(""), body)
-
-
 def quantity_text(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(fixed(x, 2))

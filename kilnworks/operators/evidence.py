@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.functions import delay as D
+from kilnworks.functions.rounding import fixed
 from kilnworks.operators.scale import integer_levels, prefix_sums, real_levels, top_per_key
 
 # Headlines, wording and limits of the checks.
@@ -138,16 +139,16 @@ def compose_lines(ev: dict[str, DataFrame], components: DataFrame) -> DataFrame:
     a, e, v = F.col("actual") / 60.0, F.col("expected") / 60.0, F.col("value")
     k, name = F.col("signal_key"), F.col("operation_label")
     dot = F.lit(" · ")
-    time_text = F.concat(name, dot, D.fixed(a, 1), F.lit(" hrs logged of "), D.fixed(e, 1), F.lit(" planned"))
-    pace_text = F.concat(name, dot, F.lit("operator pace "), D.fixed(v, 2), F.lit("× planned over recent completed jobs"))
-    down_text = F.concat(name, dot, F.lit("inherited critical-path overrun "), D.fixed(v, 2), F.lit("× planned"))
+    time_text = F.concat(name, dot, fixed(a, 1), F.lit(" hrs logged of "), fixed(e, 1), F.lit(" planned"))
+    pace_text = F.concat(name, dot, F.lit("operator pace "), fixed(v, 2), F.lit("× planned over recent completed jobs"))
+    down_text = F.concat(name, dot, F.lit("inherited critical-path overrun "), fixed(v, 2), F.lit("× planned"))
     is_time, is_pace = k == "time_overrun_ratio", k == "operator_pace_ratio"
     ops = can.filter(k.isin(OP_LINES) & F.col("operation_id").isNotNull()).filter(
         ~is_time | (F.col("actual").isNotNull() & F.col("expected").isNotNull()))
     ops = ops.select(
         "job_id", "operation_id", "seq", "signal_key", "signal_order", F.lit("operation").alias("scope"), head.alias("headline"),
         F.when(is_time, time_text).when(is_pace, pace_text).otherwise(down_text).alias("detail"),
-        F.when(is_time, F.concat(F.lit("+"), D.fixed(a - e, 1), F.lit(" hrs"))).alias("delta"), "contribution",
+        F.when(is_time, F.concat(F.lit("+"), fixed(a - e, 1), F.lit(" hrs"))).alias("delta"), "contribution",
         F.when(is_time, _number_map(("actual_hrs", a), ("expected_hrs", e), ("delta_hrs", a - e)))
          .when(is_pace, _number_map(("pace_ratio", v))).otherwise(_number_map(("cascade_ratio", v))).alias("quoted"),
         F.array(name).alias("names"))
@@ -156,7 +157,7 @@ def compose_lines(ev: dict[str, DataFrame], components: DataFrame) -> DataFrame:
     is_mat = k == "material_shortfall_ratio"
     jobs = jobs.filter((is_mat & F.col("named").isNotNull()) | (~is_mat & F.col("vendors").isNotNull()))
     job = F.col("job_id").cast("string")
-    sup_text = F.concat(job, F.lit(" · vendors "), F.array_join("vendors", ", "), F.lit(" average lead-time ratio "), D.fixed(v, 2))
+    sup_text = F.concat(job, F.lit(" · vendors "), F.array_join("vendors", ", "), F.lit(" average lead-time ratio "), fixed(v, 2))
     shorts = F.map_from_entries(F.transform("named", lambda c: F.struct(F.concat(F.lit("shortfall:"), c["component_id"]), c["shortfall"])))
     more = F.when(F.col("more") > 0, _number_map(("more_count", F.col("more")))).otherwise(
         F.create_map().cast("map<string,double>"))

@@ -84,10 +84,10 @@ def _edges(df):
 
 BAND_SQL = f"""SELECT l.id, round(low, 2) AS recommended_price_low, round(mid, 2) AS recommended_price_mid, round(high, 2) AS recommended_price_high, coalesce(b.hi_i = 40, false) AS boundary_hit,
  CASE WHEN b.id IS NULL THEN 'unavailable' WHEN round(low, 2) <= l.current_ratio * l.basis AND l.current_ratio * l.basis <= round(high, 2) THEN 'within_range' ELSE 'out_of_range' END AS price_band_status,
- round(ev.mid_r * l.basis, 2) AS ev_price_mid, round(ev.lo_r * l.basis, 2) AS ev_price_low, round(ev.hi_r * l.basis, 2) AS ev_price_high
+ format('{{:.2f}}', ev.mid_r * l.basis)::DOUBLE AS ev_price_mid, format('{{:.2f}}', ev.lo_r * l.basis)::DOUBLE AS ev_price_low, format('{{:.2f}}', ev.hi_r * l.basis)::DOUBLE AS ev_price_high
  FROM priceable l LEFT JOIN banded b ON b.id = l.id LEFT JOIN (
   SELECT id, low, CASE WHEN base_price IS NULL THEN m ELSE greatest(m, low) END AS mid, CASE WHEN base_price IS NULL THEN h ELSE greatest(h, low) END AS high FROM (
-   SELECT x.id, base_price, CASE WHEN base_price IS NULL THEN g.r * basis ELSE greatest(clamp_low, unitPrice) END AS low, CASE WHEN base_price IS NULL THEN r_mid * basis ELSE clamp_mid END AS m, CASE WHEN base_price IS NULL THEN r_high * basis ELSE clamp_high END AS h
+   SELECT x.id, base_price, CASE WHEN base_price IS NULL THEN format('{{:.2f}}', g.r * basis)::DOUBLE ELSE greatest(clamp_low, unitPrice) END AS low, CASE WHEN base_price IS NULL THEN format('{{:.2f}}', r_mid * basis)::DOUBLE ELSE clamp_mid END AS m, CASE WHEN base_price IS NULL THEN format('{{:.2f}}', r_high * basis)::DOUBLE ELSE clamp_high END AS h
    FROM (SELECT b.id, b.first, l.*, e.r_high, m.r_mid, round(least(greatest(gg.r * basis, base_price * 0.7::DOUBLE), base_price * 1.3::DOUBLE), 2) AS clamp_low, round(least(greatest(m.r_mid * basis, base_price * 0.7::DOUBLE), base_price * 1.3::DOUBLE), 2) AS clamp_mid,
     round(least(greatest(e.r_high * basis, base_price * 0.7::DOUBLE), base_price * 1.3::DOUBLE), 2) AS clamp_high FROM banded b JOIN priceable l ON l.id = b.id JOIN high_edge e ON e.id = b.id JOIN mid_edge m ON m.id = b.id JOIN grid_points gg ON gg.i = b.first) x JOIN grid_points g ON g.i = x.first)) c ON c.id = l.id
  LEFT JOIN (SELECT id, any_value(pr) AS mid_r, min(CASE WHEN i > coalesce(low_fail, -1) AND i <= pk THEN r END) AS lo_r, max(CASE WHEN i < coalesce(hi_fail, 41) AND i >= pk THEN r END) AS hi_r FROM (
