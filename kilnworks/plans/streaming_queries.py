@@ -32,11 +32,11 @@ def _(spark, sf):
     return out.groupBy("topic", "tenant").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("payload")["value"].cast("double")).alias("total"))
 
 
-@query("k02_debounce_stream")
+@query("k02_debounce_stream", """SELECT tenant, topic, 'count' AS reason, n // 100 AS batches, n // 100 * 100 AS events FROM (SELECT 't' || (user_id % 5) AS tenant, event_type AS topic, count(*) AS n FROM events GROUP BY 1, 2) WHERE n >= 100""")
 def _(spark, sf):
     """Batches of one hundred per (tenant, topic): how many fired full, and the events in them."""
     ready = J.debounce(J.read_events(spark, event_files(spark, sf)), 100, 3_600_000)
-    out = J.drain(ready, scratch_path(spark, "k02"), scratch_path(spark, "ck"))
+    out = J.drain(ready, scratch_path(spark, "k02"), scratch_path(spark, "ck"), timers=True)
     return out.groupBy("tenant", "topic", "reason").agg(F.count(F.lit(1)).alias("batches"), F.sum("events").alias("events"))
 
 

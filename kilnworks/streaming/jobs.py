@@ -11,24 +11,38 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kilnworks import schemas as X
 from kilnworks.operators.delay import outcome_labels
 from kilnworks.operators.scale import last_per_key
 
-DRAIN_SECONDS = 1800
+DRAIN_SECONDS = 900
 LOOKBACK = "24 hours"
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, partition: str | None = None) -> DataFrame:
-    """Run a stream over everything available into a parquet sink, then read the sink."""
-    w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet")
-    q = (w.partitionBy(partition) if partition else w).start(path)
-    if not q.awaitTermination(DRAIN_SECONDS):
-        q.stop()
-        raise TimeoutError("the stream did not drain in time")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, partition: str | None = None, timers: bool = False) -> DataFrame:
+    """Run a stream over everything available into a parquet sink, then read the sink.
+
+    A stream with processing-time timers asks for another empty batch for ever, so
+    draining one leaves those batches out; a continuous run keeps them.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(NO_DATA)
+    if timers:
+        spark.conf.set(NO_DATA, "false")
+    try:
+        w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet")
+        q = (w.partitionBy(partition) if partition else w).start(path)
+        if not q.awaitTermination(DRAIN_SECONDS):
+            q.stop()
+            raise TimeoutError("the stream did not drain in time")
+    finally:
+        spark.conf.set(NO_DATA, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def for_each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -54,55 +68,36 @@ def batch_ready(n: Column, oldest: Column, now: Column, min_count: int, max_age_
     return (n > 0) & ((n >= min_count) | (now - oldest >= max_age_seconds))
 
 
-class Debounce(StatefulProcessor):
-    """Per (tenant, topic): count and oldest event in state; one row out whenever a batch is ready.
+def debounce(events: DataFrame, min_count: int, max_age_ms: int) -> DataFrame:
+    """Stream of ready micro-batches per (tenant, topic).
 
-    A batch fires when it is full, or when a timer finds its oldest event too old.
+    State is one count and one oldest time per key, never the events. A batch fires
+    when it is full, or when a timer finds that it has waited too long.
     """
-
-    def __init__(self, min_count: int, max_age_ms: int) -> None:
-        self.min_count, self.max_age_ms = min_count, max_age_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", "n bigint, oldest double")
-
-    def _fire(self, key, n: int, oldest: float, reason: str) -> pd.DataFrame:
+    def row(key: tuple, n: int, oldest: float, reason: str) -> pd.DataFrame:
         return pd.DataFrame([{"tenant": key[0], "topic": key[1], "events": n, "oldest": oldest, "reason": reason}])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, oldest = self.pending.get() if self.pending.exists() else (0, float("inf"))
+    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, oldest = state.get if state.exists else (0, float("inf"))
+        if state.hasTimedOut:
+            state.remove()
+            yield row(key, n, oldest, "age")
+            return
         for pdf in rows:
             for ts in pdf["ts"].sort_values():
                 n, oldest = n + 1, min(oldest, float(ts))
-                if n >= self.min_count:
-                    yield self._fire(key, n, oldest, "count")
+                if n >= min_count:
+                    yield row(key, n, oldest, "count")
                     n, oldest = 0, float("inf")
         if n:
-            self.pending.update((n, oldest))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.max_age_ms)
-        else:
-            self.pending.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            n, oldest = self.pending.get()
-            self.pending.clear()
-            yield self._fire(key, n, oldest, "age")
-
-    def close(self) -> None:
-        pass
-
-
-def debounce(events: DataFrame, min_count: int, max_age_ms: int) -> DataFrame:
-    """Stream of ready micro-batches; state is kept in RocksDB, so it may exceed memory."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy("tenant", "topic").transformWithStateInPandas(
-        statefulProcessor=Debounce(min_count, max_age_ms),
-        outputStructType="tenant string, topic string, events bigint, oldest double, reason string",
-        outputMode="append", timeMode="ProcessingTime")
+            state.update((n, oldest))
+            state.setTimeoutDuration(max_age_ms)
+        elif state.exists:
+            state.remove()
+
+    return events.select("tenant", "topic", "ts").groupBy("tenant", "topic").applyInPandasWithState(
+        advance, "tenant string, topic string, events bigint, oldest double, reason string", "n bigint, oldest double",
+        "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # --- outcomes ---------------------------------------------------------------
