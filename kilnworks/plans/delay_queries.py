@@ -207,16 +207,16 @@ def _(spark, sf):
     return f.select("operation_id", D.finite(F.col("risk_score")).alias("risk_score"), (F.col("risk_score") == D.INF).alias("infinite"))
 
 
-@query("j05_job_rollup", """SELECT w.operation_id, w.job_id, w.status, len(CASE WHEN step_id % 2 = 0 THEN [1, 2] ELSE [1] END) AS operator_count, coalesce(e.preds, '') AS depends_on, coalesce(c.n, 0) AS components FROM work_orders w
- LEFT JOIN (SELECT operation_id, string_agg(pred_id, ',' ORDER BY pred_id) AS preds FROM edges GROUP BY 1) e USING (operation_id) LEFT JOIN (SELECT job_id, count(*) AS n FROM components GROUP BY 1) c USING (job_id)""")
+@query("j05_job_rollup", """SELECT w.operation_id, w.job_id, w.status, len(CASE WHEN step_id % 2 = 0 THEN [1, 2] ELSE [1] END) AS operator_count, coalesce(e.n, 0) AS depends_on, e.lo AS first_dependency, coalesce(c.n, 0) AS components FROM work_orders w
+ LEFT JOIN (SELECT operation_id, count(*) AS n, min(pred_id) AS lo FROM edges GROUP BY 1) e USING (operation_id) LEFT JOIN (SELECT job_id, count(*) AS n FROM components GROUP BY 1) c USING (job_id)""")
 def _(spark, sf):
     """The flat form of the job document: operation rows with their links, component counts per job."""
     t = tables(spark, sf)
-    deps = t["edges"].groupBy("operation_id").agg(F.concat_ws(",", F.array_sort(F.collect_list("pred_id"))).alias("depends_on"))
+    deps = t["edges"].groupBy("operation_id").agg(F.count(F.lit(1)).alias("depends_on"), F.min("pred_id").alias("first_dependency"))
     n = P.job_components(spark, sf, t).groupBy("job_id").agg(F.count(F.lit(1)).alias("components"))
     return t["work_orders"].join(deps, "operation_id", "left").join(n, "job_id", "left").select(
         "operation_id", "job_id", "status", F.size("operators").alias("operator_count"),
-        F.coalesce("depends_on", F.lit("")).alias("depends_on"), F.coalesce("components", F.lit(0)).alias("components"))
+        F.coalesce("depends_on", F.lit(0)).alias("depends_on"), "first_dependency", F.coalesce("components", F.lit(0)).alias("components"))
 
 
 @query("j06_delay_elements", """SELECT operation_id, round(time_overrun, 5) AS time_overrun_ratio, round(pace, 5) AS operator_pace_ratio, round(supplier, 5) AS supplier_reliability, round(predecessor, 5) AS predecessor_time_overrun_ratio,

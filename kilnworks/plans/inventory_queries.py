@@ -46,7 +46,7 @@ def _(spark, sf):
     return P.table(spark, sf, "events").select("event_id", F.coalesce(raw.try_cast("double"), F.lit(0.0)).alias("value"))
 
 
-@query("b12_column_defaults", "SELECT snapshot_id, 0.0 AS unit_cost, 'unknown' AS item_type, false AS use_rule_based, CAST(NULL AS VARCHAR) AS next_delivery FROM snapshots")
+@query("b12_column_defaults", "SELECT snapshot_id, 0.0::DOUBLE AS unit_cost, 'unknown' AS item_type, false AS use_rule_based, CAST(NULL AS VARCHAR) AS next_delivery FROM snapshots")
 def _(spark, sf):
     df, _added = K.column_defaults(P.snapshots(spark, sf).select("snapshot_id"), ["unit_cost"], ["item_type"], ["use_rule_based"], ["next_delivery"])
     return df
@@ -239,11 +239,11 @@ def _(spark, sf):
 
 @query("d10_current_snapshot", """SELECT i.id AS item_id, i.item_name, i.default_warehouse_id AS warehouse_id, r_name AS warehouse_name, '2001-12-31' AS snapshot_date, i.item_type, i.available_quantity AS available_qty,
  round(coalesce(d.reserved_qty, 0), 6) AS reserved_qty, i.rop, coalesce(u.n, 0) AS n_products_using_item, CASE WHEN i.id % 4 = 0 THEN 40.0 ELSE i.forecasted_quantity END AS demand_forecast_qty,
- CASE WHEN i.id % 4 = 1 THEN 7.0 ELSE 0.0 END AS past_due_qty, round(coalesce(o.open_qty, 0), 6) AS open_qty, strftime(o.open_po_deadline, '%Y-%m-%d %H:%M:%S.%f') AS open_po_deadline, coalesce(v.lead_time_days, 0)::DOUBLE AS lead_time_days,
+ CASE WHEN i.id % 4 = 1 THEN 7.0::DOUBLE ELSE 0.0 END AS past_due_qty, round(coalesce(o.open_qty, 0), 6) AS open_qty, strftime(o.open_po_deadline, '%Y-%m-%d %H:%M:%S.%f') AS open_po_deadline, coalesce(v.lead_time_days, 0)::DOUBLE AS lead_time_days,
  coalesce(h.total, 0) AS vendor_total_completed_pos, coalesce(h.on_time, 0) AS vendor_on_time_pos, coalesce(h.late, 0) AS vendor_late_pos, round(h.reliability, 6) AS calculated_vendor_reliability,
  round(o.open_po_vendor_reliability, 6) AS open_po_vendor_reliability, CASE WHEN d.has_draft THEN 'Draft' ELSE 'Not Applicable' END AS draft_mo_status, round(coalesce(d.draft_qty, 0), 6) AS draft_mo_required_qty,
  coalesce(d.mo_status, 'Not Applicable') AS mo_status, round(coalesce(d.consumed_qty, 0), 6) AS consumed_qty, round(coalesce(greatest(floor(datediff('second', h.earliest, TIMESTAMP '2001-12-31') / 86400.0) / 30.0, 0), 0), 6) AS months_of_history,
- coalesce(greatest(floor(datediff('second', h.earliest, TIMESTAMP '2001-12-31') / 86400.0) / 30.0, 0), 0) < 6 AS use_rule_based, CASE WHEN i.id % 4 = 2 THEN 20.0 ELSE 0.0 END AS external_risk_pct
+ coalesce(greatest(floor(datediff('second', h.earliest, TIMESTAMP '2001-12-31') / 86400.0) / 30.0, 0), 0) < 6 AS use_rule_based, CASE WHEN i.id % 4 = 2 THEN 20.0::DOUBLE ELSE 0.0 END AS external_risk_pct
  FROM items i LEFT JOIN region ON r_regionkey = i.default_warehouse_id LEFT JOIN (SELECT item_id, arg_min(vendor_id, (created_at, id)) AS vendor_id, arg_min(lead_time_days, (created_at, id)) AS lead_time_days FROM item_vendors GROUP BY 1) v ON v.item_id = i.id
  LEFT JOIN vendor_history h ON h.vendor_id = v.vendor_id LEFT JOIN demand d ON d.item_id = i.id LEFT JOIN open_rollup o ON o.item_id = i.id
  LEFT JOIN (SELECT l_partkey AS item_id, count(DISTINCT p_partkey % 500) AS n FROM lineitem JOIN part ON p_partkey = l_orderkey % 2000 GROUP BY 1) u ON u.item_id = i.id WHERE i.default_warehouse_id IS NOT NULL""")

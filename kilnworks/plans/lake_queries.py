@@ -45,18 +45,25 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+PART = 1000
+
+
 def snapshot_records(spark, sf):
-    """One snapshot record per job with its operations as an array of allowed fields."""
+    """Snapshot records with the allowed fields of their operations, at most a thousand operations to a record.
+
+    A larger job has further records with a higher ``part``; nothing is left out.
+    """
     t = P.production_tables(spark, sf)
     a, e, d, q = (F.col(c) for c in ("actual", "expected", "done_quantity", "job_quantity"))
     ops = t["work_orders"].withColumn("time_overrun_ratio", D.json_number(D.time_overrun(a, e, d, q)))
     one = F.struct("operation_id", "status", "time_overrun_ratio")
-    per = ops.groupBy("job_id").agg(F.array_sort(F.collect_list(one)).alias("operations"))
+    part = F.floor((F.col("seq") - 1) / PART)
+    per = ops.groupBy("job_id", part.alias("part")).agg(F.array_sort(F.collect_list(one)).alias("operations"))
     o = P.table(spark, sf, "orders")
     return o.join(per, o.o_orderkey == per.job_id).select(
         F.when(F.col("o_orderkey") % 9 == 0, "other.v1").otherwise("m3.snapshot.v1").alias("schema"),
         F.concat(F.lit("t"), F.col("o_custkey") % 5).alias("tenant"), text.job_key(F.concat(F.lit("WH/MO/"), "o_orderkey")).alias("job_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("scored_at"), F.lit(1.0).alias("delay_threshold"), "operations",
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("scored_at"), F.lit(1.0).alias("delay_threshold"), "part", "operations",
         F.struct(F.lit("approved").alias("status"), (F.col("o_orderstatus") == "P").alias("is_delayed")).alias("insight"),
         F.date_format("o_orderdate", "yyyy-MM").alias("dt"))
 
@@ -146,7 +153,7 @@ def _(spark, sf):
     """Operators ride along in the input and must not be in the output."""
     wo = P.production_tables(spark, sf)["work_orders"].withColumn("time_overrun_ratio", F.lit(None).cast("double"))
     every = F.struct("operation_id", "status", "operators", "expected", "actual", "time_overrun_ratio", "operation_name")
-    per = wo.groupBy("job_id").agg(F.collect_list(every).alias("ops")).withColumn("ops", L.bronze_operations(F.col("ops")))
+    per = wo.groupBy("job_id", F.floor((F.col("seq") - 1) / PART).alias("part")).agg(F.collect_list(every).alias("ops")).withColumn("ops", L.bronze_operations(F.col("ops")))
     n = len(per.schema["ops"].dataType.elementType.fields)
     pairs = F.array_sort(F.transform("ops", lambda o: F.struct(o["operation_id"].alias("i"), o["status"].alias("s"))))
     return per.select("job_id", F.array_join(F.transform(pairs, lambda o: F.concat(o["i"], F.lit(":"), o["s"])), ",").alias("operations"),

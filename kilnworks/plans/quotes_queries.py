@@ -40,7 +40,7 @@ STATUS_TEXT = """CASE o_orderkey % 6 WHEN 0 THEN 'Order Confirmed' WHEN 1 THEN '
  WHEN 3 THEN 'Sent' WHEN 4 THEN 'winning' ELSE 'Closed Lost' END"""
 
 
-@query("b06_text_label", f"""SELECT quotationID, s AS status, CASE WHEN w AND NOT l THEN 1.0 WHEN l AND NOT w THEN 0.0 END AS won FROM (
+@query("b06_text_label", f"""SELECT quotationID, s AS status, CASE WHEN w AND NOT l THEN 1.0::DOUBLE WHEN l AND NOT w THEN 0.0 END AS won FROM (
  SELECT o_orderkey AS quotationID, {STATUS_TEXT} AS s,
  regexp_matches(lower({STATUS_TEXT}), '\\b(won|win|wins|confirmed|accepted|converted|order|ordered|success|successful)\\b') AS w,
  regexp_matches(lower({STATUS_TEXT}), '\\b(lost|loss|lose|rejected|declined|cancelled|canceled|failed|unsuccessful)\\b') AS l FROM orders)""")
@@ -62,7 +62,7 @@ CODED = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'SALES_ORD
  CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey END AS sales_order_id, o_custkey AS contact_id, o_orderpriority AS sales_person_id,
  o_orderdate AS created_at, o_orderdate + to_days(CAST(20 + o_orderkey % 50 AS INTEGER)) AS sales_order_created_at,
  o_orderdate + to_days(CAST(10 + o_orderkey % 90 AS INTEGER)) AS lost_at FROM orders"""
-CODED_LABEL = f"""SELECT *, CASE WHEN is_won THEN 1.0 WHEN is_lost THEN 0.0 END AS label,
+CODED_LABEL = f"""SELECT *, CASE WHEN is_won THEN 1.0::DOUBLE WHEN is_lost THEN 0.0 END AS label,
  CASE WHEN is_won THEN sales_order_created_at ELSE lost_at END AS close_time FROM (
  SELECT *, (stage = 'SALES_ORDER' OR status = 'CONFIRMED' OR sales_order_id IS NOT NULL) AND status <> 'CLOSED_LOST' AS is_won,
  status = 'CLOSED_LOST' AS is_lost FROM ({CODED}))"""
@@ -89,7 +89,7 @@ def _(spark, sf):
     return coded_quotes(spark, sf).select("id", "label", "close_time")
 
 
-@query("b09_age_out_open", """SELECT quotationID, CASE WHEN statusName = 'Closed Won' THEN 1.0 WHEN statusName = 'Closed Lost' THEN 0.0
+@query("b09_age_out_open", """SELECT quotationID, CASE WHEN statusName = 'Closed Won' THEN 1.0::DOUBLE WHEN statusName = 'Closed Lost' THEN 0.0
  WHEN datediff('day', quoteDate, (SELECT max(quoteDate) FROM quotes)) >= 60 THEN 0.0 END AS won FROM quotes""")
 def _(spark, sf):
     return labels.age_out_open(labels.derive_label(P.quotes(spark, sf))[0]).select("quotationID", "won")
@@ -453,7 +453,7 @@ def _(spark, sf):
                                       F.when(F.col("industry").isin("BUILDING", "MACHINERY"), F.col("industry")).otherwise("Other").alias("industry"))
 
 
-@query("h57_below_cost", "SELECT quotationLineItemID, CASE WHEN price_ratio < 1 THEN 1.0 ELSE 0.0 END AS below_cost, month(quoteDate)::DOUBLE AS quote_month FROM priced JOIN quotes USING (quotationID)")
+@query("h57_below_cost", "SELECT quotationLineItemID, CASE WHEN price_ratio < 1 THEN 1.0::DOUBLE ELSE 0.0 END AS below_cost, month(quoteDate)::DOUBLE AS quote_month FROM priced JOIN quotes USING (quotationID)")
 def _(spark, sf):
     return frames.priced_lines(P.quote_lines(spark, sf)).join(P.quotes(spark, sf), "quotationID").select(
         "quotationLineItemID", (F.col("price_ratio") < 1).cast("double").alias("below_cost"),

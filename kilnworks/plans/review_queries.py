@@ -111,12 +111,10 @@ def _(spark, sf):
     return ln.select("job_id", "line_index", "signal_key", "operation_id", "detail", "delta")
 
 
-@query("e19_line_ranking", f"SELECT {REF} AS job_id, string_agg(signal_key || coalesce(':' || operation_id, ''), ' > ' ORDER BY line_index) AS ranking FROM why_ranked GROUP BY 1")
+@query("e19_line_ranking", f"SELECT {REF} AS job_id, line_index, signal_key, operation_id, round(contribution, 5) AS contribution FROM why_ranked", digits=5)
 def _(spark, sf):
     _ev, _comp, ln = lines(spark, sf)
-    each = F.struct("line_index", F.concat("signal_key", F.coalesce(F.concat(F.lit(":"), "operation_id"), F.lit(""))).alias("t"))
-    return ln.groupBy("job_id").agg(F.array_sort(F.collect_list(each)).alias("a")).select(
-        "job_id", F.array_join(F.transform("a", lambda x: x["t"]), " > ").alias("ranking"))
+    return ln.select("job_id", "line_index", "signal_key", "operation_id", "contribution")
 
 
 # drafts are spoilt on purpose, by job number, so that every check has something to find

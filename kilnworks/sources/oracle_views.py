@@ -37,7 +37,7 @@ FROM quotes JOIN families USING (quotationID) GROUP BY root"""
 
 VIEWS["decided"] = """
 SELECT * FROM (
-  SELECT q.*, CASE WHEN statusName = 'Closed Won' THEN 1.0 WHEN statusName = 'Closed Lost' THEN 0.0
+  SELECT q.*, CASE WHEN statusName = 'Closed Won' THEN 1.0::DOUBLE WHEN statusName = 'Closed Lost' THEN 0.0
                    WHEN datediff('day', quoteDate, (SELECT max(quoteDate) FROM quotes JOIN finals USING (quotationID))) >= 60 THEN 0.0 END AS won
   FROM quotes q JOIN finals USING (quotationID)) WHERE won IS NOT NULL"""
 
@@ -148,7 +148,7 @@ FROM (SELECT a.snapshot_id, any_value(a.item_id) AS item_id, any_value(a.warehou
 
 VIEWS["items"] = """
 SELECT p_partkey AS id, p_name AS item_name, p_type AS item_type, p_size::DOUBLE AS rop, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 5 END AS default_warehouse_id,
-       p_size * 3.0 AS available_quantity, (p_partkey % 100)::DOUBLE AS forecasted_quantity,
+       p_size * 3.0::DOUBLE AS available_quantity, (p_partkey % 100)::DOUBLE AS forecasted_quantity,
        CASE p_partkey % 4 WHEN 0 THEN '{"demand_forecast_qty": 40}' WHEN 1 THEN '{"inventory": {"past_due_qty": 7}}' WHEN 2 THEN '{"ai_inventory": {"external_risk_pct": 20}}' END AS custom_elements FROM part"""
 VIEWS["item_vendors"] = """
 SELECT l_partkey AS item_id, l_suppkey AS id, l_suppkey AS vendor_id, min(l_shipdate) AS created_at, l_suppkey % 30 AS lead_time_days FROM lineitem GROUP BY l_partkey, l_suppkey"""
