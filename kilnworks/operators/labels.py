@@ -70,7 +70,8 @@ def final_revisions(df: DataFrame) -> DataFrame:
 def decided_headers(quotes: DataFrame, lost_after_days: int | None = OPEN_QUOTE_LOST_AFTER_DAYS) -> DataFrame:
     """One row per decided quote family with its outcome."""
     h = fill_optional(quotes, OPTIONAL_HEADER).dropDuplicates(["quotationID"])
-    h, from_status = derive_label(final_revisions(h))
+    # read by the label check, by the newest date and by the result
+    h, from_status = derive_label(durable(final_revisions(h)))
     if from_status:
         h = age_out_open(h, lost_after_days)
     return h.filter(F.col("won").isNotNull())
