@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.operators.scale import top_per_key
-
 # Spellings of booleans.
 TRUE_WORDS = ["true", "1", "1.0", "yes"]
 FALSE_WORDS = ["false", "0", "0.0", "no"]

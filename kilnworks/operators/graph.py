@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.operators.scale import join_on
 from kilnworks.session import durable
 
 MAX_JUMPS = 64

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions.quote import wilson
 from kilnworks.operators.scale import (
-    exact_quantiles, integer_levels, join_on, prefix_sums, real_levels, text_levels, with_scalars)
+    exact_quantiles, join_on, prefix_sums, real_levels, text_levels, with_scalars)
 
 BINS = 10
 EDGES = [i * 0.1 for i in range(1, BINS)]

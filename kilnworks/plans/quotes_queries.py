@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kilnworks.functions import money as M
 from kilnworks.functions import quote as Q
 from kilnworks.operators import asof, labels
 from kilnworks.operators.graph import family_roots
 from kilnworks.operators.scale import (
-    exact_quantiles, group_and_overall, last_per_key, top_per_key, with_group_totals, with_scalars)
+    exact_quantiles, group_and_overall, top_per_key, with_group_totals, with_scalars)
 from kilnworks.plans import frames
 from kilnworks.plans.catalog import query
 from kilnworks.sources import proxies as P

@@ -6,7 +6,6 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kilnworks.functions import inventory as V
 from kilnworks.operators import metrics as M
 from kilnworks.operators import models as ML
 from kilnworks.operators import split as S
