@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import packing, wavelet
+from kilnworks.llm import langid, packing, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -46,3 +46,20 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
     return packing.pack_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+@_query("op5_toxicity_pu")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, scorer).withColumn("held_out", toxicity.held_out())
+            .select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted")))
+
+
+@_query("op6_kneser_ney_langid")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = read(spark, sf_dir, "documents")
+    rows = langid.identify(docs, toxicity.in_training())
+    return rows.select("doc_id", (~F.col("in_training")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
