@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import langid, packing, toxicity, wavelet
+from kilnworks.llm import decontaminate, langid, licences, minhash, oracles, packing, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -63,3 +63,28 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = langid.identify(docs, toxicity.in_training())
     return rows.select("doc_id", (~F.col("in_training")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@_query("op7_minhash_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@_query("op2_licence_scan", oracles.licences())
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best licence notice."""
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+@_query("op3_quality_rules", oracles.quality(quality.MAX_TEXTS, quality.LEAST_WORDS, quality.LEAST_PERCENT))
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+@_query("op9_simhash_decontamination", oracles.leaked())
+def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("window_start").cast("long").alias("window_start"), "shared", "total")

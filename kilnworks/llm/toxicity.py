@@ -75,28 +75,39 @@ class Scorer:
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def nn_pu(x_p: np.ndarray, x_u: np.ndarray, prior: float, least_steps: int = 1500, batch: int = 2048, rate: float = 0.03, decay: float = 1e-5,
-          seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk over 0/1 feature rows (Adam)."""
-    rng = np.random.default_rng(seed)
-    w = np.zeros(x_p.shape[1] + 1)
+class Rows:
+    """0/1 rows, as the places of the ones."""
+
+    def __init__(self, places: list[np.ndarray]):
+        self.n = len(places)
+        self.sizes = np.array([len(p) for p in places], dtype=np.int64)
+        self.places = np.concatenate([*places, np.empty(0, dtype=np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), self.sizes)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.places], minlength=self.n)
+
+    def gradient(self, by_row: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.places, weights=by_row[self.row], minlength=width)
+
+
+def nn_pu(p: Rows, u: Rows, width: int, prior: float, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk (Adam over both whole samples)."""
+    w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    steps = max(1, -(-len(x_u) // batch))
-    for _ in range(max(10, -(-least_steps // steps))):
-        u_order = rng.permutation(len(x_u))
-        for part in np.array_split(u_order, steps):
-            u = np.hstack([x_u[part], np.ones((len(part), 1), np.uint8)]).astype(np.float32)
-            own = rng.choice(len(x_p), size=min(len(x_p), batch), replace=False)
-            p = np.hstack([x_p[own], np.ones((len(own), 1), np.uint8)]).astype(np.float32)
-            zp, zu = p @ w, u @ w
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    with np.errstate(over="ignore"):
+        for t in range(1, steps + 1):
+            zp, zu = p.times(w[:-1]) + w[-1], u.times(w[:-1]) + w[-1]
             sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g_positive = prior * (p.T @ (sp - 1)) / len(p)
-            g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            g = g_positive + g_negative if negative >= 0 else -g_negative
-            g[:-1] += decay * w[:-1]
-            t += 1
+            to_p, to_u = prior * (sp - 1) / p.n, su / u.n
+            of_p = -prior * sp / p.n
+            if negative >= 0:
+                by_p, by_u = to_p + of_p, to_u
+            else:  # the non-negative correction: step back along the negative part
+                by_p, by_u = -of_p, -to_u
+            g = np.append(p.gradient(by_p, width) + u.gradient(by_u, width), by_p.sum() + by_u.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -160,12 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # the bounded sample, as two bytes for each feature of a text
     rows = sorted((r["p"], bytes(r["k"])) for r in sample.mapInArrow(places, "p int, k binary").collect())
-    x = {1: np.zeros((sizes[1], len(vocabulary)), np.uint8), 0: np.zeros((sizes[0], len(vocabulary)), np.uint8)}
-    at = {0: 0, 1: 0}
-    for p, k in rows:
-        x[p][at[p], np.frombuffer(k, dtype="<u2")] = 1
-        at[p] += 1
-    w, bias = nn_pu(x[1], x[0], prior)
+    x = {role: Rows([np.frombuffer(k, dtype="<u2") for p, k in rows if p == role]) for role in (0, 1)}
+    w, bias = nn_pu(x[1], x[0], len(vocabulary), prior)
     return Scorer(prior, bias, {word: float(v) for word, v in zip(vocabulary, w) if abs(v) > 1e-6})
 
 
