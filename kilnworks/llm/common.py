@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kilnworks.session import configure
 
 #: Rows of one Arrow batch: whole texts of a batch are in a Python worker at once.
-ARROW_ROWS = 512
+ARROW_ROWS = 1024
 WORDS = r"[\x20\x09-\x0D]+"
 
 

@@ -160,8 +160,11 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECE.split(", ")])
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(own.ids(x.as_py()), np.uint32(end_id)).astype("<u4")
+            flat, bounds = own.batch(batch.column(1))
+            at = 0
+            for d, to in zip(batch.column(0).to_pylist(), bounds.tolist()):
+                ids = np.append(flat[at:to], flat.dtype.type(end_id))
+                at = to
                 whole = len(ids) // full * full
                 for a in range(0, whole, full):
                     put([(d, a, ids[a:a + full], len(ids))])
