@@ -54,16 +54,16 @@ class WaveletMatrix:
         planes, ranks, zeros = [], [], []
         order = ids.astype(np.uint16 if n_bits <= 16 else np.uint32)
         for level in range(n_bits - 1, -1, -1):
-            bits = ((order >> level) & 1).astype(bool)
+            bits = (order & order.dtype.type(1 << level)).view(np.int16 if n_bits <= 16 else np.int32) != 0
             packed = np.packbits(bits)
             whole = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), dtype=np.uint8)
             whole[:len(packed)] = packed
             ones = np.bitwise_count(whole.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
             planes.append(packed.tobytes())
-            low = order[~bits]
+            low = order.take(np.flatnonzero(~bits))
             zeros.append(len(low))
-            order = np.concatenate([low, order[bits]])
+            order = np.concatenate([low, order.take(np.flatnonzero(bits))])
         return cls(len(ids), n_bits, zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -130,8 +130,8 @@ class WaveletMatrix:
         for level in range(self.n_bits - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n).view(bool)
             above = np.empty_like(values)
-            above[~bits] = values[:self.zeros[level]]
-            above[bits] = values[self.zeros[level]:] | values.dtype.type(1 << (self.n_bits - 1 - level))
+            above[np.flatnonzero(~bits)] = values[:self.zeros[level]]
+            above[np.flatnonzero(bits)] = values[self.zeros[level]:] | values.dtype.type(1 << (self.n_bits - 1 - level))
             values = above
         return values
 
@@ -163,8 +163,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, _SHARD_ARROW.types)], schema=_SHARD_ARROW)
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(own.ids(x.as_py()), np.uint32(end_id))
+            flat, bounds = own.batch(batch.column(1))
+            at = 0
+            for d, to in zip(batch.column(0).to_pylist(), bounds.tolist()):
+                ids = np.append(flat[at:to], flat.dtype.type(end_id))
+                at = to
                 if held and n + len(ids) > SHARD_IDS:
                     yield shard()
                     held, docs_in, ends, n, serial = [], [], [], 0, serial + 1
