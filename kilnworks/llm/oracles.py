@@ -73,3 +73,23 @@ c AS (SELECT r, doc_id, item_id, start, len(s) + len(si) AS sizes,
 z AS (SELECT r, doc_id, item_id, start, shared, sizes - shared AS total FROM c WHERE 100 * shared >= {percent} * (sizes - shared))
 SELECT doc_id, item_id, start AS window_start, shared, total
 FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY shared / total DESC, start) AS q FROM z) WHERE q = 1"""
+
+
+def deduplicated_lines(least_words: int, source: str = "documents") -> str:
+    """Runs compared as whole strings, without ranks."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM {source}),
+a AS (SELECT r, doc_id, text, n, l[n] AS x FROM (SELECT r, doc_id, text, l, unnest(range(1, len(l) + 1)) AS n FROM d)),
+s AS (SELECT r, doc_id, text, n, x, row_number() OVER (PARTITION BY r ORDER BY n) - 1 AS i,
+        len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM a WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+p AS (SELECT *, sum(w) OVER (PARTITION BY r ORDER BY i) - w AS before, count(*) OVER (PARTITION BY r) AS nl FROM s),
+e AS (SELECT p.r, p.i, min(q.i) - p.i + 1 AS m FROM p JOIN p q ON p.r = q.r AND q.i >= p.i AND q.before + q.w >= p.before + {least_words} GROUP BY p.r, p.i),
+ls AS (SELECT r, doc_id, any_value(text) AS text, list(x ORDER BY i) AS xs, list(n ORDER BY i) AS ns FROM s GROUP BY r, doc_id),
+win AS (SELECT r, doc_id, text, i, m, array_to_string(xs[i + 1:i + m], chr(10)) AS run FROM e JOIN ls USING (r)),
+first AS (SELECT run, min((coalesce(doc_id, -9223372036854775808), md5(text), i)) AS f, min(doc_id) AS lowest FROM win GROUP BY run),
+gone AS (SELECT DISTINCT r, n FROM (SELECT r, unnest(range(ns[i + 1], ns[i + m] + 1)) AS n FROM win JOIN first USING (run) JOIN ls USING (r)
+        WHERE (coalesce(win.doc_id, -9223372036854775808), md5(win.text), i) <> f)),
+kept AS (SELECT r, string_agg(x, chr(10) ORDER BY n) AS x FROM a ANTI JOIN gone USING (r, n) GROUP BY r),
+c AS (SELECT r, count(*) AS n_removed FROM gone JOIN s USING (r, n) GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.x, '') END) AS kept_md5
+FROM d LEFT JOIN kept USING (r) LEFT JOIN c USING (r)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import decontaminate, langid, licences, minhash, oracles, packing, quality, toxicity, wavelet
+from kilnworks.llm import decontaminate, langid, licences, linedup, minhash, oracles, packing, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -88,3 +88,11 @@ def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it holds."""
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.col("window_start").cast("long").alias("window_start"), "shared", "total")
+
+
+@_query("op1_line_dedup", oracles.deduplicated_lines(linedup.LEAST_WORDS))
+def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's deleted lines, and what is left of it."""
+    rows = linedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate(F.zip_with("line_starts", "line_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return rows.select("doc_id", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
