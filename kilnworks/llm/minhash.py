@@ -2,9 +2,9 @@
 
 A document's set is its distinct shingles of ``k`` words (the whole sequence if it has fewer). One
 hash of each shingle gives both its bin and its value; a bin keeps its smallest value; an empty bin
-borrows from the first filled bin in a random order of its own (optimal densification). ``BANDS``
-bands of ``ROWS`` bins make bucket keys. At a similarity of 0.85 a pair misses all buckets with a
-chance of about 2e-7.
+borrows from the first filled bin in a random order of its own (optimal densification). Bands
+of ``ROWS`` bins each make bucket keys. At a similarity of 0.85 a pair misses all buckets with a
+chance of about 2e-7; below 0.85, bands of ``SHORT_ROWS`` bins are used, and at 0.8 it is 4e-9.
 
 Documents with equal sets are one class from the start. In each bucket the smallest class is the
 centre of a star: centre and member are compared on their full sets, so pairs grow with the members,
@@ -33,15 +33,14 @@ from kilnworks.llm.common import prepare
 from kilnworks.llm.graph import components
 from kilnworks.session import durable
 
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+BINS, ROWS, SHORT_ROWS = 384, 8, 6
 #: Rows (of a few numbers each) up to which a table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Members of a star that one task compares with its centre.
 STAR_ROWS = 512
 
 _U = np.uint64
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 63, size=16 + ROWS + BANDS, dtype=np.uint64) * _U(2) + _U(1)
+_ODD = np.random.default_rng(20240229).integers(1, 1 << 63, size=16 + ROWS + BINS, dtype=np.uint64) * _U(2) + _U(1)
 _PROBE = np.argsort(np.random.default_rng(5).random((BINS, BINS)), axis=1)  # each bin's own order of donors
 _PLACE = np.argsort(_PROBE, axis=1).astype(np.int16)
 
@@ -119,10 +118,10 @@ def densified(shingles: np.ndarray) -> np.ndarray:
     return values
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     """Bucket keys, one for each band, of rows of bin values."""
-    rows = signatures.reshape(len(signatures), BANDS, ROWS)
-    return _mix((rows * _ODD[16:16 + ROWS]).sum(axis=2, dtype=np.uint64) + _ODD[16 + ROWS:])
+    bands = signatures.reshape(len(signatures), BINS // rows, rows)
+    return _mix((bands * _ODD[16:16 + rows]).sum(axis=2, dtype=np.uint64) + _ODD[16 + ROWS:16 + ROWS + BINS // rows])
 
 
 def set_name(shingles: np.ndarray) -> int:
@@ -134,18 +133,18 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _signed(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, c (class; null for an empty set) and bands of every row of ``texts`` (doc_id, x)."""
+def _signed(texts: DataFrame, k: int, rows: int) -> DataFrame:
+    """doc_id, t, n, c (class; null for an empty set) and bands of every row of ``texts`` (doc_id, t, x)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), k)
+            sets = shingle_sets(batch.column(2), k)
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(np.stack([densified(s) for s in full])).view(np.int64)) if full else iter(())
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+            keys = iter(band_keys(np.stack([densified(s) for s in full]), rows).view(np.int64)) if full else iter(())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                                    pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()),
-                                   pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "c", "bands"])
+                                   pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "t", "n", "c", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, c long, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, t long, n long, c long, bands array<long>")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -174,11 +173,11 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, n, c) and the component (label) of each class, with its smallest id: c, doc_id, label."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
-    rows = durable(_signed(texts, k))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("t"), F.col(text_col).alias("x"))
+    rows = durable(_signed(texts, k, ROWS if percent >= 85 else SHORT_ROWS))
     classes = durable(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     entries = classes.select("c", F.explode("bands").alias("bucket"))
     shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
@@ -205,12 +204,39 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
         open_ = durable(state.select("bucket", "c").join(first.select("bucket", F.col("a").alias("c")), ["bucket", "c"], "left_anti"))
         centres *= 2
     named = classes.select("c", "doc_id")
-    if labels is not None:
-        named = named.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = durable(named.join(least, "label").select("c", "component_id"))
-    else:
-        named = named.withColumnRenamed("doc_id", "component_id")
+    if labels is None:
+        return rows, named.withColumn("label", F.col("c"))
+    return rows, durable(named.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("\x00null")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, classes = _grouped(docs, k, percent, id_col, text_col)
+    least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = durable(classes.select("c", "label").join(least, "label").select("c", "component_id"))
     out = rows.select("doc_id", "n", "c").join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all their columns: of each component the one with the smallest id (then text hash; null last).
+
+    Rows without a word stay. A row that repeats (id and text) stays once.
+    """
+    rows, classes = _grouped(docs, k, percent, id_col, text_col)
+    own = durable(rows.where("c is not null").select("doc_id", "t", "c").join(classes.select("c", "label"), "c").groupBy("label", "doc_id", "t").agg(F.count("*").alias("n")))
+    last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+    first = durable(own.groupBy("label").agg(F.min(F.struct(last.alias("d"), "t")).alias("first")))
+    judged = own.join(first, "label").withColumn("stays", (F.col("first.d") == last) & (F.col("first.t") == F.col("t")))
+    mark = lambda df: df.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"))
+    gone, again = durable(mark(judged.where("not stays"))), durable(mark(judged.where("stays and n > 1")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (_text_hash(text_col) == F.col("__t"))
+    left = docs.join(_sized(gone), same, "left_anti")
+    if again.isEmpty():
+        return left
+    return left.join(_sized(again), same, "left_anti").unionAll(left.join(_sized(again), same, "left_semi").dropDuplicates([id_col, text_col]))

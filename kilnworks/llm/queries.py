@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import decontaminate, langid, licences, linedup, minhash, oracles, packing, quality, toxicity, wavelet
+from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, oracles, packing, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -96,3 +97,15 @@ def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate(F.zip_with("line_starts", "line_ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
     return rows.select("doc_id", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.md5("text").alias("kept_md5"))
+
+
+@_query("op10_suffix_merge_dedup")
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's repeated bytes, and what is left of it."""
+    rows = bytededup.removed_bytes(read(spark, sf_dir, "documents"))
+    sizes = F.zip_with("starts", "ends", lambda a, b: b - a)
+    return rows.select("doc_id", "n_bytes", F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x).alias("n_removed"),
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
