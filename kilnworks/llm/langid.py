@@ -200,7 +200,8 @@ def fit(train: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models | None:
     np.subtract.at(gamma, (place[rows["ctx"][inner]].to_numpy(), column[inner]), rows["a"][inner].to_numpy())
     gamma0 = np.ones(len(langs))
     np.subtract.at(gamma0, column[~inner], rows["a"][~inner].to_numpy())
-    alphabet = len({c for g in grams for c in g}) + 1
+    # every character seen, the end sign, and one place for all others
+    alphabet = table.where("n = 1").select("g").distinct().count() + 1
     return Models(langs, keys[order], alpha.astype(np.float32), np.clip(gamma, 1e-6, 1).astype(np.float32), np.clip(gamma0, 1e-6, 1), 1 / alphabet)
 
 

@@ -62,7 +62,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, least_dice: float =
     if not table:
         return rows.select("doc_id", empty.cast("string").alias("licence"), *[empty.cast("long").alias(c) for c in ("shared", "n_text", "n_notice", "unit")])
     reach = (2 - least_dice) / least_dice
-    most, fewest = max(len(t["b"]) for t in table) * reach, min(len(t["b"]) for t in table) / reach
+    most, fewest = int(max(len(t["b"]) for t in table) * reach) + 1, int(min(len(t["b"]) for t in table) / reach) - 1
     known = F.array(*[F.struct(F.lit(t["licence"]).alias("licence"), F.array(*[F.lit(h) for h in t["b"]]).alias("b")) for t in table])
     lines = F.transform(F.split(F.coalesce("x", F.lit("")), "\n"), lambda x: letter_words(x))
     rows = rows.select("doc_id", lines.alias("l"))
@@ -73,7 +73,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, least_dice: float =
     rows = rows.withColumn("u", F.filter("u", lambda u: F.size(u["b"]).between(F.lit(fewest), F.lit(most)))).withColumn("t", F.when(F.size("u") > 0, known))
 
     def against(u):
-        near = F.filter("t", lambda t: (F.size(t["b"]) <= F.size(u["b"]) * F.lit(reach)) & (F.size(u["b"]) <= F.size(t["b"]) * F.lit(reach)))
+        # the most that sets of these sizes can reach
+        near = F.filter("t", lambda t: 2.0 * F.least(F.size(t["b"]), F.size(u["b"])) / (F.size(t["b"]) + F.size(u["b"])) >= least_dice)
         return F.transform(near, lambda t: F.struct(
             F.size(F.array_intersect(t["b"], u["b"])).cast("long").alias("shared"), F.size(u["b"]).cast("long").alias("n_text"),
             F.size(t["b"]).cast("long").alias("n_notice"), t["licence"].alias("licence"), u["unit"].cast("long").alias("unit")))

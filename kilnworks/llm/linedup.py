@@ -108,7 +108,7 @@ def maximal_runs(runs: DataFrame) -> DataFrame:
             for row in batch.column(2).to_pylist():
                 i = np.array([r["i"] for r in row])
                 upto = np.maximum.accumulate(np.array([r["i"] + r["m"] for r in row]))
-                new = np.concatenate([[True], i[1:] > upto[:-1]])
+                new = np.concatenate([[True], i[1:] >= upto[:-1]])
                 starts.append(i[new])
                 ends.append(upto[np.concatenate([new[1:], [True]])])
             kind = pa.list_(pa.int32())
