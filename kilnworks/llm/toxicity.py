@@ -65,9 +65,14 @@ class Scorer:
         """Weighted features of words; which of them a word has is remembered."""
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        for w in words - self.seen.keys():
-            self.seen[w] = tuple(f for f in of_word(w) if f in self.weights)
-        return {f for w in words for f in self.seen[w]}
+        found: set[str] = set()
+        for w in words:
+            own = self.seen.get(w)
+            if own is None:
+                own = self.seen[w] = tuple(f for f in of_word(w) if f in self.weights)
+            if own:
+                found.update(own)
+        return found
 
     def score(self, text: str | None) -> float:
         found = self._weighted(set(_WORD.findall(text.lower()))) if text else ()
