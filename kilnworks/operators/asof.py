@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions.quote import smoothed_rate
 from kilnworks.operators.scale import (
-    instant_levels, integer_levels, join_on, prefix_sums, with_scalars)
+    id_levels, instant_levels, join_on, prefix_sums, with_scalars)
 
 
 def _levels(time: Column, daily: bool) -> list[Column]:
@@ -97,9 +97,9 @@ def count_and_recency_history(df: DataFrame, key: str, time: str, tie: str) -> D
 
     Days with rows form the first order level; ids break ties inside a day.
     """
-    levels = [F.col(time), *integer_levels(F.col(tie))]
+    levels = [F.col(time), *id_levels(df, tie)]
     order = prefix_sums(df, [key], levels, {"rows": F.lit(1)})
-    seq = order.select(key, F.col("_l0").alias(time), F.col("_l2").alias(tie),
+    seq = order.select(key, F.col("_l0").alias(time), F.col(f"_l{len(levels) - 1}").alias(tie),
                        F.col("rows_before").alias("prior_count"))
     days = df.groupBy(key, time).agg(F.min(tie).alias("__first"))
     w = Window.partitionBy(key).orderBy(time)

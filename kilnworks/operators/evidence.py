@@ -176,8 +176,9 @@ def rank_lines(lines: DataFrame) -> DataFrame:
     rest = F.col("signal_order") * F.lit(2**40) + F.coalesce("seq", F.lit(-1)) + 1
     levels = [*real_levels(key), *integer_levels(rest)]
     order = prefix_sums(lines, ["job_id"], levels, {"rows": F.lit(1)})
-    idx = order.select("job_id", F.col("_l1").alias("__k"), F.col("_l3").alias("__p"), F.col("rows_before").alias("line_index"))
-    keyed = lines.withColumns({"__k": key, "__p": rest})
+    at = len(real_levels(key)) - 1
+    idx = order.select("job_id", F.col(f"_l{at}").alias("__k"), F.col(f"_l{len(levels) - 1}").alias("__p"), F.col("rows_before").alias("line_index"))
+    keyed = lines.withColumns({"__k": levels[at], "__p": rest})
     return keyed.join(idx, ["job_id", "__k", "__p"]).drop("__k", "__p")
 
 

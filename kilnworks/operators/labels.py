@@ -12,18 +12,23 @@ from kilnworks.operators.graph import family_roots
 from kilnworks.operators.scale import join_on, last_per_key, with_scalars
 from kilnworks.session import durable
 
-OPTIONAL_HEADER = {"parentQuotationID": T.LongType(), "revisionNumber": T.IntegerType(),
+# Optional columns of the export with their types. A parent id has the type of the id.
+OPTIONAL_HEADER = {"parentQuotationID": T.StringType(), "revisionNumber": T.IntegerType(),
                    "paymentTerms": T.StringType()}
 OPTIONAL_LINE = {"negotiatedSalesPrice": T.DoubleType(), "listPrice": T.DoubleType(),
                  "lineTotal": T.DoubleType(), "materialSpec": T.StringType(),
                  "productName": T.StringType(), "discountPercent": T.DoubleType()}
+# Fixed value: open quotes of this age count as lost.
 OPEN_QUOTE_LOST_AFTER_DAYS = 60
 
 
 def fill_optional(df: DataFrame, spec: dict[str, T.DataType]) -> DataFrame:
     """Add absent optional columns: revision 1, everything else null."""
+    types = dict(spec)
+    if "parentQuotationID" in spec and "quotationID" in df.columns:
+        types["parentQuotationID"] = df.schema["quotationID"].dataType
     add = {c: (F.lit(1) if c == "revisionNumber" else F.lit(None)).cast(t)
-           for c, t in spec.items() if c not in df.columns}
+           for c, t in types.items() if c not in df.columns}
     return df.withColumns(add) if add else df
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions.quote import wilson
 from kilnworks.operators.scale import (
-    exact_quantiles, join_on, prefix_sums, real_levels, text_levels, with_scalars)
+    exact_quantiles, join_on, ordered_text_levels, prefix_sums, real_levels, text_levels, with_scalars)
 
 BINS = 10
 EDGES = [i * 0.1 for i in range(1, BINS)]
@@ -202,9 +202,10 @@ def single_feature_auc(df: DataFrame, y: str, numeric: Sequence[str], categorica
     long = long_form(df, numeric, y)
     for c in categorical:
         s = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        order = prefix_sums(df.select(s.alias("__c")).distinct(), [],
-                            [F.substring("__c", 1, 3), F.col("__c")], {"n": F.lit(1)})
-        coded = df.select(y, s.alias("__c")).join(order.select(F.col("_l1").alias("__c"), "n_before"), "__c")
+        names = df.select(s.alias("__c")).distinct()
+        levels = ordered_text_levels(names, F.col("__c"))
+        order = prefix_sums(names, [], levels, {"n": F.lit(1)})
+        coded = df.select(y, s.alias("__c")).join(order.select(F.col(f"_l{len(levels) - 1}").alias("__c"), "n_before"), "__c")
         long = long.unionByName(coded.select(y, F.lit(c).alias("feature"), F.col("n_before").cast("double").alias("value")))
     auc = roc_auc(long, y, "value", ["feature"])
     return auc.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))

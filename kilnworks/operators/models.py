@@ -26,9 +26,11 @@ SEED = 7
 TOP_CATEGORIES = 8
 # Served probability bounds, band clamp, calibrator rules, resamples.
 PROB_FLOOR, PROB_CEIL = 0.01, 0.99
+TREES, ROUNDS = 300, 350
 RATIO_CLAMP = (0.7, 1.3)
 ISOTONIC_ROWS, ISOTONIC_CLASS, ISOTONIC_DISTINCT = 500, 30, 20
-SCORE_STEPS = 100_000
+# Cells of a calibration fit: steps of log-odds, so both ends of the scale are told apart.
+LOGIT_STEPS = 32_768
 RESAMPLES, CI_LOW, CI_HIGH = 15, 0.05, 0.95
 
 
@@ -82,11 +84,9 @@ def prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 # --- candidates -------------------------------------------------------------
-def candidates(label: str, effort: float = 1.0) -> dict[str, Estimator]:
-    """Logistic regression, random forest and two boosted settings; ``effort`` scales the tree counts."""
+def candidates(label: str, trees: int = TREES, rounds: int = ROUNDS) -> dict[str, Estimator]:
+    """Logistic regression, random forest and two boosted settings."""
     common = {"labelCol": label, "featuresCol": "features"}
-    trees = max(2, int(300 * effort))
-    rounds = max(2, int(350 * effort))
     return {
         "logistic_regression": LogisticRegression(maxIter=100, **common),
         "random_forest": RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, seed=SEED, **common),
@@ -106,12 +106,12 @@ def raw_scores(df: DataFrame, prep: Prepared, model: PipelineModel, out: str = "
 
 def random_search(train: DataFrame, prep: Prepared, estimator: Estimator, space: dict[Any, list], label: str,
                   tries: int = 8, folds: int = 3) -> tuple[Any, list[float]]:
-    """Three-fold cross validation over a seeded sample of the grid; AUC decides."""
+    """Three-fold cross validation over the estimator's own setting and a seeded sample of the grid; AUC decides."""
     grid = ParamGridBuilder()
     for p, values in space.items():
         grid = grid.addGrid(p, values)
     every = grid.build()
-    picked = random.Random(SEED).sample(every, min(tries, len(every)))
+    picked = [{}, *random.Random(SEED).sample(every, min(tries - 1, len(every)))]
     pipe = Pipeline(stages=[*feature_stages(prep.numeric, prep.categorical), estimator])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=picked, numFolds=folds, seed=SEED, parallelism=2,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"))
@@ -123,7 +123,8 @@ def random_search(train: DataFrame, prep: Prepared, estimator: Estimator, space:
 class Calibrator:
     """Isotonic where the fold is large enough, else a one-feature logistic fit.
 
-    Scores are first counted on a grid of 100,000 steps, which bounds what the
+    Scores are first counted in cells of log-odds, 32,768 to a unit: at most 900,000
+    cells, each within 2e-5 of its scores relative to the nearer end, bound what the
     isotonic fit has to pool.
     """
 
@@ -136,7 +137,8 @@ class Calibrator:
         return F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
 
     def fit(self, df: DataFrame, raw: str, label: str) -> "Calibrator":
-        step = F.round(self._clip(F.col(raw)) * SCORE_STEPS) / SCORE_STEPS
+        x = self._clip(F.col(raw))
+        step = 1 / (1 + F.exp(-F.round(F.log(x / (1 - x)) * LOGIT_STEPS) / LOGIT_STEPS))
         cells = df.select(step.alias("x"), F.col(label).cast("double").alias("label")).groupBy("x", "label").agg(
             F.count(F.lit(1)).cast("double").alias("weight")).cache()
         try:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -71,13 +72,43 @@ def text_levels(c: Column) -> list[Column]:
 
 
 def real_levels(c: Column) -> list[Column]:
-    """Two levels for a double: log-scaled steps (65,536 below one), then the value.
+    """Three levels for a double: exponent and 1024 steps within it, 2^21 steps within those, the value.
 
-    The step is a non-decreasing function of the value, so the level order is the
-    value order. Equal values share a cell, so copies of one value add nothing.
+    Each level is a non-decreasing function of the value, as the steps are those of the
+    number's own binary form, so values crowd no cell however small or close they are: at
+    most 2^21 distinct values lie below a cell. Equal values share a cell, so copies of one
+    value add nothing. Minus zero counts as zero; an infinity is the outermost cell.
     """
     c = c.cast("double")
-    return [F.floor(F.signum(c) * F.log2(F.lit(1.0) + F.abs(c)) * F.lit(65536.0)), c]
+    c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+    size = F.least(F.abs(c), F.lit(1.7976931348623157e308))
+    exponent = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(5e-324)))), F.lit(-1074)).cast("int")
+    half = (-exponent / 2).cast("int")  # two factors, as 2^1074 is beyond the largest double
+    steps = (size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -exponent - half) - 1) * F.lit(1024.0)
+    coarse = F.floor(steps)
+    fine = F.floor((steps - coarse) * F.lit(2.0**21))
+    sign = F.signum(c).cast("bigint")
+    return [sign * ((exponent.cast("bigint") + 1100) * 1026 + coarse + 1), sign * fine, c]
+
+
+def ordered_text_levels(df: DataFrame, c: Column, width: int = 3, most: int = 6) -> list[Column]:
+    """Levels for a text in its own order: steps of three characters behind what all values share, then the text.
+
+    How much is shared follows from the smallest and the largest value.
+    """
+    c = c.cast("string")
+    ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b"), F.max(F.length(c)).alias("n")).first()
+    a, b, longest = ends["a"] or "", ends["b"] or "", ends["n"] or 0
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    steps = min(most, max(0, -(-(longest - same) // width) - 1))
+    return [*[F.coalesce(F.substring(c, same + 1 + k * width, width), F.lit("")) for k in range(steps)], c]
+
+
+def id_levels(df: DataFrame, name: str) -> list[Column]:
+    """Levels of an id column in its own order: blocks for whole numbers, characters for anything else."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return integer_levels(F.col(name))
+    return ordered_text_levels(df, F.col(name))
 
 
 def instant_levels(c: Column) -> list[Column]:
@@ -131,8 +162,9 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     """
     v = F.col(value).cast("double")
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"))
-    ranked = prefix_sums(rows, groups, real_levels(F.col("__v")), {"n": F.lit(1)})
-    ranked = ranked.withColumnRenamed("_l1", "__v")
+    levels = real_levels(F.col("__v"))
+    ranked = prefix_sums(rows, groups, levels, {"n": F.lit(1)})
+    ranked = ranked.withColumnRenamed(f"_l{len(levels) - 1}", "__v")
     totals = ranked.groupBy(*groups).agg(F.sum("n").alias("__total"))
     if groups:
         ranked = join_on(ranked, totals, list(groups), "inner")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnworks.operators.scale import integer_levels, join_on, prefix_sums, text_levels, with_scalars
+from kilnworks.operators.scale import id_levels, join_on, prefix_sums, text_levels, with_scalars
+from kilnworks.session import durable
 
 # Fold shares, fold minimum, fallback seeds.
 TRAIN_SHARE, CALIBRATION_SHARE = 0.60, 0.20
@@ -30,7 +31,7 @@ def temporal_group_split(df: DataFrame, group: str, date: str) -> DataFrame:
     """Whole groups in order of their first date (ties by id), 60/20/20 by rows."""
     sizes = df.groupBy(group).agg(F.min(date).alias("__d"), F.count(F.lit(1)).alias("size"))
     total = df.agg(F.count(F.lit(1)).alias("__n"))
-    return _walk(df, group, sizes, [F.col("__d"), *integer_levels(F.col(group))], total)
+    return _walk(df, group, sizes, [F.col("__d"), *id_levels(df, group)], total)
 
 
 def hashed_group_split(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -55,9 +56,23 @@ def three_way_split(df: DataFrame, group: str, date: str, label: str) -> tuple[D
         out = hashed_group_split(df, group, seed)
         if folds_usable(out, label):
             return out, "random-grouped"
-    draw = F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(1000)) / 1000.0
-    fold = F.when(draw < TRAIN_SHARE, "train").when(draw < TRAIN_SHARE + CALIBRATION_SHARE, "calibration").otherwise("holdout")
-    return df.withColumn("fold", fold), "stratified-rowwise"
+    return stratified_rows(df, label), "stratified-rowwise"
+
+
+def stratified_rows(df: DataFrame, label: str, seed: int = FALLBACK_SEEDS[0]) -> DataFrame:
+    """Single rows in a seeded hash order within each label, 60/20/20 of each.
+
+    Rows are numbered in a written table, so equal rows have places of their own.
+    """
+    rows = durable(df.withColumn("__row", F.monotonically_increasing_id()))
+    levels = text_levels(F.concat_ws("-", F.lit(seed), F.col("__row")))
+    ranked = prefix_sums(rows, [label], levels, {"rows": F.lit(1)})
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    seen = F.col("rows_before")
+    fold = (F.when(seen < F.round(TRAIN_SHARE * F.col("__n")), "train")
+            .when(seen < F.round((TRAIN_SHARE + CALIBRATION_SHARE) * F.col("__n")), "calibration").otherwise("holdout"))
+    folds = join_on(ranked, n, [label]).select(label, F.col("_l1").alias("__leaf"), fold.alias("fold"))
+    return join_on(rows.withColumn("__leaf", levels[-1]), folds, [label, "__leaf"], "inner").drop("__leaf", "__row")
 
 
 def stratified_group_split(df: DataFrame, group: str, label: str, share: float = 0.8) -> DataFrame:

@@ -149,11 +149,11 @@ def _(spark, sf):
 PROBE = ", ".join(f"{v!r}::DOUBLE" for v in W.grid(0.2, 2.4, W.PROBE_POINTS))
 
 
-@query("i18_informative_range", f"""WITH s AS (SELECT * FROM priceable ORDER BY md5(id), id LIMIT 300), m AS (SELECT i, r, quantile_cont({curve_sql('r')}, 0.5) AS m FROM s CROSS JOIN (SELECT unnest([{PROBE}]) AS r, unnest(range(0, 121)) AS i) GROUP BY 1, 2),
+@query("i18_informative_range", f"""WITH s AS (SELECT * FROM priceable), m AS (SELECT i, r, quantile_cont({curve_sql('r')}, 0.5) AS m FROM s CROSS JOIN (SELECT unnest([{PROBE}]) AS r, unnest(range(0, 121)) AS i) GROUP BY 1, 2),
  e AS (SELECT arg_min(m, i) AS l, arg_max(m, i) AS h FROM m) SELECT round(min(CASE WHEN l - m > 0.005 THEN r END), 6) AS low, round(max(CASE WHEN m - h > 0.005 THEN r END), 6) AS high FROM m, e""")
 def _(spark, sf):
     f = priceable(spark, sf)
-    return W.informative_range(f, curve, 0.2, 2.4, F.concat(F.md5(F.col("id").cast("binary")), "id"))
+    return W.informative_range(f, curve, 0.2, 2.4)
 
 
 @query("i20_noisy_or", "SELECT quotationID, round(least(greatest(product(least(greatest(p, 1e-4), 1 - 1e-4)), 1e-4), 1 - 1e-4), 6) AS quote_win_probability FROM scored GROUP BY 1")

@@ -9,7 +9,7 @@ from kilnworks.functions import quote as Q
 from kilnworks.operators import asof, labels
 from kilnworks.operators.graph import family_roots
 from kilnworks.operators.scale import (
-    exact_quantiles, group_and_overall, top_per_key, with_group_totals, with_scalars)
+    exact_quantiles, group_and_overall, ordered_text_levels, prefix_sums, top_per_key, with_group_totals, with_scalars)
 from kilnworks.plans import frames
 from kilnworks.plans.catalog import query
 from kilnworks.sources import proxies as P
@@ -384,16 +384,15 @@ def _(spark, sf):
         F.coalesce("category", F.lit("Other")).alias("category")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("d14_option_graph", """SELECT parent, count(*) AS n, string_agg(child, ',' ORDER BY child) AS children FROM (
- SELECT parent, child FROM (SELECT DISTINCT industry AS parent, CAST(productID AS VARCHAR) AS child FROM quote_lines JOIN quotes USING (quotationID))
- QUALIFY row_number() OVER (PARTITION BY parent ORDER BY child) <= 500) GROUP BY parent""")
+@query("d14_option_graph", """SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY child) - 1 AS place
+ FROM (SELECT DISTINCT industry AS parent, CAST(productID AS VARCHAR) AS child FROM quote_lines JOIN quotes USING (quotationID))""")
 def _(spark, sf):
-    """At most 500 sorted children per parent are the feature; each key is cut before the shuffle."""
+    """Every child of every parent with its place in the sorted list; a list cut to a length is a filter on the place."""
     pairs = P.quote_lines(spark, sf).join(P.quotes(spark, sf), "quotationID").select(
         F.col("industry").alias("parent"), F.col("productID").cast("string").alias("child")).distinct()
-    kept = top_per_key(pairs, ["parent"], [F.asc("child")], 500)
-    return kept.groupBy("parent").agg(F.count(F.lit(1)).alias("n"),
-                                      F.concat_ws(",", F.array_sort(F.collect_list("child"))).alias("children"))
+    levels = ordered_text_levels(pairs, F.col("child"))
+    placed = prefix_sums(pairs, ["parent"], levels, {"rows": F.lit(1)})
+    return placed.select("parent", F.col(f"_l{len(levels) - 1}").alias("child"), F.col("rows_before").alias("place"))
 
 
 @query("h09_log_features", "SELECT quotationID, round(ln(1 + greatest(grandTotal, 0)), 6) AS log_value FROM quotes")

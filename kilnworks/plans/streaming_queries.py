@@ -21,7 +21,7 @@ def event_files(spark, sf):
     ev.select(F.col("event_type").alias("topic"), F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant"),
               F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("value"), F.col("value").cast("string")).alias("payload"),
               F.when(F.col("event_id") % 2 == 0, "1").alias("label"),
-              (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")).repartition(4).write.json(path)
+              (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts")).write.json(path)
     return path
 
 
@@ -80,7 +80,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same labels from a stream of completed orders, committed batch by batch."""
     path, out = scratch_path(spark, "done"), scratch_path(spark, "outcomes")
-    completed_orders(spark, sf).repartition(3).write.parquet(path)
+    completed_orders(spark, sf).write.parquet(path)
     stream = spark.readStream.schema("job_id bigint, completed_at timestamp, status string").option("maxFilesPerTrigger", 1).parquet(path)
     J.for_each_batch(stream, J.write_outcomes(out, swept_work_orders(spark, sf)), scratch_path(spark, "ck"))
     return J.read_outcomes(spark, out).select("job_id", "hours_late", "was_late", "duration_overrun_ratio")
@@ -91,7 +91,7 @@ def _(spark, sf):
     """Every event arrives twice; the copies fall away."""
     path = scratch_path(spark, "twice")
     ev = P.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    ev.unionByName(ev).repartition(1).sortWithinPartitions("ts").write.parquet(path)
+    ev.unionByName(ev).sortWithinPartitions("ts").write.parquet(path)
     stream = spark.readStream.schema("event_id bigint, ts timestamp").parquet(path)
     out = J.drain(J.drop_late_copies(stream, "event_id", "ts"), scratch_path(spark, "k04"), scratch_path(spark, "ck"))
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
@@ -136,7 +136,7 @@ def _(spark, sf):
     s = P.scored_lines(spark, sf)
     num, cat = ["quantity", "unitPrice", "price_ratio"], ["materialSpec"]
     prep = ML.prepare(s, num, cat)
-    model = ML.fit_model(s, prep, LogisticRegression(labelCol="y", maxIter=10))
+    model = ML.fit_model(s, prep, LogisticRegression(labelCol="y"))
     path = scratch_path(spark, "lines")
     s.select("id", *num, *cat).write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

@@ -10,10 +10,11 @@ from kilnworks.operators import metrics as M
 from kilnworks.operators import models as ML
 from kilnworks.operators import split as S
 from kilnworks.operators import sweep as W
-from kilnworks.operators.labels import header_frame
+from kilnworks.operators.labels import decided_headers
 from kilnworks.plans import frames
 from kilnworks.plans import training as T
 from kilnworks.plans.catalog import query
+from kilnworks.plans.quotes_queries import rate_table
 from kilnworks.session import durable
 from kilnworks.sources import proxies as P
 
@@ -44,11 +45,6 @@ def _(spark, sf):
     return made.groupBy("materialSpec").agg(F.max(F.size(v)).alias("width"), F.sum(v[0]).alias("scaled_quantity"))
 
 
-def _hazard(spark, sf, algorithm, effort):
-    t = T.train_hazard(P.snapshots(spark, sf), algorithm, effort)
-    return t.metrics.withColumn("algorithm", F.lit(algorithm)).select("algorithm", "auc", "pr_auc", "brier", "ece", "n_test", "accuracy")
-
-
 @query("i02_hazard_candidates")
 def _(spark, sf):
     """All four weekly hazard candidates on one set of folds, one metrics row each."""
@@ -57,7 +53,7 @@ def _(spark, sf):
     train, test = folds.filter("fold = 'train'"), folds.filter("fold = 'test'")
     prep = ML.prepare(train, T.HAZARD_NUMERIC, T.HAZARD_CATEG)
     out = None
-    for name, est in ML.candidates("target", effort=0.02).items():
+    for name, est in ML.candidates("target").items():
         s = ML.raw_scores(test, prep, ML.fit_model(train, prep, est))
         row = ML.evaluate(s, "target", "raw").select(F.lit(name).alias("algorithm"), "auc", "brier", "ece", "n_test")
         out = row if out is None else out.unionByName(row)
@@ -80,9 +76,9 @@ def _(spark, sf):
 
 @query("i06_horizon_calibration")
 def _(spark, sf):
-    """Calibrated 30 and 60 day risks: rows, order violations (must be none), means against outcomes."""
+    """Calibrated 30 and 60 day risks of the test fold: rows, order violations (must be none), means against outcomes."""
     t = T.train_hazard(P.snapshots(spark, sf))
-    r = t.model.horizon.apply(t.parts["risks"], "s", "l", "c30", "c60")
+    r = t.model.horizon.apply(t.parts["test_risks"], "s", "l", "c30", "c60")
     return r.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c30") > F.col("c60")).alias("order_violations"),
                  F.avg("c30").alias("mean_30d"), F.avg(F.col("target_4w").cast("double")).alias("rate_30d"),
                  F.avg("c60").alias("mean_60d"), F.avg(F.col("target_9w").cast("double")).alias("rate_60d"))
@@ -105,16 +101,16 @@ def _(spark, sf):
     """Cross-validated AUC of each sampled setting."""
     s = scored(spark, sf)
     prep = ML.prepare(s, NUM, CAT)
-    lr = LogisticRegression(labelCol="y", maxIter=10)
+    lr = LogisticRegression(labelCol="y")
     space = {lr.regParam: [0.0, 0.01, 0.1], lr.elasticNetParam: [0.0, 0.5, 1.0]}
-    _best, auc = ML.random_search(s, prep, lr, space, "y", tries=3)
+    _best, auc = ML.random_search(s, prep, lr, space, "y")
     return spark.createDataFrame([(i, float(a)) for i, a in enumerate(auc)], "setting int, auc double")
 
 
 @query("i12_monotone_price")
 def _(spark, sf):
     """Hold-out metrics of the line model and the share of lines whose odds rise along the price grid (must be none)."""
-    t = T.train_line(line_frame(spark, sf), max_iter=30)
+    t = T.train_line(line_frame(spark, sf))
     hold = t.parts["folds"]["holdout"]
     grid = F.array(*[F.lit(v) for v in W.grid(0.2, 3.0, 21)])
     swept = hold.select(*[c for c in hold.columns if c != "price_ratio"], F.posexplode(grid).alias("step", "price_ratio"))
@@ -129,19 +125,18 @@ def _(spark, sf):
     """Rows, interval order and mean width of the resampled score interval."""
     f = line_frame(spark, sf)
     folds = T._folds(durable(S.temporal_group_split(f, "quotationID", "quoteDate")))
-    num = ["quantity", "unitPrice", "contact_win_rate", "product_win_rate"]
 
     def fit(train, calibration):
-        return ML.fit_monotone(train, calibration, num, [], "price_ratio", "won", max_iter=10)
+        return ML.fit_monotone(train, calibration, T.LINE_NUMERIC, T.LINE_CATEG, "price_ratio", "won")
 
-    out = ML.bootstrap_interval(folds["train"], folds["calibration"], folds["holdout"], fit, "quotationLineItemID", n=3)
+    out = ML.bootstrap_interval(folds["train"], folds["calibration"], folds["holdout"], fit, "quotationLineItemID")
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ci_low") > F.col("ci_high")).alias("crossed"),
                    F.avg(F.col("ci_high") - F.col("ci_low")).alias("mean_width"))
 
 
 @query("i14_quote_win_model")
 def _(spark, sf):
-    return T.train_win(win_frame(spark, sf), effort=0.03).metrics.select("auc", "pr_auc", "brier", "ece", "accuracy", "n_test")
+    return T.train_win(win_frame(spark, sf)).metrics.select("auc", "pr_auc", "brier", "ece", "accuracy", "n_test")
 
 
 @query("i15_price_band_model")
@@ -169,16 +164,18 @@ def _(spark, sf):
 
 @query("i23_horizon_evaluation")
 def _(spark, sf):
-    """Metrics of both horizons before and after calibration and of the constant baseline."""
+    """Metrics of both horizons on the test fold: raw, calibrated together, the long one calibrated on its own, constant baseline."""
     t = T.train_hazard(P.snapshots(spark, sf))
-    r = durable(t.model.horizon.apply(t.parts["risks"].filter("target_9w IS NOT NULL"), "s", "l", "c30", "c60").withColumns(
-        {"y30": F.col("target_4w").cast("int"), "y60": F.col("target_9w").cast("int")}))
+    fitted = t.parts["risks"].filter("target_9w IS NOT NULL").withColumn("y60", F.col("target_9w").cast("int"))
+    alone = ML.Calibrator().fit(fitted, "l", "y60")
+    r = t.model.horizon.apply(t.parts["test_risks"].filter("target_9w IS NOT NULL"), "s", "l", "c30", "c60")
+    r = durable(alone.apply(r, "l", "i60").withColumns({"y30": F.col("target_4w").cast("int"), "y60": F.col("target_9w").cast("int")}))
     base = r.agg(F.avg("y30").alias("b30"), F.avg("y60").alias("b60"))
     from kilnworks.operators.scale import with_scalars
     r = with_scalars(r, base)
     out = None
     for name, y, p in (("before_30d", "y30", "s"), ("after_30d", "y30", "c30"), ("baseline_30d", "y30", "b30"),
-                       ("before_60d", "y60", "l"), ("after_60d", "y60", "c60"), ("baseline_60d", "y60", "b60")):
+                       ("before_60d", "y60", "l"), ("after_60d", "y60", "c60"), ("independent_60d", "y60", "i60"), ("baseline_60d", "y60", "b60")):
         row = ML.evaluate(r, y, p).select(F.lit(name).alias("score"), "auc", "brier", "ece", "n_test")
         out = row if out is None else out.unionByName(row)
     return out
@@ -188,12 +185,19 @@ def _(spark, sf):
 def _(spark, sf):
     """Every open quote scored with its advisory payload; counts by confidence."""
     frame = win_frame(spark, sf)
-    t = T.train_win(frame, effort=0.01)
+    t = T.train_win(frame)
     q = P.quotes(spark, sf).filter("statusName = 'Sent'")
     roll = frames.quote_rollup(frames.priced_lines(P.quote_lines(spark, sf)))
-    rates = header_frame(P.quotes(spark, sf)).agg(F.avg("contact_win_rate").alias("contact_win_rate"), F.avg("salesrep_win_rate").alias("salesrep_win_rate"))
     from kilnworks.operators.scale import with_scalars
-    f = with_scalars(q.join(roll, "quotationID"), rates).withColumns({"grand_total": F.col("grandTotal"), "n_comparable": F.col("line_count")})
+    h = durable(decided_headers(P.quotes(spark, sf)))
+    f = q.join(roll, "quotationID")
+    for key, name in (("customerID", "contact_win_rate"), ("salesRepID", "salesrep_win_rate")):
+        table = durable(rate_table(h, key))
+        own = table.withColumnsRenamed({"entity": "__e", "rate": "__r"})
+        overall = table.filter("entity = '_global'").select(F.col("rate").alias("__g"))
+        f = with_scalars(f.join(own, F.col(key).cast("string") == F.col("__e"), "left"), overall)
+        f = f.withColumn(name, F.coalesce("__r", "__g")).drop("__e", "__r", "__g")
+    f = f.withColumns({"grand_total": F.col("grandTotal"), "n_comparable": F.col("line_count")})
     s = T.score_open_quotes(f, t, "1")
     return s.groupBy("low_confidence", "hidden").agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("payload").contains("ai_quote")).alias("payloads"))
 
@@ -201,7 +205,7 @@ def _(spark, sf):
 @query("i25_line_training_job")
 def _(spark, sf):
     """Rows per fold of the whole line job and the hold-out metrics beside them."""
-    t = T.train_line(line_frame(spark, sf), max_iter=15)
+    t = T.train_line(line_frame(spark, sf))
     f = t.parts["folds"]
     counts = [f[n].agg(F.count(F.lit(1)).alias(n)) for n in ("train", "calibration", "holdout")]
     out = t.metrics.select("auc", "brier", "ece", "accuracy")
@@ -231,5 +235,5 @@ def _(spark, sf):
     s = scored(spark, sf)
     prep = ML.prepare(s, NUM, CAT)
     path = scratch_path(spark, "model")
-    ML.fit_model(s, prep, LogisticRegression(labelCol="y", maxIter=10)).write().save(path)
+    ML.fit_model(s, prep, LogisticRegression(labelCol="y")).write().save(path)
     return ML.raw_scores(s, prep, PipelineModel.load(path)).groupBy("materialSpec").agg(F.count(F.lit(1)).alias("rows"), F.avg("raw").alias("mean_score"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,15 +17,25 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kilnworks import schemas as X
 from kilnworks.operators.delay import outcome_labels
 from kilnworks.operators.scale import last_per_key
+from kilnworks.session import durable
 
-DRAIN_SECONDS = 900
 LOOKBACK = "24 hours"
 
 
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, partition: str | None = None, timers: bool = False) -> DataFrame:
+def _ended(q, seconds: float | None) -> None:
+    """Wait for the end of a draining stream, for ever unless a limit is given."""
+    if seconds is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(seconds):
+        q.stop()
+        raise TimeoutError("the stream did not drain in time")
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, partition: str | None = None, timers: bool = False,
+          seconds: float | None = None) -> DataFrame:
     """Run a stream over everything available into a parquet sink, then read the sink.
 
     A stream with processing-time timers asks for another empty batch for ever, so
@@ -37,20 +48,16 @@ def drain(df: DataFrame, path: str, checkpoint: str, partition: str | None = Non
     try:
         w = df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet")
         q = (w.partitionBy(partition) if partition else w).start(path)
-        if not q.awaitTermination(DRAIN_SECONDS):
-            q.stop()
-            raise TimeoutError("the stream did not drain in time")
+        _ended(q, seconds)
     finally:
         spark.conf.set(NO_DATA, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def for_each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def for_each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None) -> None:
     """Drain a stream through a batch writer; a batch counts only once the writer has returned."""
     q = df.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start()
-    if not q.awaitTermination(DRAIN_SECONDS):
-        q.stop()
-        raise TimeoutError("the stream did not drain in time")
+    _ended(q, seconds)
 
 
 # --- events -----------------------------------------------------------------
@@ -130,13 +137,18 @@ def sweep_outcomes(completed: DataFrame, work_orders: DataFrame, root: str, look
     spark = completed.sparkSession
     marks = f"{root}/bookmark"
     # a bookmark table that is not there yet means the first sweep
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(marks)
-    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
-    mark = spark.read.parquet(marks).agg(F.max("completed_at").alias("m"), F.max("sweep").alias("s")).first() if there else None
+    try:
+        mark = spark.read.schema("sweep int, completed_at timestamp").parquet(marks).agg(F.max("completed_at").alias("m"), F.max("sweep").alias("s")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        mark = None
     sweep = 0 if mark is None else mark["s"] + 1
     found = completed
     if mark is not None and mark["m"] is not None:
         found = completed.filter(F.col("completed_at") > F.lit(mark["m"]) - F.expr(f"INTERVAL {lookback}"))
+    # what is written and what the bookmark is taken from are the same rows, also if the source grows meanwhile
+    found = durable(found)
     write_outcomes(f"{root}/outcomes", work_orders)(found, sweep)
     seen = found.filter("status <> 'CANCELLED'").agg(F.max("completed_at").alias("completed_at"), F.count(F.lit(1)).alias("n")).first()
     newest = seen["completed_at"] if seen["completed_at"] is not None else (mark["m"] if mark else None)

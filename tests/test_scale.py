@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kilnworks.operators import asof, metrics
-from kilnworks.operators.scale import exact_quantiles, integer_levels, prefix_sums, real_levels, text_levels, top_per_key
+from kilnworks.operators import asof, metrics, split
+from kilnworks.operators.scale import exact_quantiles, id_levels, integer_levels, prefix_sums, real_levels, text_levels, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,47 @@ def test_top_per_key_limits_before_the_shuffle(hot):
     _rows, df = hot
     plan = top_per_key(df, ["k"], [F.desc("x")], 3)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_value_levels_stay_balanced(spark):
+    """Values far below one, and values close together, spread over many cells, in order."""
+    tiny = [1e-7 * (1 + k / 50_000) * (-1) ** k for k in range(50_000)] + [0.0, -0.0, 5e-324, 1e308, float("inf"), float("-inf"), 2.0, 4.0 - 4e-16]
+    close = [1e6 + k * 1e-3 for k in range(50_000)]
+    for values in (tiny, close):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        a, b, c = real_levels(F.col("v"))
+        rows = df.select(a.alias("a"), b.alias("b"), c.alias("c")).distinct().collect()
+        assert sorted(rows, key=lambda r: r.c) == sorted(rows)
+        assert len({(r.a, r.b) for r in rows}) > 100 and max(sum(1 for r in rows if r.a == x) for x in {r.a for r in rows}) <= 50_000
+
+
+def test_text_levels_follow_the_text(spark):
+    ids = [f"SKU-000{k:06d}" for k in range(0, 3000, 7)] + ["SKU-", "SKU-0009", "SKU-é"]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    levels = id_levels(df, "id")
+    assert len(levels) > 2
+    got = prefix_sums(df, [], levels, {"rows": F.lit(1)})
+    assert [r[0] for r in got.orderBy("rows_before").select(f"_l{len(levels) - 1}").collect()] == sorted(ids)
+
+
+def test_rows_are_split_within_each_label(spark):
+    df = spark.createDataFrame([(k % 4 == 0, "same") for k in range(400)], "won boolean, x string")
+    per = {(r.won, r.fold): r.n for r in split.stratified_rows(df, "won").groupBy("won", "fold").agg(F.count("*").alias("n")).collect()}
+    assert per == {(True, "train"): 60, (True, "calibration"): 20, (True, "holdout"): 20, (False, "train"): 180, (False, "calibration"): 60, (False, "holdout"): 60}
+
+
+def test_text_ids_reach_the_header_frame(spark):
+    from kilnworks.operators.labels import header_frame
+    base = [(f"Q-{k}", None if k % 5 else f"Q-{k + 1}", f"c{k % 3}", f"r{k % 2}", f"2020-01-{1 + k % 28:02d}", ["Closed Won", "Closed Lost"][k % 2], float(k)) for k in range(60)]
+    df = spark.createDataFrame(base, "quotationID string, parentQuotationID string, customerID string, salesRepID string, quoteDate string, statusName string, grandTotal double")
+    out = header_frame(df.withColumn("quoteDate", F.col("quoteDate").cast("date"))).collect()
+    assert out and all(r.quotationID.startswith("Q-") and r.prior_count is not None for r in out)
+    assert header_frame(df.drop("parentQuotationID").withColumn("quoteDate", F.col("quoteDate").cast("date"))).count() == 60
+
+
+def test_nested_non_finite_values_refuse_the_write(spark, tmp_path):
+    from kilnworks.sources.files import write_json_records
+    for k, bad in enumerate(("named_struct('a', array(1D, double('NaN')))", "map('x', double('Infinity'))", "array(named_struct('b', float('-Infinity')))")):
+        with pytest.raises(ValueError, match="non-finite"):
+            write_json_records(spark.sql(f"SELECT 1 AS id, {bad} AS v"), f"{tmp_path}/{k}")
+    write_json_records(spark.sql("SELECT 1 AS id, named_struct('a', array(1D, NULL)) AS v"), f"{tmp_path}/ok")
