@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 256
@@ -27,5 +27,5 @@ def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
     each = df.select(key, F.explode(words).alias("w"))
     bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 31, 2), 16, 10).cast("int")
     counts = each.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norm, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most 256 rows
+    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +74,13 @@ def final_revisions(df: DataFrame) -> DataFrame:
     return last_per_key(rooted, ["root"], ["revisionNumber", "quotationID"])
 
 
-def decided_headers(quotes: DataFrame, lost_after_days: int | None = OPEN_QUOTE_LOST_AFTER_DAYS) -> DataFrame:
-    """One row per decided quote family with its outcome."""
-    h = fill_optional(quotes, OPTIONAL_HEADER).dropDuplicates(["quotationID"])
+def decided_headers(quotes: DataFrame, lost_after_days: int | None = OPEN_QUOTE_LOST_AFTER_DAYS, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per decided quote family with its outcome; of other columns only ``columns``, or all of them."""
+    h = fill_optional(quotes, OPTIONAL_HEADER)
+    if columns is not None:
+        needed = {"quotationID", "parentQuotationID", "revisionNumber", "quoteDate", "statusName", *Q.LABEL_COLUMNS, *columns}
+        h = h.select(*[c for c in h.columns if c in needed])
+    h = h.dropDuplicates(["quotationID"])
     # read by the label check, by the newest date and by the result
     h, from_status = derive_label(durable(final_revisions(h)))
     if from_status:
@@ -87,7 +93,7 @@ def header_frame(quotes: DataFrame) -> DataFrame:
 
     The decided headers feed five aggregates, so they are written once.
     """
-    h = durable(decided_headers(quotes))
+    h = durable(decided_headers(quotes))  # all columns: the frames choose from them
     customer = win_rate_history(h, "customerID", "quoteDate", "won", "contact_win_rate")
     rep = win_rate_history(h, "salesRepID", "quoteDate", "won", "salesrep_win_rate")
     seen = count_and_recency_history(h, "customerID", "quoteDate", "quotationID")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kilnworks.functions.quote import wilson
 from kilnworks.operators.scale import (
     exact_quantiles, join_on, ordered_text_levels, prefix_sums, real_levels, text_levels, with_scalars)
+from kilnworks.session import durable
 
 BINS = 10
 EDGES = [i * 0.1 for i in range(1, BINS)]
@@ -135,18 +136,20 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> Da
     fewer than two rows on a side or three edges score zero.
     """
     ref, cur = long_form(reference, features), long_form(current, features)
-    probs = {f"q{i}": i / BINS for i in range(BINS + 1)}
-    edges = exact_quantiles(ref, ["feature"], "value", probs).select(
-        "feature", F.array_distinct(F.array(*probs)).alias("edges"))
     both = ref.withColumn("is_ref", F.lit(1)).unionByName(cur.withColumn("is_ref", F.lit(0))).filter(
         F.col("value").isNotNull() & ~F.isnan("value"))
+    # equal values are counted once, for the edges and for the bins
+    cells = durable(both.groupBy("feature", "value").agg(F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c")))
+    probs = {f"q{i}": i / BINS for i in range(BINS + 1)}
+    edges = exact_quantiles(cells, ["feature"], "value", probs, "r").select(
+        "feature", F.array_distinct(F.array(*probs)).alias("edges"))
     # one row of edges per feature: bounded by the number of columns
-    binned = both.join(F.broadcast(edges), "feature")
+    binned = cells.join(F.broadcast(edges), "feature")
     v, size = F.col("value"), F.size("edges")
     below = F.size(F.filter("edges", lambda e: e <= v))
     bin_no = F.when((below >= 1) & (v <= F.element_at("edges", -1)), F.least(below, size - 1))
     per = binned.groupBy("feature", bin_no.alias("bin")).agg(
-        F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c"), F.max(size).alias("size"))
+        F.sum("r").alias("r"), F.sum("c").alias("c"), F.max(size).alias("size"))
     totals = per.groupBy("feature").agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"), F.max("size").alias("size"))
     grid = totals.filter((F.col("size") >= 3) & (F.col("rn") >= 2) & (F.col("cn") >= 2)).withColumn(
         "bin", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))

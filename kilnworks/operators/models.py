@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kilnworks.operators import clean as C
 from kilnworks.operators import metrics as M
 from kilnworks.operators.scale import exact_quantiles, join_on, top_per_key
+from kilnworks.session import durable
 
 SEED = 7
 TOP_CATEGORIES = 8
@@ -260,7 +261,7 @@ def bootstrap_interval(train: DataFrame, calibration: DataFrame, target: DataFra
     for i in range(n):
         model = fit(train.sample(withReplacement=True, fraction=1.0, seed=SEED + i), calibration)
         names.append(f"__b{i}")
-        out = model.score(out, names[-1])
+        out = durable(model.score(out, names[-1]))  # else one plan holds all the models
     ordered = F.array_sort(F.array(*names))
 
     def at(q: float) -> Column:

@@ -154,16 +154,18 @@ def _prefix_of_cells(cells: DataFrame, keys: list[str], names: list[str],
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+                    probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles per group (or over all rows when no group).
 
+    ``weight`` holds how many rows a row stands for.
+
     Values are counted first, the counts ranked with :func:`prefix_sums`, and the
     two neighbours of each position picked by rank, so no task holds a group.
     """
     v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"))
+    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"), (F.lit(1) if weight is None else F.col(weight)).alias("__w"))
     levels = real_levels(F.col("__v"))
-    ranked = prefix_sums(rows, groups, levels, {"n": F.lit(1)})
+    ranked = prefix_sums(rows, groups, levels, {"n": F.col("__w")})
     ranked = ranked.withColumnRenamed(f"_l{len(levels) - 1}", "__v")
     totals = ranked.groupBy(*groups).agg(F.sum("n").alias("__total"))
     if groups:

@@ -160,14 +160,14 @@ def rate_table(df, entity):
 
 @query("d04_rate_lookup", f"SELECT entity, round(rate, 6) AS rate FROM ({RATE_TABLE})")
 def _(spark, sf):
-    return rate_table(labels.decided_headers(P.quotes(spark, sf)), "customerID")
+    return rate_table(labels.decided_headers(P.quotes(spark, sf), columns=["customerID"]), "customerID")
 
 
 @query("c10_rate_with_fallback", f"""WITH r AS ({RATE_TABLE}) SELECT quotationID, round(coalesce(r.rate, (SELECT rate FROM r WHERE entity = '_global')), 6) AS rate
  FROM quotes LEFT JOIN r ON r.entity = CAST(customerID AS VARCHAR)""")
 def _(spark, sf):
     q = P.quotes(spark, sf)
-    rates = rate_table(labels.decided_headers(q), "customerID")
+    rates = rate_table(labels.decided_headers(q, columns=["customerID"]), "customerID")
     overall = rates.filter(F.col("entity") == "_global").select(F.col("rate").alias("g"))
     joined = q.withColumn("entity", F.col("customerID").cast("string")).join(rates, "entity", "left")
     return with_scalars(joined, overall).select("quotationID", F.coalesce("rate", "g").alias("rate"))
@@ -221,7 +221,7 @@ PRIOR_LINES = """WITH f AS (SELECT p.*, d.quoteDate, d.won, d.customerID FROM pr
 @query("e01_prior_cumulative", """SELECT a.quotationID, count(b.won) AS prior_n, coalesce(sum(b.won), 0.0) AS prior_wins FROM decided a
  LEFT JOIN decided b ON a.salesRepID = b.salesRepID AND b.quoteDate < a.quoteDate GROUP BY 1""")
 def _(spark, sf):
-    out = asof.prior_totals(labels.decided_headers(P.quotes(spark, sf)), ["salesRepID"], "quoteDate",
+    out = asof.prior_totals(labels.decided_headers(P.quotes(spark, sf), columns=["salesRepID"]), ["salesRepID"], "quoteDate",
                             asof.value_and_count("won", F.col("won")))
     return out.select("quotationID", F.col("prior_won_n").alias("prior_n"), F.col("prior_won_s").alias("prior_wins"))
 
@@ -229,7 +229,7 @@ def _(spark, sf):
 @query("e02_prior_ratio", PRIOR_LINES + """ SELECT a.quotationLineItemID, round(coalesce(any_value(a.price_ratio) / nullif(avg(b.price_ratio), 0), 1.0), 5) AS price_vs_product
  FROM f a LEFT JOIN f b ON a.productID = b.productID AND b.quoteDate < a.quoteDate GROUP BY 1""", digits=5)
 def _(spark, sf):
-    h = labels.decided_headers(P.quotes(spark, sf)).select("quotationID", "quoteDate", "won")
+    h = labels.decided_headers(P.quotes(spark, sf), columns=()).select("quotationID", "quoteDate", "won")
     f = frames.priced_lines(P.quote_lines(spark, sf)).join(h, "quotationID")
     f = asof.prior_totals(f, ["productID"], "quoteDate", asof.value_and_count("pr", F.col("price_ratio")))
     return f.select("quotationLineItemID", asof.prior_ratio(
@@ -241,7 +241,7 @@ def _(spark, sf):
  LEFT JOIN u b ON a.productID = b.productID AND b.quoteDate < a.quoteDate GROUP BY 1, 2)
  SELECT quotationLineItemID, round(rate, 6) AS product_win_rate FROM f JOIN r USING (productID, quotationID)""")
 def _(spark, sf):
-    h = labels.decided_headers(P.quotes(spark, sf)).select("quotationID", "quoteDate", "won")
+    h = labels.decided_headers(P.quotes(spark, sf), columns=()).select("quotationID", "quoteDate", "won")
     f = P.quote_lines(spark, sf).join(h, "quotationID")
     return asof.prior_win_rate(f, "productID", "quoteDate", "won", "product_win_rate", quote="quotationID").select(
         "quotationLineItemID", "product_win_rate")
