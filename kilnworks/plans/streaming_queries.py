@@ -127,7 +127,7 @@ def _(spark, sf):
                    scratch_path(spark, "k06"), scratch_path(spark, "ck"))
 
 
-@query("k06_stream_scoring")
+@query("k06_stream_scoring", "SELECT materialSpec, count(*) AS rows, round(avg(y), 3) AS mean_score FROM scored GROUP BY 1", digits=3)
 def _(spark, sf):
     """Draft lines scored by a fitted pipeline inside the stream; rows and mean score per material."""
     from pyspark.ml.classification import LogisticRegression
