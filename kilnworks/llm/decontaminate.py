@@ -70,7 +70,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         for part in range(n_blocks):
             # one row for each shingle of the block's items: at most about BLOCK_ROWS
             known = F.broadcast(own.where(F.col("part") == part).select("n", "o", "h").distinct())
-            hits = shingled.select("doc_id", "t1", "t2", "w", F.posexplode("s").alias("p", "h")).join(known, "h")
+            # the outer form: for the inner one Spark would first test, on the text, whether there is any shingle
+            hits = shingled.select("doc_id", "t1", "t2", "w", F.posexplode_outer("s").alias("p", "h")).join(known, "h")
             start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.size("w") - F.col("n")))
             found = hits.withColumn("start", start).select("doc_id", "t1", "t2", F.lit(size).alias("k"), "n", "start",
                                                            F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("x")).distinct()
