@@ -6,11 +6,13 @@ borrows from the first filled bin in a random order of its own (optimal densific
 of ``ROWS`` bins each make bucket keys. At a similarity of 0.85 a pair misses all buckets with a
 chance of about 2e-7; below 0.85, bands of ``SHORT_ROWS`` bins are used, and at 0.8 it is 4e-9.
 
-Documents with equal sets are one class from the start. In each bucket the smallest class is the
-centre of a star: centre and member are compared on their full sets, so pairs grow with the members,
-not with their square. A bucket that holds more than one component after that loses its centre and
-goes on with the next ones (twice as many each round), so no link within a bucket is lost; pairs
-already in one component are not compared, as they cannot change it.
+Documents with equal sets are one class from the start. In each bucket the class that shares most
+buckets with others is the centre of a star: centre and member are compared on their full sets, so pairs grow with the members,
+not with their square. Two members may be similar though one of them is not similar to the centre.
+Such pairs are found by what sets them off from their centre: the symmetric difference of two sets is
+that of their differences from a third one, so similar members share all but ``most_apart`` of these
+differences, and the first one they share, in a common order, stands early in both (prefix filter).
+Members already in one component are not paired, as a link between them changes nothing.
 
 Null texts and texts without a word have an empty set, are linked with nothing and stay. Rows that
 repeat (one id, one text) are in one class. A null id never names a component that has another id.
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.llm.common import prepare
@@ -38,6 +40,8 @@ BINS, ROWS, SHORT_ROWS = 384, 8, 6
 BROADCAST_ROWS = 1_000_000
 #: Members of a star that one task compares with its centre.
 STAR_ROWS = 512
+#: Members from which on a star orders differences by how many members have them.
+LARGE_STAR = 32
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, size=16 + ROWS + BINS, dtype=np.uint64) * _U(2) + _U(1)
@@ -161,18 +165,82 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the edges whose sets are similar enough; a centre with many members is dealt to many tasks."""
+def most_apart(sizes, percent: int):
+    """Largest symmetric difference of two similar sets, by the sum of their sizes."""
+    return F.floor(sizes * (100 - percent) / (100 + percent))
+
+
+def _side_by_side(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, sa, sb: the sets of both ends; a centre with many members is dealt to many tasks."""
     shares = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("long").alias("shares"))
     dealt = edges.join(_sized(shares), "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
     members = sets.withColumnsRenamed({"c": "b", "s": "sb"}).join(_sized(dealt), "b")
     centres = (sets.withColumnsRenamed({"c": "a", "s": "sa"}).join(_sized(shares), "a")
                .select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    pairs = members.join(centres, ["a", "share"]).withColumn("i", both)
+    return members.join(centres, ["a", "share"])
+
+
+def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the edges whose sets are similar enough."""
+    pairs = _side_by_side(edges, sets).withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return pairs.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _reach(n, percent: int):
+    """How many of a member's leading differences are looked at: one more than can be its own."""
+    return most_apart(n + F.floor(n * 100 / percent), percent).cast("int") + 1
+
+
+def _apart():
+    """The symmetric difference; what only the member has comes first."""
+    return F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
+
+
+def _stars(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a (centre), b, n (size of b), apart, linked, and first: the leading differences of b from its centre.
+
+    What b has and the centre lacks comes first, as it tends to be rare.
+    """
+    both = _side_by_side(edges, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("n"), _apart().alias("apart"))
+    return both.select("a", "b", "n", F.size("apart").alias("apart"), (F.size("apart") <= most_apart(F.col("na") + F.col("n"), percent)).alias("linked"),
+                       F.slice("apart", F.lit(1), _reach(F.col("n"), percent)).alias("first"))
+
+
+def _rarest_first(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``own`` with the leading differences in the order of how few members of the star have them.
+
+    Small stars keep the order they have: either order finds all pairs, this one meets fewer others.
+    """
+    large = durable(own.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_STAR).select("a"))
+    if large.isEmpty():
+        return own
+    edges = durable(own.join(large, "a", "left_semi").select("a", "b"))
+    each = durable(_side_by_side(edges, sets).select("a", "b", F.explode(_apart()).alias("e")))
+    often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
+    ordered = each.join(durable(often), ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("o"))
+    new = durable(ordered.select("a", "b", F.transform("o", lambda x: x["e"]).alias("o")))
+    return own.join(new, ["a", "b"], "left").withColumn("first", F.coalesce(F.slice("o", F.lit(1), _reach(F.col("n"), percent)), "first")).drop("o")
+
+
+def _members_alike(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of one star, of different components, that may be similar."""
+    own = stars.join(labels.withColumnRenamed("c", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = own.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("a")
+    own = durable(_rarest_first(durable(own.join(mixed, "a", "left_semi")), sets, percent))
+    each = own.select("a", "b", "n", "label", "apart", F.posexplode("first").alias("i", "e"))
+    other = each.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "n", "label", "apart", "i")])
+    most = most_apart(F.col("n") + F.col("n2"), percent)
+    # what stands before the first shared difference is a member's own; that is at most its half of what may be apart
+    early = (2 * F.col("i") <= F.col("apart") - F.col("apart2") + most) & (2 * F.col("i2") <= F.col("apart2") - F.col("apart") + most)
+    near = each.join(other, ["a", "e"]).where((F.col("b") < F.col("b2")) & (F.col("label") != F.col("label2")) & early)
+    # no shared difference at all: a member that is not linked and one that differs from the centre by a single shingle
+    loose = own.where("not linked").select("a", "b", "n", "label", "apart")
+    tight = own.where("apart <= 1").select("a", F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("apart").alias("apart2"))
+    rest = loose.join(tight, "a").where((F.col("label") != F.col("label2")) & (F.col("apart") + F.col("apart2") <= most))
+    pair = [F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")]
+    return near.select(*pair).unionAll(rest.select(*pair)).distinct()
+
+
 def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, t, n, c) and the component (label) of each class, with its smallest id: c, doc_id, label."""
     prepare(docs.sparkSession)
@@ -183,26 +251,19 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     shared = durable(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
     open_ = durable(entries.join(_sized(shared), "bucket"))
     sets = durable(_full_sets(texts, classes.join(open_.select("c").distinct(), "c", "left_semi").select("doc_id", "c"), k).dropDuplicates(["c"]))
-    links, labels, tried, centres = None, None, None, 1
-    while not open_.isEmpty():
-        state = open_ if labels is None else open_.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        if labels is None:
-            first = state.groupBy("bucket").agg(F.min("c").alias("a"))
-            state = state.withColumn("label", F.col("c"))
-        else:
-            mixed = state.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-            state = durable(state.join(mixed, "bucket", "left_semi"))
-            order = F.row_number().over(Window.partitionBy("bucket").orderBy("c"))
-            first = state.select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), order.alias("r")).where(F.col("r") <= centres).drop("r")
-        first = durable(first if "la" in first.columns else first.withColumn("la", F.col("a")))
-        pairs = state.join(first, "bucket").where((F.col("c") > F.col("a")) & (F.col("label") != F.col("la"))).select("a", F.col("c").alias("b")).distinct()
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = durable(_verified(pairs, sets, percent))
-        links = found if links is None else links.unionAll(found)
-        tried = pairs if tried is None else tried.unionAll(pairs)
+    labels = None
+    if not open_.isEmpty():
+        # the class that meets others in most buckets tends to be the one the others were made from
+        often = open_.groupBy("c").agg(F.count("*").alias("often"))
+        centre = F.max(F.struct("often", F.bitwise_not("c").alias("c"))).getField("c")
+        centres = durable(open_.join(_sized(durable(often)), "c").groupBy("bucket").agg(F.bitwise_not(centre).alias("a")))
+        edges = durable(open_.join(_sized(centres), "bucket").where(F.col("c") != F.col("a")).select("a", F.col("c").alias("b")).distinct())
+        stars = durable(_stars(edges, sets, percent))
+        links = stars.where("linked").select("a", "b")
         labels = components(links)
-        open_ = durable(state.select("bucket", "c").join(first.select("bucket", F.col("a").alias("c")), ["bucket", "c"], "left_anti"))
-        centres *= 2
+        pairs = durable(_members_alike(stars, labels, sets, percent))
+        if not pairs.isEmpty():
+            labels = components(links.unionAll(durable(_verified(pairs, sets, percent))))
     named = classes.select("c", "doc_id")
     if labels is None:
         return rows, named.withColumn("label", F.col("c"))
