@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnworks.session import configure
 
+# buffers go back to the system at once, as a worker lives through many stages
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows of one Arrow batch: whole texts of a batch are in a Python worker at once.
-ARROW_ROWS = 1024
+ARROW_ROWS = 256
 WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -37,6 +41,20 @@ def text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(7919), whole).alias("t2")]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a number of rows or bytes, for work that gains from repeated words."""
+    held: list[pa.RecordBatch] = []
+    n = weight = 0
+    for batch in batches:
+        held.append(batch)
+        n, weight = n + batch.num_rows, weight + batch.nbytes
+        if n >= rows or weight >= size:
+            yield pa.concat_batches(held)
+            held, n, weight = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, split at ASCII white space; none for null."""
     c = F.col(text) if isinstance(text, str) else text

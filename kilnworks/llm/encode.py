@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that one worker remembers; then the older half is forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 ID = np.dtype("<u4")
 _MARKS = frozenset(".,;:!?")
 #: A comma or full stop behind something other than a letter or digit may share a word with it.

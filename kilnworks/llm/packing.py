@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare
+from kilnworks.llm.common import gathered, prepare
 from kilnworks.llm.encode import encoder
 
 #: Ids that one pool of remainders holds before it is packed.
@@ -159,7 +159,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
             rows.clear()
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECE.split(", ")])
 
-        for batch in batches:
+        for batch in gathered(batches):
             flat, bounds = own.batch(batch.column(1))
             at = 0
             for d, to in zip(batch.column(0).to_pylist(), bounds.tolist()):

@@ -32,7 +32,7 @@ from kilnworks.llm.common import prepare
 from kilnworks.session import durable
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 16_000, 4_096
-LEAST_Z, LEAST_WORDS, REMEMBERED = 4.0, 8, 300_000
+LEAST_Z, LEAST_WORDS, REMEMBERED = 4.0, 8, 100_000
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for p, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[p].update(found)
-            if len(held[0]) + len(held[1]) > 500_000:
+            if len(held[0]) + len(held[1]) > 200_000:
                 yield flush()
         if held[0] or held[1]:
             yield flush()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kilnworks.llm.common import parallelism, prepare
+from kilnworks.llm.common import gathered, parallelism, prepare
 from kilnworks.llm.encode import encoder
 
 BLOCK = 512
@@ -162,7 +162,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
                    [[r.tobytes() for r in m.ranks]]]
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, _SHARD_ARROW.types)], schema=_SHARD_ARROW)
 
-        for batch in batches:
+        for batch in gathered(batches):
             flat, bounds = own.batch(batch.column(1))
             at = 0
             for d, to in zip(batch.column(0).to_pylist(), bounds.tolist()):
