@@ -25,12 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare
+from kilnworks.llm.common import gathered, prepare
 from kilnworks.session import durable
 
 ORDER, START, END = 5, "\x02", "\x03"
@@ -58,6 +58,16 @@ def _hashes(codes: np.ndarray, order: int) -> np.ndarray:
     return _mix(h)
 
 
+def _gram_hashes(grams: pa.ChunkedArray, dropped: int) -> np.ndarray:
+    """Hashes of n-grams, or of what is left without their last characters."""
+    size = pc.utf8_length(grams).to_numpy().astype(np.int64)
+    codes = _codes("".join(grams.to_pylist()))
+    start = np.cumsum(size) - size
+    from_end = np.repeat(start + size - 1 - dropped, size) - np.arange(len(codes))
+    parts = np.where(from_end >= 0, codes * np.array(_POWERS)[np.maximum(from_end, 0)], np.uint64(0))
+    return _mix(np.add.reduceat(parts, start))
+
+
 @dataclass
 class Models:
     langs: list[str]
@@ -77,8 +87,10 @@ class Models:
         behind = np.broadcast_to(self.gamma0, p.shape)
         for order in range(1, ORDER + 1):
             h = _hashes(codes, order)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = (self.keys[at] == h) & (within >= order - 1)
+            grams, which = np.unique(h, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+            at = place[which]
+            hit = (self.keys[place] == grams)[which] & (within >= order - 1)
             alpha = np.where(hit[:, None], self.alpha[at], 0)
             p = np.where((within >= order - 1)[:, None], alpha + behind * p, p)
             gamma = np.where(hit[:, None], self.gamma[at], 1)
@@ -110,19 +122,21 @@ class _Worker:
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """Summed log-probability by language, and characters, of each text."""
-        out = np.zeros((len(texts), len(self.models.langs) + 1))
         if self.used > REMEMBERED:
             self.place.clear()
             self.used = 0
-        for k, text in enumerate(texts):
-            found = _LETTERS.findall(text.lower()) if text else []
-            if not found:
-                continue
-            at = list(map(self.place.get, found))
-            if None in at:
-                self._learn(list({w for w, i in zip(found, at) if i is None}))
-                at = list(map(self.place.__getitem__, found))
-            out[k] = self.costs[np.array(at)].sum(axis=0, dtype=np.float64)
+        found = [_LETTERS.findall(text.lower()) if text else [] for text in texts]
+        at = [self.place.get(w, -1) for words in found for w in words]
+        if -1 in at:
+            every = [w for words in found for w in words]
+            self._learn(list({w for w, i in zip(every, at) if i < 0}))
+            at = [self.place[w] if i < 0 else i for w, i in zip(every, at)]
+        sizes = np.array([len(words) for words in found])
+        out = np.zeros((len(texts), len(self.models.langs) + 1))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = (np.cumsum(sizes) - sizes)[full]
+            out[full] = np.add.reduceat(self.costs[np.array(at)].astype(np.float64), starts, axis=0)
         return out
 
 
@@ -184,25 +198,24 @@ def fit(train: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models | None:
     kept = (table.join(lowest, "lang").where(rank >= F.col("low")).join(discount, ["lang", "n"])
             .withColumn("ctx", F.expr("substring(g, 1, n - 1)")).join(context, ["lang", "ctx"])
             .select("lang", "g", "ctx", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("a")))
-    rows = kept.toPandas()  # at most max_ngrams rows a language
-    if rows.empty:
+    index = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
+    rows = kept.select(index.alias("l"), "g", F.col("a").cast("float").alias("a")).toArrow()  # at most max_ngrams rows a language
+    if not rows.num_rows:
         return None
-    grams = sorted(set(rows["g"]) | (set(rows["ctx"]) - {""}))
-    codes = [_codes(g) for g in grams]
-    keys = _mix(np.array([int(sum(int(c) * int(_POWERS[k]) for k, c in enumerate(x[::-1]))) & (1 << 64) - 1 for x in codes], dtype=np.uint64))
-    order = np.argsort(keys)
-    place = pd.Series(np.argsort(order), index=grams)
-    column = rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()
-    alpha = np.zeros((len(grams), len(langs)))
-    gamma = np.ones_like(alpha)
-    alpha[place[rows["g"]].to_numpy(), column] = rows["a"]
-    inner = (rows["ctx"] != "").to_numpy()
-    np.subtract.at(gamma, (place[rows["ctx"][inner]].to_numpy(), column[inner]), rows["a"][inner].to_numpy())
+    column, share = rows.column("l").to_numpy(), rows.column("a").to_numpy()
+    own, behind = _gram_hashes(rows.column("g"), 0), _gram_hashes(rows.column("g"), 1)
+    inner = pc.greater(pc.utf8_length(rows.column("g")), 1).to_numpy()
+    del rows
+    keys = np.unique(np.concatenate([own, behind[inner]]))
+    alpha = np.zeros((len(keys), len(langs)), dtype=np.float32)
+    gamma = np.ones((len(keys), len(langs)))
+    alpha[np.searchsorted(keys, own), column] = share
+    np.subtract.at(gamma, (np.searchsorted(keys, behind[inner]), column[inner]), share[inner])
     gamma0 = np.ones(len(langs))
-    np.subtract.at(gamma0, column[~inner], rows["a"][~inner].to_numpy())
+    np.subtract.at(gamma0, column[~inner], share[~inner])
     # every character seen, the end sign, and one place for all others
     alphabet = table.where("n = 1").select("g").distinct().count() + 1
-    return Models(langs, keys[order], alpha.astype(np.float32), np.clip(gamma, 1e-6, 1).astype(np.float32), np.clip(gamma0, 1e-6, 1), 1 / alphabet)
+    return Models(langs, keys, alpha, np.clip(gamma, 1e-6, 1).astype(np.float32), np.clip(gamma0, 1e-6, 1), 1 / alphabet)
 
 
 def predict(docs: DataFrame, models: Models | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -213,7 +226,7 @@ def predict(docs: DataFrame, models: Models | None, keep: list[str], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _Worker(models) if models else None
-        for batch in batches:
+        for batch in gathered(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             lang, score, entropy = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             sums = worker.sums(texts) if worker else []
