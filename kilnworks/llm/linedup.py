@@ -5,11 +5,12 @@ lines occur more than once a rank by these lines; the next round ranks pairs of
 lines apart. Only distinct pairs that occur more than once are sorted (range exchange, so equal
 pairs of a hot line are one row), and a suffix whose prefix is unique leaves for good.
 
-A run that counts starts at a suffix and has as many lines as are needed for ``least_words`` words. The
-suffixes that share it form an interval of the suffix array with a common prefix of at least that
-length, recognised by two overlapping ranks. The first in (id, text, line) order stays; the lines of
-the others are deleted. Overlapping runs join to the maximal repeated runs. Every deleted line so has
-an earlier copy, and by following earlier copies one that stays.
+The runs judged are the shortest of at least ``least_words`` words at each first line and at each last
+line. The suffixes that share one form an interval of the suffix array with a common prefix of at least
+that length, recognised by two overlapping ranks. The first in (id, text, line) order stays; the lines of
+the others are deleted. Together they cover the maximal repeated runs: the shortest run up to the last
+line of one lies in it, and so does the shortest run from every line before that. Every deleted line so
+has an earlier copy, and by following earlier copies one that stays.
 
 Lines are compared as they are, by 64-bit hashes. Lines without a word take no part; one between two
 deleted lines of a run goes with them. Runs do not cross texts, and texts with fewer than
@@ -41,10 +42,13 @@ def _key(id_col: str, text_col: str) -> list:
 
 
 def suffixes(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, i, h (line hash) and m (lines up to ``least_words`` words; 0 if the text ends before)."""
+    """k1, k2, i, h (line hash), m (lines up to ``least_words`` words; 0 if the text ends before) and most.
+
+    Runs of m to ``most`` lines are judged: behind m, those that without line i have fewer words than count.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, places, hashes, needs = [], [], [], [], []
+            k1, k2, places, hashes, needs, mosts = [], [], [], [], [], []
             for a, b, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
                 lines = [x for x in text.as_buffer().to_pybytes().split(b"\n") if x.strip(_SPACE)] if text.is_valid else []
                 if not lines:
@@ -56,13 +60,16 @@ def suffixes(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> D
                 end = np.searchsorted(upto, before + least_words) + 1
                 places.append(np.arange(len(lines), dtype=np.int32))
                 needs.append(np.where(end <= len(lines), end - places[-1], 0).astype(np.int32))
+                last = np.append(end[1:] - 1, len(lines))
+                mosts.append(np.where(needs[-1] > 0, np.maximum(np.minimum(last, len(lines)) - places[-1], needs[-1]), 0).astype(np.int32))
                 hashes.append(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64))
                 k1.append(np.full(len(lines), a))
                 k2.append(np.full(len(lines), b))
             if k1:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (k1, k2, places, hashes, needs)], names=["k1", "k2", "i", "h", "m"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (k1, k2, places, hashes, needs, mosts)],
+                                      names=["k1", "k2", "i", "h", "m", "most"])
 
-    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("x")).mapInArrow(run, "k1 long, k2 long, i int, h long, m int")
+    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("x")).mapInArrow(run, "k1 long, k2 long, i int, h long, m int, most int")
 
 
 def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -78,18 +85,20 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str =
     lines = durable(suffixes(docs, least_words, id_col, text_col).dropDuplicates(["k1", "k2", "i"]))
     ranks = lines.join(_ranked(lines, ["h"]), "h").withColumnRenamed("new", "rank")
     level, step, windows = 0, 1, None
-    active = durable(ranks.select("k1", "k2", "i", "m", "rank"))
+    active = durable(ranks.select("k1", "k2", "i", "m", "most", "rank"))
     while not active.isEmpty():
         # a run of m lines, step <= m < 2 step, is told by the ranks at its start and step lines before its end
         later = active.select("k1", "k2", F.col("i").alias("j"), F.col("rank").alias("tail"))
-        own = active.where((F.col("m") >= step) & (F.col("m") < 2 * step)).withColumn("j", F.col("i") + F.col("m") - step)
+        own = active.where((F.col("m") > 0) & (F.col("most") >= step) & (F.col("m") < 2 * step))
+        sizes = F.sequence(F.greatest("m", F.lit(step)), F.least("most", F.lit(2 * step - 1)))
+        own = own.withColumn("m", F.explode(sizes)).withColumn("j", F.col("i") + F.col("m") - step)
         found = own.join(later, ["k1", "k2", "j"]).select(F.lit(level).alias("level"), "m", F.col("rank").alias("head"), "tail", "k1", "k2", "i")
         windows = found if windows is None else windows.unionAll(found)
         # suffixes with a run already judged still lend their ranks to others
-        paired = durable(active.withColumn("j", F.col("i") + step).join(later, ["k1", "k2", "j"]).select("k1", "k2", "i", "m", "rank", "tail"))
-        if paired.where(F.col("m") >= 2 * step).isEmpty():
+        paired = durable(active.withColumn("j", F.col("i") + step).join(later, ["k1", "k2", "j"]).select("k1", "k2", "i", "m", "most", "rank", "tail"))
+        if paired.where(F.col("most") >= 2 * step).isEmpty():
             break
-        active = durable(paired.join(_ranked(paired, ["rank", "tail"]), ["rank", "tail"]).select("k1", "k2", "i", "m", F.col("new").alias("rank")))
+        active = durable(paired.join(_ranked(paired, ["rank", "tail"]), ["rank", "tail"]).select("k1", "k2", "i", "m", "most", F.col("new").alias("rank")))
         level, step = level + 1, 2 * step
     if windows is None:
         return lines.where("false").select("k1", "k2", "i", "m")
@@ -114,7 +123,7 @@ def maximal_runs(runs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["k1", "k2", "starts", "ends"])
 
-    # a text's runs are at most as many as its lines
+    # a text's runs are at most twice as many as its lines
     return runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("r")).mapInArrow(
         run, "k1 long, k2 long, starts array<int>, ends array<int>")
 

@@ -73,6 +73,37 @@ def test_line_dedup_equals_sql(spark, least):
     assert any(n for _, n, _ in want)
 
 
+def _maximal_repeats(texts, least):
+    """Lines (numbered among lines with a word) that a run of at least ``least`` words shares with an earlier start."""
+    lines = [[x for x in text.split("\n") if x.split()] for _, text in texts]
+    places = [(d, i) for d, x in enumerate(lines) for i in range(len(x))]
+    gone = [set() for _ in texts]
+    for n, (d, i) in enumerate(places):
+        for e, j in places[:n]:
+            size = 0
+            while i + size < len(lines[d]) and j + size < len(lines[e]) and lines[d][i + size] == lines[e][j + size]:
+                size += 1
+            if sum(len(x.split()) for x in lines[d][i:i + size]) >= least:
+                gone[d] |= set(range(i, i + size))
+    return [sorted(g) for g in gone]
+
+
+def test_whole_repeated_runs_go(spark):
+    rnd = np.random.default_rng(5)
+    words = _vocabulary(rnd)
+    line = lambda k: " ".join(rnd.choice(words, size=k))
+    pool = [line(int(k)) for k in rnd.choice([1, 2, 5, 8, 20, 45, 60], size=14)]
+    long, short, other = line(60), line(5), line(7)
+    texts = [(0, f"{long}\n{short}"), (1, f"{long}\n{short}"), (2, f"{long}\n{other}"), (3, f"{long}\n{other}\n{line(9)}")]
+    for d in range(4, 40):
+        at = int(rnd.integers(len(pool)))
+        texts.append((d, "\n".join([line(int(rnd.integers(1, 9)))] * (d % 2) + (pool * 2)[at:at + int(rnd.integers(1, 12))])))
+    want = _maximal_repeats(texts, 50)
+    got = {r.doc_id: [k for a, b in zip(r.line_starts or [], r.line_ends or []) for k in range(a, b)] for r in linedup.dedup_lines(_frame(spark, texts)).collect()}
+    assert got[1] == [0, 1] and got[2] == [0] and got[3] == [0, 1]
+    assert [got[d] for d, _ in texts] == want
+
+
 def test_line_dedup_of_nothing(spark):
     assert linedup.dedup_lines(_frame(spark, [])).count() == 0
     assert linedup.dedup_lines(_frame(spark, [(1, None), (2, "")])).where("line_starts is not null").count() == 0
