@@ -7,9 +7,9 @@ characters in front. The discount of an order is n1 / (n1 + 2 n2). Counts come f
 texts, as map-side sums and one grouped sum.
 
 The fitted models are arrays sorted by the 64-bit hash of an n-gram, with its discounted probability
-and the weight it leaves to the shorter context. ``MAX_NGRAMS`` bounds what is kept of a language:
-the most frequent n-grams; what others had goes to the shorter context, so each model still sums
-to one. A text gets the language of lowest cross-entropy per character; a cross-entropy above the
+and the weight it leaves to the shorter context, for each language that has it: they hold all n-grams
+and grow with those of the training texts. If a caller gives ``max_ngrams``, a language keeps its most
+frequent n-grams; what others had goes to the shorter context, so each model still sums to one. A text gets the language of lowest cross-entropy per character; a cross-entropy above the
 ``REJECT_ABOVE`` quantile of that language's training texts marks it as rejected.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language in
@@ -34,7 +34,6 @@ from kilnworks.llm.common import gathered, prepare
 from kilnworks.session import durable
 
 ORDER, START, END = 5, "\x02", "\x03"
-MAX_NGRAMS, MAX_CELLS = 1 << 17, 1 << 24
 REJECT_ABOVE, SHARPNESS, REMEMBERED = 0.999, 20.0, 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,12 +67,32 @@ def _gram_hashes(grams: pa.ChunkedArray, dropped: int) -> np.ndarray:
     return _mix(np.add.reduceat(parts, start))
 
 
+@dataclass
+class Cells:
+    """A value by n-gram and language, held only where the language has the n-gram."""
+    starts: np.ndarray  # first cell of each n-gram, and the end
+    column: np.ndarray  # language of each cell
+    values: np.ndarray
+    other: float
+    width: int
+
+    def __getitem__(self, rows) -> np.ndarray:
+        """The values of all languages, a row for each n-gram asked for."""
+        rows = np.asarray(rows)
+        first = self.starts[rows.reshape(-1)]
+        sizes = self.starts[rows.reshape(-1) + 1] - first
+        out = np.full((len(first), self.width), self.other, dtype=np.float32)
+        cell = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        out[np.repeat(np.arange(len(first)), sizes), self.column[cell]] = self.values[cell]
+        return out.reshape(*rows.shape, self.width)
+
+
 @dataclass
 class Models:
     langs: list[str]
     keys: np.ndarray  # sorted hashes of n-grams
-    alpha: np.ndarray  # discounted probability, by n-gram and language
-    gamma: np.ndarray  # weight of the shorter context behind this n-gram; 1 where it was not seen
+    alpha: Cells  # discounted probability
+    gamma: Cells  # weight of the shorter context behind this n-gram; 1 where it was not seen
     gamma0: np.ndarray  # the same of the empty context
     floor: float
 
@@ -89,11 +108,12 @@ class Models:
             h = _hashes(codes, order)
             grams, which = np.unique(h, return_inverse=True)
             place = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-            at = place[which]
-            hit = (self.keys[place] == grams)[which] & (within >= order - 1)
-            alpha = np.where(hit[:, None], self.alpha[at], 0)
+            known = np.flatnonzero(self.keys[place] == grams)
+            alphas, gammas = np.zeros((len(grams), len(self.langs)), np.float32), np.ones((len(grams), len(self.langs)), np.float32)
+            alphas[known], gammas[known] = self.alpha[place[known]], self.gamma[place[known]]
+            alpha = alphas[which]
             p = np.where((within >= order - 1)[:, None], alpha + behind * p, p)
-            gamma = np.where(hit[:, None], self.gamma[at], 1)
+            gamma = np.where((within >= order - 1)[:, None], gammas[which], 1)
             behind = np.vstack([np.ones((1, len(self.langs))), gamma[:-1]])
         cost = np.log(p)
         cost[starts] = 0
@@ -109,14 +129,15 @@ class _Worker:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            cost, size = self.models.word_costs(part)
+        size = max(1, 200_000 // max(10, len(self.models.langs)))  # words whose costs in all languages are in memory at once
+        for a in range(0, len(new), size):
+            part = new[a:a + size]
+            cost, chars = self.models.word_costs(part)
             if self.used + len(part) > len(self.costs):
                 more = np.empty((max(1 << 14, 2 * len(self.costs), self.used + len(part)), self.costs.shape[1]), dtype=np.float32)
                 more[:self.used] = self.costs[:self.used]
                 self.costs = more
-            self.costs[self.used:self.used + len(part)] = np.column_stack([cost, size])
+            self.costs[self.used:self.used + len(part)] = np.column_stack([cost, chars])
             self.place.update(zip(part, range(self.used, self.used + len(part))))
             self.used += len(part)
 
@@ -167,8 +188,18 @@ def _ngrams(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
-def fit(train: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models | None:
-    """Models of all languages of ``train`` (lang, text)."""
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """At most so many n-grams of each language, by count."""
+    # an n-gram's count class: exact below 1024, by octave shares above, so a language has few classes
+    rank = F.when(F.col("c") < 1024, F.col("c").cast("double")).otherwise(1024 + F.floor(64 * F.log2(F.col("c") / 1024)))
+    classes = table.groupBy("lang", rank.alias("r")).agg(F.count("*").alias("m"))
+    running = F.sum("m").over(Window.partitionBy("lang").orderBy(F.col("r").desc()))
+    lowest = classes.select("lang", "r", running.alias("upto")).where(F.col("upto") <= most).groupBy("lang").agg(F.min("r").alias("low"))
+    return table.join(lowest, "lang").where(rank >= F.col("low")).drop("low")
+
+
+def fit(train: DataFrame, max_ngrams: int | None = None) -> Models | None:
+    """Models of all languages of ``train`` (lang, text), of all their n-grams unless the caller sets a limit."""
     prepare(train.sparkSession)
     raw = durable(_ngrams(train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")))
     langs = sorted(r["lang"] for r in raw.select("lang").distinct().collect())
@@ -188,34 +219,42 @@ def fit(train: DataFrame, max_ngrams: int = MAX_NGRAMS) -> Models | None:
     table = durable(table)
     discount = table.groupBy("lang", "n").agg(F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     discount = discount.select("lang", "n", F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5)).alias("d"))
-    # an n-gram's count class: exact below 1024, by octave shares above, so a language has few classes
-    rank = F.when(F.col("c") < 1024, F.col("c").cast("double")).otherwise(1024 + F.floor(64 * F.log2(F.col("c") / 1024)))
-    classes = table.groupBy("lang", rank.alias("r")).agg(F.count("*").alias("m"))
-    most = max(1, min(max_ngrams, MAX_CELLS // (len(langs) ** 2)))
-    running = F.sum("m").over(Window.partitionBy("lang").orderBy(F.col("r").desc()))
-    lowest = classes.select("lang", "r", running.alias("upto")).where(F.col("upto") <= most).groupBy("lang").agg(F.min("r").alias("low"))
     context = table.groupBy("lang", F.expr("substring(g, 1, n - 1)").alias("ctx")).agg(F.sum("c").alias("total"))
-    kept = (table.join(lowest, "lang").where(rank >= F.col("low")).join(discount, ["lang", "n"])
+    kept = ((table if max_ngrams is None else _most_frequent(table, max(1, max_ngrams))).join(discount, ["lang", "n"])
             .withColumn("ctx", F.expr("substring(g, 1, n - 1)")).join(context, ["lang", "ctx"])
-            .select("lang", "g", "ctx", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("a")))
+            .select("lang", "g", "n", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("a")))
     index = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
-    rows = kept.select(index.alias("l"), "g", F.col("a").cast("float").alias("a")).toArrow()  # at most max_ngrams rows a language
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                grams = pa.chunked_array([batch.column(1)])
+                yield pa.record_batch([batch.column(0), pa.array(_gram_hashes(grams, 0).view(np.int64)), pa.array(_gram_hashes(grams, 1).view(np.int64)),
+                                       batch.column(2), batch.column(3)], names=["l", "own", "behind", "inner", "a"])
+
+    # the driver gets numbers only, 25 bytes for each n-gram of a language
+    rows = kept.select(index.alias("l"), "g", (F.col("n") > 1).alias("inner"), F.col("a").cast("float").alias("a")).mapInArrow(
+        hashed, "l int, own long, behind long, inner boolean, a float").toArrow()
     if not rows.num_rows:
         return None
-    column, share = rows.column("l").to_numpy(), rows.column("a").to_numpy()
-    own, behind = _gram_hashes(rows.column("g"), 0), _gram_hashes(rows.column("g"), 1)
-    inner = pc.greater(pc.utf8_length(rows.column("g")), 1).to_numpy()
+    column, share, inner = (rows.column(c).to_numpy() for c in ("l", "a", "inner"))
+    own, behind = (rows.column(c).to_numpy().view(np.uint64) for c in ("own", "behind"))
     del rows
     keys = np.unique(np.concatenate([own, behind[inner]]))
-    alpha = np.zeros((len(keys), len(langs)), dtype=np.float32)
-    gamma = np.ones((len(keys), len(langs)))
-    alpha[np.searchsorted(keys, own), column] = share
-    np.subtract.at(gamma, (np.searchsorted(keys, behind[inner]), column[inner]), share[inner])
-    gamma0 = np.ones(len(langs))
-    np.subtract.at(gamma0, column[~inner], share[~inner])
+    # a cell for each n-gram and language, numbered by both
+    width = len(langs)
+    at_own = np.searchsorted(keys, own) * width + column
+    at_behind = np.searchsorted(keys, behind[inner]) * width + column[inner]
+    cells = np.unique(np.concatenate([at_own, at_behind]))
+    starts, held = np.searchsorted(cells, np.arange(len(keys) + 1) * width), (cells % width).astype(np.int32)
+    alpha = np.zeros(len(cells), dtype=np.float32)
+    alpha[np.searchsorted(cells, at_own)] = share
+    gamma = 1 - np.bincount(np.searchsorted(cells, at_behind), weights=share[inner], minlength=len(cells))
+    gamma0 = 1 - np.bincount(column[~inner], weights=share[~inner], minlength=width)
     # every character seen, the end sign, and one place for all others
     alphabet = table.where("n = 1").select("g").distinct().count() + 1
-    return Models(langs, keys, alpha, np.clip(gamma, 1e-6, 1).astype(np.float32), np.clip(gamma0, 1e-6, 1), 1 / alphabet)
+    return Models(langs, keys, Cells(starts, held, alpha, 0, width), Cells(starts, held, np.clip(gamma, 1e-6, 1).astype(np.float32), 1, width),
+                  np.clip(gamma0, 1e-6, 1), 1 / alphabet)
 
 
 def predict(docs: DataFrame, models: Models | None, keep: list[str], text_col: str = "text") -> DataFrame:

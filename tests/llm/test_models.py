@@ -96,6 +96,23 @@ def test_each_model_sums_to_one(spark, most):
         assert np.allclose(cost, sum(np.log(_step(models, padded[:k])) for k in range(2, len(padded) + 1)), atol=1e-3)
 
 
+def test_models_keep_all_ngrams(spark):
+    rnd = np.random.default_rng(4)
+    words = sorted({"".join(w) for w in rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), size=(30_000, 8))})
+    rows = [("aa", " ".join(words[k::300])) for k in range(300)] + [("bb", "ab abc")]
+    models = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    padded = [langid.START + w + langid.END for w in words]
+    grams = {p[max(0, j - n):j] for p in padded for j in range(2, len(p) + 1) for n in range(1, langid.ORDER + 1)}
+    assert len(grams) > 1 << 17
+    for n in range(1, langid.ORDER + 1):
+        some = sorted(g for g in grams if len(g) == n)
+        hashes = np.array([langid._hashes(langid._codes(g), n)[-1] for g in some])
+        at = np.searchsorted(models.keys, hashes)
+        assert np.array_equal(models.keys[np.minimum(at, len(models.keys) - 1)], hashes), n
+        # n-grams seen once may be discounted to nothing; those of lower orders are not
+        assert n > 2 or (models.alpha[at][:, 0] > 0).all()
+
+
 def _step(models, padded):
     """Probability of the last character after the others."""
     codes = langid._codes(padded)
