@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Native: SQL functions only. Words are lower-case runs of letters and digits; a shingle is five words (a
-shorter item is one shingle). A window as long as an item is laid over a text wherever both share a
-shingle, aligned on it: a window without a common shingle has similarity 0, so none that counts is
-left out. Each window and each item has a 64-bit SimHash, every shingle weighing as often as it
+shorter item is one shingle). A window as long as an item is laid over a text at every start where enough of
+the window's shingles, in whatever order, occur in items of that length for the similarity to be reached.
+Each window and each item has a 64-bit SimHash, every shingle weighing as often as it
 occurs. A fingerprint is cut into ``RADIUS + 1`` blocks; two within the radius agree in at least one
 block, so joining on (window size, block number, block) finds all of them. What is within the radius is
 verified by the exact weighted Jaccard similarity of the shingles (sum of smaller counts over sum of
@@ -51,6 +51,16 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return full
 
 
+def _starts(k: int, percent: int):
+    """Starts of windows of n words (of nw) with enough of the places ``at``, each told by its first place."""
+    own = f"least(n, nw) - {k - 1}"  # shingles of a window
+    need = f"greatest(1, cast(ceil({percent} * (n - {k - 1} + {own}) / {100 + percent}) as int))"
+    first = f"greatest(0, get(at, j + {need} - 1) - ({own}) + 1, coalesce(get(at, j - 1) + 1, 0))"
+    last = "least(get(at, j), greatest(0, nw - n))"
+    return F.expr(f"""if(size(at) < {need}, array(), flatten(transform(sequence(0, greatest(0, size(at) - {need})),
+        j -> if({first} <= {last}, sequence({first}, {last}), array()))))""")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LEAST_PERCENT, radius: int = RADIUS,
           k: int = SHINGLE) -> DataFrame:
     """doc_id, t1, t2 (key of its text), item_id, window_start, shared, total: the best window of each pair.
@@ -66,20 +76,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = None
     for size in sorted(sizes):
         shingled = with_shingles(texts, "w", size, "s")
-        own = places.where(F.col("k") == size).select("n", "o", "h", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).alias("part"))
+        own = places.where(F.col("k") == size).select("n", "h", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).alias("part"))
         for part in range(n_blocks):
             # one row for each shingle of the block's items: at most about BLOCK_ROWS
-            known = F.broadcast(own.where(F.col("part") == part).select("n", "o", "h").distinct())
+            known = F.broadcast(own.where(F.col("part") == part).select("n", "h").distinct())
             # the outer form: for the inner one Spark would first test, on the text, whether there is any shingle
-            hits = shingled.select("doc_id", "t1", "t2", "w", F.posexplode_outer("s").alias("p", "h")).join(known, "h")
-            start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.size("w") - F.col("n")))
-            found = hits.withColumn("start", start).select("doc_id", "t1", "t2", F.lit(size).alias("k"), "n", "start",
-                                                           F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("x")).distinct()
+            hits = shingled.select("doc_id", "t1", "t2", F.size("w").alias("nw"), F.posexplode_outer("s").alias("p", "h")).join(known, "h")
+            # a text's places of known shingles are at most as many as its words
+            laid = hits.groupBy("doc_id", "t1", "t2", "nw", "n").agg(F.sort_array(F.collect_set("p")).alias("at"))
+            found = laid.select("doc_id", "t1", "t2", F.lit(size).alias("k"), "n", _starts(size, percent).alias("starts")).where(F.size("starts") > 0)
             windows = found if windows is None else windows.unionAll(found)
     if windows is None:
         return texts.where("false").select("doc_id", "t1", "t2", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("window_start"),
                                            F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("total"))
-    windows = durable(windows.distinct())
+    windows = durable(windows)
+    n_windows = windows.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
+    cut = windows.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "k", "n", "starts")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_key(text_col), F.col(text_col).alias("__x"))
+    rows = rows.join(F.broadcast(cut) if n_windows <= BROADCAST_ROWS else cut,
+                     F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t1") == F.col("__t1")) & (F.col("t2") == F.col("__t2")))
+    rows = rows.select("doc_id", "t1", "t2", "k", "n", letter_words(F.col("__x")).alias("w"), "starts")
+    rows = rows.select("doc_id", "t1", "t2", "k", "n", "w", F.explode("starts").alias("start"))
+    windows = durable(rows.select("doc_id", "t1", "t2", "k", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("x")).distinct())
     laid = windows.select("k", "n", "x").distinct().withColumn("w", F.split("x", " "))
     parts = None
     for size in sorted(sizes):

@@ -1,5 +1,7 @@
 """The native operators against their SQL, on small tables with odd rows."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -90,6 +92,38 @@ def test_leaks_equal_sql(spark, con, monkeypatch):
     assert _same(again, con, sql) == rows
 
 
+def _grams(w, k=5):
+    return Counter(zip(*[w[i:] for i in range(k)]))
+
+
+def _best_window(text, item):
+    """Shared, total and start of the best of all windows, or None."""
+    w, it = text.split(), item.split()
+    best = None
+    for start in range(max(1, len(w) - len(it) + 1)):
+        a, b = _grams(w[start:start + len(it)]), _grams(it)
+        shared = (a & b).total()
+        total = a.total() + b.total() - shared
+        if 100 * shared >= 80 * total and (best is None or shared / total > best[0] / best[1]):
+            best = (shared, total, start)
+    return best
+
+
+def test_leaks_in_another_order(spark):
+    rnd = np.random.default_rng(3)
+    filler = lambda k: [f"f{rnd.integers(10_000)}" for _ in range(k)]
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (45, 55, 100)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        for d, parts in enumerate((w, w[n // 2:] + w[:n // 2], w[2 * n // 3:] + w[:2 * n // 3], w[::-1], w[n // 3:], w[:n // 2] + w[:n // 2])):
+            docs += [(n * 10 + d, " ".join(filler(40 + d) + parts + filler(50)), "h"), (5000 + n * 10 + d, " ".join(parts), "h")]
+    want = {(d, n): _best_window(x, text) for d, x, _ in docs for n, text in items if _best_window(x, text)}
+    found = decontaminate.leaks(_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(451, 45), (551, 55), (1001, 100)} <= set(want)
+    assert {(r.doc_id, r.item_id): (r.shared, r.total, r.window_start) for r in found} == want
+
+
 def test_documents_without_leaks(spark):
     docs, benchmark = _frame(spark, _docs()), spark.createDataFrame(ITEMS, "item_id long, text string")
     bad = {r.t1 for r in decontaminate.leaks(docs, benchmark).select("t1").collect()}
