@@ -15,6 +15,8 @@ pa.set_memory_pool(pa.system_memory_pool())
 
 #: Rows of one Arrow batch: whole texts of a batch are in a Python worker at once.
 ARROW_ROWS = 256
+#: Rows (of a few numbers each) up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -30,6 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, to be broadcast if it has been counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a range exchange: what the cluster sets for shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

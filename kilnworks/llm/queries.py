@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, oracles, packing, quality, toxicity, wavelet
+from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, mixing, oracles, packing, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -108,4 +108,10 @@ def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op11_pivotal_mix")
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is taken for the mix."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 _query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
