@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnworks.session import configure
+from kilnworks.session import configure, durable
 
 # buffers go back to the system at once, as a worker lives through many stages
 pa.set_memory_pool(pa.system_memory_pool())
@@ -37,6 +37,16 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Rows with a number from 0 on without gaps, in the order in which they stand in partitions; no window over all rows."""
+    rows = durable(rows.withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33).alias("__part")
+    counts = rows.groupBy(part).agg(F.count("*").alias("n"))  # one row for each partition
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    placed = rows.select("*", part).join(F.broadcast(before), "__part")
+    return placed.withColumn(out, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__part", "__before")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a range exchange: what the cluster sets for shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare, sized
+from kilnworks.llm.common import numbered, prepare, sized
 from kilnworks.session import durable
 
 WEIGHTS, PERCENT, MOST, SEED = (5, 2, 1), 150, 2, 20240611
@@ -42,11 +42,7 @@ def count_words(text: str):
 def ranked(sources: DataFrame) -> DataFrame:
     """``sources`` with ``s``, the place of each in code point order (null last), without a global window over them."""
     order = F.col("source").asc_nulls_last()
-    rows = durable(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("m", F.monotonically_increasing_id())
-                   .withColumns({"part": F.shiftright("m", 33), "at": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("m"))
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "part").withColumn("s", F.col("before") + F.col("at")).drop("part", "at", "before")
+    return numbered(sources.repartitionByRange(order).sortWithinPartitions(order), "s")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:

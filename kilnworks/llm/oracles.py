@@ -93,3 +93,26 @@ kept AS (SELECT r, string_agg(x, chr(10) ORDER BY n) AS x FROM a ANTI JOIN gone
 c AS (SELECT r, count(*) AS n_removed FROM gone JOIN s USING (r, n) GROUP BY r)
 SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.x, '') END) AS kept_md5
 FROM d LEFT JOIN kept USING (r) LEFT JOIN c USING (r)"""
+
+
+def phrases(least: int, cover: int, top: int) -> str:
+    """Phrases as strings, all n-grams counted."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+pos AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, j, array_to_string(w[i:i + j - 1], ' ') AS p FROM pos, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE i + j - 1 <= len(w)),
+f AS (SELECT lang, j, p, count(*) AS a FROM g GROUP BY lang, j, p HAVING count(*) >= {least}),
+c AS (SELECT lang, j, p, a, string_split(p, ' ') AS w FROM f WHERE j > 1),
+cuts AS (SELECT lang, j, p, a, w, unnest(range(1, j)) AS k FROM c),
+z AS (SELECT cuts.lang, cuts.p, cuts.a, k, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * cuts.a) // (x.a + y.a) AS BIGINT) AS score FROM cuts
+      JOIN f x ON x.lang = cuts.lang AND x.p = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.p = array_to_string(w[k + 1:], ' ')),
+s AS (SELECT lang, p, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS q FROM z) WHERE q = 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS p, a AS longer FROM
+      (SELECT lang, j, w, a, m, unnest(range(1, j - m + 2)) AS i FROM (SELECT lang, j, w, a, unnest(range(2, j)) AS m FROM c))),
+gone AS (SELECT DISTINCT s.lang, s.p FROM s JOIN inside USING (lang, p) WHERE CAST(100 AS HUGEINT) * longer >= CAST({cover} AS HUGEINT) * s.a),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, p, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM s ANTI JOIN gone USING (lang, p))
+SELECT lang, rank, p AS phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {top}"""

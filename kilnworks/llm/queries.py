@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, mixing, oracles, packing, quality, toxicity, wavelet
+from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, mixing, oracles, packing, phrases, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -114,4 +114,10 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@_query("op12_quotient_phrases", oracles.phrases(phrases.LEAST, phrases.COVER, phrases.TOP))
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's strongest phrases."""
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
 _query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
