@@ -116,3 +116,22 @@ gone AS (SELECT DISTINCT s.lang, s.p FROM s JOIN inside USING (lang, p) WHERE CA
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 o AS (SELECT lang, p, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM s ANTI JOIN gone USING (lang, p))
 SELECT lang, rank, p AS phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= {top}"""
+
+
+def searched(top: int) -> str:
+    """Every score, summed over all postings."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT r, doc_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents) WHERE len(w) > 0),
+s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM
+      (SELECT row_number() OVER () AS i, item_id, {terms} AS w FROM benchmark)) GROUP BY i, item_id, term),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT r, doc_id, 100 - 25 + ((25 * n * nd) // nl) AS m FROM d, s),
+z AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM z WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {top}"""

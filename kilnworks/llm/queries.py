@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import bytededup, decontaminate, langid, licences, linedup, minhash, mixing, oracles, packing, phrases, quality, toxicity, wavelet
+from kilnworks.llm import bytededup, decontaminate, langid, lexical, licences, linedup, minhash, mixing, oracles, packing, phrases, quality, toxicity, wavelet
 from kilnworks.llm.common import read
 from kilnworks.session import scratch_path
 
@@ -120,4 +120,10 @@ def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read(spark, sf_dir, "documents"))
 
 
+@_query("op13_norm_bucket_search", oracles.searched(lexical.TOP))
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's best documents."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 _query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
