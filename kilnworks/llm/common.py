@@ -14,7 +14,7 @@ from kilnworks.session import configure, durable
 pa.set_memory_pool(pa.system_memory_pool())
 
 #: Rows of one Arrow batch: whole texts of a batch are in a Python worker at once.
-ARROW_ROWS = 256
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Rows (of a few numbers each) up to which a table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 WORDS = r"[\x20\x09-\x0D]+"
@@ -23,8 +23,9 @@ WORDS = r"[\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of every corpus job; Arrow batches are kept short for long texts."""
     configure(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) != str(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     return spark
 
 

@@ -4,7 +4,7 @@ Texts (A-Z in lower case) are cut into pieces at ``[.,;:!?]`` and line ends, and
 texts of a task are laid out in shards of a few MB: codes of the shard's own words, in order, for
 each language. Word counts come from the shards; words with fewer than ``least`` occurrences in their language
 cannot be part of a phrase that has as many, so only the others get an id, which no other
-language shares. The ids are joined to the shards' words, never broadcast unless counted to be few. Each
+language shares. The ids are sent to the tasks if they have been counted to be few, else joined to the shards' words. Each
 task then counts the n-grams of its shards in sorted filters, cut into ranges of leading bits; the filters
 of a range are merged over all tasks. A range holds about ``RANGE_ENTRIES`` words of text, so
 no task has more, however often one phrase occurs: a task sends one entry for it.
@@ -32,7 +32,9 @@ from kilnworks.session import durable
 
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
 #: Bytes of text of a shard, words of text for each range of a filter, and entries a task holds before it sends them.
-SHARD_BYTES, RANGE_ENTRIES, HELD_ENTRIES = 8 << 20, 1 << 20, 1 << 20
+SHARD_BYTES, RANGE_ENTRIES, HELD_ENTRIES = 4 << 20, 1 << 20, 1 << 18
+#: Words with an id up to which the dictionary is sent to the tasks; beyond it the ids are joined to each shard's words.
+SENT_WORDS = 500_000
 _BREAK = "\x0b"
 
 
@@ -80,7 +82,17 @@ def dictionary(laid: DataFrame, least: int) -> DataFrame:
     return durable(numbered(often, "id"))
 
 
-def counters(laid: DataFrame, known: DataFrame, n_words: int, bits: int, longest: int) -> DataFrame:
+def _by_language(known: DataFrame) -> dict[str, tuple[pa.Array, np.ndarray]]:
+    """Words and ids of each language, of a dictionary counted to be small."""
+    rows = known.select("lang", "word", "id").toArrow().combine_chunks()
+    out = {}
+    for lang in pc.unique(rows.column("lang")):
+        own = rows.filter(pc.equal(rows.column("lang"), lang))
+        out[lang.as_py()] = own.column("word").combine_chunks().cast(pa.string()), own.column("id").to_numpy()
+    return out
+
+
+def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits: int, longest: int) -> DataFrame:
     """n, place, filter: the merged filters of all n-grams of known words."""
     prefix = max(0, (-(-n_words // RANGE_ENTRIES) - 1).bit_length())
     all_keys = {n: quotient.Keys(n, bits) for n in range(2, longest + 1)}
@@ -99,30 +111,45 @@ def counters(laid: DataFrame, known: DataFrame, n_words: int, bits: int, longest
         return pa.record_batch([pa.array([n] * len(rows), pa.int32()), pa.array([p for p, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.binary())],
                                names=["n", "place", "filter"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(pending: dict[int, list], stream: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Count the n-grams of a stream of ids; filters go out once a task holds many entries."""
+        fits = good = stream >= 0
+        for n, keys in all_keys.items():
+            fits = fits[:-1] & good[n - 1:]
+            starts = np.flatnonzero(fits)
+            if len(starts):
+                left, right = keys.pack([stream[starts + k] for k in range(n)])
+                pending[n].append(keys.summed(left, right, np.ones(len(left), np.int64)))
+            if sum(len(x[0]) for x in pending[n]) > 2 * held:
+                pending[n] = [keys.summed(*(np.concatenate(x) for x in zip(*pending[n], strict=True)))]
+                if len(pending[n][0][0]) > held:
+                    yield batch_of(n, list(rows_of(n, *pending[n].pop())))
+
+    def rest(pending: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for n, keys in all_keys.items():
+            if pending[n]:
+                yield batch_of(n, list(rows_of(n, *keys.summed(*(np.concatenate(x) for x in zip(*pending[n], strict=True))))))
+
+    def count_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[int, list] = {n: [] for n in all_keys}
         for batch in batches:
             for codes, places, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
-                stream = np.frombuffer(codes.as_buffer(), dtype="<i4")
-                at, to = places.values.to_numpy(), ids.values.to_numpy()
+                stream, at = np.frombuffer(codes.as_buffer(), dtype="<i4"), places.values.to_numpy()
                 known_ids = np.full(max(int(stream.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, dtype=np.int64)  # the last one stands for a break
-                known_ids[at] = to
-                stream = known_ids[stream]
-                fits = good = stream >= 0
-                for n, keys in all_keys.items():
-                    fits = fits[:-1] & good[n - 1:]
-                    starts = np.flatnonzero(fits)
-                    if len(starts):
-                        left, right = keys.pack([stream[starts + k] for k in range(n)])
-                        pending[n].append(keys.summed(left, right, np.ones(len(left), np.int64)))
-                    if sum(len(x[0]) for x in pending[n]) > 2 * held:
-                        pending[n] = [keys.summed(*(np.concatenate(x) for x in zip(*pending[n], strict=True)))]
-                        if len(pending[n][0][0]) > held:
-                            yield batch_of(n, list(rows_of(n, *pending.pop(n)[0])))
-                            pending[n] = []
-        for n, keys in all_keys.items():
-            if pending[n]:
-                yield batch_of(n, list(rows_of(n, *keys.summed(*(np.concatenate(x) for x in zip(*pending[n], strict=True))))))
+                known_ids[at] = ids.values.to_numpy()
+                yield from added(pending, known_ids[stream])
+        yield from rest(pending)
+
+    def count_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: dict[int, list] = {n: [] for n in all_keys}
+        for batch in batches:
+            for lang, words, codes in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if lang.as_py() in sent.value:
+                    names, ids = sent.value[lang.as_py()]
+                    at = pc.fill_null(pc.index_in(words.values, value_set=names), len(ids)).to_numpy()
+                    known_ids = np.append(np.append(ids, -1)[at], -1)
+                    yield from added(pending, known_ids[np.frombuffer(codes.as_buffer(), dtype="<i4")])
+        yield from rest(pending)
 
     def merge(table: pa.Table) -> pa.Table:
         n, place = table.column(0)[0].as_py(), table.column(1)[0].as_py()
@@ -131,10 +158,15 @@ def counters(laid: DataFrame, known: DataFrame, n_words: int, bits: int, longest
         whole = keys.summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         return pa.table({"n": pa.array([n], pa.int32()), "place": [place], "filter": pa.array([quotient.encode(keys, prefixes[n], *whole)], pa.binary())})
 
-    ids = (_of_shards(laid).join(sized(known.select("lang", "word", "id")), ["lang", "word"]).groupBy("shard")
-           .agg(F.collect_list(F.struct("i", "id")).alias("x")).select("shard", F.col("x.i").alias("at"), F.col("x.id").alias("ids")))
-    parts = laid.select("shard", "codes").join(ids, "shard").select("codes", "at", "ids").mapInArrow(count, "n int, place long, filter binary")
-    return durable(parts.groupBy("n", "place").applyInArrow(merge, "n int, place long, filter binary"))
+    parts = "n int, place long, filter binary"
+    if n_known <= SENT_WORDS:
+        sent = laid.sparkSession.sparkContext.broadcast(_by_language(known))
+        counted = laid.select("lang", "words", "codes").mapInArrow(count_sent, parts)
+    else:
+        ids = (_of_shards(laid).join(known.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard")
+               .agg(F.collect_list(F.struct("i", "id")).alias("x")).select("shard", F.col("x.i").alias("at"), F.col("x.id").alias("ids")))
+        counted = laid.select("shard", "codes").join(ids, "shard").select("codes", "at", "ids").mapInArrow(count_joined, parts)
+    return durable(counted.groupBy("n", "place").applyInArrow(merge, parts))
 
 
 def frequent(filters: DataFrame, bits: int, longest: int, least: int) -> DataFrame:
@@ -182,7 +214,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int
     known = dictionary(laid, least)
     n_words, n_known = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], known.count()
     bits = max(1, n_known.bit_length())
-    found = frequent(counters(laid, known, n_words, bits, longest), bits, longest, least)
+    found = frequent(counters(laid, known, n_words, n_known, bits, longest), bits, longest, least)
     kept = _scored(found, known).join(_covered(found, cover), "ids", "left_anti")
     named = (kept.select("*", F.posexplode("ids").alias("i", "id")).join(sized(known.select("id", "lang", "word")), "id").groupBy("ids", "a", "l", "r", "score")
              .agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")))
