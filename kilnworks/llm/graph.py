@@ -1,4 +1,4 @@
-"""Connected components of a link table, by smallest label and pointer jumping."""
+"""Connected components of a link table, by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,16 +11,26 @@ from kilnworks.session import durable
 def components(links: DataFrame) -> DataFrame:
     """c, label (smallest node of its component) for every node of ``links`` (a, b).
 
-    Each round takes the smallest label among the neighbours, then the label of that label, so a
-    path is halved each time. Rounds go on until nothing changes; each is a written table.
+    Every node points to a smaller one or to itself. In a round each link offers the grandparent of
+    one end to the other end and, which joins whole trees, to the other end's parent; each takes the smallest
+    offer, and every node moves up to its grandparent. Links inside one tree are dropped. Trees at least about
+    halve in number and in depth, so rounds grow with the logarithm of the longest path, whatever the
+    order of its names. Each round is a written table; the loop ends when no link is left and every parent is a root.
     """
-    both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    open_ = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(open_.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.min("a")).alias("f")))
     while True:
-        near = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "c").select("c", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("c").alias("low"), F.col("label").alias("far"))
-        after = durable(lower.join(jump, "low").select("c", F.least("low", "far").alias("new"), "label"))
-        if after.where("new < label").isEmpty():
-            return after.select("c", "label")
-        labels = after.select("c", F.col("new").alias("label"))
+        up = labels.select(F.col("c").alias("f"), F.col("f").alias("g"))
+        labels = durable(labels.join(up, "f").select("c", "f", "g"))
+        ends = open_.join(labels.select(F.col("c").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), "a")
+        ends = durable(ends.join(labels.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b").where("ga <> gb"))
+        if ends.isEmpty():
+            if labels.where("f <> g").isEmpty():
+                return labels.select("c", F.col("f").alias("label"))
+            labels = labels.select("c", F.col("g").alias("f"))
+            open_ = ends.select("a", "b")
+            continue
+        low = F.min("gb").alias("low")
+        offers = ends.groupBy(F.col("a").alias("c")).agg(low).unionAll(ends.groupBy(F.col("fa").alias("c")).agg(low)).groupBy("c").agg(F.min("low").alias("low"))
+        labels = durable(labels.join(offers, "c", "left").select("c", F.least("g", F.coalesce("low", "g")).alias("f")))
+        open_ = ends.select("a", "b")

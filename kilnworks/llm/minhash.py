@@ -9,10 +9,11 @@ chance of about 2e-7; below 0.85, bands of ``SHORT_ROWS`` bins are used, and at
 Documents with equal sets are one class from the start. In each bucket the class that shares most
 buckets with others is the centre of a star: centre and member are compared on their full sets, so pairs grow with the members,
 not with their square. Two members may be similar though one of them is not similar to the centre.
-Such pairs are found by what sets them off from their centre: the symmetric difference of two sets is
-that of their differences from a third one, so similar members share all but ``most_apart`` of these
-differences, and the first one they share, in a common order, stands early in both (prefix filter).
-Members already in one component are not paired, as a link between them changes nothing.
+Such pairs are found by what sets them off from a third set: the symmetric difference of two sets is
+that of their differences from it, so similar members share all but ``most_apart`` of these
+differences, and the first one they share, from the rarest on, stands early in both (prefix filter). The third set
+is the centre, changed to what more than half of the members have. Members already in one component are
+not paired, as a link between them changes nothing.
 
 Null texts and texts without a word have an empty set, are linked with nothing and stay. Rows that
 repeat (one id, one text) are in one class. A null id never names a component that has another id.
@@ -40,8 +41,6 @@ BINS, ROWS, SHORT_ROWS = 384, 8, 6
 BROADCAST_ROWS = 1_000_000
 #: Members of a star that one task compares with its centre.
 STAR_ROWS = 512
-#: Members from which on a star orders differences by how many members have them.
-LARGE_STAR = 32
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, size=16 + ROWS + BINS, dtype=np.uint64) * _U(2) + _U(1)
@@ -188,55 +187,55 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _reach(n, percent: int):
     """How many of a member's leading differences are looked at: one more than can be its own."""
-    return most_apart(n + F.floor(n * 100 / percent), percent).cast("int") + 1
+    return most_apart(n + F.floor(n * 100 / percent), percent) + 1
 
 
-def _apart():
-    """The symmetric difference; what only the member has comes first."""
-    return F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
+def _stars(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a (centre), b, n (size of b), linked, and apart: the differences of b from its centre."""
+    both = _side_by_side(edges, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("n"),
+                                             F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("apart"))
+    return both.select("a", "b", "n", (F.size("apart") <= most_apart(F.col("na") + F.col("n"), percent)).alias("linked"), "apart")
 
 
-def _stars(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a (centre), b, n (size of b), apart, linked, and first: the leading differences of b from its centre.
+def _from_common(own: DataFrame) -> DataFrame:
+    """``own`` with the differences from what most members of a star have, instead of those from its centre.
 
-    What b has and the centre lacks comes first, as it tends to be rare.
+    What more than half of the members have and the centre lacks, or the other way round, sets the centre apart, not them.
     """
-    both = _side_by_side(edges, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("n"), _apart().alias("apart"))
-    return both.select("a", "b", "n", F.size("apart").alias("apart"), (F.size("apart") <= most_apart(F.col("na") + F.col("n"), percent)).alias("linked"),
-                       F.slice("apart", F.lit(1), _reach(F.col("n"), percent)).alias("first"))
+    often = own.select("a", F.explode("apart").alias("e")).groupBy("a", "e").agg(F.count("*").alias("often"))
+    sizes = own.groupBy("a").agg(F.count("*").alias("m"))
+    turned = durable(often.join(_sized(durable(sizes)), "a").where("2 * often > m").groupBy("a").agg(F.collect_list("e").alias("turned")))
+    rows = own.join(_sized(turned), "a", "left")
+    apart = F.when(F.col("turned").isNull(), F.col("apart")).otherwise(F.concat(F.array_except("apart", "turned"), F.array_except("turned", "apart")))
+    return durable(rows.withColumn("apart", apart).drop("turned"))
 
 
-def _rarest_first(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``own`` with the leading differences in the order of how few members of the star have them.
-
-    Small stars keep the order they have: either order finds all pairs, this one meets fewer others.
-    """
-    large = durable(own.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_STAR).select("a"))
-    if large.isEmpty():
-        return own
-    edges = durable(own.join(large, "a", "left_semi").select("a", "b"))
-    each = durable(_side_by_side(edges, sets).select("a", "b", F.explode(_apart()).alias("e")))
-    often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
-    ordered = each.join(durable(often), ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("o"))
-    new = durable(ordered.select("a", "b", F.transform("o", lambda x: x["e"]).alias("o")))
-    return own.join(new, ["a", "b"], "left").withColumn("first", F.coalesce(F.slice("o", F.lit(1), _reach(F.col("n"), percent)), "first")).drop("o")
-
-
-def _members_alike(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _members_alike(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """a, b: members of one star, of different components, that may be similar."""
     own = stars.join(labels.withColumnRenamed("c", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    mixed = own.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("a")
-    own = durable(_rarest_first(durable(own.join(mixed, "a", "left_semi")), sets, percent))
-    each = own.select("a", "b", "n", "label", "apart", F.posexplode("first").alias("i", "e"))
-    other = each.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "n", "label", "apart", "i")])
+    mixed = own.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.mode("label", deterministic=True).alias("main")).where("l0 < l1").select("a", "main")
+    own = _from_common(durable(own.join(_sized(durable(mixed)), "a").select("a", "b", "n", "label", "apart", (F.col("label") != F.col("main")).alias("apart_from_main"))))
+    # differences that no other member has come first in the order of rarity, and meet nobody
+    each = own.select("a", "b", F.explode("apart").alias("e"))
+    often = durable(each.groupBy("a", "e").agg(F.count("*").alias("often")).where("often > 1"))
+    shared = (each.join(_sized(often), ["a", "e"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("o"))
+              .join(own.select("a", "b", "n", "label", "apart_from_main", F.size("apart").alias("apart")), ["a", "b"]))
+    first = shared.select("a", "b", "n", "label", "apart_from_main", "apart", (F.col("apart") - F.size("o")).alias("alone"), F.posexplode("o").alias("i", "o"))
+    first = durable(first.select("a", "b", "n", "label", "apart_from_main", "apart", (F.col("alone") + F.col("i")).alias("i"), F.col("o.e").alias("e"))
+                    .where(F.col("i") < _reach(F.col("n"), percent)))
+    # two members of different components: one at least is outside the component that most members are in
+    each = first.where("apart_from_main").drop("apart_from_main")
+    other = first.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "n", "label", "apart", "i")])
     most = most_apart(F.col("n") + F.col("n2"), percent)
     # what stands before the first shared difference is a member's own; that is at most its half of what may be apart
     early = (2 * F.col("i") <= F.col("apart") - F.col("apart2") + most) & (2 * F.col("i2") <= F.col("apart2") - F.col("apart") + most)
-    near = each.join(other, ["a", "e"]).where((F.col("b") < F.col("b2")) & (F.col("label") != F.col("label2")) & early)
-    # no shared difference at all: a member that is not linked and one that differs from the centre by a single shingle
-    loose = own.where("not linked").select("a", "b", "n", "label", "apart")
-    tight = own.where("apart <= 1").select("a", F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("apart").alias("apart2"))
-    rest = loose.join(tight, "a").where((F.col("label") != F.col("label2")) & (F.col("apart") + F.col("apart2") <= most))
+    near = each.join(other, ["a", "e"]).where((F.col("label") != F.col("label2")) & early)
+    # no shared difference at all: what is apart adds up. If it is few enough for any two members, it is so for
+    # each of them with the one for which this is greatest, so that one stands for all
+    room = F.col("n") * (100 - percent) - F.size("apart") * (100 + percent)
+    best = own.groupBy("a").agg(F.max_by(F.struct("b", "n", "label", F.size("apart").alias("apart")), F.struct(room, "b")).alias("r"))
+    best = best.select("a", F.col("r.b").alias("b2"), F.col("r.n").alias("n2"), F.col("r.label").alias("label2"), F.col("r.apart").alias("apart2"))
+    rest = own.withColumn("apart", F.size("apart")).join(_sized(durable(best)), "a").where((F.col("label") != F.col("label2")) & (F.col("apart") + F.col("apart2") <= most))
     pair = [F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")]
     return near.select(*pair).unionAll(rest.select(*pair)).distinct()
 
@@ -261,7 +260,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         stars = durable(_stars(edges, sets, percent))
         links = stars.where("linked").select("a", "b")
         labels = components(links)
-        pairs = durable(_members_alike(stars, labels, sets, percent))
+        pairs = durable(_members_alike(stars, labels, percent))
         if not pairs.isEmpty():
             labels = components(links.unionAll(durable(_verified(pairs, sets, percent))))
     named = classes.select("c", "doc_id")
