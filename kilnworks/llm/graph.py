@@ -12,25 +12,20 @@ def components(links: DataFrame) -> DataFrame:
     """c, label (smallest node of its component) for every node of ``links`` (a, b).
 
     Every node points to a smaller one or to itself. In a round each link offers the grandparent of
-    one end to the other end and, which joins whole trees, to the other end's parent; each takes the smallest
-    offer, and every node moves up to its grandparent. Links inside one tree are dropped. Trees at least about
-    halve in number and in depth, so rounds grow with the logarithm of the longest path, whatever the
-    order of its names. Each round is a written table; the loop ends when no link is left and every parent is a root.
+    one end to the other end and to the other end's parent; each takes the smallest offer, and every node moves up
+    to its grandparent. A node may so leave its tree for a smaller one, and the links bring the rest of that tree after
+    it. Rounds grow with the logarithm of the longest path, whatever the order of its names. Each
+    round is three written tables; the loop ends when the ends of every link agree and every parent is a root.
     """
-    open_ = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(open_.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.min("a")).alias("f")))
+    both = durable(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.min("a")).alias("f")))
     while True:
         up = labels.select(F.col("c").alias("f"), F.col("f").alias("g"))
         labels = durable(labels.join(up, "f").select("c", "f", "g"))
-        ends = open_.join(labels.select(F.col("c").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), "a")
-        ends = durable(ends.join(labels.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b").where("ga <> gb"))
-        if ends.isEmpty():
-            if labels.where("f <> g").isEmpty():
-                return labels.select("c", F.col("f").alias("label"))
-            labels = labels.select("c", F.col("g").alias("f"))
-            open_ = ends.select("a", "b")
-            continue
-        low = F.min("gb").alias("low")
-        offers = ends.groupBy(F.col("a").alias("c")).agg(low).unionAll(ends.groupBy(F.col("fa").alias("c")).agg(low)).groupBy("c").agg(F.min("low").alias("low"))
-        labels = durable(labels.join(offers, "c", "left").select("c", F.least("g", F.coalesce("low", "g")).alias("f")))
-        open_ = ends.select("a", "b")
+        # the smallest grandparent beside each node
+        near = both.join(labels.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b").groupBy(F.col("a").alias("c")).agg(F.min("gb").alias("low"))
+        near = durable(labels.join(near, "c"))
+        if near.where("f <> g OR low <> f").isEmpty():
+            return near.select("c", F.col("f").alias("label"))
+        taken = near.groupBy(F.col("f").alias("c")).agg(F.min("low").alias("offer"))
+        labels = durable(near.join(taken, "c", "left").select("c", F.least("g", "low", F.coalesce("offer", "g")).alias("f")))

@@ -76,14 +76,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY shared / tot
 
 
 def deduplicated_lines(least_words: int, source: str = "documents") -> str:
-    """Runs compared as whole strings, without ranks."""
+    """Runs compared as whole strings, without ranks: the shortest that count from each line on and up to each line, which cover all longer ones."""
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM {source}),
 a AS (SELECT r, doc_id, text, n, l[n] AS x FROM (SELECT r, doc_id, text, l, unnest(range(1, len(l) + 1)) AS n FROM d)),
 s AS (SELECT r, doc_id, text, n, x, row_number() OVER (PARTITION BY r ORDER BY n) - 1 AS i,
         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM a WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 p AS (SELECT *, sum(w) OVER (PARTITION BY r ORDER BY i) - w AS before, count(*) OVER (PARTITION BY r) AS nl FROM s),
-e AS (SELECT p.r, p.i, min(q.i) - p.i + 1 AS m FROM p JOIN p q ON p.r = q.r AND q.i >= p.i AND q.before + q.w >= p.before + {least_words} GROUP BY p.r, p.i),
+long AS (SELECT p.r, p.i, q.i AS j FROM p JOIN p q ON p.r = q.r AND q.i >= p.i AND q.before + q.w >= p.before + {least_words}),
+e AS (SELECT r, i, min(j) - i + 1 AS m FROM long GROUP BY r, i UNION SELECT r, max(i) AS i, j - max(i) + 1 AS m FROM long GROUP BY r, j),
 ls AS (SELECT r, doc_id, any_value(text) AS text, list(x ORDER BY i) AS xs, list(n ORDER BY i) AS ns FROM s GROUP BY r, doc_id),
 win AS (SELECT r, doc_id, text, i, m, array_to_string(xs[i + 1:i + m], chr(10)) AS run FROM e JOIN ls USING (r)),
 first AS (SELECT run, min((coalesce(doc_id, -9223372036854775808), md5(text), i)) AS f, min(doc_id) AS lowest FROM win GROUP BY run),

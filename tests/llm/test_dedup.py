@@ -7,8 +7,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from kilnworks.llm import bytededup, linedup, minhash, oracles
+from kilnworks.llm import bytededup, graph, linedup, minhash, oracles
 from kilnworks.llm.graph import components
+from kilnworks.session import durable
 
 SCHEMA = "doc_id long, text string, k1 string, t long"  # the last two clash with names of the operators
 
@@ -56,6 +57,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["path", "caterpillar", "zigzag"])
+def test_component_rounds_grow_slowly(spark, monkeypatch, shape):
+    """Paths of 5,000 nodes in random and in alternating order; each round has at most three tables."""
+    n, rnd = 5000, np.random.default_rng(3)
+    names = {"path": rnd.permutation(n), "caterpillar": rnd.permutation(n), "zigzag": [k // 2 if k % 2 else n - k // 2 for k in range(n)]}[shape]
+    ends = [(k, k + 1) if shape != "caterpillar" else (k - k % 10, k + 1 if k % 10 < 9 else k + 1) for k in range(n - 1)]
+    edges = [(int(names[a]), int(names[b])) for a, b in ends]
+    written = [0]
+
+    def counted(df):
+        written[0] += 1
+        return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if written[0] % 9 else durable(df)
+
+    monkeypatch.setattr(graph, "durable", counted)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == n and {r.label for r in got} == {min(min(e) for e in edges)}
+    assert written[0] <= 3 * 20
+
+
 @pytest.mark.parametrize("least", [1, 50])
 def test_line_dedup_equals_sql(spark, least):
     texts = _corpus(1)
