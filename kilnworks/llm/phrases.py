@@ -6,7 +6,8 @@ each language. Word counts come from the shards; words with fewer than ``least``
 cannot be part of a phrase that has as many, so only the others get an id, which no other
 language shares. The ids are sent to the tasks if they have been counted to be few, else joined to the shards' words. Each
 task then counts the n-grams of its shards in sorted filters, cut into ranges of leading bits; the filters
-of a range are merged over all tasks. A range holds about ``RANGE_ENTRIES`` words of text, so
+of a range are merged over all tasks. Pairs of words are counted first: a longer phrase is only counted where all its neighbours
+are frequent pairs. A range holds about ``RANGE_ENTRIES`` words of text, so
 no task has more, however often one phrase occurs: a task sends one entry for it.
 
 Frequent n-grams, their cuts, the longer ones that hold them and the ranks are Spark tables from there on.
@@ -32,9 +33,11 @@ from kilnworks.session import durable
 
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
 #: Bytes of text of a shard, words of text for each range of a filter, and entries a task holds before it sends them.
-SHARD_BYTES, RANGE_ENTRIES, HELD_ENTRIES = 4 << 20, 1 << 20, 1 << 18
+SHARD_BYTES, RANGE_ENTRIES, HELD_ENTRIES = 4 << 20, 1 << 20, 1 << 19
 #: Words with an id up to which the dictionary is sent to the tasks; beyond it the ids are joined to each shard's words.
 SENT_WORDS = 500_000
+#: Frequent pairs of words (eight bytes each) up to which they are sent to the tasks to spare longer n-grams.
+SENT_PAIRS = 4_000_000
 _BREAK = "\x0b"
 
 
@@ -53,6 +56,16 @@ def word_stream(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return place[codes], words.filter(pa.array(real))
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    return len(codes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(codes.astype("<i4").tobytes(), asbytes=True)
+
+
+def _unsqueezed(data: pa.Scalar) -> np.ndarray:
+    view = memoryview(data.as_buffer())
+    size = 4 * int.from_bytes(view[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(view[8:], decompressed_size=size), dtype="<i4") if size else np.empty(0, np.int32)
+
+
 def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """shard, lang, words, counts, codes: the texts of each task as codes of the shard's own words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +77,7 @@ def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
                 counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
                 name += 1
                 yield pa.record_batch([pa.array([name], pa.int64()), pa.array([lang.as_py()], pa.string()), pa.array([words.to_pylist()], pa.list_(pa.string())),
-                                       pa.array([counts], pa.list_(pa.int64())), pa.array([codes.astype("<i4").tobytes()], pa.binary())],
+                                       pa.array([counts], pa.list_(pa.int64())), pa.array([_squeezed(codes)], pa.binary())],
                                       names=["shard", "lang", "words", "counts", "codes"])
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
@@ -92,10 +105,14 @@ def _by_language(known: DataFrame) -> dict[str, tuple[pa.Array, np.ndarray]]:
     return out
 
 
-def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits: int, longest: int) -> DataFrame:
-    """n, place, filter: the merged filters of all n-grams of known words."""
+def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits: int, sizes: range, pairs: np.ndarray | None = None) -> DataFrame:
+    """n, place, filter: the merged filters of the n-grams of known words, for the n in ``sizes``.
+
+    With ``pairs`` (sorted numbers ``first << 32 | second``) only n-grams all of whose neighbours are among them.
+    """
     prefix = max(0, (-(-n_words // RANGE_ENTRIES) - 1).bit_length())
-    all_keys = {n: quotient.Keys(n, bits) for n in range(2, longest + 1)}
+    all_keys = {n: quotient.Keys(n, bits) for n in sizes}
+    frequent_pairs = None if pairs is None else laid.sparkSession.sparkContext.broadcast(pairs)
     prefixes = {n: min(prefix, k.left) for n, k in all_keys.items()}
     held = HELD_ENTRIES
 
@@ -113,9 +130,17 @@ def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits
 
     def added(pending: dict[int, list], stream: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Count the n-grams of a stream of ids; filters go out once a task holds many entries."""
-        fits = good = stream >= 0
+        tied = (stream[:-1] >= 0) & (stream[1:] >= 0)
+        if frequent_pairs is not None and not len(frequent_pairs.value):
+            tied[:] = False
+        elif frequent_pairs is not None:
+            at = np.flatnonzero(tied)
+            both = (stream[at] << 32) | stream[at + 1]
+            tied[at] = frequent_pairs.value[np.minimum(np.searchsorted(frequent_pairs.value, both), len(frequent_pairs.value) - 1)] == both
         for n, keys in all_keys.items():
-            fits = fits[:-1] & good[n - 1:]
+            fits = tied[:max(0, len(tied) - n + 2)]
+            for k in range(1, n - 1):
+                fits = fits & tied[k:len(tied) - n + 2 + k]
             starts = np.flatnonzero(fits)
             if len(starts):
                 left, right = keys.pack([stream[starts + k] for k in range(n)])
@@ -134,7 +159,7 @@ def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits
         pending: dict[int, list] = {n: [] for n in all_keys}
         for batch in batches:
             for codes, places, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
-                stream, at = np.frombuffer(codes.as_buffer(), dtype="<i4"), places.values.to_numpy()
+                stream, at = _unsqueezed(codes), places.values.to_numpy()
                 known_ids = np.full(max(int(stream.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, dtype=np.int64)  # the last one stands for a break
                 known_ids[at] = ids.values.to_numpy()
                 yield from added(pending, known_ids[stream])
@@ -148,7 +173,7 @@ def counters(laid: DataFrame, known: DataFrame, n_words: int, n_known: int, bits
                     names, ids = sent.value[lang.as_py()]
                     at = pc.fill_null(pc.index_in(words.values, value_set=names), len(ids)).to_numpy()
                     known_ids = np.append(np.append(ids, -1)[at], -1)
-                    yield from added(pending, known_ids[np.frombuffer(codes.as_buffer(), dtype="<i4")])
+                    yield from added(pending, known_ids[_unsqueezed(codes)])
         yield from rest(pending)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -189,7 +214,7 @@ def frequent(filters: DataFrame, bits: int, longest: int, least: int) -> DataFra
 def _scored(found: DataFrame, known: DataFrame) -> DataFrame:
     """ids, a, l, r, score: the lowest-scoring cut of each phrase."""
     counts = durable(found.select(F.col("ids").alias("key"), F.col("a").alias("f")).unionAll(known.select(F.array("id").alias("key"), "f")))
-    counts = sized(counts)
+    counts = sized(counts, 200_000)
     cuts = found.select("ids", "a", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
     cuts = cuts.withColumns({"lk": F.slice("ids", F.lit(1), F.col("k")), "rk": F.slice("ids", F.col("k") + 1, F.size("ids") - F.col("k"))})
     cuts = cuts.join(counts.select(F.col("key").alias("lk"), F.col("f").alias("l")), "lk").join(counts.select(F.col("key").alias("rk"), F.col("f").alias("r")), "rk")
@@ -214,7 +239,14 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: int
     known = dictionary(laid, least)
     n_words, n_known = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], known.count()
     bits = max(1, n_known.bit_length())
-    found = frequent(counters(laid, known, n_words, n_known, bits, longest), bits, longest, least)
+    found = frequent(counters(laid, known, n_words, n_known, bits, range(2, 3)), bits, longest, least)
+    if longest > 2:
+        # a longer phrase is frequent only if all pairs of neighbours in it are; if those are too many to send, all are counted
+        pairs = None
+        if found.count() <= SENT_PAIRS:
+            pairs = np.sort(found.select((F.shiftleft(F.col("ids")[0], 32) + F.col("ids")[1]).alias("p")).toArrow().column("p").to_numpy())
+        longer = counters(laid, known, n_words, n_known, bits, range(3, longest + 1), pairs)
+        found = found.unionAll(frequent(longer, bits, longest, least))
     kept = _scored(found, known).join(_covered(found, cover), "ids", "left_anti")
     named = (kept.select("*", F.posexplode("ids").alias("i", "id")).join(sized(known.select("id", "lang", "word")), "id").groupBy("ids", "a", "l", "r", "score")
              .agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase")))

@@ -100,6 +100,7 @@ def test_mining_equals_plain_counting(spark, monkeypatch):
     df = spark.createDataFrame([(k, *d, 1, "z", 5) for k, d in enumerate(docs)], "doc_id long, lang string, text string, rank int, shard string, ids int").repartition(5)
     for least, top, sent in ((30, 2000, 500_000), (3, 7, 500_000), (3, 7, 0)):
         monkeypatch.setattr(phrases, "SENT_WORDS", sent)
+        monkeypatch.setattr(phrases, "SENT_PAIRS", sent)
         got = sorted(tuple(r) for r in phrases.mine(df, least=least, top=top).collect())
         assert got == _mined(docs, least, 4, 80, top) and got
 
