@@ -13,23 +13,29 @@ def _quoted(text: str) -> str:
 
 def licences() -> str:
     values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(NOTICES.items()))
-    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
 WITH notices(licence, notice) AS (VALUES {values}),
-t AS (SELECT licence, {grams} AS b FROM (SELECT licence, {_WORDS.format(x='notice')} AS w FROM notices)),
+t AS (SELECT licence, len(w) AS n, list_distinct({grams}) AS b FROM (SELECT licence, {_WORDS.format(x='notice')} AS w FROM notices)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, string_split(text, chr(10)) AS l, text FROM d),
 u AS (SELECT r, 0 AS unit, text AS x FROM l WHERE len(l) > 1
       UNION ALL SELECT r, i AS unit, l[i] AS x FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
-g AS (SELECT r, unit, {grams} AS b FROM (SELECT r, unit, {_WORDS.format(x='x')} AS w FROM u)),
-m AS (SELECT r, unit, licence, len(list_intersect(g.b, t.b)) AS shared, len(g.b) AS n_text, len(t.b) AS n_notice
+g AS (SELECT r, unit, list_distinct({grams}) AS b FROM (SELECT r, unit, {_WORDS.format(x='x')} AS w FROM u)),
+m AS (SELECT r, unit, NULL AS word_start, licence, len(list_intersect(g.b, t.b)) AS shared, len(g.b) AS n_text, len(t.b) AS n_notice
       FROM g JOIN t ON len(g.b) > 0 AND len(g.b) <= 2 * len(t.b) AND len(t.b) <= 2 * len(g.b)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY 2.0 * shared / (n_text + n_notice) DESC, licence, unit) AS k
-      FROM m WHERE 2.0 * shared / (n_text + n_notice) >= {LEAST_DICE}) WHERE k = 1)
-SELECT doc_id, licence, shared, n_text, n_notice, unit FROM d LEFT JOIN best USING (r)"""
-
-
-def quality(max_texts: int, least_words: int, least_percent: int) -> str:
+a AS (SELECT r, {grams} AS g FROM (SELECT r, {_WORDS.format(x='text')} AS w FROM d)),
+c AS (SELECT r, g, licence, n, b FROM a JOIN t ON len(list_intersect(g, b)) * 1.5 >= len(b)),
+p AS (SELECT r, g, licence, n, b, i FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM c) WHERE list_contains(b, g[i])),
+w AS (SELECT r, NULL AS unit, i - 1 AS word_start, licence, len(list_intersect(list_distinct(x), b)) AS shared, len(list_distinct(x)) AS n_text, len(b) AS n_notice
+      FROM (SELECT *, g[i:i + n - 2] AS x FROM p)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY 2.0 * shared / (n_text + n_notice) DESC, shared DESC, licence,
+        unit NULLS LAST, word_start) AS k
+      FROM (SELECT * FROM m UNION ALL SELECT * FROM w) WHERE 2.0 * shared / (n_text + n_notice) >= {LEAST_DICE}) WHERE k = 1)
+SELECT doc_id, licence, shared, n_text, n_notice, unit, word_start FROM d LEFT JOIN best USING (r)"""
+
+
+def quality(max_documents: int, least_words: int, least_percent: int) -> str:
     ws = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS text FROM documents),
@@ -39,7 +45,7 @@ dup AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, x) AS c FR
 cov AS (SELECT r, sum(least(8, coalesce(q, p + 8) - p)) AS n FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS q FROM dup) GROUP BY r),
 ls AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 e AS (SELECT r, trim(regexp_replace(lower(l), '{ws}+', ' ', 'g')) AS l FROM (SELECT r, unnest(l) AS l FROM ls)),
-freq AS (SELECT host, l FROM e JOIN d USING (r) GROUP BY host, l HAVING count(DISTINCT text) > {max_texts}),
+freq AS (SELECT host, l FROM e JOIN d USING (r) GROUP BY host, l HAVING count(DISTINCT (doc_id, text)) > {max_documents}),
 cut AS (SELECT r, count(*) AS removed_lines, sum(length(l) - length(replace(l, ' ', '')) + 1) AS removed_words
         FROM e JOIN d USING (r) JOIN freq USING (host, l) GROUP BY r),
 c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,

@@ -1,8 +1,9 @@
 """Quality rules: counts of each text, and lines that many documents of a host share.
 
 Native: SQL functions only. A line is normalised (lower case, white space collapsed), hashed, and
-counted in the distinct texts of its host that contain it, so exact copies of a text count once. Lines
-in more than ``max_texts`` texts of a host count as removed. A document is depleted if fewer than
+counted in the distinct documents of its host that contain it: a text's lines are counted once for
+the text and weighted by its documents, so copies count without being laid out line by line. Rows that agree in id and
+text are one document. Lines in more than ``max_documents`` documents of a host count as removed. A document is depleted if fewer than
 ``least_words`` words, or less than ``least_percent`` percent of its words, are left.
 
 Null or empty texts have no word and fail the base rules; rows that repeat get equal results; a null
@@ -14,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import WORDS, prepare, text_key, words
+from kilnworks.llm.common import WORDS, prepare, sized, text_key, words
 from kilnworks.llm.shingle_sql import with_shingles
 from kilnworks.session import durable
 
-MAX_TEXTS, LEAST_WORDS, LEAST_PERCENT = 100, 20, 30
+MAX_DOCUMENTS, LEAST_WORDS, LEAST_PERCENT = 100, 20, 30
 WINDOW = 8
 
 
@@ -49,7 +50,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return repeated_words(df, "w", "n_repeat_words").drop("w")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_texts: int = MAX_TEXTS,
+def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_documents: int = MAX_DOCUMENTS,
           least_words: int = LEAST_WORDS, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """Counts, removed_lines, removed_words, base_failed and kept of every row."""
     prepare(docs.sparkSession)
@@ -60,8 +61,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
             .select("host", "t1", "t2", F.xxhash64("l").alias("h"), (F.length("l") - F.length(F.replace("l", F.lit(" "), F.lit(""))) + 1).alias("n")))
     texts = durable(each.groupBy("host", "t1", "t2", "h").agg(F.first("n").cast("long").alias("n"), F.count("*").alias("times")))
     # rows that repeat a text repeat its lines: how often is known from the copies
-    copies = durable(own.select("host", *text_key()).groupBy("host", "t1", "t2").agg(F.count("*").alias("copies")))
-    common = durable(texts.groupBy("host", "h").agg(F.count("*").alias("texts")).where(F.col("texts") > max_texts).select("host", "h"))
+    copies = durable(own.select("host", "doc_id", *text_key()).groupBy("host", "t1", "t2", "doc_id").agg(F.count("*").alias("rows"))
+                     .groupBy("host", "t1", "t2").agg(F.sum("rows").alias("copies"), F.count("*").alias("documents")))
+    several = copies.where("documents > 1").select("host", "t1", "t2", "documents")
+    weighted = texts.select("host", "t1", "t2", "h").join(sized(several), ["host", "t1", "t2"], "left")
+    common = durable(weighted.groupBy("host", "h").agg(F.sum(F.coalesce("documents", F.lit(1))).alias("documents"))
+                     .where(F.col("documents") > max_documents).select("host", "h"))
     removed = (texts.join(common, ["host", "h"]).groupBy("host", "t1", "t2").agg(F.sum("times").alias("lines"), F.sum(F.col("n") * F.col("times")).alias("words"))
                .join(copies, ["host", "t1", "t2"])
                .select("host", "t1", "t2", F.expr("lines div copies").alias("removed_lines"), F.expr("words div copies").alias("removed_words")))

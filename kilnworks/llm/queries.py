@@ -78,7 +78,7 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
-@_query("op3_quality_rules", oracles.quality(quality.MAX_TEXTS, quality.LEAST_WORDS, quality.LEAST_PERCENT))
+@_query("op3_quality_rules", oracles.quality(quality.MAX_DOCUMENTS, quality.LEAST_WORDS, quality.LEAST_PERCENT))
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
     return quality.judge(read(spark, sf_dir, "documents"))

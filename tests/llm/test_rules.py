@@ -1,5 +1,6 @@
 """The native operators against their SQL, on small tables with odd rows."""
 
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -71,9 +72,34 @@ def test_licences_equal_sql(spark, con):
     assert licences.scan(_frame(spark, _docs()), {}).where("licence is not null").count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0-boilerplate", "GPL-2.0-notice", "GPL-3.0-header", "ISC-text", "Zlib", "MIT", "CC-BY-4.0"])
+def test_wrapped_notices_inside_files(spark, name):
+    """Notices wrapped at 60 columns behind comment marks, with a holder, in the middle of a file, or in a longer line."""
+    rnd = np.random.default_rng(5)
+    filler = lambda k: " ".join(f"f{rnd.integers(1000)}" for _ in range(k))
+    notice = licences.NOTICES[name]
+    lines = textwrap.wrap(notice, 60)
+    docs = [(1, "\n".join([filler(30), "# Copyright (c) 2020 A. Holder", *[f"# {x}" for x in lines], filler(300), "x = 1"]), "h"),
+            (2, f"{filler(40)} {notice.lower()} {filler(7)}\n{filler(9)}", "h"), (3, " * ".join(["/*", *lines, "*/"]), "h"),
+            (4, "\n".join([filler(30), *lines[:len(lines) // 3], filler(60)]) if len(lines) > 3 else filler(50), "h")]
+    got = {r.doc_id: r for r in licences.scan(_frame(spark, docs)).collect()}
+    assert {got[d].licence for d in (1, 2, 3)} == {name} and got[4].licence != name
+    assert len(lines) == 1 or (got[1].unit is None and got[1].word_start > 30)
+
+
+def test_lines_of_copies_count_by_document(spark):
+    """A line in 200 copies of one text is in 200 documents; rows that repeat one document are not."""
+    words = [f"w{k}" for k in range(60)]
+    text = " ".join(words[:30]) + "\n" + " ".join(words[30:])
+    copies = [(d, text, "a") for d in range(200)]
+    same = [(1000, "other " + text, "b")] * 200
+    got = {(r.doc_id, r.removed_lines, r.kept) for r in quality.judge(_frame(spark, copies + same)).collect()}
+    assert got == {(d, 2, False) for d in range(200)} | {(1000, 0, True)}
+
+
 @pytest.mark.parametrize("most", [3, 12, 100])
 def test_quality_equals_sql(spark, con, most):
-    rows = _same(quality.judge(_frame(spark, _docs()), max_texts=most), con, oracles.quality(most, quality.LEAST_WORDS, quality.LEAST_PERCENT))
+    rows = _same(quality.judge(_frame(spark, _docs()), max_documents=most), con, oracles.quality(most, quality.LEAST_WORDS, quality.LEAST_PERCENT))
     assert len(rows) == len(_docs())
     assert quality.judge(_frame(spark, [])).count() == 0
 
