@@ -80,6 +80,47 @@ def _(spark, sf):
     return out
 
 
+# the training rows of the hazard as whole thousandths of a standard deviation, so that distances are exact
+RESAMPLE_ON = ["available_qty", "reserved_qty", "rop", "open_qty", "past_due_qty", "consumed_qty", "draft_mo_required_qty"]
+_GRID = ", ".join(f"floor((s.{c} - avg(s.{c}) OVER ()) / stddev_samp(s.{c}) OVER () * 1000 + 0.5) AS x{i}" for i, c in enumerate(RESAMPLE_ON))
+_SQUARES = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(RESAMPLE_ON)))
+ON_GRID = f"""{CHRONO}, w AS (SELECT s.snapshot_id AS id, t.target::INT AS label, {_GRID} FROM t JOIN c USING (snapshot_date) JOIN snapshots s USING (snapshot_id) WHERE fold = 'train')"""
+
+
+def on_grid(spark, sf):
+    """id, label and grid coordinates of the hazard's training rows."""
+    from kilnworks.operators import inventory as N
+    from kilnworks.operators.scale import with_scalars
+    train = S.chronological_split(N.supervised_frame(P.snapshots(spark, sf)), "snapshot_date").filter("fold = 'train'")
+    rows = durable(train.select(F.col("snapshot_id").alias("id"), F.col("target").cast("int").alias("label"), *RESAMPLE_ON))
+    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in RESAMPLE_ON], *[F.stddev_samp(c).alias(f"s_{c}") for c in RESAMPLE_ON])
+    cells = [F.floor((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") * 1000 + 0.5).cast("double") for c in RESAMPLE_ON]
+    return durable(with_scalars(rows, stats).select("id", "label", F.array(*cells).alias("x")))
+
+
+@query("i03_oversample", f"""WITH {ON_GRID}, cn AS (SELECT label, count(*) AS n FROM w GROUP BY 1),
+ z AS (SELECT arg_min(label, (n, label)) AS minor, min(n) AS n, max(n) - min(n) AS more FROM cn),
+ m AS (SELECT w.*, row_number() OVER (ORDER BY id) - 1 AS i FROM w JOIN z ON label = minor),
+ nb AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY {_SQUARES}, b.id) AS k FROM m a JOIN m b ON a.id <> b.id),
+ kk AS (SELECT id, copy, md5(id || '|' || copy) AS h FROM (SELECT id, unnest(range(1, CAST(floor((i + 1) * more / n) - floor(i * more / n) + 1 AS BIGINT))) AS copy FROM m, z)),
+ u AS (SELECT id, copy, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 5 + 1 AS k, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296 AS weight FROM kk)
+ SELECT u.id AS base, copy, nb.other AS neighbour, round(weight, 4) AS weight, {', '.join(f'round(a.x{i} + u.weight * (b.x{i} - a.x{i}), 4) AS x{i}' for i in range(len(RESAMPLE_ON)))}
+ FROM u JOIN nb ON nb.id = u.id AND nb.k = u.k JOIN m a ON a.id = u.id JOIN m b ON b.id = nb.other""", digits=4)
+def _(spark, sf):
+    """Synthetic rows between a row of the rare class and one of its five nearest."""
+    from kilnworks.operators.neighbours import oversample
+    made = oversample(on_grid(spark, sf))
+    return made.select("base", "copy", "neighbour", "weight", *[F.col("x")[i].alias(f"x{i}") for i in range(len(RESAMPLE_ON))])
+
+
+@query("i04_tomek_links", f"""WITH {ON_GRID}, nb AS (SELECT a.id, any_value(a.label) AS y, arg_min(b.id, ({_SQUARES}, b.id)) AS other, min({_SQUARES}) AS d2 FROM w a JOIN w b ON a.id <> b.id GROUP BY a.id)
+ SELECT d.id AS a, e.id AS b, d.d2 FROM nb d JOIN nb e ON d.other = e.id AND e.other = d.id AND d.y <> e.y AND d.id < e.id""")
+def _(spark, sf):
+    """Rows of different classes that are each other's nearest."""
+    from kilnworks.operators.neighbours import tomek_links
+    return tomek_links(on_grid(spark, sf))
+
+
 @query("i05_calibration", """SELECT count(*) FILTER (quotationID % 2 = 1) AS applied, round(avg(y) FILTER (quotationID % 2 = 0), 4) AS fitted_rate, 0 AS order_violations, true AS closer
  FROM scored""", digits=4)
 def _(spark, sf):
