@@ -1,23 +1,24 @@
-"""Model fits with Spark ML. Fits are distributed; only fitted parameters reach the driver."""
+"""Model fits with Spark ML and with boosted trees on histograms. Fits are distributed; only fitted parameters reach the driver."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnworks.operators import boosting as B
 from kilnworks.operators import clean as C
 from kilnworks.operators import metrics as M
 from kilnworks.operators.scale import exact_quantiles, join_on, top_per_key
@@ -85,39 +86,94 @@ def prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 
 # --- candidates -------------------------------------------------------------
-def candidates(label: str, trees: int = TREES, rounds: int = ROUNDS) -> dict[str, Estimator]:
-    """Logistic regression, random forest and two boosted settings."""
+@dataclass(frozen=True)
+class Booster:
+    """Boosted trees to be fitted."""
+    spec: B.Spec
+    label: str
+
+
+@dataclass
+class Boosted:
+    """Fitted boosted trees, behind the stages that make their features."""
+    front: PipelineModel
+    models: list[B.Model]
+
+    def scores(self, df: DataFrame, prep: Prepared, out: str) -> DataFrame:
+        """``out``: an array with the score of each model."""
+        tagged = prep.apply(df.withColumn("__row", F.struct(*[F.col(c) for c in df.columns])))
+        made = self.front.transform(tagged).select("__row", vector_to_array("features").alias("__x"))
+        return made.withColumn(out, B.score(self.models, "__x")).select("__row.*", out)
+
+
+def fit_boosted(train: DataFrame, prep: Prepared, specs: Sequence[B.Spec], label: str, key: Sequence[str] = ()) -> Boosted:
+    """All models in one fit. Rows are told apart by ``key``, or by all their columns, where a model takes only some of them."""
+    ready = prep.apply(train.withColumn("__h", F.xxhash64(*(key or train.columns))))
+    front = Pipeline(stages=feature_stages(prep.numeric, prep.categorical)).fit(ready)
+    rows = front.transform(ready).select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"), F.col("__h").alias("h"))
+    return Boosted(front, B.fit(rows, specs))
+
+
+def candidates(label: str, trees: int = TREES, rounds: int = ROUNDS) -> dict[str, Any]:
+    """Logistic regression, random forest and two boosted settings: best leaf first, and six full levels."""
     common = {"labelCol": label, "featuresCol": "features"}
     return {
         "logistic_regression": LogisticRegression(maxIter=100, **common),
         "random_forest": RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, seed=SEED, **common),
-        "boosted_leafwise": GBTClassifier(maxIter=rounds, stepSize=0.04, maxDepth=5, seed=SEED, **common),
-        "boosted_depth6": GBTClassifier(maxIter=rounds, stepSize=0.04, maxDepth=6, seed=SEED, **common)}
+        "boosted_leafwise": Booster(B.Spec(rounds=rounds, rate=0.04, leaves=31, least_rows=25), label),
+        "boosted_depth6": Booster(B.Spec(rounds=rounds, rate=0.04, leaves=64, depth=6, least_rows=1, least_hessian=3.0, l2=1.0), label)}
 
 
-def fit_model(train: DataFrame, prep: Prepared, estimator: Estimator) -> PipelineModel:
+def fit_model(train: DataFrame, prep: Prepared, estimator: Estimator | Booster) -> PipelineModel | Boosted:
+    if isinstance(estimator, Booster):
+        return fit_boosted(train, prep, [estimator.spec], estimator.label)
     return Pipeline(stages=[*feature_stages(prep.numeric, prep.categorical), estimator]).fit(prep.apply(train))
 
 
-def raw_scores(df: DataFrame, prep: Prepared, model: PipelineModel, out: str = "raw") -> DataFrame:
+def raw_scores(df: DataFrame, prep: Prepared, model: PipelineModel | Boosted, out: str = "raw") -> DataFrame:
+    if isinstance(model, Boosted):
+        return model.scores(df, prep, "__all").withColumn(out, F.col("__all")[0]).drop("__all")
     keep = [F.col(c) for c in df.columns]
     tagged = prep.apply(df.withColumn("__row", F.struct(*keep)))
     return model.transform(tagged).select("__row.*", positive().alias(out))
 
 
-def random_search(train: DataFrame, prep: Prepared, estimator: Estimator, space: dict[Any, list], label: str,
-                  tries: int = 8, folds: int = 3) -> tuple[Any, list[float]]:
-    """Three-fold cross validation over the estimator's own setting and a seeded sample of the grid; AUC decides."""
-    grid = ParamGridBuilder()
-    for p, values in space.items():
-        grid = grid.addGrid(p, values)
-    every = grid.build()
-    picked = [{}, *random.Random(SEED).sample(every, min(tries - 1, len(every)))]
-    pipe = Pipeline(stages=[*feature_stages(prep.numeric, prep.categorical), estimator])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=picked, numFolds=folds, seed=SEED, parallelism=2,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"))
-    fitted = cv.fit(prep.apply(train))
-    return fitted.bestModel, list(fitted.avgMetrics)
+def search_settings(space: dict[str, list], finalized: B.Spec, tries: int = 8) -> list[B.Spec]:
+    """The finalized settings and a seeded sample of the space."""
+    rnd = random.Random(SEED)
+    return [finalized, *[replace(finalized, **{k: rnd.choice(v) for k, v in space.items()}) for _ in range(tries)]]
+
+
+def random_search(train: DataFrame, prep: Prepared, settings: Sequence[B.Spec], label: str, key: Sequence[str] = (), folds: int = 3,
+                  quantiles: Sequence[float] = ()) -> DataFrame:
+    """setting, fold, score: cross-validated AUC of each setting, or its mean pinball loss over ``quantiles``.
+
+    The models of all settings, folds and quantiles grow in one fit over the same rows; each row is then
+    scored once, by the models that did not learn from it.
+    """
+    alphas = list(quantiles) or [None]
+    specs, of = [], []
+    for i, spec in enumerate(settings):
+        for f in range(folds):
+            for a in alphas:
+                specs.append(replace(spec, fold=(f, folds), **({} if a is None else {"objective": "quantile", "alpha": a})))
+                of.append((i, f, a))
+    key = list(key or train.columns)
+    fitted = fit_boosted(train, prep, specs, label, key)
+    scored = fitted.scores(train.withColumn("__h", F.xxhash64(*key)), prep, "__s").select(F.col(label).cast("double").alias("y"), "__h", "__s")
+
+    @F.pandas_udf("long")
+    def fold_of(h):
+        import pandas as pd
+        return pd.Series(B.folds_of(h.to_numpy(), folds))
+
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(f).alias("fold"), F.lit(a if a is not None else 0.0).cast("double").alias("alpha"),
+                                        F.col("__s")[n].alias("p")) for n, (i, f, a) in enumerate(of)]))
+    rows = durable(scored.withColumn("own", fold_of("__h")).select("y", "own", each.alias("e")).where("own = e.fold").select("y", "e.*"))
+    if not quantiles:
+        return M.roc_auc(rows, "y", "p", ["setting", "fold"], "score")
+    gap = F.col("y") - F.col("p")
+    return rows.groupBy("setting", "fold").agg(F.avg(F.greatest(gap * F.col("alpha"), gap * (F.col("alpha") - 1))).alias("score"))
 
 
 # --- calibration ------------------------------------------------------------
@@ -250,44 +306,80 @@ def fit_monotone(train: DataFrame, calibration: DataFrame, numeric: Sequence[str
     return model
 
 
-def bootstrap_interval(train: DataFrame, calibration: DataFrame, target: DataFrame, fit, key: str, n: int = RESAMPLES) -> DataFrame:
-    """5th and 95th percentile of each target row's score over models fitted on resamples.
+@dataclass
+class BoostedPriceModel:
+    """Boosted trees whose score never rises with price, calibrated; with resampled models, also their scores."""
+    prep: Prepared
+    fitted: Boosted
+    calibrators: list[Calibrator]
 
-    ``fit(train, calibration)`` returns a model with ``score``. Scores of one row sit
-    side by side in that row, so nothing is collected.
+    def all_scores(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
+        """One calibrated column for each model."""
+        out = self.fitted.scores(df, self.prep, "__all").withColumns({f"__r{i}": F.col("__all")[i] for i in range(len(names))}).drop("__all")
+        for i, (name, cal) in enumerate(zip(names, self.calibrators)):
+            out = cal.apply(out, f"__r{i}", name).drop(f"__r{i}").withColumn(name, F.least(F.greatest(F.col(name), F.lit(PROB_FLOOR)), F.lit(PROB_CEIL)))
+        return out
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        one = BoostedPriceModel(self.prep, Boosted(self.fitted.front, self.fitted.models[:1]), self.calibrators[:1])
+        return one.all_scores(df, [out])
+
+
+# Settings of the price classifier.
+PRICE_SPEC = B.Spec(rounds=300, rate=0.05, leaves=31, least_rows=20)
+
+
+def fit_monotone_boosted(train: DataFrame, calibration: DataFrame, numeric: Sequence[str], categorical: Sequence[str], price: str, label: str,
+                         spec: B.Spec = PRICE_SPEC, resamples: int = 0, key: Sequence[str] = ()) -> BoostedPriceModel:
+    """Boosted trees bounded to fall with price, and as many more on Poisson resamples, in one fit; each has its own calibrator."""
+    prep = prepare(train, [*numeric, price], categorical, clip=list(numeric))
+    falling = replace(spec, falling=(len(numeric),))  # the price is the last number
+    fitted = fit_boosted(train, prep, [falling, *[replace(falling, resample=i) for i in range(resamples)]], label, key)
+    raw = durable(fitted.scores(calibration, prep, "__all").select(F.col(label).alias("__y"), "__all"))
+    return BoostedPriceModel(prep, fitted, [Calibrator().fit(raw.select("__y", F.col("__all")[i].alias("raw")), "raw", "__y") for i in range(resamples + 1)])
+
+
+def score_interval(model: BoostedPriceModel, calibration: DataFrame, target: DataFrame, label: str, out: str = "p") -> DataFrame:
+    """``target`` with the score, ci_low and ci_high: the union of two uncertainties.
+
+    One is the 5th to 95th percentile of the resampled models' scores of the row, which widens for unusual rows; the other
+    the Wilson interval of the win rate among calibration rows of about that score, which widens where there are few.
     """
-    out = target
-    names = []
-    for i in range(n):
-        model = fit(train.sample(withReplacement=True, fraction=1.0, seed=SEED + i), calibration)
-        names.append(f"__b{i}")
-        out = durable(model.score(out, names[-1]))  # else one plan holds all the models
+    names = [f"__b{i}" for i in range(1, len(model.calibrators))]
+    bands = sorted(M.calibration_bands(durable(model.score(calibration, out)), label, out).collect(), key=lambda r: r["lower"])  # at most ten bins
+    rows = durable(model.all_scores(target, [out, *names]))
     ordered = F.array_sort(F.array(*names))
+    n = len(names)
 
     def at(q: float) -> Column:
         pos = q * (n - 1)
         lo, hi = int(pos), min(int(pos) + 1, n - 1)
         return F.get(ordered, F.lit(lo)) + (F.get(ordered, F.lit(hi)) - F.get(ordered, F.lit(lo))) * (pos - int(pos))
 
-    return out.withColumns({"ci_low": at(CI_LOW), "ci_high": at(CI_HIGH)}).drop(*names)
+    low, high = F.least(F.col(out), at(CI_LOW)), F.greatest(F.col(out), at(CI_HIGH))
+    if bands:
+        place = F.lit(0)
+        for i, r in enumerate(bands[1:], 1):
+            place = F.when(F.col(out) >= r["lower"], i).otherwise(place)
+        pick = lambda name: F.array(*[F.lit(float(r[name])) for r in bands])[place]
+        low, high = F.least(low, pick("ci_low")), F.greatest(high, pick("ci_high"))
+    zero_to_one = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return rows.withColumns({"ci_low": zero_to_one(low), "ci_high": zero_to_one(high)}).drop(*names)
 
 
 # --- price band -------------------------------------------------------------
 @dataclass
 class PriceBandModel:
-    """Quantile tree: each leaf serves the exact quartiles of its training ratios."""
+    """Boosted trees for each quartile of the price ratio, and the empirical quartiles of each group."""
     prep: Prepared
-    tree: PipelineModel
-    leaves: DataFrame
+    fitted: Boosted
     empirical: DataFrame
     overall: tuple[float, float, float]
     served: str
     metrics: dict[str, float]
 
     def fitted_band(self, df: DataFrame) -> DataFrame:
-        keep = F.struct(*[F.col(c) for c in df.columns])
-        at = self.tree.transform(self.prep.apply(df.withColumn("__row", keep))).select("__row.*", F.col("leaf").cast("bigint").alias("leaf"))
-        return join_on(at, self.leaves, ["leaf"]).drop("leaf")
+        return self.fitted.scores(df, self.prep, "__q").withColumns({c: F.col("__q")[i] for i, c in enumerate(QUARTILES)}).drop("__q")
 
     def empirical_band(self, df: DataFrame, group: str) -> DataFrame:
         tagged = df.withColumn("__g", F.col(group).cast("string"))
@@ -316,17 +408,18 @@ def _band_metrics(df: DataFrame, target: str) -> dict[str, float]:
     return r.asDict()
 
 
+# Settings of the quartile models.
+BAND_SPEC = B.Spec(objective="quantile", rounds=400, rate=0.05, leaves=31, least_rows=30)
+
+
 def fit_price_band(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], group: str,
-                   target: str = "price_ratio", depth: int = 5) -> PriceBandModel:
-    """Fitted quartiles against the empirical ones per product; the fitted are served only if no worse in both measures."""
+                   target: str = "price_ratio", spec: B.Spec = BAND_SPEC) -> PriceBandModel:
+    """Boosted quartiles by pinball loss against the empirical ones per group; the fitted are served only if no worse in both measures."""
     prep = prepare(train, numeric, categorical)
-    tree = Pipeline(stages=[*feature_stages(numeric, categorical), DecisionTreeRegressor(
-        labelCol=target, featuresCol="features", leafCol="leaf", maxDepth=depth, minInstancesPerNode=20, seed=SEED)]).fit(prep.apply(train))
-    at = tree.transform(prep.apply(train)).select(F.col("leaf").cast("bigint").alias("leaf"), target)
-    leaves = exact_quantiles(at, ["leaf"], target, QUARTILES)
+    fitted = fit_boosted(train, prep, [replace(spec, alpha=a) for a in QUARTILES.values()], target)
     emp = exact_quantiles(train.withColumn("__g", F.col(group).cast("string")), ["__g"], target, QUARTILES)
     g = exact_quantiles(train, [], target, QUARTILES).first()
-    model = PriceBandModel(prep, tree, leaves, emp, (g["q25"], g["q50"], g["q75"]), "empirical", {})
+    model = PriceBandModel(prep, fitted, emp, (g["q25"], g["q50"], g["q75"]), "empirical", {})
     a = _band_metrics(model.fitted_band(test), target)
     b = _band_metrics(model.empirical_band(test, group), target)
     model.served = "fitted" if a["coverage"] >= b["coverage"] and a["pinball"] <= b["pinball"] else "empirical"

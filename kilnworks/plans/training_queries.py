@@ -51,6 +51,17 @@ def scored(spark, sf):
     return durable(P.scored_lines(spark, sf))
 
 
+_TRAINED: dict = {}
+
+
+def once(spark, sf, name: str, fit):
+    """One training run for the queries that report on it; its tables lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TRAINED:
+        _TRAINED[key] = fit()
+    return _TRAINED[key]
+
+
 @query("i01_feature_pipeline", """SELECT materialSpec, (SELECT 5 + count(DISTINCT materialSpec) FROM scored) AS width, round(sum((quantity - m) / s), 4) AS scaled_quantity
  FROM scored CROSS JOIN (SELECT avg(quantity) AS m, stddev_samp(quantity) AS s FROM scored) GROUP BY materialSpec""", digits=4)
 def _(spark, sf):
@@ -64,22 +75,43 @@ def _(spark, sf):
     return made.groupBy("materialSpec").agg(F.max(F.size(v)).alias("width"), F.sum(v[0]).alias("scaled_quantity"))
 
 
-@query("i02_hazard_candidates", f"""WITH {CHRONO} SELECT unnest(['logistic_regression', 'random_forest', 'boosted_leafwise', 'boosted_depth6']) AS algorithm,
- (SELECT count(*) FROM t JOIN c USING (snapshot_date) WHERE fold = 'test') AS n_test, true AS bounded""")
-def _(spark, sf):
-    """All four weekly hazard candidates on one set of folds: rows scored, and whether every score is a probability."""
+def hazard_candidates(spark, sf):
+    """algorithm, target and raw score of every test row, for all four candidates on one set of folds."""
     from kilnworks.operators import inventory as N
     folds = durable(S.chronological_split(N.supervised_frame(P.snapshots(spark, sf)), "snapshot_date"))
     train, test = folds.filter("fold = 'train'"), folds.filter("fold = 'test'")
     prep = ML.prepare(train, T.HAZARD_NUMERIC, T.HAZARD_CATEG)
     out = None
     for name, est in ML.candidates("target").items():
-        s = ML.raw_scores(test, prep, ML.fit_model(train, prep, est))
-        row = s.agg(F.count("raw").alias("n_test"), F.min(F.col("raw").between(0, 1)).alias("bounded")).select(F.lit(name).alias("algorithm"), "n_test", "bounded")
-        out = row if out is None else out.unionByName(row)
+        s = ML.raw_scores(test, prep, ML.fit_model(train, prep, est)).select(F.lit(name).alias("algorithm"), F.col("target").cast("int").alias("target"), "raw")
+        out = durable(s) if out is None else out.unionByName(durable(s))
+    return out
+
+
+def evaluated(scores, names: str, y: str, p: str):
+    """AUC, PR-AUC, Brier, ECE and n of each model in one pass over all."""
+    parts = [M.roc_auc(scores, y, p, [names]), M.average_precision(scores, y, p, [names]), M.expected_calibration_error(scores, y, p, [names])]
+    out = scores.groupBy(names).agg(F.count(p).alias("n_test"), M.brier(F.col(y), F.col(p)).alias("brier"), F.avg(y).alias("positive_rate"))
+    for part in parts:
+        out = out.join(part, names)
     return out
 
 
+@query("i02_hazard_candidates", f"""WITH {CHRONO}, a AS (SELECT count(*) AS n_test, avg(target::INT) AS rate FROM t JOIN c USING (snapshot_date) WHERE fold = 'test')
+ SELECT unnest(['logistic_regression', 'random_forest', 'boosted_leafwise', 'boosted_depth6']) AS algorithm, n_test, round(rate, 6) AS positive_rate, true AS bounded, true AS useful FROM a""")
+def _(spark, sf):
+    """All four weekly hazard candidates on one set of folds: rows scored, their rate, whether every score is a probability and ranks better than chance."""
+    s = once(spark, sf, "hazard_candidates", lambda: hazard_candidates(spark, sf))
+    inside = s.groupBy("algorithm").agg(F.min(F.col("raw").between(0, 1)).alias("bounded"))
+    return evaluated(s, "algorithm", "target", "raw").join(inside, "algorithm").select("algorithm", "n_test", "positive_rate", "bounded", (F.col("auc") > 0.5).alias("useful"))
+
+
+@query("i02_hazard_metrics")
+def _(spark, sf):
+    """AUC, PR-AUC, Brier and ECE of the four candidates."""
+    return evaluated(once(spark, sf, "hazard_candidates", lambda: hazard_candidates(spark, sf)), "algorithm", "target", "raw")
+
+
 # the training rows of the hazard as whole thousandths of a standard deviation, so that distances are exact
 RESAMPLE_ON = ["available_qty", "reserved_qty", "rop", "open_qty", "past_due_qty", "consumed_qty", "draft_mo_required_qty"]
 _GRID = ", ".join(f"floor((s.{c} - avg(s.{c}) OVER ()) / stddev_samp(s.{c}) OVER () * 1000 + 0.5) AS x{i}" for i, c in enumerate(RESAMPLE_ON))
@@ -142,7 +174,7 @@ def _(spark, sf):
  SELECT (SELECT count(*) FROM r WHERE fold = 'test') AS rows, 0 AS order_violations, (SELECT round(avg(target_4w::INT), 3) FROM r WHERE {PURGED}) AS fitted_rate""", digits=3)
 def _(spark, sf):
     """Test rows with calibrated 30 and 60 day risks, order violations (must be none), calibrated mean on the rows of the fit."""
-    t = T.train_hazard(P.snapshots(spark, sf))
+    t = hazard_job(spark, sf)
     r = t.model.horizon.apply(t.parts["test_risks"], "s", "l", "c30", "c60")
     own = t.model.horizon.apply(t.parts["risks"], "s", "l", "c30", "c60").agg(F.avg("c30").alias("fitted_rate"))
     return r.agg(F.count("c60").alias("rows"), F.count_if(F.col("c30") > F.col("c60")).alias("order_violations")).withColumn("fitted_rate", own.scalar())
@@ -155,67 +187,139 @@ def _(spark, sf):
     return ML.purge_calibration(folds, "snapshot_date", 9).select("snapshot_id")
 
 
-@query("i11_random_search", "SELECT unnest(range(0, 8)) AS setting, true AS learned")
+# the reference grids with a tenth of the rounds
+SPACE = {"rounds": [20, 30, 40], "rate": [0.03, 0.05, 0.08], "leaves": [15, 31, 63], "least_rows": [10, 20, 40]}
+
+
+@query("i11_random_search", "SELECT setting, fold, true AS learned FROM (SELECT unnest(range(0, 5)) AS setting), (SELECT unnest(range(0, 3)) AS fold)")
 def _(spark, sf):
-    """Whether each setting, the estimator's own and seven sampled ones, ranks better than chance in cross validation."""
+    """Whether each setting, the finalized one and four sampled ones, ranks better than chance in each fold; all models in one fit."""
     s = scored(spark, sf)
     prep = ML.prepare(s, NUM, CAT)
-    lr = LogisticRegression(labelCol="y")
-    space = {lr.regParam: [0.0, 0.01, 0.1], lr.elasticNetParam: [0.0, 0.5, 1.0]}
-    _best, auc = ML.random_search(s, prep, lr, space, "y")
-    return spark.createDataFrame([(i, float(a) >= 0.5) for i, a in enumerate(auc)], "setting int, learned boolean")
+    settings = ML.search_settings(SPACE, ML.B.Spec(rounds=30, rate=0.05, leaves=31, least_rows=20), tries=4)
+    auc = once(spark, sf, "search", lambda: durable(ML.random_search(s, prep, settings, "y", ["id"])))
+    return auc.select("setting", "fold", (F.col("score") > 0.5).alias("learned"))
 
 
-@query("i12_monotone_price", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT holdout AS n_test, 0 AS rising_lines FROM x")
+@query("i11_search_scores")
 def _(spark, sf):
-    """Rows of the hold-out fold and how many have odds that rise along the price grid (must be none)."""
-    t = T.train_line(line_frame(spark, sf))
-    hold = t.parts["folds"]["holdout"]
+    """The AUC of each setting and fold."""
+    s = scored(spark, sf)
+    settings = ML.search_settings(SPACE, ML.B.Spec(rounds=30, rate=0.05, leaves=31, least_rows=20), tries=4)
+    return once(spark, sf, "search", lambda: durable(ML.random_search(s, ML.prepare(s, NUM, CAT), settings, "y", ["id"])))
+
+
+@query("i11_pinball_search", "SELECT setting, fold, true AS better FROM (SELECT unnest(range(0, 3)) AS setting), (SELECT unnest(range(0, 3)) AS fold)")
+def _(spark, sf):
+    """Whether each setting's quartile models lose less than the constant quartiles of all rows, by mean pinball loss."""
+    f = price_frame(spark, sf)
+    settings = ML.search_settings({"rounds": [10, 20], "rate": [0.1, 0.2], "leaves": [15, 31], "least_rows": [20, 30]},
+                                  ML.B.Spec(rounds=15, rate=0.2, leaves=31, least_rows=30), tries=2)
+    got = ML.random_search(f, ML.prepare(f, BAND_NUMERIC, ["region"]), settings, "price_ratio", ["quotationID", "productID", "quantity"], quantiles=list(ML.QUARTILES.values()))
+    from kilnworks.operators.scale import exact_quantiles, with_scalars
+    gap = lambda q: F.col("price_ratio") - F.col(q)
+    flat = reduce(lambda a, b: a + b, [F.greatest(gap(q) * a, gap(q) * (a - 1)) for q, a in ML.QUARTILES.items()]) / 3
+    constant = with_scalars(f, exact_quantiles(f, [], "price_ratio", ML.QUARTILES)).agg(F.avg(flat).alias("constant"))
+    return with_scalars(durable(got), constant).select("setting", "fold", (F.col("score") < F.col("constant")).alias("better"))
+
+
+def line_job(spark, sf):
+    """The line job with the model's fixed settings and 15 resampled models, on one set of folds."""
+    return once(spark, sf, "line", lambda: T.train_line(line_frame(spark, sf), LINE_SPEC, ML.RESAMPLES))
+
+
+# an eighth of the production rounds: sixteen models grow in the same fit
+LINE_SPEC = ML.B.Spec(rounds=40, rate=0.12, leaves=31, least_rows=20)
+
+
+@query("i12_monotone_price", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT holdout AS n_test, 0 AS rising_lines, true AS not_below_hinge FROM x")
+def _(spark, sf):
+    """Rows of the hold-out fold, how many have odds that rise along the price grid (must be none), and whether it ranks no worse than a monotone logistic fit."""
+    t = line_job(spark, sf)
+    folds = t.parts["folds"]
+    hold = folds["holdout"]
     grid = F.array(*[F.lit(v) for v in W.grid(0.2, 3.0, 21)])
     swept = hold.select(*[c for c in hold.columns if c != "price_ratio"], F.posexplode(grid).alias("step", "price_ratio"))
-    s = t.model.score(swept, "p")
+    s = durable(t.model.score(swept, "p").select("quotationLineItemID", "step", "p"))
     per = s.groupBy("quotationLineItemID").agg(F.array_sort(F.collect_list(F.struct("step", "p"))).alias("a"))
     rise = per.agg(F.count_if(W.rises(F.transform("a", lambda x: x["p"]))).alias("rising_lines"))
-    return t.metrics.select("n_test").withColumn("rising_lines", rise.scalar())
+    hinge = ML.fit_monotone(folds["train"], folds["calibration"], T.LINE_NUMERIC, T.LINE_CATEG, "price_ratio", "won")
+    other = M.roc_auc(durable(hinge.raw(hold, "p").select("won", "p")), "won", "p", out="hinge_auc")
+    raw = M.roc_auc(durable(t.model.fitted.scores(hold, t.model.prep, "s").select("won", F.col("s")[0].alias("p"))), "won", "p", out="own")
+    return t.metrics.select("n_test").withColumn("rising_lines", rise.scalar()).withColumn("not_below_hinge", raw.scalar() >= other.scalar() - 0.01)
 
 
-@query("i13_bootstrap_interval", f"""WITH f AS ({LINE_SQL}), {FOLD_SIZES} SELECT holdout AS rows, 0 AS crossed, 0 AS outside FROM x""")
+@query("i13_bootstrap_interval", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT holdout AS rows, 0 AS crossed, 0 AS outside, 0 AS without_score FROM x")
 def _(spark, sf):
-    """Rows with a resampled score interval, intervals that are turned and that leave the served bounds."""
-    f = line_frame(spark, sf)
-    folds = T._folds(durable(S.temporal_group_split(f, "quotationID", "quoteDate")))
+    """Rows with an interval of resampled scores and Wilson bands: intervals that are turned, leave the probabilities, or miss the row's own score."""
+    t = line_job(spark, sf)
+    folds = t.parts["folds"]
+    out = ML.score_interval(t.model, folds["calibration"], folds["holdout"], "won")
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ci_low") > F.col("ci_high")).alias("crossed"),
+                   F.count_if((F.col("ci_low") < 0) | (F.col("ci_high") > 1)).alias("outside"), F.count_if(~F.col("p").between(F.col("ci_low"), F.col("ci_high"))).alias("without_score"))
 
-    def fit(train, calibration):
-        return ML.fit_monotone(train, calibration, T.LINE_NUMERIC, T.LINE_CATEG, "price_ratio", "won")
 
-    out = ML.bootstrap_interval(folds["train"], folds["calibration"], folds["holdout"], fit, "quotationLineItemID")
-    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ci_low") > F.col("ci_high")).alias("crossed"),
-                   F.count_if((F.col("ci_low") < ML.PROB_FLOOR) | (F.col("ci_high") > ML.PROB_CEIL)).alias("outside"))
+def win_job(spark, sf):
+    return once(spark, sf, "win", lambda: T.train_win(win_frame(spark, sf), WIN_ROUNDS))
+
+
+WIN_ROUNDS = 100
+
+
+@query("i14_quote_win_model", f"""WITH f AS (SELECT quotationID, quoteDate AS "quoteDate", won FROM headers), {FOLD_SIZES},
+ h AS (SELECT quotationID, sum(size) OVER (ORDER BY d, quotationID ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, sum(size) OVER () AS n FROM g)
+ SELECT holdout AS n_test, (SELECT round(avg(won), 6) FROM h JOIN f USING (quotationID) WHERE coalesce(seen, 0) >= (0.60 + 0.20) * n) AS positive_rate, true AS bounded FROM x""")
+def _(spark, sf):
+    """Hold-out quotes scored, their win rate, and whether every score is a probability."""
+    scores = win_job(spark, sf).parts["scored"]
+    return scores.agg(F.count("p").alias("n_test"), F.avg(F.col("won").cast("double")).alias("positive_rate"), F.min(F.col("p").between(0, 1)).alias("bounded"))
 
 
-@query("i14_quote_win_model", f"WITH f AS (SELECT quotationID, quoteDate AS \"quoteDate\" FROM headers), {FOLD_SIZES} SELECT holdout AS n_test, true AS bounded FROM x")
+@query("i14_quote_win_metrics")
 def _(spark, sf):
-    """Hold-out quotes scored, and whether every score is a probability."""
-    scores = T.train_win(win_frame(spark, sf)).parts["scored"]
-    return scores.agg(F.count("p").alias("n_test"), F.min(F.col("p").between(0, 1)).alias("bounded"))
+    """All metrics of the quote-level model on its hold-out fold."""
+    return win_job(spark, sf).metrics
+
+
+BAND_NUMERIC = ["quantity", "unitPrice", "leadTimeDays", "contact_win_rate"]
+
+
+def price_frame(spark, sf):
+    return durable(frames.price_frame(P.quotes(spark, sf), P.quote_lines(spark, sf)))
 
 
-@query("i15_price_band_model", "SELECT count(*) AS rows, 0 AS disordered, 0 AS unclamped, 1 AS modes FROM priced JOIN headers USING (quotationID) WHERE won = 1")
+def band_job(spark, sf):
+    """The quartile models on seven of ten quotes, with an eighth of the production rounds."""
+    def fit():
+        f = price_frame(spark, sf)
+        train, test = f.filter(F.col("quotationID") % 10 < 7), f.filter(F.col("quotationID") % 10 >= 7)
+        return f, ML.fit_price_band(train, test, BAND_NUMERIC, ["region"], "productID", spec=ML.B.Spec("quantile", rounds=50, rate=0.1, leaves=31, least_rows=30))
+    return once(spark, sf, "band", fit)
+
+
+@query("i15_price_band_model", """SELECT count(*) AS rows, 0 AS disordered, 0 AS unclamped, 1 AS modes, true AS near_half FROM priced JOIN headers USING (quotationID) WHERE won = 1""")
 def _(spark, sf):
-    """Bands of the served model: rows, order and clamp violations (must be none), and models served (one)."""
-    f = durable(frames.price_frame(P.quotes(spark, sf), P.quote_lines(spark, sf)))
-    train, test = f.filter(F.col("quotationID") % 10 < 7), f.filter(F.col("quotationID") % 10 >= 7)
-    m = ML.fit_price_band(train, test, ["quantity", "unitPrice", "leadTimeDays", "contact_win_rate"], ["region"], "productID")
+    """Bands of the served model: rows, order and clamp violations (must be none), models served (one), and whether the fitted band covers about half."""
+    f, m = band_job(spark, sf)
     s = m.serve(f, "productID")
     bad = (F.col("ratio_low") > F.col("ratio_mid")) | (F.col("ratio_mid") > F.col("ratio_high"))
     return s.agg(F.count("ratio_mid").alias("rows"), F.count_if(bad).alias("disordered"),
-                 F.count_if((F.col("ratio_low") < 0.7) | (F.col("ratio_high") > 1.3)).alias("unclamped"), F.count_distinct("served_mode").alias("modes"))
+                 F.count_if((F.col("ratio_low") < 0.7) | (F.col("ratio_high") > 1.3)).alias("unclamped"), F.count_distinct("served_mode").alias("modes")).withColumn(
+        "near_half", F.lit(0.4 <= m.metrics["coverage"] <= 0.6))
+
+
+@query("i15_price_band_metrics")
+def _(spark, sf):
+    """Coverage, mean pinball loss and median error of the fitted and of the empirical band, and which is served."""
+    _f, m = band_job(spark, sf)
+    # six numbers that the fit has already brought together
+    return spark.createDataFrame([(k, float(v), m.served) for k, v in sorted(m.metrics.items())], "measure string, value double, served string")
 
 
 @query("i22_hazard_scoring", "SELECT count(*) AS rows, count(DISTINCT snapshot_id) AS snapshots, 0 AS order_violations, 0 AS outside FROM snapshots")
 def _(spark, sf):
     """Every snapshot scored by both projections with alerts: rows, ids, risks out of order or no probability."""
-    t = T.train_hazard(P.snapshots(spark, sf))
+    t = hazard_job(spark, sf)
     s = t.model.predict(P.snapshots(spark, sf), ["snapshot_id"])
     risks = ("model_risk_30d", "model_risk_60d", "projection_risk_30d", "projection_risk_60d")
     outside = reduce(lambda a, b: a | b, [F.coalesce(~F.col(c).between(0, 1), F.lit(True)) for c in risks])
@@ -229,28 +333,55 @@ def _(spark, sf):
   unnest([NULL, NULL, round(b30 * (1 - b30), 6), NULL, NULL, NULL, round(b60 * (1 - b60), 6)]) AS constant_brier FROM a""")
 def _(spark, sf):
     """Both horizons on the test fold: raw, calibrated together, the long one calibrated on its own, constant baseline; the baseline's error is known."""
-    t = T.train_hazard(P.snapshots(spark, sf))
+    r = horizon_scores(spark, sf)
+    out = None
+    for name, y, p in HORIZON_SCORES:
+        row = ML.evaluate(r, y, p).select(F.lit(name).alias("score"), "n_test", (F.col("brier") if "baseline" in name else F.lit(None).cast("double")).alias("constant_brier"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("i23_horizon_metrics")
+def _(spark, sf):
+    """AUC, Brier, ECE and the rest for each horizon and score, and how many rows have their risks out of order."""
+    r = horizon_scores(spark, sf)
+    turned = r.agg(F.count_if(F.col("c30") > F.col("c60")).alias("n"))
+    out = None
+    for name, y, p in HORIZON_SCORES:
+        row = ML.evaluate(r, y, p).withColumn("score", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("order_violations", turned.scalar())
+
+
+HORIZON_SCORES = (("before_30d", "y30", "s"), ("after_30d", "y30", "c30"), ("baseline_30d", "y30", "b30"),
+                  ("before_60d", "y60", "l"), ("after_60d", "y60", "c60"), ("independent_60d", "y60", "i60"), ("baseline_60d", "y60", "b60"))
+
+
+def horizon_scores(spark, sf):
+    """Test rows with raw, jointly and separately calibrated and constant risks of both horizons."""
+    return once(spark, sf, "horizon_scores", lambda: _horizon_scores(spark, sf))
+
+
+def hazard_job(spark, sf):
+    return once(spark, sf, "hazard", lambda: T.train_hazard(P.snapshots(spark, sf)))
+
+
+def _horizon_scores(spark, sf):
+    t = hazard_job(spark, sf)
     fitted = t.parts["risks"].filter("target_9w IS NOT NULL").withColumn("y60", F.col("target_9w").cast("int"))
     alone = ML.Calibrator().fit(fitted, "l", "y60")
     r = t.model.horizon.apply(t.parts["test_risks"].filter("target_9w IS NOT NULL"), "s", "l", "c30", "c60")
     r = durable(alone.apply(r, "l", "i60").withColumns({"y30": F.col("target_4w").cast("int"), "y60": F.col("target_9w").cast("int")}))
     base = r.agg(F.avg("y30").alias("b30"), F.avg("y60").alias("b60"))
     from kilnworks.operators.scale import with_scalars
-    r = with_scalars(r, base)
-    out = None
-    for name, y, p in (("before_30d", "y30", "s"), ("after_30d", "y30", "c30"), ("baseline_30d", "y30", "b30"),
-                       ("before_60d", "y60", "l"), ("after_60d", "y60", "c60"), ("independent_60d", "y60", "i60"), ("baseline_60d", "y60", "b60")):
-        row = ML.evaluate(r, y, p).select(F.lit(name).alias("score"), "n_test", (F.col("brier") if "baseline" in name else F.lit(None).cast("double")).alias("constant_brier"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return durable(with_scalars(r, base))
 
 
 @query("i24_open_quote_scoring", """SELECT line_count < 5 AS hidden, count(*) AS quotes, count(*) AS payloads, 0 AS outside FROM quotes JOIN rollup USING (quotationID)
  WHERE statusName = 'Sent' GROUP BY 1""")
 def _(spark, sf):
     """Every open quote scored with its own rates and its advisory payload; counts by display."""
-    frame = win_frame(spark, sf)
-    t = T.train_win(frame)
+    t = win_job(spark, sf)
     q = P.quotes(spark, sf).filter("statusName = 'Sent'")
     roll = frames.quote_rollup(frames.priced_lines(P.quote_lines(spark, sf)))
     from kilnworks.operators.scale import with_scalars
@@ -268,18 +399,24 @@ def _(spark, sf):
                                    F.count_if(~F.col("p").between(0, 1)).alias("outside"))
 
 
-@query("i25_line_training_job", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT train, calibration, holdout, holdout AS n_test FROM x")
+@query("i25_line_training_job", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT train, calibration, holdout, holdout AS n_test, true AS useful FROM x")
 def _(spark, sf):
-    """Rows per fold of the whole line job, and rows scored."""
-    t = T.train_line(line_frame(spark, sf))
+    """Rows per fold of the whole line job, rows scored, and whether the scores rank better than chance."""
+    t = line_job(spark, sf)
     f = t.parts["folds"]
     counts = [f[n].agg(F.count(F.lit(1)).alias(n)) for n in ("train", "calibration", "holdout")]
-    out = t.metrics.select("n_test")
+    out = t.metrics.select("n_test", (F.col("auc") > 0.5).alias("useful"))
     for name, c in zip(("train", "calibration", "holdout"), counts):
         out = out.withColumn(name, c.scalar())
     return out
 
 
+@query("i25_line_training_metrics")
+def _(spark, sf):
+    """All metrics of the line model on its hold-out fold."""
+    return line_job(spark, sf).metrics
+
+
 @query("d32_learnability_gate", """SELECT count(*) AS n_test, round(avg(y), 6) AS positive_rate, false AS leak_alarm, true AS lift_ok FROM scored WHERE quotationID % 10 >= 7""")
 def _(spark, sf):
     """Hold-out rows and rate of a fair logistic fit, its leak alarm and whether it lifts."""
