@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import parallelism, prepare
+from kilnworks.llm.common import parallelism, prepare, renamed, tidy
 from kilnworks.session import durable
 
 LEAST_WORDS = 50
@@ -69,7 +69,7 @@ def suffixes(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> D
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in (k1, k2, places, hashes, needs, mosts)],
                                       names=["k1", "k2", "i", "h", "m", "most"])
 
-    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("x")).mapInArrow(run, "k1 long, k2 long, i int, h long, m int, most int")
+    return docs.select(*_key(id_col, text_col), F.col(text_col).alias("x")).mapInArrow(tidy(run), "k1 long, k2 long, i int, h long, m int, most int")
 
 
 def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -125,7 +125,7 @@ def maximal_runs(runs: DataFrame) -> DataFrame:
 
     # a text's runs are at most twice as many as its lines
     return runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("r")).mapInArrow(
-        run, "k1 long, k2 long, starts array<int>, ends array<int>")
+        tidy(run), "k1 long, k2 long, starts array<int>, ends array<int>")
 
 
 def _without(text: str, starts: list[int], ends: list[int]) -> str:
@@ -138,12 +138,16 @@ def _without(text: str, starts: list[int], ends: list[int]) -> str:
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its columns, the text without the deleted lines, and line_starts, line_ends (null if nothing went)."""
+    """Every row with its columns, the text without the deleted lines, and line_starts, line_ends (null if nothing went).
+
+    Input columns of these two names are kept as ``in_line_starts`` and ``in_line_ends``.
+    """
     runs = durable(maximal_runs(repeated_runs(docs, least_words, id_col, text_col)))
     n = runs.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
     cut = runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("starts").alias("line_starts"), F.col("ends").alias("line_ends"))
     key1, key2 = _key(id_col, text_col)
-    plain = [c for c in docs.columns if c not in ("line_starts", "line_ends")]
+    docs = renamed(docs, ["line_starts", "line_ends"])
+    plain = docs.columns
     joined = docs.select(*plain, key1.alias("__own1"), key2.alias("__own2")).join(
         F.broadcast(cut) if n <= BROADCAST_RUNS else cut, (F.col("__own1") == F.col("__k1")) & (F.col("__own2") == F.col("__k2")), "left").select(
         *plain, "line_starts", "line_ends")
@@ -156,4 +160,4 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "
                 texts = pa.array([x.as_py() if not a.is_valid else _without(x.as_py(), a.as_py(), b.as_py()) for x, a, b in zip(texts, starts, ends)], texts.type)
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(tidy(run), joined.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare
+from kilnworks.llm.common import prepare, tidy
 from kilnworks.llm.graph import components
 from kilnworks.session import durable
 
@@ -147,7 +147,7 @@ def _signed(texts: DataFrame, k: int, rows: int) -> DataFrame:
                                    pa.array([set_name(s) if len(s) else None for s in sets], pa.int64()),
                                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "t", "n", "c", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, t long, n long, c long, bands array<long>")
+    return texts.mapInArrow(tidy(run), "doc_id long, t long, n long, c long, bands array<long>")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     # a null id cannot be looked up, so it is spelled as a number of its own on both sides
     own = lambda df: df.withColumn("d", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))).drop("doc_id")
-    rows = own(texts).join(_sized(own(wanted)), "d").select("c", "x").mapInArrow(run, "c long, s array<long>")
+    rows = own(texts).join(_sized(own(wanted)), "d").select("c", "x").mapInArrow(tidy(run), "c long, s array<long>")
     return rows
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import gathered, prepare
+from kilnworks.llm.common import gathered, prepare, tidy
 from kilnworks.llm.encode import encoder
 
 #: Ids that one pool of remainders holds before it is packed.
@@ -179,7 +179,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
         if rows:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x")).mapInArrow(pack, PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x")).mapInArrow(tidy(pack), PIECE)
 
 
 def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, capacity: int = 2048, max_segments: int = 64,

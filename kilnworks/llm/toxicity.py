@@ -8,7 +8,7 @@ loss is logistic, so the sigmoid of a linear scorer estimates the probability of
 Features are the distinct words of a whole text, lower case, and the distinct beginnings of words of
 four to six characters (marked by an asterisk), which inflected forms share. Feature counts cover all rows of both
 samples and are made on the executors; features that are more frequent in P by ``LEAST_Z`` standard errors
-enter the model (at least ``LEAST_WORDS``, at most ``MAX_WORDS`` of them). Both samples are bounded: the ``MAX_POSITIVE`` confirmed and
+enter the model, all of them (at least ``LEAST_WORDS``). Both samples are bounded: the ``MAX_POSITIVE`` confirmed and
 ``MAX_UNLABELLED`` labelled rows with the smallest hashed ids; the prior counts all labelled rows.
 
 Null or empty texts have no word and get the score of the bias alone. Labels that are null are left
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare
+from kilnworks.llm.common import prepare, tidy
 from kilnworks.session import durable
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 8_000, 16_000, 4_096
+MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 LEAST_Z, LEAST_WORDS, REMEMBERED = 4.0, 8, 100_000
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
@@ -119,7 +119,7 @@ def nn_pu(p: Rows, u: Rows, width: int, prior: float, steps: int = 600, rate: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS) -> Scorer:
+        max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Scorer:
     """Learn from the rows that ``in_training`` allows."""
     prepare(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where(F.col("d").isNotNull() & F.col("y").isNotNull())
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [features(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["p", "words"])
 
-    sample = durable(texts.mapInArrow(distinct_features, "p int, words array<string>"))
+    sample = durable(texts.mapInArrow(tidy(distinct_features), "p int, words array<string>"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for p, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[p].update(found)
-            if len(held[0]) + len(held[1]) > 200_000:
+            if len(held[0]) + len(held[1]) > 100_000:
                 yield flush()
         if held[0] or held[1]:
             yield flush()
@@ -160,23 +160,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Scorer()
-    counts = (sample.mapInArrow(counted, "w string, np long, nu long").groupBy("w").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
-              .where(F.col("np") + F.col("nu") >= 3))
+    counts = sample.mapInArrow(tidy(counted), "w string, np long, nu long").groupBy("w").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     a, b = F.col("np") / sizes[1], F.col("nu") / sizes[0]
     pooled = (F.col("np") + F.col("nu") + 1) / (sizes[1] + sizes[0] + 2)
     z = F.round((a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes[1] + 1 / sizes[0])), 9)
-    ranked = counts.withColumn("z", z).orderBy(F.col("z").desc(), "w").limit(max_words).select("w", "z").collect()
-    vocabulary = sorted(r["w"] for k, r in enumerate(ranked) if r["z"] >= LEAST_Z or k < LEAST_WORDS)
+    ranked = durable(counts.withColumn("z", z).where(F.col("np") > 0).select("w", "z"))
+    # as many as the bounded sample tells apart
+    vocabulary = sorted({r["w"] for r in ranked.where(F.col("z") >= LEAST_Z).select("w").unionAll(
+        ranked.orderBy(F.col("z").desc(), "w").limit(LEAST_WORDS).select("w")).collect()})
     place = {w: k for k, w in enumerate(vocabulary)}
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.array([place[w] for w in found if w in place], dtype="<u2").tobytes() for found in batch.column(1).to_pylist()]
+            own = [np.array([place[w] for w in found if w in place], dtype="<u4").tobytes() for found in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(own, pa.binary())], names=["p", "k"])
 
-    # the bounded sample, as two bytes for each feature of a text
-    rows = sorted((r["p"], bytes(r["k"])) for r in sample.mapInArrow(places, "p int, k binary").collect())
-    x = {role: Rows([np.frombuffer(k, dtype="<u2") for p, k in rows if p == role]) for role in (0, 1)}
+    # the bounded sample, as four bytes for each feature of a text
+    rows = sorted((r["p"], bytes(r["k"])) for r in sample.mapInArrow(tidy(places), "p int, k binary").collect())
+    x = {role: Rows([np.frombuffer(k, dtype="<u4") for p, k in rows if p == role]) for role in (0, 1)}
     w, bias = nn_pu(x[1], x[0], len(vocabulary), prior)
     return Scorer(prior, bias, {word: float(v) for word, v in zip(vocabulary, w) if abs(v) > 1e-6})
 
@@ -190,7 +191,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([batch.column(0), pa.array([scorer.score(x) for x in batch.column(1).to_pylist()], pa.float64())],
                                   names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -203,4 +204,4 @@ def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_
             keep = pa.array([scorer.score(x) < threshold for x in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

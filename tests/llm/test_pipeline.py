@@ -78,4 +78,7 @@ def test_run_takes_odd_tables(spark, tmp_path):
         spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([(1, None, 1), (None, 1, None)] if some else [], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([(None, None), (1, "")] if some else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        after = cp.line_dedup(spark, docs, folder)
+        assert after.columns == docs.columns and sorted(str(r.line_starts) for r in after.collect()) == sorted(str(r.line_starts) for r in docs.collect())
         assert sorted({r.doc_id if r.doc_id is not None else -1 for r in cp.run(spark, folder).collect()}) == ([-1, 1, 2, 3] if some else [])
