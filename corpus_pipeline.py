@@ -32,7 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = linedup.dedup_lines(docs)
     emptied = F.col("line_starts").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     shorter = F.when(F.col("line_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return rows.where(~emptied).withColumn("n_chars", shorter).drop("line_starts", "line_ends")
+    left = rows.where(~emptied).withColumn("n_chars", shorter).drop("line_starts", "line_ends")
+    return left.toDF(*docs.columns)  # columns of documents that bear these names come back under them
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
