@@ -32,12 +32,25 @@ def _(spark, sf):
     return out.groupBy("topic", "tenant").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("payload")["value"].cast("double")).alias("total"))
 
 
-@query("k02_debounce_stream", """SELECT tenant, topic, 'count' AS reason, n // 100 AS batches, n // 100 * 100 AS events FROM (SELECT 't' || (user_id % 5) AS tenant, event_type AS topic, count(*) AS n FROM events GROUP BY 1, 2) WHERE n >= 100""")
+KEYED = "SELECT 't' || (user_id % 5) AS tenant, event_type AS topic, count(*) AS n, round(min(epoch_us(ts) / 1e6), 3) AS oldest FROM events GROUP BY 1, 2"
+
+
+@query("k02_debounce_stream", f"""SELECT tenant, topic, 'count' AS reason, n // 100 AS batches, n // 100 * 100 AS events FROM ({KEYED}) WHERE n >= 100
+ UNION ALL SELECT tenant, topic, 'close', 1, n % 100 FROM ({KEYED}) WHERE n % 100 > 0""")
+def _(spark, sf):
+    """Batches of one hundred per (tenant, topic), and what still waits when the stream is closed: every event is in one of them."""
+    ready = J.debounce(J.read_events(spark, event_files(spark, sf)), 100, 100 * 366 * 86_400_000)
+    checkpoint = scratch_path(spark, "ck")
+    out = J.drain_debounced(ready, scratch_path(spark, "k02"), checkpoint).unionByName(J.waiting(spark, checkpoint))
+    return out.groupBy("tenant", "topic", "reason").agg(F.sum("batches").alias("batches"), F.sum("events").alias("events"))
+
+
+@query("k02_debounce_age", f"""SELECT tenant, topic, sum(events) AS events, sum(aged) AS aged FROM (SELECT tenant, topic, n AS events, n % 1000000 AS aged FROM ({KEYED})) GROUP BY 1, 2""")
 def _(spark, sf):
-    """Batches of one hundred per (tenant, topic): how many fired full, and the events in them."""
-    ready = J.debounce(J.read_events(spark, event_files(spark, sf)), 100, 3_600_000)
-    out = J.drain(ready, scratch_path(spark, "k02"), scratch_path(spark, "ck"), timers=True)
-    return out.groupBy("tenant", "topic", "reason").agg(F.count(F.lit(1)).alias("batches"), F.sum("events").alias("events"))
+    """Events of keys that never fill a batch: all are handed on as their oldest has waited for more than an hour."""
+    ready = J.debounce(J.read_events(spark, event_files(spark, sf)), 1_000_000, 3_600_000)
+    out = J.drain_debounced(ready, scratch_path(spark, "k02"), scratch_path(spark, "ck"))
+    return out.groupBy("tenant", "topic").agg(F.sum("events").alias("events"), F.sum(F.when(F.col("reason") == "age", F.col("events")).otherwise(0)).alias("aged"))
 
 
 @query("k02_debounce_batch", """SELECT event_type AS topic, user_id % 5 AS tenant, count(*) AS n, count(*) >= 400 OR epoch_us(TIMESTAMP '2024-01-31') / 1e6 - min(epoch_us(ts) / 1e6) >= 2590000 AS ready FROM events GROUP BY 1, 2""")

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from kilnworks import schemas as X
 from kilnworks.operators.delay import outcome_labels
@@ -75,36 +77,97 @@ def batch_ready(n: Column, oldest: Column, now: Column, min_count: int, max_age_
     return (n > 0) & ((n >= min_count) | (now - oldest >= max_age_seconds))
 
 
+READY = "tenant string, topic string, batches bigint, events bigint, oldest double, reason string"
+
+
+def partial_counts(events: DataFrame) -> DataFrame:
+    """tenant, topic, n, oldest: one row for each key and task of a micro-batch, so a busy key is counted where its events are."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]).group_by(["tenant", "topic"]).aggregate([("ts", "count"), ("ts", "min")]) for b in batches if b.num_rows]
+        if parts:
+            whole = pa.concat_tables(parts).group_by(["tenant", "topic"]).aggregate([("ts_count", "sum"), ("ts_min", "min")])
+            yield from whole.select(["tenant", "topic", "ts_count_sum", "ts_min_min"]).rename_columns(["tenant", "topic", "n", "oldest"]).to_batches()
+
+    return events.select("tenant", "topic", F.coalesce(F.col("ts"), F.lit(0.0)).alias("ts")).mapInArrow(count, "tenant string, topic string, n long, oldest double")
+
+
+class Debounce(StatefulProcessor):
+    """State of a key: how many events wait and when the oldest of them was; a timer for when it has waited too long."""
+
+    def __init__(self, min_count: int, max_age_ms: int):
+        self.min_count, self.max_age_ms = min_count, max_age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "n bigint, oldest double")
+
+    def _row(self, key: tuple, batches: int, events: int, oldest: float, reason: str) -> pd.DataFrame:
+        return pd.DataFrame({"tenant": [key[0]], "topic": [key[1]], "batches": [batches], "events": [events], "oldest": [oldest], "reason": [reason]})
+
+    def _forget(self) -> None:
+        self.pending.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting, oldest = self.pending.get() if self.pending.exists() else (0, float("inf"))
+        came, first = 0, float("inf")
+        for part in rows:
+            came, first = came + int(part["n"].sum()), min(first, float(part["oldest"].min()))
+        n, oldest = waiting + came, min(oldest, first)
+        full, left = divmod(n, self.min_count)
+        self._forget()
+        if full:
+            yield self._row(key, full, full * self.min_count, oldest, "count")
+            oldest = first  # what is left came now; its oldest event is not older than that
+        if left:
+            due = int(oldest * 1000) + self.max_age_ms
+            if due <= timerValues.getCurrentProcessingTimeInMs():
+                yield self._row(key, 1, left, oldest, "age")
+            else:
+                self.pending.update((left, oldest))
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pending.exists():
+            n, oldest = self.pending.get()
+            self.pending.clear()
+            yield self._row(key, 1, n, oldest, "age")
+
+    def close(self) -> None:
+        pass
+
+
 def debounce(events: DataFrame, min_count: int, max_age_ms: int) -> DataFrame:
-    """Stream of ready micro-batches per (tenant, topic).
+    """Stream of ready micro-batches per (tenant, topic): full ones of ``min_count`` events by arithmetic, the rest once its oldest event is too old.
 
-    State is one count and one oldest time per key, never the events. A batch fires
-    when it is full, or when a timer finds that it has waited too long.
+    State and timers are kept by :class:`Debounce`; the events of a micro-batch are counted before they meet, so a key
+    with a third of all events is a few rows. Run it with :func:`drain_debounced`; what still waits at the end comes from :func:`waiting`.
     """
-    def row(key: tuple, n: int, oldest: float, reason: str) -> pd.DataFrame:
-        return pd.DataFrame([{"tenant": key[0], "topic": key[1], "events": n, "oldest": oldest, "reason": reason}])
-
-    def advance(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, oldest = state.get if state.exists else (0, float("inf"))
-        if state.hasTimedOut:
-            state.remove()
-            yield row(key, n, oldest, "age")
-            return
-        for pdf in rows:
-            for ts in pdf["ts"].sort_values():
-                n, oldest = n + 1, min(oldest, float(ts))
-                if n >= min_count:
-                    yield row(key, n, oldest, "count")
-                    n, oldest = 0, float("inf")
-        if n:
-            state.update((n, oldest))
-            state.setTimeoutDuration(max_age_ms)
-        elif state.exists:
-            state.remove()
-
-    return events.select("tenant", "topic", "ts").groupBy("tenant", "topic").applyInPandasWithState(
-        advance, "tenant string, topic string, events bigint, oldest double, reason string", "n bigint, oldest double",
-        "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return partial_counts(events).groupBy("tenant", "topic").transformWithStateInPandas(
+        statefulProcessor=Debounce(min_count, max_age_ms), outputStructType=READY, outputMode="Append", timeMode="ProcessingTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drain_debounced(ready: DataFrame, path: str, checkpoint: str, seconds: float | None = None) -> DataFrame:
+    """Drain a debounced stream; its state needs the store that keeps timers."""
+    spark = ready.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return drain(ready, path, checkpoint, timers=True, seconds=seconds)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The closing step: what a stopped debounced stream still holds, one batch for each key, read from its state."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
+    return state.select("key.tenant", "key.topic", F.lit(1).cast("long").alias("batches"), F.col("value.n").alias("events"), F.col("value.oldest").alias("oldest"),
+                        F.lit("close").alias("reason"))
 
 
 # --- outcomes ---------------------------------------------------------------
