@@ -60,7 +60,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def leaked(source: str = "documents", k: int = 5, percent: int = 80) -> str:
-    """The best window of each document and item; no SimHash, so it also shows what the radius might lose."""
+    """The best of all windows of each document and item; no SimHash, so it also shows what the radius might lose.
+
+    A document that holds too few of an item's shingles for any window is not looked at further.
+    """
     grams = "list_transform(range(1, len({w}) - k + 2), lambda i: array_to_string({w}[i:i + k - 1], ' '))"
     return f"""
 WITH b AS (SELECT item_id, w, len(w) AS n, least({k}, len(w)) AS k FROM (SELECT DISTINCT item_id, {_WORDS.format(x='text')} AS w FROM benchmark) WHERE len(w) > 0),
@@ -71,8 +74,10 @@ dr AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
 dk AS (SELECT r, w, k FROM dr CROSS JOIN (SELECT DISTINCT k FROM b)),
 ds AS (SELECT r, k, len(w) AS nd, {grams.format(w='w')} AS s FROM dk WHERE len(w) >= k),
 dp AS (SELECT r, k, nd, p - 1 AS p, s[p] AS h FROM (SELECT r, k, nd, s, unnest(range(1, len(s) + 1)) AS p FROM ds)),
-hits AS (SELECT DISTINCT r, item_id, greatest(0, least(p - o, nd - n)) AS start FROM dp JOIN bp USING (k, h)),
-win AS (SELECT r, doc_id, item_id, start, k, list_slice(w, start + 1, start + n) AS x, s AS si FROM hits JOIN dr USING (r) JOIN bs USING (item_id)),
+hits AS (SELECT r, item_id, n, nd FROM dp JOIN (SELECT DISTINCT item_id, n, k, h FROM bp) USING (k, h) GROUP BY r, item_id, n, nd, k
+      HAVING 100 * count(*) * 2 >= {percent} * (n + least(n, nd) - 2 * k + 2 - count(*)) OR count(*) >= n),
+win AS (SELECT r, doc_id, item_id, start, k, list_slice(w, start + 1, start + n) AS x, s AS si
+      FROM (SELECT r, item_id, unnest(range(0, greatest(0, nd - n) + 1)) AS start FROM hits) JOIN dr USING (r) JOIN bs USING (item_id)),
 ws AS (SELECT r, doc_id, item_id, start, si, {grams.format(w='x')} AS s FROM win),
 c AS (SELECT r, doc_id, item_id, start, len(s) + len(si) AS sizes,
         CAST(list_sum(list_transform(list_distinct(s), lambda h: least(len(list_filter(s, lambda y: y = h)), len(list_filter(si, lambda y: y = h))))) AS BIGINT) AS shared FROM ws),
