@@ -409,9 +409,12 @@ def _counted(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """r, starts, ends: disjoint spans of repeated bytes of each text; ``texts``: d (id), r (text), x."""
+    """r, starts, ends, across: disjoint spans of repeated bytes of each text; ``texts``: d (id), r (text), x.
+
+    ``across``: the bytes behind the anchor of a repeated string stand in another text as well.
+    """
     found = durable(_all_anchors(texts.select("r", "x")))
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    often = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("r") < F.max("r")).alias("across")).where("n > 1").select("key", "across")
     shared = durable(found.join(durable(often), "key"))
     contexts = durable(shared.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("r", "at")).alias("one")))
     split = contexts.groupBy("key").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("alone")).where("m > 1 and alone > 0").select("key")
@@ -428,33 +431,39 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
                             .join(unclear, "key", "left_semi"))
             more = _counted(texts, doubt).join(alone, ["key", "context"], "left_semi")
             whole = whole.unionAll(more.select("key", "context", F.array(F.struct(F.col("o").alias("a"), F.col("o").alias("b"))).alias("spans")))
-    spans = shared.join(durable(whole), ["key", "context"]).select("r", "at", "spans")
+    spans = shared.join(durable(whole), ["key", "context"]).select("r", "at", "spans", "across")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for r, row, across in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 a = np.array([s["a"] for s in row])
                 upto = np.maximum.accumulate(np.array([s["b"] for s in row]))
                 new = np.concatenate([[True], a[1:] > upto[:-1]])
-                rows.append((r, a[new], upto[np.concatenate([new[1:], [True]])]))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["r", "starts", "ends"])
+                rows.append((r, a[new], upto[np.concatenate([new[1:], [True]])], across))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["r", "starts", "ends", "across"])
 
     p, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     bytes_ = F.transform("spans", lambda s: F.struct((p - F.least(hi, s["b"])).alias("a"), (p - F.greatest(lo, s["a"]) + LENGTH).alias("b")))
-    each = spans.select("r", F.explode(bytes_).alias("s")).groupBy("r").agg(F.sort_array(F.collect_set("s")).alias("s"))  # bounded by a text's length
-    return each.mapInArrow(joined, "r long, starts array<long>, ends array<long>")
+    each = spans.select("r", "across", F.explode(bytes_).alias("s")).groupBy("r").agg(F.sort_array(F.collect_set("s")).alias("s"), F.max("across").alias("across"))
+    return each.mapInArrow(joined, "r long, starts array<long>, ends array<long>, across boolean")  # as many as a text has bytes
 
 
 def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, starts, ends (removed spans) and kept (remaining bytes) of every row."""
+    """doc_id, n_bytes, starts, ends (removed spans), kept (remaining bytes) and elsewhere of every row.
+
+    ``elsewhere``: another row has the same text, or the ``LENGTH - REACH + 1`` bytes behind the anchor of a repeated
+    string; false if nothing is removed, or only what the text repeats by itself.
+    """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("r"), F.col(text_col).alias("x"))
     known = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "r", "x").where(F.octet_length("x") >= LENGTH)
-    spans = durable(repeated_spans(known))
+    spans = repeated_spans(known)
+    copies = known.groupBy("r").agg((F.count("*") > 1).alias("copied"))
+    spans = durable(spans.join(copies, "r").withColumn("across", F.col("across") | F.col("copied")).drop("copied"))
     n = spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0
-    own = texts.join(F.broadcast(spans) if n <= BROADCAST_ROWS else spans, "r", "left").select("doc_id", "x", "starts", "ends")
+    own = texts.join(F.broadcast(spans) if n <= BROADCAST_ROWS else spans, "r", "left").select("doc_id", "x", "starts", "ends", F.coalesce("across", F.lit(False)).alias("elsewhere"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +474,7 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 kept.append(b"".join([data[i:j] for i, j in zip([0, *b], [*a, len(data)])]) if a else data)
             kind = pa.list_(pa.int64())
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array([a or [] for a in starts], kind), pa.array([b or [] for b in ends], kind),
-                                   pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "starts", "ends", "kept"])
+                                   pa.array(kept, pa.binary()), batch.column(4)], names=["doc_id", "n_bytes", "starts", "ends", "kept", "elsewhere"])
 
-    return own.mapInArrow(run, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return own.mapInArrow(run, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, elsewhere boolean")
 

@@ -217,3 +217,22 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
 
     return examples.select(F.col(id_col).cast("string").alias("id"), count(tokens_col).alias("t"), count(loss_col).alias("n")).mapInArrow(
         pack, "id string, n_tokens long, n_loss long, sequence_id long, offset long")
+
+
+def conversation_examples(conversations: DataFrame, tokenizer: str, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text",
+                          learned: str = "assistant") -> DataFrame:
+    """id, n_tokens, n_loss of every conversation: ids of all its turns, each with an end id, and those of the turns to be learned.
+
+    A null text has the end id alone; a null id is a conversation of its own.
+    """
+    prepare(conversations.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer, False)
+        for batch in gathered(batches):
+            _, ends = own.batch(batch.column(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0) + 1, pa.int64())], names=["id", "loss", "n"])
+
+    loss = F.coalesce(F.col(role_col) == learned, F.lit(False))
+    turns = conversations.select(F.col(id_col).cast("string").alias("id"), loss.alias("loss"), F.col(text_col).alias("x")).mapInArrow(tidy(count), "id string, loss boolean, n long")
+    return turns.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("loss"), F.col("n")).otherwise(0)).alias("n_loss"))

@@ -49,6 +49,13 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+@_query("op8_instruction_packing")
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation whole, in sequences within limits on tokens, segments and learned tokens."""
+    examples = packing.conversation_examples(read(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_examples(examples, "id", "n_tokens", "n_loss", capacity=5120, max_segments=6, max_loss=4096)
+
+
 @_query("op5_toxicity_pu")
 def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score."""
@@ -105,7 +112,7 @@ def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bytededup.removed_bytes(read(spark, sf_dir, "documents"))
     sizes = F.zip_with("starts", "ends", lambda a, b: b - a)
     return rows.select("doc_id", "n_bytes", F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x).alias("n_removed"),
-                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "elsewhere")
 
 
 @_query("op11_pivotal_mix")

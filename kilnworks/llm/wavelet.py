@@ -17,7 +17,7 @@ their own; an empty table gives no shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kilnworks.llm.common import gathered, parallelism, prepare
+from kilnworks.llm.common import gathered, parallelism, prepare, sized, tidy
 from kilnworks.llm.encode import encoder
+from kilnworks.session import durable
 
 BLOCK = 512
 #: Ids of one shard, a longer document excepted; bounds what a task holds.
 SHARD_IDS = 1 << 21
+#: Shard numbers of one task.
+SHARD_GROUP = 1 << 20
 
 SHARD = ("shard long, n_tokens long, n_bits int, doc_ids array<long>, doc_ends array<long>, zeros array<long>, "
          "planes array<binary>, ranks array<binary>")
@@ -150,7 +153,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, True)
-        base, serial = TaskContext.get().partitionId() << 20, 0
+        base, serial = TaskContext.get().partitionId() * SHARD_GROUP, 0
         held: list[np.ndarray] = []
         docs_in: list = []
         ends: list[int] = []
@@ -178,7 +181,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
         if held:
             yield shard()
 
-    dealt.mapInArrow(build, SHARD).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(tidy(build), SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -200,8 +203,60 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
                                        pa.array(np.full(len(ends), row["shard"]))], names=["doc_id", "s", "n_tokens", "ids_crc32", "shard"])
 
     shards = read_shards(spark, path)
-    docs = shards.mapInArrow(digest, "doc_id long, s long, n_tokens long, ids_crc32 long, shard long")
-    # one short row per shard: a shard has about two million ids
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = shards.select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("b"))
-    return docs.join(before, "shard").select("doc_id", (F.col("b") + F.col("s")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    docs = shards.mapInArrow(tidy(digest), "doc_id long, s long, n_tokens long, ids_crc32 long, shard long")
+    return docs.join(_before(shards), "shard").select("doc_id", (F.col("b") + F.col("s")).alias("start"), "n_tokens", "ids_crc32", "shard")
+
+
+def _before(shards: DataFrame) -> DataFrame:
+    """shard, b: ids of all shards before it. Shards are summed in groups of ``SHARD_GROUP`` numbers, so no window holds them all."""
+    group = F.floor(F.col("shard") / SHARD_GROUP).alias("g")
+    sizes = durable(shards.select("shard", group, "n_tokens"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("g").agg(F.sum("n_tokens").alias("n"))  # a row for about a task's shards
+    upto = groups.select("g", F.coalesce(F.sum("n").over(earlier.orderBy("g")), F.lit(0)).alias("before"))
+    own = sizes.select("shard", "g", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("within"))
+    return own.join(F.broadcast(upto), "g").select("shard", (F.col("before") + F.col("within")).alias("b"))
+
+
+def _matrix(batch: pa.RecordBatch, k: int) -> "WaveletMatrix":
+    return WaveletMatrix(*(batch.column(c)[k].as_py() for c in ("n_tokens", "n_bits", "zeros", "planes", "ranks")))
+
+
+def token_counts(spark: SparkSession, path: str, tokens: Sequence[int]) -> DataFrame:
+    """token, doc_id, n, first: how often each document has a token, and its first place there; from ranks and selects, without decoding."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                m, ids, ends = _matrix(batch, k), batch.column("doc_ids")[k].as_py(), batch.column("doc_ends")[k].as_py()
+                rows = []
+                for token in tokens:
+                    seen, start = 0, 0
+                    if m.rank(token, m.n):
+                        for d, end in zip(ids, ends):
+                            upto = m.rank(token, end)
+                            if upto > seen:
+                                rows.append((token, d, upto - seen, m.select(token, seen) - start))
+                            seen, start = upto, end
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["token", "doc_id", "n", "first"])
+
+    return read_shards(spark, path).mapInArrow(count, "token long, doc_id long, n long, first long")
+
+
+def document_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, place, token of the documents ``wanted`` (doc_id) names, by access to their ids alone; documents of one id follow each other."""
+    shards = read_shards(spark, path)
+    asked = (shards.select("shard", F.explode("doc_ids").alias("doc_id")).join(sized(wanted.select(F.col("doc_id").cast("long")).distinct()), "doc_id")
+             .groupBy("shard").agg(F.collect_set("doc_id").alias("asked")))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                m, asked_ids, start = _matrix(batch, k), set(batch.column("asked")[k].as_py()), 0
+                for d, end in zip(batch.column("doc_ids")[k].as_py(), batch.column("doc_ends")[k].as_py()):
+                    if d in asked_ids:
+                        yield pa.record_batch([pa.array([d] * (end - start), pa.int64()), pa.array(range(end - start), pa.int64()),
+                                               pa.array([m.access(i) for i in range(start, end)], pa.int64())], names=["doc_id", "place", "token"])
+                    start = end
+
+    return shards.join(asked, "shard").mapInArrow(fetch, "doc_id long, place long, token long")

@@ -232,6 +232,15 @@ def test_byte_dedup_of_nothing(spark):
     assert bytededup.removed_bytes(_frame(spark, [])).count() == 0
 
 
+def test_repeats_elsewhere_are_told_from_own_ones(spark):
+    rnd = np.random.default_rng(12)
+    some = lambda n: "".join(rnd.choice(list("abcdefghij "), size=n))
+    own, shared, whole = some(600), some(700), some(900)
+    texts = [(1, own + "x" + own), (2, some(300) + shared), (3, shared + some(200)), (4, whole), (5, whole), (6, some(3000)), (7, None)]
+    got = {r.doc_id: (bool(r.starts), r.elsewhere) for r in bytededup.removed_bytes(_frame(spark, texts)).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (True, True), 4: (True, True), 5: (True, True), 6: (False, False), 7: (False, False)}
+
+
 def test_loser_tree_merges_front_coded_runs():
     rnd = np.random.default_rng(5)
     for n_runs in (1, 2, 3, 7):

@@ -115,3 +115,38 @@ def test_instruction_examples(spark):
     assert len(got) == len(rows)
     sums = got.groupby("sequence_id").agg(n=("n_tokens", "sum"), loss=("n_loss", "sum"), k=("n_tokens", "size"))
     assert sums.n.max() <= 64 and sums.loss.max() <= 40 and sums.k.max() <= 5
+
+
+def test_conversations_hold_all_limits(spark):
+    """Whole conversations, their counts from the plain tokenizer, in sequences within all three limits."""
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.01"
+    got = entry.queries()["op8_instruction_packing"](spark, sf).toPandas()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    want = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        n = len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1
+        t, loss = want.get(str(r.conv_id), (0, 0))
+        want[str(r.conv_id)] = t + n, loss + n * (r.role == "assistant")
+    assert {r.id: (r.n_tokens, r.n_loss) for r in got.itertuples()} == want and len(got) == len(want)
+    sums = got.groupby("sequence_id").agg(n=("n_tokens", "sum"), loss=("n_loss", "sum"), k=("n_tokens", "size"))
+    assert 5000 < sums.n.max() <= 5120 and 4000 < sums.loss.max() <= 4096 and sums.k.max() == 6  # each limit is met by some
+
+
+def test_lookup_without_decoding(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_IDS", 300)
+    rows = [(k, TEXTS[k % len(TEXTS)] * (1 + k % 4), 7, "x") for k in range(50)] + [(None, None, 1, None), (60, "a b " * 400, 0, "")]
+    path = scratch_path(spark, "wavelet-test")
+    wavelet.write_shards(_docs(spark, rows), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain.encode_special_tokens = True
+    ids = {d: [*plain.encode(x or "", add_special_tokens=False).ids, 2] for d, x, _, _ in rows}
+    some = [2, ids[60][0], ids[60][1], 49_000]
+    want = sorted((t, -1 if d is None else d, own.count(t), own.index(t)) for t in some for d, own in ids.items() if t in own)
+    assert sorted((r.token, -1 if r.doc_id is None else r.doc_id, r.n, r.first) for r in wavelet.token_counts(spark, path, some).collect()) == want
+    asked = spark.createDataFrame([(3,), (60,), (999,)], "doc_id long")
+    got = {}
+    for r in sorted(wavelet.document_tokens(spark, path, asked).collect(), key=lambda r: (r.doc_id, r.place)):
+        got.setdefault(r.doc_id, []).append(r.token)
+    assert got == {d: ids[d] for d in (3, 60)}
