@@ -20,6 +20,7 @@ everything is ``und``.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,18 @@ from kilnworks.session import durable
 
 ORDER, START, END = 5, "\x02", "\x03"
 REJECT_ABOVE, SHARPNESS, REMEMBERED = 0.999, 20.0, 500_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _not_letters() -> str:
+    """Ranges of the characters that are alphanumeric but neither letters nor digits, such as ½ or Ⅷ."""
+    odd = [c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    starts = [c for k, c in enumerate(odd) if not k or odd[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: Runs of Unicode letters (category L).
+_LETTERS = re.compile(rf"[^\W\d_{_not_letters()}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(ORDER)]
 

@@ -125,3 +125,11 @@ def _step(models, padded):
         weight = models.gamma0 if order == 1 else models.gamma[behind] if behind is not None else 1
         p = (models.alpha[at] if at is not None else 0) + weight * p
     return p
+
+
+def test_letters_are_unicode_letters():
+    import sys
+    import unicodedata
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if not 0xD800 <= ord(c) <= 0xDFFF:
+            assert bool(langid._LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
