@@ -18,14 +18,17 @@ def job_key(c: Column) -> Column:
 def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, weight): word counts hashed by md5 into 256 buckets, scaled to unit length.
 
-    The vector stays in sparse rows; words are counted before anything is grouped
-    by document.
+    The words of a row are counted inside the row, so at most 256 short rows of it are grouped by document.
     """
     # The characters the split treats as white space.
     blank = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
     words = F.filter(F.split(F.lower(F.col(text)), blank), lambda w: w != "")
-    each = df.select(key, F.explode(words).alias("w"))
-    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 31, 2), 16, 10).cast("int")
-    counts = each.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    buckets = F.sort_array(F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 31, 2), 16, 10).cast("int")))
+    rows = df.select(key, buckets.alias("s")).where(F.size("s") > 0)
+    # equal buckets stand side by side: where a run ends, and how long it is
+    rows = rows.withColumn("ends", F.expr("filter(sequence(1, size(s)), i -> i = size(s) or s[i] <> s[i - 1])"))
+    runs = F.expr("transform(ends, (e, j) -> struct(s[e - 1] AS bucket, e - coalesce(get(ends, j - 1), 0) AS n))")
+    each = rows.select(key, F.explode(runs).alias("r")).select(key, "r.bucket", "r.n")
+    counts = each.groupBy(key, "bucket").agg(F.sum("n").cast("double").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most 256 rows
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))

@@ -41,38 +41,69 @@ def _distinct_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(ids.withColumnRenamed("operation_id", "pred_id"), ["job_id", "pred_id"], "left_semi")
 
 
+def _chains(links: DataFrame, waits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(side, job, node, up, length): nodes with one predecessor, the nearest node before them that has none or several, and the way from its start.
+
+    Pointers double, so rounds grow with the logarithm of the longest chain. A pointer that still
+    moves after as many rounds as the largest job could need goes round in a cycle; its node is left out.
+    """
+    keys = ["side", "job_id"]
+    single = links.join(waits.filter("waits = 1").withColumnRenamed("node", "dst"), [*keys, "dst"]).select(
+        *keys, F.col("dst").alias("node"), F.col("src").alias("up"))
+    sizes = nodes.select(*keys, F.col("node").alias("up"), F.col("duration").alias("length"))
+    hop = durable(single.join(sizes, [*keys, "up"]).select(*keys, "node", "up", "length"))
+    longest = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    for _ in range(max(1, longest.bit_length() + 1)):
+        further = hop.select(*keys, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("length").alias("more"))
+        hop = durable(hop.join(further, [*keys, "up"], "left").select(*keys, "node", F.coalesce("up2", "up").alias("up"),
+                                                                      (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"), F.col("up2").isNotNull().alias("moved")))
+        if hop.filter("moved").isEmpty():
+            break
+        hop = hop.drop("moved")
+    ends = hop.select(*keys, F.col("node").alias("up"))
+    return hop.join(ends, [*keys, "up"], "left_anti").select(*keys, "node", "up", "length")
+
+
 def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(side, job, node, reach): longest path into a node (side f) and out of it (side b), own length excluded.
 
-    One frontier per round, for all jobs and both directions at once: nodes whose
-    predecessors are all done report their length to their successors. Every edge
-    is used once per direction. A node never reached lies on or behind a cycle and
-    has a null reach.
+    Chains are walked by doubling first, which leaves the nodes that none or several others precede. Those
+    advance one frontier per round, for all jobs and both directions at once: nodes whose predecessors are all
+    done report their length to the next ones. A node never reached lies on or behind a cycle and has a null reach.
     """
-    links = edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
-                         F.col("operation_id").alias("dst")).unionByName(
-        edges.select(F.lit("b").alias("side"), "job_id", F.col("operation_id").alias("src"),
-                     F.col("pred_id").alias("dst")))
-    waits = links.groupBy("side", "job_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    both = nodes.select(F.explode(F.array(F.lit("f"), F.lit("b"))).alias("side"), "job_id",
-                        F.col("operation_id").alias("node"), "duration")
-    state = durable(both.join(waits, ["side", "job_id", "node"], "left").select(
-        "side", "job_id", "node", "duration", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("reach")))
+    keys = ["side", "job_id"]
+    links = durable(edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
+                                 F.col("operation_id").alias("dst")).unionByName(
+        edges.select(F.lit("b").alias("side"), "job_id", F.col("operation_id").alias("src"), F.col("pred_id").alias("dst"))))
+    waits = durable(links.groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits")))
+    both = durable(nodes.select(F.explode(F.array(F.lit("f"), F.lit("b"))).alias("side"), "job_id",
+                                F.col("operation_id").alias("node"), "duration").join(waits, [*keys, "node"], "left").fillna(0, ["waits"]))
+    chains = durable(_chains(links, waits, both))
+    # every way into a node with several predecessors starts at the end of a chain
+    heads = chains.select(*keys, F.col("node").alias("src"), "up", F.col("length").alias("before"))
+    into = links.join(both.filter("waits > 1").select(*keys, F.col("node").alias("dst")), [*keys, "dst"]).join(
+        both.select(*keys, F.col("node").alias("src"), "duration"), [*keys, "src"]).join(heads, [*keys, "src"], "left")
+    ways = durable(into.groupBy(*keys, F.coalesce("up", "src").alias("src"), "dst").agg(F.max(F.col("duration") + F.coalesce("before", F.lit(0.0))).alias("length")))
+    counts = ways.groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ways"))
+    state = durable(both.filter("waits <> 1").join(counts, [*keys, "node"], "left").select(
+        *keys, "node", F.coalesce("ways", F.lit(0)).alias("waits"), F.lit(0.0).alias("reach")))
     done = None
     while True:
-        frontier = state.filter("waits = 0")
+        frontier = state.filter("waits = 0").select(*keys, "node", "reach")
         done = frontier if done is None else done.unionByName(frontier)
         pending = state.filter("waits > 0")
-        if frontier.isEmpty() or pending.isEmpty():
+        if pending.isEmpty() or frontier.isEmpty():
             break
-        sent = frontier.select("side", "job_id", F.col("node").alias("src"), (F.col("reach") + F.col("duration")).alias("length"))
-        got = links.join(sent, ["side", "job_id", "src"]).groupBy("side", "job_id", F.col("dst").alias("node")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
-        state = durable(pending.join(got, ["side", "job_id", "node"], "left").select(
-            "side", "job_id", "node", "duration", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
+        sent = frontier.select(*keys, F.col("node").alias("src"), "reach")
+        got = ways.join(sent, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("reach") + F.col("length")).alias("length"))
+        state = durable(pending.join(got, [*keys, "node"], "left").select(
+            *keys, "node", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
             F.greatest("reach", F.coalesce("length", F.lit(0.0))).alias("reach")))
-    stuck = pending.withColumn("reach", F.lit(None).cast("double"))
-    return done.unionByName(stuck).select("side", "job_id", "node", "duration", "reach")
+    ends = durable(done)
+    along = chains.join(ends.select(*keys, F.col("node").alias("up"), "reach"), [*keys, "up"]).select(*keys, "node", (F.col("reach") + F.col("length")).alias("reach"))
+    known = ends.unionByName(along)
+    return both.join(known, [*keys, "node"], "left").select(*keys, "node", "duration", "reach")
 
 
 def critical_path(operations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.functions.quote import wilson
 from kilnworks.operators.scale import (
-    exact_quantiles, join_on, ordered_text_levels, prefix_sums, real_levels, text_levels, with_scalars)
+    exact_quantiles, join_on, ordered_text_levels, prefix_sums, quantiles_of_ranked, real_levels, text_levels, with_scalars)
 from kilnworks.session import durable
 
 BINS = 10
@@ -174,30 +172,38 @@ def ks_statistic(a: DataFrame, b: DataFrame, features: Sequence[str]) -> DataFra
 
 
 def spearman_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:
-    """Feature pairs whose rank correlation reaches the threshold in size.
+    """Feature pairs whose rank correlation reaches the threshold in size; a pair is ranked on its complete rows.
 
-    Ranks and the matrix are Spark's own; a pair with missing values is ranked on
-    its complete rows only.
+    How a feature ranks beside another one depends only on which rows the other one lacks. Features that lack the
+    same rows share a pattern, so each feature is ranked once for each pattern, all in one table of cells, and all
+    pairs are one aggregate: the number of jobs does not depend on the number of features.
     """
-    spark = df.sparkSession
-    cols = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    holes = cols.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
-    full = [f for f in features if holes[f] == 0]
-
-    def matrix(names: Sequence[str]):
-        vec = VectorAssembler(inputCols=list(names), outputCol="v").transform(cols.dropna(subset=list(names)))
-        return Correlation.corr(vec, "v", "spearman").head()[0].toArray()
-
-    found: dict[tuple[str, str], float] = {}
-    if len(full) > 1:
-        m = matrix(full)
-        found |= {(a, b): float(m[i, j]) for i, a in enumerate(full) for j, b in enumerate(full) if i < j}
-    for i, a in enumerate(features):
-        for b in features[i + 1:]:
-            if a not in full or b not in full:
-                found[(a, b)] = float(matrix([a, b])[0, 1])
-    rows = [(a, b, r, abs(r)) for (a, b), r in found.items() if r == r and abs(r) >= threshold]
-    return spark.createDataFrame(rows, "feature_left string, feature_right string, spearman double, absolute_spearman double")
+    names = list(features)
+    values = [F.col(f).cast("double") for f in names]
+    values = [F.when(~F.isnan(v), v) for v in values]
+    rows = durable(df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]).withColumn("id", F.monotonically_increasing_id()))
+    lacks = rows.agg(*[F.sum(F.when(F.col(f"v{i}").isNull(), F.xxhash64("id").cast("decimal(38,0)"))).alias(f"h{i}") for i in range(len(names))],
+                     *[F.count_if(F.col(f"v{i}").isNull()).alias(f"n{i}") for i in range(len(names))]).first()
+    signs = [(lacks[f"n{i}"], lacks[f"h{i}"]) for i in range(len(names))]
+    patterns = sorted(set(signs), key=str)
+    pattern = [patterns.index(s) for s in signs]
+    shown = [next(i for i, p in enumerate(pattern) if p == k) for k in range(len(patterns))]  # one feature that lacks a pattern's rows
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(k).alias("k"), F.when(F.col(f"v{shown[k]}").isNotNull(), F.col(f"v{i}")).alias("v"))
+                      for i in range(len(names)) for k in range(len(patterns))])
+    long = durable(rows.select("id", F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("c")).select("id", "c.f", "c.k", (F.col("c.v") + F.lit(0.0)).alias("v")))
+    levels = real_levels(F.col("v"))
+    ranks = prefix_sums(long, ["f", "k"], levels, {"n": F.lit(1)}).select(
+        "f", "k", F.col(f"_l{len(levels) - 1}").alias("v"), (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    place = F.col("f") * len(patterns) + F.col("k")
+    wide = long.join(ranks, ["f", "k", "v"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("at"), "rank"))).alias("r"))  # one entry each
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    at = lambda i, j: F.col("r")[F.lit(i * len(patterns) + pattern[j])]
+    found = wide.agg(F.array(*[F.struct(F.lit(names[i]).alias("feature_left"), F.lit(names[j]).alias("feature_right"), F.corr(at(i, j), at(j, i)).alias("spearman"))
+                               for i, j in pairs]).alias("p")) if pairs else None
+    if found is None:
+        return df.sparkSession.createDataFrame([], "feature_left string, feature_right string, spearman double, absolute_spearman double")
+    each = found.select(F.explode("p").alias("p")).select("p.*").withColumn("absolute_spearman", F.abs("spearman"))
+    return each.where(F.col("spearman").isNotNull() & ~F.isnan("spearman") & (F.col("absolute_spearman") >= threshold))
 
 
 def single_feature_auc(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -221,30 +227,45 @@ NEAR_ZERO_STD, MIN_SUPPORT, EXTREME_Z, MAX_SHIFT, MAX_KS = 0.005, 0.01, 20.0, 2.
 
 
 def audit_features(train: DataFrame, test: DataFrame, features: Sequence[str], synthetic: str) -> DataFrame:
-    """Support of every numeric feature in training and its drift on the untouched test rows."""
-    tr = long_form(train.withColumn("__syn", F.coalesce(F.col(synthetic), F.lit(False))), features, "__syn")
-    te = long_form(test, features)
-    quart = exact_quantiles(tr, ["feature"], "value", {"q1": 0.25, "train_median": 0.5, "q3": 0.75})
-    ks = ks_statistic(train, test, features)
-    v, real, made = F.col("value"), ~F.col("__syn"), F.col("__syn")
-    kept = F.when(real, v)
-    synth = F.when(made, v)
-    # the joined side holds one row per feature
-    med = F.coalesce("train_median", F.lit(0.0))
-    a = tr.join(F.broadcast(quart), "feature", "left").groupBy("feature").agg(
-        F.min(v).alias("train_min"), F.max(v).alias("train_max"), F.max(med).alias("train_median"),
-        F.avg(v).alias("train_mean"), F.stddev_pop(v).alias("train_std"), F.max(F.col("q3") - F.col("q1")).alias("train_iqr"),
-        (F.count_if(v == 0) / F.count(F.lit(1)) * 100).alias("train_pct_zero"),
-        (F.count_if(v.isNull()) / F.count(F.lit(1)) * 100).alias("train_pct_missing"),
-        F.avg(F.coalesce(v, med)).alias("imputed_train_mean"), F.stddev_pop(F.coalesce(v, med)).alias("imputed_train_std"),
-        F.count(kept).alias("real_rows"), F.count_if(kept != 0).alias("real_nonzero_rows"), F.avg(kept).alias("real_mean"),
-        F.stddev_pop(kept).alias("real_std"), F.min(kept).alias("real_min"), F.max(kept).alias("real_max"),
-        F.count(synth).alias("synthetic_rows"), F.count_if(synth != 0).alias("synthetic_nonzero_rows"),
-        F.avg(synth).alias("synthetic_mean"), F.stddev_pop(synth).alias("synthetic_std"),
-        F.min(synth).alias("synthetic_min"), F.max(synth).alias("synthetic_max"))
-    b = te.join(F.broadcast(quart.select("feature", "train_median")), "feature", "left").groupBy("feature").agg(
-        F.min(v).alias("test_min"), F.max(v).alias("test_max"), F.avg(F.coalesce(v, med)).alias("__mean"),
-        F.min(F.coalesce(v, med)).alias("__lo"), F.max(F.coalesce(v, med)).alias("__hi"))
+    """Support of every numeric feature in training and its drift on the untouched test rows.
+
+    Both tables are laid out by feature once and counted in cells of equal values: real and synthetic training rows and
+    test rows. All statistics follow from the cells, and quartiles and KS from one ranking of them.
+    """
+    made = F.coalesce(F.col(synthetic), F.lit(False)).cast("int")
+    both = long_form(train.withColumn("__k", made), features, "__k").unionByName(long_form(test.withColumn("__k", F.lit(2)), features, "__k"))
+    each = [F.count_if(F.col("__k") == k).alias(n) for k, n in enumerate(("r", "s", "t"))]
+    cells = durable(both.groupBy("feature", F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value")).alias("v")).agg(*each))
+    v, r, s, t = (F.col(c) for c in ("v", "r", "s", "t"))
+    levels = real_levels(v)
+    ranked = durable(prefix_sums(cells.filter(v.isNotNull()), ["feature"], levels, {"n": r + s, "t": t}).withColumnRenamed(f"_l{len(levels) - 1}", "__v"))
+    quart = quantiles_of_ranked(ranked.filter(~F.isnan("__v")), ["feature"], {"q1": 0.25, "train_median": 0.5, "q3": 0.75})
+    ends = ranked.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("t").alias("tt"))
+    gap = F.abs(F.try_divide(F.col("n_before") + F.col("n"), F.col("tn")) - F.try_divide(F.col("t_before") + F.col("t"), F.col("tt")))
+    ks = ranked.join(F.broadcast(ends), "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
+    # everything joined below holds one row per feature
+    known = durable(cells.select("feature").distinct().join(F.broadcast(quart), "feature", "left"))
+    med, n = F.coalesce("train_median", F.lit(0.0)), r + s
+    filled = F.coalesce(v, med)
+    has = cells.join(F.broadcast(known), "feature")
+    over = lambda w, x: F.try_divide(F.sum(F.when(w > 0, x * w)), F.sum(F.when(x.isNotNull(), w)))
+    kinds = {"real": r, "synthetic": s}
+    one = has.groupBy("feature").agg(
+        F.min(F.when(n > 0, v)).alias("train_min"), F.max(F.when(n > 0, v)).alias("train_max"), F.max(med).alias("train_median"),
+        over(n, v).alias("train_mean"), F.max(F.col("q3") - F.col("q1")).alias("train_iqr"),
+        F.try_divide(F.sum(F.when(v == 0, n).otherwise(0)), F.sum(n)).alias("__zero"), F.try_divide(F.sum(F.when(v.isNull(), n).otherwise(0)), F.sum(n)).alias("__none"),
+        over(n, filled).alias("imputed_train_mean"), F.sum(n).alias("__rows"),
+        *[c for k, w in kinds.items() for c in (
+            F.sum(F.when(v.isNotNull(), w).otherwise(0)).alias(f"{k}_rows"), F.sum(F.when(v != 0, w).otherwise(0)).alias(f"{k}_nonzero_rows"),
+            over(w, v).alias(f"{k}_mean"), F.min(F.when(w > 0, v)).alias(f"{k}_min"), F.max(F.when(w > 0, v)).alias(f"{k}_max"))],
+        F.sum(t).alias("__tests"), F.min(F.when(t > 0, v)).alias("test_min"), F.max(F.when(t > 0, v)).alias("test_max"), over(t, filled).alias("__mean"),
+        F.min(F.when(t > 0, filled)).alias("__lo"), F.max(F.when(t > 0, filled)).alias("__hi"))
+    one = durable(one.filter("__rows > 0 AND __tests > 0"))
+    spread = lambda w, x, m: F.sqrt(F.try_divide(F.sum(F.when(w > 0, w * (x - F.col(m)) * (x - F.col(m)))), F.sum(F.when(x.isNotNull(), w))))
+    two = cells.join(F.broadcast(one), "feature").groupBy("feature").agg(
+        spread(n, v, "train_mean").alias("train_std"), spread(n, filled, "imputed_train_mean").alias("imputed_train_std"),
+        spread(r, v, "real_mean").alias("real_std"), spread(s, v, "synthetic_mean").alias("synthetic_std"))
+    a = one.join(F.broadcast(two), "feature").withColumns({"train_pct_zero": F.col("__zero") * 100, "train_pct_missing": F.col("__none") * 100})
     m, s = F.col("imputed_train_mean"), F.col("imputed_train_std")
     inf = F.lit(float("inf"))
     far = F.greatest(F.abs(F.col("__hi") - m), F.abs(F.col("__lo") - m))
@@ -252,9 +273,9 @@ def audit_features(train: DataFrame, test: DataFrame, features: Sequence[str], s
     shift = F.when(s > 0, F.abs(F.col("__mean") - m) / s).otherwise(z)
     nonzero = F.col("real_nonzero_rows") + F.col("synthetic_nonzero_rows")
     share = F.coalesce(F.try_divide(F.col("synthetic_nonzero_rows"), nonzero), F.lit(0.0))
-    out = a.join(b, "feature").join(ks.withColumnRenamed("ks", "ks_statistic"), "feature", "left").withColumns(
+    out = a.join(F.broadcast(ks), "feature", "left").withColumns(
         {"max_abs_test_z": z, "standardized_mean_shift": shift, "synthetic_share_nonzero": share})
-    return out.drop("__mean", "__lo", "__hi").withColumns({
+    return out.drop("__mean", "__lo", "__hi", "__zero", "__none", "__rows", "__tests").withColumns({
         "near_zero_variance": s < NEAR_ZERO_STD,
         "low_observed_support": 1 - F.col("train_pct_missing") / 100 < MIN_SUPPORT,
         "synthetic_only_variation": (F.col("real_nonzero_rows") == 0) & (F.col("synthetic_nonzero_rows") > 0),

@@ -166,7 +166,11 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"), (F.lit(1) if weight is None else F.col(weight)).alias("__w"))
     levels = real_levels(F.col("__v"))
     ranked = prefix_sums(rows, groups, levels, {"n": F.col("__w")})
-    ranked = ranked.withColumnRenamed(f"_l{len(levels) - 1}", "__v")
+    return quantiles_of_ranked(ranked.withColumnRenamed(f"_l{len(levels) - 1}", "__v"), groups, probs)
+
+
+def quantiles_of_ranked(ranked: DataFrame, groups: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles per group of ranked cells: groups, ``__v``, ``n`` (rows) and ``n_before``."""
     totals = ranked.groupBy(*groups).agg(F.sum("n").alias("__total"))
     if groups:
         ranked = join_on(ranked, totals, list(groups), "inner")

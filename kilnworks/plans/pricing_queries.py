@@ -223,3 +223,54 @@ def _(spark, sf):
 def _(spark, sf):
     f = frames.priced_lines(drafts(spark, sf), use_list=False)
     return frames.quote_rollup(f).drop("avg_discount_pct")
+
+
+def _or(c: str, default: float):
+    """A number that counts as not given where it is null or zero."""
+    return F.when(F.col(c).cast("double") != 0, F.col(c).cast("double")).otherwise(F.lit(float(default)))
+
+
+def draft_bag_features(lines):
+    """One bag per unsaved quote: the lines as the multi-line model reads them; a line without unit or sales price has an issue and no bag."""
+    unit, price = F.col("unitPrice").cast("double"), F.col("salesPrice").cast("double")
+    issue = F.when(unit.isNull(), F.lit("unitPrice is required and must be numeric")).when(price.isNull(), F.lit("salesPrice is required and must be numeric"))
+    return lines.select("quotationLineItemID", "quotationID", F.coalesce(F.col("productID").cast("string"), F.lit("")).alias("productID"), _or("quantity", 1).alias("quantity"),
+                        unit.alias("unitPrice"), price.alias("salesPrice"), F.coalesce("materialSpec", F.lit("Other")).alias("materialSpec"),
+                        _or("discountPercent", 0).alias("discountPercent"), _or("leadTimeDays", 0).alias("leadTimeDays"), F.coalesce("region", F.lit("")).alias("region"),
+                        F.coalesce("industry", F.lit("")).alias("industry"), F.coalesce(F.col("salesRepID").cast("string"), F.lit("")).alias("salesRepID"), issue.alias("issue"))
+
+
+def draft_price_features(lines, contact):
+    """Features of the price band for each line of unsaved quotes, with the customer's historical rate."""
+    overall = contact.filter(F.col("entity") == "_global").select(F.col("rate").alias("__g"))
+    own = contact.withColumnsRenamed({"entity": "__e", "rate": "__r"})
+    f = with_scalars(lines.join(own, F.col("customerID").cast("string") == F.col("__e"), "left"), overall)
+    unit = F.col("unitPrice").cast("double")
+    return f.select("quotationLineItemID", _or("quantity", 1).alias("quantity"), unit.alias("unitPrice"), _or("leadTimeDays", 0).alias("leadTimeDays"),
+                    F.coalesce("__r", "__g").alias("contact_win_rate"), F.coalesce(F.col("productID").cast("string"), F.lit("")).alias("productID"),
+                    F.coalesce("materialSpec", F.lit("unknown")).alias("materialSpec"), F.coalesce("region", F.lit("")).alias("region"),
+                    F.when(unit.isNull(), F.lit("unitPrice is required and must be numeric")).alias("issue"))
+
+
+# every seventh material and every fifth sales price of the test lines is left blank, so that the defaults show
+BLANKED = f"(SELECT * REPLACE (CASE WHEN productID % 7 <> 0 THEN materialSpec END AS materialSpec, CASE WHEN lineNumber % 5 <> 0 THEN salesPrice END AS salesPrice) FROM {DRAFT})"
+
+
+def blanked(spark, sf):
+    return drafts(spark, sf).withColumns({"materialSpec": F.when(F.col("productID") % 7 != 0, F.col("materialSpec")),
+                                          "salesPrice": F.when(F.col("lineNumber") % 5 != 0, F.col("salesPrice"))})
+
+
+@query("i26_draft_bag_features", f"""SELECT quotationLineItemID, quotationID, CAST(productID AS VARCHAR) AS productID, CASE WHEN quantity <> 0 THEN quantity ELSE 1 END AS quantity, unitPrice, salesPrice,
+ coalesce(materialSpec, 'Other') AS materialSpec, discountPercent, leadTimeDays::DOUBLE AS leadTimeDays, region, industry, salesRepID,
+ CASE WHEN salesPrice IS NULL THEN 'salesPrice is required and must be numeric' END AS issue FROM {BLANKED}""")
+def _(spark, sf):
+    return draft_bag_features(blanked(spark, sf))
+
+
+@query("i26_draft_price_features", f"""WITH r AS ({RATE_TABLE}) SELECT quotationLineItemID, CASE WHEN quantity <> 0 THEN quantity ELSE 1 END AS quantity, unitPrice, leadTimeDays::DOUBLE AS leadTimeDays,
+ round(coalesce(r.rate, (SELECT rate FROM r WHERE entity = '_global')), 6) AS contact_win_rate, CAST(productID AS VARCHAR) AS productID, coalesce(materialSpec, 'unknown') AS materialSpec, region, NULL AS issue
+ FROM {BLANKED} LEFT JOIN r ON r.entity = CAST(customerID AS VARCHAR)""")
+def _(spark, sf):
+    h = decided_headers(P.quotes(spark, sf))
+    return draft_price_features(blanked(spark, sf), rate_table(h, "customerID"))

@@ -21,7 +21,7 @@ from kilnworks.plans import frames
 from kilnworks.plans import training as T
 from kilnworks.plans.catalog import query
 from kilnworks.plans.quotes_queries import LINE_SQL, rate_table
-from kilnworks.session import durable
+from kilnworks.session import durable, scratch_path
 from kilnworks.sources import proxies as P
 
 CHRONO = """t AS (SELECT * FROM targets WHERE target IS NOT NULL AND NOT stockout_flag), d AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT snapshot_date FROM t)),
@@ -377,10 +377,10 @@ def _horizon_scores(spark, sf):
     return durable(with_scalars(r, base))
 
 
-@query("i24_open_quote_scoring", """SELECT line_count < 5 AS hidden, count(*) AS quotes, count(*) AS payloads, 0 AS outside FROM quotes JOIN rollup USING (quotationID)
- WHERE statusName = 'Sent' GROUP BY 1""")
+@query("i24_open_quote_scoring", """SELECT line_count < 5 AS hidden, count(*) AS quotes, count(*) AS payloads, 0 AS outside, 0 AS not_audited, 0 AS audited_in_vain, count(*) FILTER (quotationID % 2 = 0) AS kept_notes
+ FROM quotes JOIN rollup USING (quotationID) WHERE statusName = 'Sent' GROUP BY 1""")
 def _(spark, sf):
-    """Every open quote scored with its own rates and its advisory payload; counts by display."""
+    """Every open quote scored with its own rates; its advisory merged into what the quote held, and an audit row where the score is doubtful or hidden."""
     t = win_job(spark, sf)
     q = P.quotes(spark, sf).filter("statusName = 'Sent'")
     roll = frames.quote_rollup(frames.priced_lines(P.quote_lines(spark, sf)))
@@ -394,9 +394,17 @@ def _(spark, sf):
         f = with_scalars(f.join(own, F.col(key).cast("string") == F.col("__e"), "left"), overall)
         f = f.withColumn(name, F.coalesce("__r", "__g")).drop("__e", "__r", "__g")
     f = f.withColumns({"grand_total": F.col("grandTotal"), "n_comparable": F.col("line_count")})
-    s = T.score_open_quotes(f, t, "1")
-    return s.groupBy("hidden").agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("payload").contains("ai_quote")).alias("payloads"),
-                                   F.count_if(~F.col("p").between(0, 1)).alias("outside"))
+    s = durable(T.score_open_quotes(f, t, "1"))
+    held = P.quotes(spark, sf).select("quotationID", F.when(F.col("quotationID") % 2 == 0, '{"note": "kept"}').alias("custom_elements"))
+    advised, audit = T.record_scores(s, held, scratch_path(spark, "advisories"), scratch_path(spark, "audit"))
+    seen = audit.select(F.col("entity_id").cast("long").alias("quotationID"), F.lit(True).alias("audited"), F.get_json_object("metadata", "$.win_probability_pct").alias("pct"))
+    j = s.select("quotationID", "p", "hidden", "low_confidence").join(seen, "quotationID", "left").join(advised, "quotationID")
+    due = F.col("hidden") | F.col("low_confidence")
+    found = F.coalesce(F.col("audited"), F.lit(False))
+    part = lambda path: F.get_json_object("custom_elements", path)
+    return j.groupBy("hidden").agg(
+        F.count(F.lit(1)).alias("quotes"), F.count(part("$.ai_quote.win_probability_pct")).alias("payloads"), F.count_if(~F.col("p").between(0, 1)).alias("outside"),
+        F.count_if(due & (~found | F.col("pct").isNull())).alias("not_audited"), F.count_if(~due & found).alias("audited_in_vain"), F.count(part("$.note")).alias("kept_notes"))
 
 
 @query("i25_line_training_job", f"WITH {ONE_OF_EACH}, {FOLD_SIZES} SELECT train, calibration, holdout, holdout AS n_test, true AS useful FROM x")
