@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kilnworks.functions import delay as D
 from kilnworks.operators.graph import cascade, critical_path
-from kilnworks.operators.scale import top_per_key
+from kilnworks.operators.scale import id_levels, prefix_sums, top_per_key
 from kilnworks.session import durable
 
 HISTORY = 10
@@ -153,3 +153,42 @@ def outcome_labels(jobs: DataFrame, work_orders: DataFrame) -> DataFrame:
     actual = F.when(F.col("complete"), F.col("actual_sum"))
     return out.withColumns({"was_late": F.col("hours_late") > 0, "actual_minutes": actual,
                             "duration_overrun_ratio": F.try_divide(actual, F.nullif(F.col("expected_minutes"), F.lit(0)))})
+
+
+# --- job documents ----------------------------------------------------------
+PART = 200
+
+
+def _parts(rows: DataFrame, key: str, entry: Column, part_size: int) -> DataFrame:
+    """job_id, part, items: the entries of each job in the order of ``key``, in parts of bounded length."""
+    levels = id_levels(rows, key)
+    place = prefix_sums(rows, ["job_id"], levels, {"n": F.lit(1)}).select("job_id", F.col(f"_l{len(levels) - 1}").alias(key), F.col("n_before").alias("__at"))
+    placed = rows.join(place, ["job_id", key]).withColumn("part", F.floor(F.col("__at") / part_size))
+    inside = F.array_sort(F.collect_list(F.struct("__at", entry.alias("entry"))))
+    return placed.groupBy("job_id", "part").agg(F.transform(inside, lambda x: x["entry"]).alias("items"))
+
+
+def job_documents(work_orders: DataFrame, edges: DataFrame, history: DataFrame, components: DataFrame, part_size: int = PART) -> DataFrame:
+    """job_id, section, part, document: the nested roll-up of every job as JSON.
+
+    Section ``operations`` lists operations with their predecessors and operators, each operator with the last ten work
+    orders; section ``components`` lists the job's components once. A job of any size is read by putting its parts one behind the
+    other, so no row holds more than ``part_size`` entries.
+    """
+    whole = lambda c: F.col(c).cast("bigint").alias(c)
+    last = F.transform("history", lambda h: F.struct(h["operation_id"].alias("operation_id"), h["elapsed_minutes"].cast("bigint").alias("elapsed_minutes"),
+                                                     h["scheduled_minutes"].cast("bigint").alias("scheduled_minutes")))
+    each = work_orders.select("operation_id", F.explode("operators").alias("operator_id")).join(history.select("operator_id", last.alias("last")), "operator_id", "left")
+    own = each.groupBy("operation_id").agg(F.array_sort(F.collect_list(F.struct("operator_id", F.col("last").alias("last_10_work_orders")))).alias("operators_out"))
+    before = edges.groupBy("operation_id").agg(F.sort_array(F.collect_set("pred_id")).alias("depends_on_operation_ids"))
+    ops = work_orders.join(own, "operation_id", "left").join(before, "operation_id", "left")
+    entry = F.struct("operation_id", "operation_name", "operation_type", "status", F.coalesce("depends_on_operation_ids", F.array().cast("array<string>")).alias("depends_on_operation_ids"),
+                     F.col("expected").cast("bigint").alias("expected_duration_minutes"), F.col("actual").cast("bigint").alias("actual_duration_minutes"),
+                     whole("job_quantity"), F.col("done_quantity").cast("bigint").alias("current_done_quantity"), F.size("operators").alias("operator_count"),
+                     F.col("operators_out").alias("operators"))
+    part = F.struct("component_id", "name", F.col("required").cast("bigint").alias("required_quantity"), F.col("available").cast("bigint").alias("available_quantity"),
+                    F.col("vendor_name").alias("vendor"))
+    sections = {"operations": _parts(ops, "operation_id", entry, part_size), "components": _parts(components, "lid", part, part_size)}
+    keep = {"ignoreNullFields": "false"}
+    rows = [df.select("job_id", F.lit(name).alias("section"), "part", F.to_json("items", keep).alias("document")) for name, df in sections.items()]
+    return rows[0].unionByName(rows[1])

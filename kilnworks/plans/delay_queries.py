@@ -219,6 +219,23 @@ def _(spark, sf):
         F.coalesce("depends_on", F.lit(0)).alias("depends_on"), "first_dependency", F.coalesce("components", F.lit(0)).alias("components"))
 
 
+LAST_TEN = """SELECT l.operator_id, list(struct_pack(operation_id := l.operation_id, elapsed_minutes := coalesce(m.elapsed, 0)::BIGINT, scheduled_minutes := l.expected::BIGINT) ORDER BY l.rn) AS last
+ FROM operator_last l LEFT JOIN (SELECT operation_id, operator_id, sum(duration_minutes) AS elapsed FROM time_logs GROUP BY 1, 2) m ON m.operation_id = l.operation_id AND m.operator_id = l.operator_id GROUP BY 1"""
+
+
+@query("j05_job_documents", f"""WITH h AS ({LAST_TEN}), o AS (SELECT w.operation_id, list(struct_pack(operator_id := w.operator_id, last_10_work_orders := h.last) ORDER BY w.operator_id) AS operators FROM wo_operators w LEFT JOIN h USING (operator_id) GROUP BY 1),
+ d AS (SELECT operation_id, list(DISTINCT pred_id ORDER BY pred_id) AS preds FROM edges GROUP BY 1),
+ p AS (SELECT w.job_id, (row_number() OVER (PARTITION BY w.job_id ORDER BY w.operation_id) - 1) // 3 AS part, w.operation_id, struct_pack(operation_id := w.operation_id, operation_name := operation_name, operation_type := operation_type, status := status,
+  depends_on_operation_ids := coalesce(preds, []), expected_duration_minutes := expected::BIGINT, actual_duration_minutes := actual::BIGINT, job_quantity := job_quantity::BIGINT, current_done_quantity := done_quantity::BIGINT,
+  operator_count := len(operators), operators := operators) AS e FROM work_orders w JOIN o USING (operation_id) LEFT JOIN d USING (operation_id)),
+ c AS (SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY lid) - 1) // 3 AS part, lid, struct_pack(component_id := component_id, name := name, required_quantity := required::BIGINT, available_quantity := available::BIGINT, vendor := vendor_name) AS e FROM components)
+ SELECT job_id, 'operations' AS section, part, to_json(list(e ORDER BY operation_id))::VARCHAR AS document FROM p GROUP BY 1, 3 UNION ALL SELECT job_id, 'components', part, to_json(list(e ORDER BY lid))::VARCHAR FROM c GROUP BY 1, 3""")
+def _(spark, sf):
+    """The nested roll-up of every job as JSON, in parts of three entries."""
+    t = tables(spark, sf)
+    return J.job_documents(t["work_orders"], t["edges"], J.operator_history(t["work_orders"], t["time_logs"]), P.job_components(spark, sf, t), part_size=3)
+
+
 @query("j06_delay_elements", """SELECT operation_id, round(time_overrun, 5) AS time_overrun_ratio, round(pace, 5) AS operator_pace_ratio, round(supplier, 5) AS supplier_reliability, round(predecessor, 5) AS predecessor_time_overrun_ratio,
  round(cascade, 5) AS critical_path_cascade_ratio, round(CASE WHEN base < 1e12 THEN base END, 5) AS base_score, round(predicted, 5) AS predicted_overrun_hours, round(mo_progress, 5) AS mo_progress, score > 1.0 AS is_delayed, critical, label AS operation_label FROM elements""", digits=5)
 def _(spark, sf):
