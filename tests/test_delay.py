@@ -80,3 +80,30 @@ def test_fixed_point_text_matches_exact_binary_rounding(spark):
         "v", fixed(F.col("v"), 1).alias("one"), fixed(F.col("v"), 2).alias("two"), exact_round(F.col("v"), 2).alias("r")).collect()
     for r in got:
         assert (r["one"], r["two"], r["r"]) == (f"{r['v']:.1f}", f"{r['v']:.2f}", round(r["v"], 2))
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 operations with a second way round, and a job with a cycle."""
+    from kilnworks.operators import graph as R
+    n = 1000
+    rows = [("c", f"o{i}", float(i % 7)) for i in range(n)] + [("c", "side", 3000.0)] + [("y", f"k{i}", 1.0) for i in range(5)]
+    links = [("c", f"o{i}", f"o{i - 1}") for i in range(1, n)] + [("c", "o900", "side")] + [("y", "k1", "k0"), ("y", "k2", "k1"), ("y", "k1", "k2"), ("y", "k4", "k3")]
+    written, durable = [0], R.durable
+
+    def counted(df):
+        written[0] += 1
+        return durable(df)
+
+    monkeypatch.setattr(R, "durable", counted)
+    timed, critical = R.critical_path(spark.createDataFrame(rows, "job_id string, operation_id string, expected double"),
+                                      spark.createDataFrame(links, "job_id string, operation_id string, pred_id string"))
+    got = {(r.job_id, r.operation_id): r for r in timed.collect()}
+    assert written[0] <= 30  # eleven rounds of doubling, a few of frontiers
+    upto = [sum(float(i % 7) for i in range(k)) for k in range(n + 1)]
+    late = max(0.0, 3000.0 - upto[900])
+    for i in (0, 1, 500, 899, 900, 999):
+        assert got["c", f"o{i}"].earliest_start == upto[i] + (late if i >= 900 else 0)
+        assert got["c", f"o{i}"].float_minutes == (late if i < 900 else 0)
+    assert got["c", "side"].critical and got["c", "o0"].project_minutes == upto[n] + late
+    assert not any(got["y", f"k{i}"].valid for i in range(5))
+    assert {(r.operation_id, r.pred_id) for r in critical.collect()} >= {("o900", "side"), ("o999", "o998")}
