@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnworks.llm.common import prepare
+from kilnworks.llm.common import prepare, release, tidy
 from kilnworks.session import durable
 
 LENGTH, REACH, GRAM = 400, 200, 16
@@ -137,7 +137,7 @@ def _all_anchors(texts: DataFrame) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["r", "at", "key", "context"])
 
-    return texts.mapInArrow(run, "r long, at long, key long, context long")
+    return texts.mapInArrow(tidy(run), "r long, at long, key long, context long")
 
 
 def common(a: bytes, b: bytes, h: int) -> int:
@@ -265,7 +265,7 @@ _PAIR_SCHEMA = "kind int, ord int, part int, key long, context long, at long, be
 def _fetched(texts: DataFrame, wanted: DataFrame, n: int, run, schema: str) -> DataFrame:
     """``run`` over (text, items) of the texts that ``wanted`` (r, d, items) names; copies of a text are passed over."""
     small = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    return texts.join(small, ["r", "d"]).select("x", "items").mapInArrow(run, schema)
+    return texts.join(small, ["r", "d"]).select("x", "items").mapInArrow(tidy(run), schema)
 
 
 def _sorted_pairs(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -345,7 +345,10 @@ def _sorted_pairs(texts: DataFrame, items: DataFrame) -> DataFrame:
         if last is not None:
             rows.append((2, order, part, last[3], last[1], last[2], 0, 0, last[0]))
         kinds = [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _PAIR_SCHEMA.split(", ")])
+        out = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _PAIR_SCHEMA.split(", ")])
+        rows.clear()
+        release()
+        return out
 
     dealt = _fetched(texts, lists(items), n, runs, _RUN_SCHEMA)
     pairs = durable(dealt.groupBy("ord", "part").applyInArrow(merge, _PAIR_SCHEMA))
@@ -384,7 +387,7 @@ def _settled(pairs: DataFrame) -> DataFrame:
     near = pairs.groupBy("key", "context").agg(F.min("at").alias("at"), F.max(F.when(F.col("ord") == 0, F.col("behind"))).alias("behind"),
                                                F.max(F.when(F.col("ord") == 1, F.col("front"))).alias("front"),
                                                F.collect_set(F.struct("behind", "front")).alias("near"))
-    return near.mapInArrow(run, "key long, context long, at long, least int, most int, spans array<struct<a:int,b:int>>, open boolean")
+    return near.mapInArrow(tidy(run), "key long, context long, at long, least int, most int, spans array<struct<a:int,b:int>>, open boolean")
 
 
 def _counted(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -447,7 +450,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     p, lo, hi = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     bytes_ = F.transform("spans", lambda s: F.struct((p - F.least(hi, s["b"])).alias("a"), (p - F.greatest(lo, s["a"]) + LENGTH).alias("b")))
     each = spans.select("r", "across", F.explode(bytes_).alias("s")).groupBy("r").agg(F.sort_array(F.collect_set("s")).alias("s"), F.max("across").alias("across"))
-    return each.mapInArrow(joined, "r long, starts array<long>, ends array<long>, across boolean")  # as many as a text has bytes
+    return each.mapInArrow(tidy(joined), "r long, starts array<long>, ends array<long>, across boolean")  # as many as a text has bytes
 
 
 def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,5 +479,5 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array([a or [] for a in starts], kind), pa.array([b or [] for b in ends], kind),
                                    pa.array(kept, pa.binary()), batch.column(4)], names=["doc_id", "n_bytes", "starts", "ends", "kept", "elsewhere"])
 
-    return own.mapInArrow(run, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, elsewhere boolean")
+    return own.mapInArrow(tidy(run), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, elsewhere boolean")
 
