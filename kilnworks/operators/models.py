@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kilnworks.operators import boosting as B
 from kilnworks.operators import clean as C
 from kilnworks.operators import metrics as M
+from kilnworks.operators import neighbours as NB
 from kilnworks.operators.scale import exact_quantiles, join_on, top_per_key
 from kilnworks.session import durable
 
@@ -130,6 +131,27 @@ def fit_model(train: DataFrame, prep: Prepared, estimator: Estimator | Booster)
     return Pipeline(stages=[*feature_stages(prep.numeric, prep.categorical), estimator]).fit(prep.apply(train))
 
 
+def fit_resampled(train: DataFrame, prep: Prepared, estimator: Estimator | Booster, label: str, key: str) -> tuple[PipelineModel | Boosted, DataFrame]:
+    """A model of balanced training rows: the rare class is filled up between its neighbours, then Tomek links go on both sides.
+
+    Also returned: stage, class and rows, before and after each step. Other folds keep their natural rates.
+    """
+    front = Pipeline(stages=feature_stages(prep.numeric, prep.categorical)).fit(prep.apply(train))
+    points = durable(front.transform(prep.apply(train)).select(F.col(key).cast("string").alias("id"), vector_to_array("features").alias("x"), F.col(label).cast("int").alias("label")))
+    made = NB.oversample(points).select(F.concat_ws("#", "base", "copy").alias("id"), "x", "label")
+    filled = durable(points.unionByName(made))
+    left = durable(NB.without_tomek_links(filled))
+    counts = None
+    for stage, rows in (("original", points), ("after_smote", filled), ("after_tomek", left)):
+        part = rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(stage).alias("stage"), "label", "rows")
+        counts = part if counts is None else counts.unionByName(part)
+    if isinstance(estimator, Booster):
+        rows = left.select("x", F.col("label").cast("double").alias("y"), F.xxhash64("id").alias("h"))
+        return Boosted(front, B.fit(rows, [estimator.spec])), durable(counts)
+    fitted = estimator.fit(left.select(array_to_vector("x").alias("features"), F.col("label").alias(label)))
+    return PipelineModel(stages=[*front.stages, fitted]), durable(counts)
+
+
 def raw_scores(df: DataFrame, prep: Prepared, model: PipelineModel | Boosted, out: str = "raw") -> DataFrame:
     if isinstance(model, Boosted):
         return model.scores(df, prep, "__all").withColumn(out, F.col("__all")[0]).drop("__all")

