@@ -44,13 +44,13 @@ def _texts(words: pa.Array) -> list[str]:
 class Encoder:
     """``drops_space``: the tokenizer lower-cases, drops white space and marks the ends of words."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.drops_space = drops_space
+        self.drops_space, self.remembered = drops_space, remembered
         self.letters = _byte_letters()
         self.seen: dict[str, bytes] = {}
         self.line_end = b"" if drops_space else self._whole("\n").tobytes()
@@ -84,8 +84,8 @@ class Encoder:
     def _pieces(self, keys: list[str]) -> list[bytes]:
         """Ids of distinct keys."""
         got = list(map(self.seen.get, keys))
-        if len(self.seen) > REMEMBERED:
-            self.seen = dict(list(self.seen.items())[REMEMBERED // 2:])
+        if len(self.seen) > self.remembered:
+            self.seen = dict(list(self.seen.items())[self.remembered // 2:])
         for k, ids in enumerate(got):
             if ids is None:
                 got[k] = self.seen[keys[k]] = self._piece(keys[k])
@@ -131,5 +131,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool) -> Encoder:
-    return Encoder(path, drops_space)
+def encoder(path: str, drops_space: bool, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, drops_space, remembered)

@@ -14,7 +14,7 @@ frequent n-grams; what others had goes to the shorter context, so each model sti
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language in
 code-point order. Training rows with null text or language teach nothing. Without training rows
-everything is ``und``.
+everything is ``und``. A very long text counts with all its words, in training and in prediction.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ is the centre, changed to what more than half of the members have. Members alrea
 not paired, as a link between them changes nothing.
 
 Null texts and texts without a word have an empty set, are linked with nothing and stay. Rows that
-repeat (one id, one text) are in one class. A null id never names a component that has another id.
+repeat (one id, one text) are in one class. A null id never names a component that has another id. A very long text is one set, which its task holds.
 Sets are compared as 64-bit shingle hashes; classes are named by 64-bit set hashes.
 """
 

@@ -7,7 +7,7 @@ text are one document. Lines in more than ``max_documents`` documents of a host
 ``least_words`` words, or less than ``least_percent`` percent of its words, are left.
 
 Null or empty texts have no word and fail the base rules; rows that repeat get equal results; a null
-host is a host of its own. Lines without a word are left alone.
+host is a host of its own. Lines without a word are left alone. A very long text is one row: its counts take memory in proportion to it.
 """
 
 from __future__ import annotations

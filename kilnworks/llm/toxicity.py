@@ -13,7 +13,8 @@ enter the model, all of them (at least ``LEAST_WORDS``). Both samples are bounde
 
 Null or empty texts have no word and get the score of the bias alone. Labels that are null are left
 out, an id labelled twice is toxic if one row says so, a text that repeats counts each time. Without
-a confirmed toxic text (or without any text) the score is 0 everywhere.
+a confirmed toxic text (or without any text) the score is 0 everywhere. A very long text is scored by its
+distinct words, as any other.
 """
 
 from __future__ import annotations

@@ -34,6 +34,8 @@ from kilnworks.session import durable
 BLOCK = 512
 #: Ids of one shard, a longer document excepted; bounds what a task holds.
 SHARD_IDS = 1 << 21
+#: Words that a worker remembers with their ids.
+REMEMBERED = 600_000
 #: Shard numbers of one task.
 SHARD_GROUP = 1 << 20
 
@@ -152,7 +154,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
              .sortWithinPartitions("d", F.crc32(F.coalesce("x", F.lit(""))), "x"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, True)
+        own = encoder(tokenizer, True, REMEMBERED)
         base, serial = TaskContext.get().partitionId() * SHARD_GROUP, 0
         held: list[np.ndarray] = []
         docs_in: list = []
@@ -181,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, n_bits
         if held:
             yield shard()
 
-    dealt.mapInArrow(tidy(build), SHARD).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(build, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -256,3 +256,14 @@ def test_loser_tree_merges_front_coded_runs():
         for s, h, _ in got:
             assert h == bytededup.common(last, s, 0) == next((k for k, (a, b) in enumerate(zip(last, s)) if a != b), min(len(last), len(s)))
             last = s
+
+
+def test_very_long_texts_are_linked(spark):
+    rnd = np.random.default_rng(21)
+    words = [f"w{k}" for k in rnd.integers(0, 10**9, size=150_000)]
+    near, far = list(words), list(words)
+    near[::900] = ["changed"] * len(near[::900])
+    far[::5] = ["changed"] * len(far[::5])
+    texts = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "short one two three")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(_frame(spark, texts)).collect()}
+    assert got[1][0] == 149_998 and got[1][1] == got[2][1] == 1 and got[3][1] == 3 and got[4] == (2, 4)

@@ -133,3 +133,17 @@ def test_letters_are_unicode_letters():
     for c in map(chr, range(sys.maxunicode + 1)):
         if not 0xD800 <= ord(c) <= 0xDFFF:
             assert bool(langid._LETTERS.fullmatch(c)) == unicodedata.category(c).startswith("L"), hex(ord(c))
+
+
+def test_very_long_texts(spark):
+    """A text of two million characters is scored like its words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    scorer = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    rows = [r for r in docs.collect() if len(r.text or "") > 400][:6]
+    long = spark.createDataFrame([(r.doc_id, r.lang, (r.text + "\n") * (2_000_000 // len(r.text))) for r in rows], "doc_id long, lang string, text string")
+    short = spark.createDataFrame([(r.doc_id, r.lang, r.text) for r in rows], "doc_id long, lang string, text string")
+    scores = [{r.doc_id: r.score for r in toxicity.score(df, scorer).collect()} for df in (long, short)]
+    assert scores[0] == pytest.approx(scores[1])
+    models = langid.fit(docs.where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    langs = [{r.doc_id: r.lang_pred for r in langid.predict(df, models, ["doc_id"]).collect()} for df in (long, short)]
+    assert langs[0] == langs[1] and "und" not in langs[0].values()
