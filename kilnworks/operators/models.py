@@ -218,21 +218,18 @@ class Calibrator:
     def fit(self, df: DataFrame, raw: str, label: str) -> "Calibrator":
         x = self._clip(F.col(raw))
         step = 1 / (1 + F.exp(-F.round(F.log(x / (1 - x)) * LOGIT_STEPS) / LOGIT_STEPS))
-        cells = df.select(step.alias("x"), F.col(label).cast("double").alias("label")).groupBy("x", "label").agg(
-            F.count(F.lit(1)).cast("double").alias("weight")).cache()
-        try:
-            s = cells.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("pos"),
-                          F.count_distinct("x").alias("distinct")).first()
-            n, pos = s["n"] or 0, s["pos"] or 0
-            if n >= ISOTONIC_ROWS and min(pos, n - pos) >= ISOTONIC_CLASS and s["distinct"] >= ISOTONIC_DISTINCT:
-                self.method = "isotonic"
-                self.model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="__cal").fit(cells)
-            else:
-                self.method = "platt"
-                vec = VectorAssembler(inputCols=["x"], outputCol="__v").transform(cells)
-                self.model = LogisticRegression(featuresCol="__v", labelCol="label", weightCol="weight", standardization=False).fit(vec)
-        finally:
-            cells.unpersist()
+        cells = durable(df.select(step.alias("x"), F.col(label).cast("double").alias("label")).groupBy("x", "label").agg(
+            F.count(F.lit(1)).cast("double").alias("weight")))
+        s = cells.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("pos"),
+                      F.count_distinct("x").alias("distinct")).first()
+        n, pos = s["n"] or 0, s["pos"] or 0
+        if n >= ISOTONIC_ROWS and min(pos, n - pos) >= ISOTONIC_CLASS and s["distinct"] >= ISOTONIC_DISTINCT:
+            self.method = "isotonic"
+            self.model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="__cal").fit(cells)
+        else:
+            self.method = "platt"
+            vec = VectorAssembler(inputCols=["x"], outputCol="__v").transform(cells)
+            self.model = LogisticRegression(featuresCol="__v", labelCol="label", weightCol="weight", standardization=False).fit(vec)
         return self
 
     def apply(self, df: DataFrame, raw: str, out: str) -> DataFrame:
