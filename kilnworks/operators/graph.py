@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kilnworks.session import durable
 
 MAX_JUMPS = 64
+#: Operations of the largest job up to which one round for each step of a path is cheaper than doubling.
+SMALL_JOB = 32
 
 
 def family_roots(df: DataFrame, id_col: str, parent_col: str, root_col: str = "root") -> DataFrame:
@@ -64,8 +66,8 @@ def _chains(links: DataFrame, waits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hop.join(ends, [*keys, "up"], "left_anti").select(*keys, "node", "up", "length")
 
 
-def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(side, job, node, reach): longest path into a node (side f) and out of it (side b), own length excluded.
+def _paths_by_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, job, node, reach) where jobs are large.
 
     Chains are walked by doubling first, which leaves the nodes that none or several others precede. Those
     advance one frontier per round, for all jobs and both directions at once: nodes whose predecessors are all
@@ -106,6 +108,50 @@ def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(known, [*keys, "node"], "left").select(*keys, "node", "duration", "reach")
 
 
+def _paths_by_frontiers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, job, node, reach) by frontiers alone: few and light rounds where jobs are small.
+
+    One frontier per round, for all jobs and both directions at once: nodes whose
+    predecessors are all done report their length to their successors. Every edge
+    is used once per direction. A node never reached lies on or behind a cycle and
+    has a null reach.
+    """
+    links = edges.select(F.lit("f").alias("side"), "job_id", F.col("pred_id").alias("src"),
+                         F.col("operation_id").alias("dst")).unionByName(
+        edges.select(F.lit("b").alias("side"), "job_id", F.col("operation_id").alias("src"),
+                     F.col("pred_id").alias("dst")))
+    waits = links.groupBy("side", "job_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    both = nodes.select(F.explode(F.array(F.lit("f"), F.lit("b"))).alias("side"), "job_id",
+                        F.col("operation_id").alias("node"), "duration")
+    state = durable(both.join(waits, ["side", "job_id", "node"], "left").select(
+        "side", "job_id", "node", "duration", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("reach")))
+    done = None
+    while True:
+        frontier = state.filter("waits = 0")
+        done = frontier if done is None else done.unionByName(frontier)
+        pending = state.filter("waits > 0")
+        if frontier.isEmpty() or pending.isEmpty():
+            break
+        sent = frontier.select("side", "job_id", F.col("node").alias("src"), (F.col("reach") + F.col("duration")).alias("length"))
+        got = links.join(sent, ["side", "job_id", "src"]).groupBy("side", "job_id", F.col("dst").alias("node")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
+        state = durable(pending.join(got, ["side", "job_id", "node"], "left").select(
+            "side", "job_id", "node", "duration", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"),
+            F.greatest("reach", F.coalesce("length", F.lit(0.0))).alias("reach")))
+    stuck = pending.withColumn("reach", F.lit(None).cast("double"))
+    return done.unionByName(stuck).select("side", "job_id", "node", "duration", "reach")
+
+
+def _longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, job, node, reach): longest path into a node (side f) and out of it (side b), own length excluded.
+
+    No path is longer than its job, so frontiers alone take at most as many rounds as the largest job has
+    operations; beyond ``SMALL_JOB`` of them chains are walked by doubling. Both ways give the same rows.
+    """
+    largest = nodes.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return (_paths_by_frontiers if largest <= SMALL_JOB else _paths_by_chains)(nodes, edges)
+
+
 def critical_path(operations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Earliest and latest times, float and critical flag per operation; critical edges.
 
