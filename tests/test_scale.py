@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnworks.operators import asof, metrics, split
-from kilnworks.operators.scale import exact_quantiles, id_levels, integer_levels, prefix_sums, real_levels, text_levels, top_per_key
+from kilnworks.operators.scale import exact_quantiles, id_levels, integer_levels, prefix_sums, rank_within, real_levels, text_levels, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,33 @@ def test_nested_non_finite_values_refuse_the_write(spark, tmp_path):
         with pytest.raises(ValueError, match="non-finite"):
             write_json_records(spark.sql(f"SELECT 1 AS id, {bad} AS v"), f"{tmp_path}/{k}")
     write_json_records(spark.sql("SELECT 1 AS id, named_struct('a', array(1D, NULL)) AS v"), f"{tmp_path}/ok")
+
+
+@pytest.mark.parametrize("most", [100_000, 100])
+def test_rank_within_keys_of_any_size(spark, monkeypatch, most):
+    """Ties share a rank, rows without a key go, and keys too large for one window get the same ranks from levels."""
+    from kilnworks.operators import scale
+    monkeypatch.setattr(scale, "WINDOW_ROWS", most)
+    rng = random.Random(5)
+    rows = [(None if i % 50 == 0 else 1 if i % 3 else i % 7, rng.choice([None, 1, 2, 3]), f"x{rng.randrange(200)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, n int, t string")
+    levels = text_levels(F.col("t"))
+    got = rank_within(df, "k", {"__n": F.col("n"), "__b": levels[0], "__t": levels[1]}, "at").collect()
+    place = {r["t"]: r["d"] for r in df.select("t", F.md5(F.col("t").cast("binary")).alias("d")).collect()}
+    order = lambda n, t: (n is not None, n or 0, place[t], t)
+    kept = [r for r in rows if r[0] is not None]
+    assert sorted((r["k"], order(r["n"], r["t"]), r["at"]) for r in got) == sorted(
+        (k, order(n, t), 1 + sum(k2 == k and order(n2, t2) < order(n, t) for k2, n2, t2 in kept)) for k, n, t in kept)
+    assert got[0].asDict().keys() == {"k", "n", "t", "at"}
+
+
+def test_work_orders_are_shuffled_once(spark, tmp_path):
+    """Numbering the work orders of a job takes one shuffle by the job, and no join."""
+    from kilnworks.sources.proxies import production_tables
+    spark.range(90).selectExpr("id div 4 AS l_orderkey", "id * 3 AS l_partkey", "id * 5 AS l_suppkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "2.0D AS l_quantity",
+                               "10.0D AS l_extendedprice", "'N' AS l_returnflag", "timestamp'2024-01-01' AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(23).selectExpr("id AS o_orderkey", "timestamp'2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    wo = production_tables(spark, str(tmp_path))["work_orders"]
+    assert sorted(r["operation_id"] for r in wo.collect()) == sorted(f"{i // 4}-{i % 4 + 1}" for i in range(90))
+    plan = wo._jdf.queryExecution().sparkPlan().toString() + wo._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and wo._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
