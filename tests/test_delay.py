@@ -107,3 +107,32 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     assert got["c", "side"].critical and got["c", "o0"].project_minutes == upto[n] + late
     assert not any(got["y", f"k{i}"].valid for i in range(5))
     assert {(r.operation_id, r.pred_id) for r in critical.collect()} >= {("o900", "side"), ("o999", "o998")}
+
+
+def test_jobs_as_rows_agree_with_rounds(spark, monkeypatch):
+    """Random jobs, some with cycles, repeated or empty ids, give the same times and cascades as rows and in rounds; as rows they are written twice for each."""
+    import random
+    rng = random.Random(11)
+    ops = [(j, f"o{i}", float(rng.randrange(6))) for j in range(40) for i in range(rng.randrange(1, 9))]
+    ops += [(1, "o0", 3.0), (2, "", 1.0), (3, None, 1.0), (None, "o1", 1.0), (4, "n", float("nan"))]
+    links = [(rng.randrange(40), f"o{a}", f"o{b}") for a, b in ((rng.randrange(1, 9), rng.randrange(9)) for _ in range(300)) if b < a or rng.random() < 0.05] + [(None, "o1", "o1"), (5, None, "o0")]
+    own = [(j, o, rng.choice([1.0, 1.3, 1.3, 2.0, float("inf"), float("nan"), None])) for j, o, _ in ops]
+    made = [spark.createDataFrame(rows, f"job_id long, {cols}").cache() for rows, cols in (
+        (ops, "operation_id string, expected double"), (links, "operation_id string, pred_id string"), (own, "operation_id string, ratio double"))]
+    written, durable, seen = [0], R.durable, []
+
+    def counted(df):
+        written[0] += 1
+        return durable(df)
+
+    monkeypatch.setattr(R, "durable", counted)
+    for most in (32, 0):
+        monkeypatch.setattr(R, "SMALL_JOB", most)
+        monkeypatch.setattr(R, "SMALL_LINKS", 1024 if most else 0)
+        written[0] = 0
+        timed, critical = R.critical_path(made[0], made[1])
+        worst = R.cascade(critical, made[2])
+        if most:
+            assert written[0] == 4
+        seen.append([sorted(map(str, df.collect())) for df in (timed, critical, worst)])
+    assert seen[0] == seen[1] and all(seen[0])
