@@ -159,3 +159,34 @@ def test_order_of_doubles():
     v = np.array([-np.inf, -2.5, -1e-300, -0.0, 0.0, 3e-310, 7.0, np.inf])
     keys = B._ordered(v)
     assert (np.diff(keys.astype(object)) >= 0).all() and [B._double(int(k)) for k in keys] == [*v[:3], 0.0, 0.0, *v[5:]]
+
+
+def test_only_splits_reach_the_driver(spark, monkeypatch):
+    """What a pass brings to the driver depends on models and leaves, neither on tasks nor on bins."""
+    import pickle
+
+    from pyspark import RDD
+    x, y, ids = _data(600, 9)
+    got, collect = [], RDD.collect
+
+    def counted(rdd):
+        out = collect(rdd)
+        got.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(B, "TASK_ROWS", 50, raising=False)
+    base = B.Spec(rounds=2, rate=0.3, leaves=8, least_rows=10)
+    models = B.fit(_frame(spark, x, y, ids).repartition(12), [base, replace(base, objective="quantile", alpha=0.5)])
+    assert all(len(m.trees) == 2 for m in models) and max(got) < 6000
+
+
+def test_quantile_of_crowded_and_of_few_residuals(spark, monkeypatch):
+    """The exact quantile is found by digits alone, by the residuals themselves, and where most residuals are equal."""
+    x, _, ids = _data(400, 11)
+    y = np.where(np.arange(400) % 3 == 0, x[:, 0], 1.0)
+    for few in (0, 10, 10_000):
+        monkeypatch.setattr(B, "FEW", few, raising=False)
+        model = B.fit(_frame(spark, x, y, ids), [B.Spec("quantile", alpha=0.2, rounds=1, leaves=3, least_rows=20)])[0]
+        assert model.start == _quantile(y, np.ones(400), 0.2)
