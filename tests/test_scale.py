@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,34 @@ def test_work_orders_are_shuffled_once(spark, tmp_path):
     assert sorted(r["operation_id"] for r in wo.collect()) == sorted(f"{i // 4}-{i % 4 + 1}" for i in range(90))
     plan = wo._jdf.queryExecution().sparkPlan().toString() + wo._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and wo._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_totals_stand_beside_the_cells_without_a_join_by_group(spark):
+    """Quantiles, KS and average precision take a group's total from its levels: no join deals all cells of a group to one task."""
+    from kilnworks.operators import metrics as M
+    from kilnworks.operators.scale import exact_quantiles
+    rows = [(g, float((i * 37) % 101) / 8) for g in ("a", "b", None) for i in range(80 if g else 3)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.3}).collect()}
+    assert got == {k: pytest.approx(float(np.quantile([v for g, v in rows if g == k], 0.3))) for k in ("a", "b", None)}
+    wide = spark.createDataFrame([(float(i % 17), float(i % 5)) for i in range(60)], "x double, z double")
+    ks = M.ks_statistic(wide, wide.where("x < 8"), ["x", "z"])
+    plan = (exact_quantiles(df, ["g"], "v", {"m": 0.3})._jdf.queryExecution().optimizedPlan().toString(), ks._jdf.queryExecution().optimizedPlan().toString())
+    for text in plan:  # only the two joins that hand a level's offsets down
+        assert text.count("Join Inner") == 2 and "Join LeftOuter" not in text
+    assert {r.feature: round(r.ks, 6) for r in ks.collect()} == {"x": pytest.approx(1 - 32 / 60, abs=1e-6), "z": pytest.approx(_plain_ks([i % 5 for i in range(60)], [i % 5 for i in range(60) if i % 17 < 8]), abs=1e-6)}
+
+
+def _plain_ks(a, b):
+    return max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v in a)
+
+
+def test_scores_evaluated_together_are_those_evaluated_alone(spark):
+    from kilnworks.operators import models as ML
+    df = spark.createDataFrame([(i % 3 == 0, i % 2, ((i * 37) % 11) / 11, ((i * 13) % 7) / 7) for i in range(90)], "u boolean, y int, p double, q double").withColumn("u", F.col("u").cast("int"))
+    each = {r.score: r.asDict() for r in ML.evaluate_each(df, [("one", "y", "p"), ("two", "u", "q")]).collect()}
+    for name, y, p in (("one", "y", "p"), ("two", "u", "q")):
+        alone = ML.evaluate(df, y, p).first().asDict()
+        assert {k: pytest.approx(v) for k, v in alone.items()} == {k: v for k, v in each[name].items() if k != "score"}
+    none = ML.evaluate_each(df.limit(0), [("one", "y", "p")]).select("score", "n_test", "brier").collect()
+    assert [tuple(r) for r in none] == [("one", 0, None)]
