@@ -64,12 +64,20 @@ def _(spark, sf):
     return _edges(priceable(spark, sf))
 
 
+def _from_cost(df, g):
+    """Lines whose cost lies within the grid, with ``first``, the first point at or above it.
+
+    The filter is a plain comparison: Spark pushes one with a lambda to one side of the join below while it still names the other's column.
+    """
+    floor_ratio = F.col("unitPrice") / F.col("basis")
+    within = df.filter(F.lit(HI) >= floor_ratio - 1e-12)
+    return within.withColumn("first", (F.array_position(F.transform(g, lambda x: x >= floor_ratio - 1e-12), F.lit(True)) - 1).cast("int"))
+
+
 def _edges(df):
     """The two refined ratios of each line."""
     g = F.array(*[F.lit(v) for v in W.grid(LO, HI, W.SWEEP_POINTS)])
-    df = df.withColumn("p", F.transform(g, curve))
-    floor_ratio = F.col("unitPrice") / F.col("basis")
-    df = df.withColumn("first", (F.array_position(F.transform(g, lambda x: x >= floor_ratio - 1e-12), F.lit(True)) - 1).cast("int")).filter("first >= 0")
+    df = _from_cost(df.withColumn("p", F.transform(g, curve)), g)
     best = F.get("p", F.col("first"))
     df = df.withColumns({"best": best, "hi": W.longest_run(F.col("p"), F.col("first"), best - 0.05)})
     df = df.withColumn("mid", F.least(W.longest_run(F.col("p"), F.col("first"), F.col("best") - 0.05 / 2), F.col("hi")))
@@ -106,9 +114,7 @@ def _(spark, sf):
 @query("e18_contiguous_run", "SELECT id, hi_i FROM banded")
 def _(spark, sf):
     g = F.array(*[F.lit(v) for v in W.grid(LO, HI, W.SWEEP_POINTS)])
-    df = priceable(spark, sf).withColumn("p", F.transform(g, curve))
-    floor_ratio = F.col("unitPrice") / F.col("basis")
-    df = df.withColumn("first", (F.array_position(F.transform(g, lambda x: x >= floor_ratio - 1e-12), F.lit(True)) - 1).cast("int")).filter("first >= 0")
+    df = _from_cost(priceable(spark, sf).withColumn("p", F.transform(g, curve)), g)
     return df.select("id", W.longest_run(F.col("p"), F.col("first"), F.get("p", F.col("first")) - 0.05).alias("hi_i"))
 
 
