@@ -214,7 +214,8 @@ def _(spark, sf):
     t = tables(spark, sf)
     deps = t["edges"].groupBy("operation_id").agg(F.count(F.lit(1)).alias("depends_on"), F.min("pred_id").alias("first_dependency"))
     n = P.job_components(spark, sf, t).groupBy("job_id").agg(F.count(F.lit(1)).alias("components"))
-    return t["work_orders"].join(deps, "operation_id", "left").join(n, "job_id", "left").select(
+    # the texts of the links come last, so only one shuffle carries them
+    return t["work_orders"].join(n, "job_id", "left").join(deps, "operation_id", "left").select(
         "operation_id", "job_id", "status", F.size("operators").alias("operator_count"),
         F.coalesce("depends_on", F.lit(0)).alias("depends_on"), "first_dependency", F.coalesce("components", F.lit(0)).alias("components"))
 
