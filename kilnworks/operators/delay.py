@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions import delay as D
+from kilnworks.operators import graph as G
 from kilnworks.operators.graph import cascade, critical_path
 from kilnworks.operators.scale import id_levels, rank_within, top_per_key
 from kilnworks.session import durable
 
 HISTORY = 10
+#: Operators up to which their paces are sent to the tasks: two numbers for each.
+FEW_OPERATORS = 500_000
 RECEIVED = ["Goods Received", "Partially Received"]
 
 
@@ -54,11 +57,19 @@ def operator_pace(history: DataFrame) -> DataFrame:
 
 def operation_pace(work_orders: DataFrame, pace: DataFrame) -> DataFrame:
     """Mean pace over the operators of each operation; those without history do not count."""
-    each = work_orders.select("job_id", "operation_id", F.explode("operators").alias("operator_id"))
-    return each.join(pace, "operator_id", "left").groupBy("job_id", "operation_id").agg(
+    return _paces(work_orders, pace).groupBy("job_id", "operation_id").agg(
         F.avg("pace").alias("operator_pace_ratio"), F.coalesce(F.sum("completed"), F.lit(0)).alias("completed_work_orders"))
 
 
+def _paces(work_orders: DataFrame, pace: DataFrame) -> DataFrame:
+    """job_id, operation_id, pace and completed orders of each operator of each operation."""
+    pace = durable(pace)
+    if pace.count() <= FEW_OPERATORS:
+        pace = F.broadcast(pace)
+    each = work_orders.select("job_id", "operation_id", F.explode("operators").alias("operator_id"))
+    return each.join(pace, "operator_id", "left").select("job_id", "operation_id", "pace", "completed")
+
+
 def vendor_orders(item_vendor: DataFrame, orders: DataFrame, receipts: DataFrame) -> DataFrame:
     """Last ten purchase orders of each item from its vendor, newest first, as one array per item."""
     mine = orders.join(item_vendor.select("item_id", "vendor_id"), ["item_id", "vendor_id"])
@@ -99,8 +110,11 @@ def predecessor_summary(work_orders: DataFrame, dependencies: DataFrame) -> Data
 
 
 def job_progress(operations: DataFrame) -> DataFrame:
-    part, planned = D.progress_parts(F.col("expected"), F.col("done_quantity"), F.col("job_quantity"))
-    return operations.groupBy("job_id").agg(F.try_divide(part, planned).alias("mo_progress"))
+    return operations.groupBy("job_id").agg(_progress("").alias("mo_progress"))
+
+
+def _progress(inside: str) -> Column:
+    return F.try_divide(*D.progress_parts(*[F.col(inside + c) for c in ("expected", "done_quantity", "job_quantity")]))
 
 
 def job_materials(components: DataFrame) -> DataFrame:
@@ -117,32 +131,50 @@ def predecessor_overrun(operations: DataFrame, edges: DataFrame) -> DataFrame:
         F.max("time_overrun_ratio").alias("predecessor_time_overrun_ratio"))
 
 
+def _signals_by_jobs(ops: DataFrame, edges: DataFrame, components: DataFrame, pace: DataFrame) -> DataFrame:
+    """:func:`_signals_by_joins` of jobs that fit into a row."""
+    return G.signals_by_jobs(ops.drop("operators"), edges, _paces(ops, pace), {"mo_progress": _progress("node.")}, job_materials(components))
+
+
+def _signals_by_joins(ops: DataFrame, edges: DataFrame, components: DataFrame, pace: DataFrame) -> DataFrame:
+    """Operations of jobs of any size with each of their signals."""
+    timed, crit = critical_path(ops, edges)
+    inherited = cascade(crit, ops.select("job_id", "operation_id", F.col("time_overrun_ratio").alias("ratio")))
+    worst = inherited.groupBy("job_id", "operation_id").agg(
+        F.max("ratio").alias("critical_path_cascade_ratio"), F.min("source_id").alias("cascade_source"))
+    return (ops.drop("operators").join(operation_pace(ops, pace), ["job_id", "operation_id"], "left")
+            .join(predecessor_overrun(ops, edges), ["job_id", "operation_id"], "left")
+            .join(timed, ["job_id", "operation_id"], "left").join(worst, ["job_id", "operation_id"], "left")
+            .join(job_materials(components), "job_id", "left").join(job_progress(ops), "job_id", "left"))
+
+
 def delay_elements(operations: DataFrame, edges: DataFrame, components: DataFrame, pace: DataFrame,
                    weights: dict | None = None, threshold: float = D.THRESHOLD) -> DataFrame:
     """Every delay signal, the composite risk with its cascade overlay and the delayed flag, per operation.
 
-    ``operations`` are read several times; store them first where they are dear to make.
+    Jobs of at most ``SMALL_JOB`` operations and ``SMALL_LINKS`` edges meet as one row each with all that their signals need; larger ones
+    are joined table by table. ``operations`` are read several times; store them first where they are dear to make. Their operators
+    are not handed on, nor are the name and type that the label follows from.
     """
     weights = weights or D.DEFAULT_WEIGHTS
-    ops = operations.withColumn("time_overrun_ratio", D.time_overrun(
-        F.col("actual"), F.col("expected"), F.col("done_quantity"), F.col("job_quantity")))
-    timed, crit = critical_path(ops, edges)
-    inherited = cascade(crit, ops.select("job_id", "operation_id", F.col("time_overrun_ratio").alias("ratio")))
-    worst = inherited.groupBy("job_id", "operation_id").agg(
-        F.max("ratio").alias("critical_path_cascade_ratio"), F.min("source_id").alias("cascade_source"))
-    f = (ops.join(operation_pace(ops, pace), ["job_id", "operation_id"], "left")
-         .join(predecessor_overrun(ops, edges), ["job_id", "operation_id"], "left")
-         .join(timed, ["job_id", "operation_id"], "left").join(worst, ["job_id", "operation_id"], "left")
-         .join(job_materials(components), "job_id", "left").join(job_progress(ops), "job_id", "left")
-         .withColumn("material_shortfall_ratio", F.coalesce("material_shortfall_ratio", F.lit(0.0))))
+    ops = operations.withColumns({
+        "time_overrun_ratio": D.time_overrun(F.col("actual"), F.col("expected"), F.col("done_quantity"), F.col("job_quantity")),
+        "operation_label": D.label(F.col("operation_name"), F.lit(None).cast("string"), F.col("operation_type"), F.col("operation_id"))}).drop("operation_name", "operation_type")
+    large = G.large_jobs({G.SMALL_JOB: ops, G.SMALL_LINKS: edges})
+    lost = ops.filter(F.col("job_id").isNull())  # match nothing
+    if large.isEmpty() and lost.isEmpty():
+        f = _signals_by_jobs(ops, edges, components, pace)
+    else:
+        few, many = ([df.join(large, "job_id", how) for df in (ops, edges, components)] for how in ("left_anti", "left_semi"))
+        many[0] = many[0].unionByName(lost)
+        f = _signals_by_jobs(*few, pace).unionByName(_signals_by_joins(*many, pace))
+    f = f.withColumn("material_shortfall_ratio", F.coalesce("material_shortfall_ratio", F.lit(0.0)))
     base = D.composite({k: F.col(k) for k in D.DEFAULT_WEIGHTS}, weights)
     f = f.withColumns({"base_score": base, "predicted_overrun_hours": D.predicted_overrun_hours(
         F.col("actual"), F.col("expected"), F.col("done_quantity"), F.col("job_quantity"), F.col("operator_pace_ratio")),
         "overrun_basis": D.overrun_basis(F.col("actual"), F.col("done_quantity"), F.col("job_quantity"), F.col("operator_pace_ratio"))})
     f = f.withColumn("risk_score", D.overlay(F.col("base_score"), F.col("critical_path_cascade_ratio")))
-    return f.withColumns({"is_delayed": F.col("risk_score") > threshold,
-                          "operation_label": D.label(F.col("operation_name"), F.lit(None).cast("string"),
-                                                     F.col("operation_type"), F.col("operation_id"))})
+    return f.withColumn("is_delayed", F.col("risk_score") > threshold)
 
 
 def outcome_labels(jobs: DataFrame, work_orders: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from kilnworks.sources import proxies as P
 SALT = "kiln-salt"
 
 
-def tables(spark, sf):
-    return P.production_tables(spark, sf, write_once=True)
+def tables(spark, sf, with_orders=False):
+    return P.production_tables(spark, sf, write_once=True, with_orders=with_orders)
 
 
 @query("a05_production_scan", "SELECT operation_id, job_id, expected AS expected_duration, actual AS real_duration FROM work_orders WHERE status <> 'PENDING'")
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("h39_material_shortfall", "SELECT job_id, round(CASE WHEN shortfall < 1e12 THEN shortfall END, 6) AS shortfall, shortfall > 1e12 AS infinite, round(supplier, 6) AS supplier FROM job_materials")
 def _(spark, sf):
-    c = P.job_components(spark, sf, tables(spark, sf))
+    c = P.job_components(spark, sf, tables(spark, sf, with_orders=True))
     m = F.col("material_shortfall_ratio")
     return J.job_materials(c).select("job_id", D.finite(m).alias("shortfall"), (m == D.INF).alias("infinite"),
                                      F.col("supplier_reliability").alias("supplier"))
@@ -195,10 +195,14 @@ def _(spark, sf):
         F.max("ratio").alias("ratio"), F.min("source_id").alias("source_id"), F.count(F.lit(1)).alias("sources"))
 
 
+# what is told of a work order, and what its signals follow from
+TOLD = ["job_id", "operation_id", "operation_name", "operation_type", "expected", "actual", "job_quantity", "done_quantity", "operators"]
+
+
 def elements(spark, sf):
-    t = tables(spark, sf)
+    t = tables(spark, sf, with_orders=True)
     pace = J.operator_pace(J.operator_history(t["work_orders"], t["time_logs"]))
-    return J.delay_elements(t["work_orders"], t["edges"], P.job_components(spark, sf, t), pace)
+    return J.delay_elements(t["work_orders"].select(*TOLD), t["edges"], P.job_components(spark, sf, t), pace)
 
 
 @query("j04_cascade_overlay", "SELECT operation_id, round(CASE WHEN score < 1e12 THEN score END, 5) AS risk_score, score > 1e12 AS infinite FROM elements", digits=5)
@@ -211,7 +215,7 @@ def _(spark, sf):
  LEFT JOIN (SELECT operation_id, count(*) AS n, min(pred_id) AS lo FROM edges GROUP BY 1) e USING (operation_id) LEFT JOIN (SELECT job_id, count(*) AS n FROM components GROUP BY 1) c USING (job_id)""")
 def _(spark, sf):
     """The flat form of the job document: operation rows with their links, component counts per job."""
-    t = tables(spark, sf)
+    t = tables(spark, sf, with_orders=True)
     deps = t["edges"].groupBy("operation_id").agg(F.count(F.lit(1)).alias("depends_on"), F.min("pred_id").alias("first_dependency"))
     n = P.job_components(spark, sf, t).groupBy("job_id").agg(F.count(F.lit(1)).alias("components"))
     # the texts of the links come last, so only one shuffle carries them
@@ -233,7 +237,7 @@ LAST_TEN = """SELECT l.operator_id, list(struct_pack(operation_id := l.operation
  SELECT job_id, 'operations' AS section, part, to_json(list(e ORDER BY operation_id))::VARCHAR AS document FROM p GROUP BY 1, 3 UNION ALL SELECT job_id, 'components', part, to_json(list(e ORDER BY lid))::VARCHAR FROM c GROUP BY 1, 3""")
 def _(spark, sf):
     """The nested roll-up of every job as JSON, in parts of three entries."""
-    t = tables(spark, sf)
+    t = tables(spark, sf, with_orders=True)
     return J.job_documents(t["work_orders"], t["edges"], J.operator_history(t["work_orders"], t["time_logs"]), P.job_components(spark, sf, t), part_size=3)
 
 
