@@ -49,45 +49,47 @@ VIEWS["why_ranked"] = """
 SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(contribution, -1) DESC, signal_order, coalesce(seq, -1)) - 1 AS line_index FROM why"""
 
 
-def evidence(spark, sf):
-    """Evidence tables and components, jobs named by their reference."""
-    t = P.production_tables(spark, sf, write_once=True)
-    comp = durable(P.job_components(spark, sf, t))
+TOLD = ["job_id", "seq", "operation_id", "operation_name", "operation_type", "status", "expected", "actual", "job_quantity", "done_quantity", "operators"]
+
+
+def evidence(spark, sf, stored=False):
+    """Evidence tables, jobs named by their reference; ``stored`` where they are read many times."""
+    t = P.production_tables(spark, sf, write_once=True, with_orders=True)
+    keep = durable if stored else lambda df: df
+    comp = keep(P.job_components(spark, sf, t))
     pace = J.operator_pace(J.operator_history(t["work_orders"], t["time_logs"]))
-    el = durable(J.delay_elements(t["work_orders"], t["edges"], comp, pace))
+    el = keep(J.delay_elements(t["work_orders"].select(*TOLD), t["edges"], comp, pace))
     ref = F.concat(F.lit("WH/MO/"), F.col("job_id"))
-    comp = comp.withColumn("job_id", ref)
-    return E.build_evidence(el.withColumn("job_id", ref), comp), comp
+    return E.build_evidence(el.withColumn("job_id", ref), comp.withColumn("job_id", ref), stored=stored)
 
 
 def lines(spark, sf):
-    ev, comp = evidence(spark, sf)
-    ev = ev | {"signals": durable(ev["signals"])}
-    return ev, comp, durable(E.compose_lines(ev, comp))
+    ev = evidence(spark, sf, stored=True)
+    return ev, durable(E.compose_lines(ev))
 
 
 @query("h45_fire_test", "SELECT operation_id, signal_key, fired FROM sig")
 def _(spark, sf):
-    ev, _comp = evidence(spark, sf)
+    ev = evidence(spark, sf)
     return ev["signals"].filter("operation_id IS NOT NULL").select("operation_id", "signal_key", "fired")
 
 
 @query("h46_contribution", "SELECT operation_id, signal_key, round(contribution, 5) AS contribution FROM sig WHERE contribution IS NOT NULL", digits=5)
 def _(spark, sf):
-    ev, _comp = evidence(spark, sf)
+    ev = evidence(spark, sf)
     return ev["signals"].filter("operation_id IS NOT NULL AND contribution IS NOT NULL").select("operation_id", "signal_key", "contribution")
 
 
 @query("h47_non_finite", "SELECT operation_id, isfinite(shortfall) AS material_ok, isfinite(score) AS score_ok FROM elements")
 def _(spark, sf):
-    ev, _comp = evidence(spark, sf)
+    ev = evidence(spark, sf)
     return ev["operations"].select("operation_id", D.finite(F.col("material_shortfall_ratio")).isNotNull().alias("material_ok"),
                                    D.finite(F.col("risk_score")).isNotNull().alias("score_ok"))
 
 
 @query("d44_job_summary", f"SELECT {REF} AS job_id, scorable, round(risk, 5) AS risk, round(hours, 5) AS hours, is_delayed, worst FROM job_sum", digits=5)
 def _(spark, sf):
-    ev, _comp = evidence(spark, sf)
+    ev = evidence(spark, sf)
     return ev["jobs"].select("job_id", "scorable", F.col("summary_risk_score").alias("risk"), F.col("summary_overrun_hours").alias("hours"),
                              F.col("summary_is_delayed").alias("is_delayed"), F.col("summary_operation").alias("worst"))
 
@@ -107,13 +109,13 @@ def _(spark, sf):
 
 @query("h49_why_lines", f"SELECT {REF} AS job_id, line_index, signal_key, operation_id, detail, delta FROM why_ranked")
 def _(spark, sf):
-    _ev, _comp, ln = lines(spark, sf)
+    _ev, ln = lines(spark, sf)
     return ln.select("job_id", "line_index", "signal_key", "operation_id", "detail", "delta")
 
 
 @query("e19_line_ranking", f"SELECT {REF} AS job_id, line_index, signal_key, operation_id, round(contribution, 5) AS contribution FROM why_ranked", digits=5)
 def _(spark, sf):
-    _ev, _comp, ln = lines(spark, sf)
+    _ev, ln = lines(spark, sf)
     return ln.select("job_id", "line_index", "signal_key", "operation_id", "contribution")
 
 
@@ -142,14 +144,14 @@ UNION ALL SELECT job_id, 'non_finite', 'warning' FROM job_sig WHERE signal_key =
 
 
 def spoilt_issues(spark, sf):
-    ev, comp, ln = lines(spark, sf)
+    ev, ln = lines(spark, sf)
     n = F.substring_index("job_id", "/", -1).cast("bigint") % 10
     bad = F.when((n == 3) & (F.col("signal_key") == "time_overrun_ratio"), F.transform_values(
         "quoted", lambda k, v: F.when(k == "actual_hrs", v * 2).otherwise(v))).otherwise(F.col("quoted"))
     ln = ln.filter(~((n == 4) & (F.col("signal_key") == "operator_pace_ratio"))).withColumn("quoted", bad)
     drafts = ev["jobs"].select("job_id", F.when(n == 5, F.col("summary_risk_score") * 2 + 1).otherwise(F.col("summary_risk_score")).alias("summary_risk_score"),
                                "summary_overrun_hours", "summary_is_delayed")
-    return ev, E.validate(ev, ln, drafts, comp)
+    return ev, E.validate(ev, ln, drafts)
 
 
 @query("h50_insight_checks", f'SELECT {REF} AS job_id, "check", severity, count(*) AS n FROM issues GROUP BY 1, 2, 3')
@@ -182,15 +184,14 @@ CLEAN_ERRORS = """SELECT job_id, count(*) AS n FROM (SELECT job_id FROM why WHER
  coalesce(w.n, 0) AS why_lines, coalesce(s.n, 0) AS short_components FROM job_sum j LEFT JOIN ({CLEAN_ERRORS}) e ON e.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS n FROM why GROUP BY 1) w ON w.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS n FROM shorts GROUP BY 1) s ON s.job_id = j.job_id""", digits=5)
 def _(spark, sf):
     """The whole review: elements, evidence, lines, checks of the unspoilt drafts, status."""
-    ev, comp, ln = lines(spark, sf)
-    issues = E.validate(ev, ln, ev["jobs"], comp)
+    ev, ln = lines(spark, sf)
+    issues = E.validate(ev, ln, ev["jobs"])
     out = E.insight_status(ev["jobs"], issues)
     n_lines = ln.groupBy("job_id").agg(F.count(F.lit(1)).alias("why_lines"))
-    n_short = ev["short"].groupBy("job_id").agg(F.count(F.lit(1)).alias("short_components"))
-    return out.join(n_lines, "job_id", "left").join(n_short, "job_id", "left").select(
+    return out.join(n_lines, "job_id", "left").select(
         "job_id", F.col("summary_risk_score").alias("risk_score"), F.col("summary_overrun_hours").alias("overrun_hours"),
         F.col("summary_is_delayed").alias("is_delayed"), "status", F.coalesce("why_lines", F.lit(0)).alias("why_lines"),
-        F.coalesce("short_components", F.lit(0)).alias("short_components"))
+        F.coalesce("n_short", F.lit(0)).alias("short_components"))
 
 
 VIEWS["snaps"] = """
