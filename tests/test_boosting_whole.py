@@ -62,9 +62,10 @@ def test_few_rows_take_few_jobs(spark):
 
 def test_features_of_a_category_are_summed_as_one():
     kind = np.arange(60) % 4
-    bins = [*np.eye(4, dtype=np.uint8)[kind].T, (np.arange(60) % 2).astype(np.uint8), (np.arange(60) % 7).astype(np.uint8)]
-    whole = B._Whole(B.Spec(), np.stack(bins), np.zeros(60), np.arange(60), [2] * 5 + [7])
-    assert sorted(f for _, f in whole.columns) == [[0, 1, 2, 3], [4], [5]]
+    bins = np.stack([*np.eye(4, dtype=np.uint8)[kind].T, (np.arange(60) % 2).astype(np.uint8), (np.arange(60) % 7).astype(np.uint8)])
+    sizes = [2] * 5 + [7]
+    groups = B._groups(B._together(bins, sizes), sizes)
+    assert sorted(groups) == [[0, 1, 2, 3], [4], [5]]
     v = np.random.default_rng(0).random(60)
-    want = np.concatenate([np.bincount(b, v, n) for b, n in zip(bins, [2] * 5 + [7])])
-    assert np.allclose(whole.sums(None, [v, np.ones(60)])[0], want)
+    want = np.concatenate([np.bincount(b, v, n) for b, n in zip(bins, sizes)])
+    assert np.allclose(B._Whole(B.Spec(), bins, np.zeros(60), np.arange(60), sizes, groups).sums(None, [v, np.ones(60)])[0], want)
