@@ -58,7 +58,8 @@ def evidence(spark, sf, stored=False):
     keep = durable if stored else lambda df: df
     comp = keep(P.job_components(spark, sf, t))
     pace = J.operator_pace(J.operator_history(t["work_orders"], t["time_logs"]))
-    el = keep(J.delay_elements(t["work_orders"].select(*TOLD), t["edges"], comp, pace))
+    told = [c for c in TOLD if stored or c != "status"]  # only the checks of stored evidence look at the status
+    el = keep(J.delay_elements(t["work_orders"].select(*told), t["edges"], comp, pace))
     ref = F.concat(F.lit("WH/MO/"), F.col("job_id"))
     return E.build_evidence(el.withColumn("job_id", ref), comp.withColumn("job_id", ref), stored=stored)
 
